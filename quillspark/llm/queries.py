@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from quillspark.llm import pii
+from quillspark.llm import decontamination, mixing, pii, topk
 
-QUERIES = {"op3_pii": pii.op3_pii}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
+    "op3_pii": pii.op3_pii,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_topk": topk.op9_topk,
+}
+ORACLES = {"op2_decontamination": decontamination.SQL, "op8_mixing": mixing.SQL, "op9_topk": topk.SQL}
