@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, mixing, pii, topk
+from quillspark.llm import decontamination, mixing, pii, simhash, topk
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_pii": pii.op3_pii,
+    "op5_simhash": simhash.op5_simhash,
     "op8_mixing": mixing.op8_mixing,
     "op9_topk": topk.op9_topk,
 }
