@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, mixing, pii, simhash, topk
+from quillspark.llm import decontamination, language, mixing, pii, simhash, topk
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_pii": pii.op3_pii,
     "op5_simhash": simhash.op5_simhash,
+    "op7_language": language.op7_language,
     "op8_mixing": mixing.op8_mixing,
     "op9_topk": topk.op9_topk,
 }
