@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, language, mixing, pii, simhash, topk
+from quillspark.llm import decontamination, language, mixing, pii, simhash, topk, toxicity
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
@@ -11,5 +11,6 @@ QUERIES = {
     "op7_language": language.op7_language,
     "op8_mixing": mixing.op8_mixing,
     "op9_topk": topk.op9_topk,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {"op2_decontamination": decontamination.SQL, "op8_mixing": mixing.SQL, "op9_topk": topk.SQL}
