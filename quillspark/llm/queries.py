@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, language, mixing, pii, simhash, topk, toxicity
+from quillspark.llm import decontamination, language, mixing, pii, secrets, simhash, topk, toxicity
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_pii": pii.op3_pii,
     "op5_simhash": simhash.op5_simhash,
