@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, language, mixing, pii, secrets, simhash, topk, toxicity
+from quillspark.llm import decontamination, html, language, mixing, pii, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_pii": pii.op3_pii,
+    "op4_html": html.op4_html,
     "op5_simhash": simhash.op5_simhash,
     "op7_language": language.op7_language,
     "op8_mixing": mixing.op8_mixing,
