@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, html, language, mixing, pii, secrets, simhash, topk, toxicity
+from quillspark.llm import decontamination, html, language, mixing, pii, secrets, simhash, substrings, topk, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_html": html.op4_html,
     "op5_simhash": simhash.op5_simhash,
+    "op6_substrings": substrings.op6_substrings,
     "op7_language": language.op7_language,
     "op8_mixing": mixing.op8_mixing,
     "op9_topk": topk.op9_topk,
