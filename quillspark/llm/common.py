@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,6 +31,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sampled(df: DataFrame, h: str, rows: int, of: int) -> DataFrame:
+    """Those of ``df``'s ``of`` rows whose 64-bit hash ``h`` lies in the lowest part that should hold four times ``rows``."""
+    from pyspark.sql import functions as F
+
+    share = 4 * rows / max(of, 1)
+    return df if share >= 1 else df.filter(F.col(h) < int((2 * share - 1) * 2**63))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the checkpoint folder, and read again."""
+    spark = df.sparkSession
+    cut(spark.range(1))  # makes sure of a folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def map_rows(df: DataFrame, schema: pa.Schema, rows: Callable[[dict], Iterator[tuple]]) -> DataFrame:
     """``df`` with each Arrow batch put through ``rows`` (columns as Python lists in, tuples out)."""
     from pyspark.sql.pandas.types import from_arrow_schema

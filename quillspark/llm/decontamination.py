@@ -163,7 +163,7 @@ def find(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) ->
         return out.drop("h")
     # a row comes once from each pass; equal rows have equal results
     one = out.groupBy("doc_id", "h", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("c"))
-    return one.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("c") / len(passes)).cast("int")))).select("doc_id", "n_words", "hits", "items")
+    return one.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("c") / len(passes)).cast("int")))).select("doc_id", "h", "n_words", "hits", "items")
 
 
 def hit_words(hits):
@@ -177,13 +177,37 @@ def hit_words(hits):
     return F.aggregate(F.array_sort(hits), start, step, lambda a: a["n"])
 
 
-def judge(found: DataFrame) -> DataFrame:
+def judge(found: DataFrame, *more: str) -> DataFrame:
     """Counts, item digest and verdict of ``find``'s rows: contaminated if a twentieth of the words is hit."""
     n = hit_words(F.col("hits"))
-    x = found.select("doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    x = found.select("doc_id", *more, "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     return x.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, as they are."""
+    spark = docs.sparkSession
+    passes = _blocks(benchmark, pass_bytes) or [[]]
+    if len(passes) > 1:
+        key = lambda: F.md5(F.coalesce(F.col("text"), F.lit("")))
+        bad = judge(find(docs, benchmark, pass_bytes), "h").filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (key() == F.col("_h")), "left_anti")
+    arrow_batches(spark)
+    told, at = _Told(spark, passes[0]), docs.columns.index("text")
+
+    def run(batches):
+        match = _matcher(told)
+        for b in batches:
+            keep = []
+            for t in b.column(at).to_pylist():
+                w = words(t)
+                n = sum(e - s for s, e in union(match.search(w)[0]))
+                keep.append(not (n and 20 * n >= len(w)))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     """All ``documents`` against all ``benchmark`` items."""
     return judge(find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))

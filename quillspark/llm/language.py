@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import arrow_batches
 
 DIM = 1 << 14
-#: Learning rows that the weights are fitted on, at most; the smallest by a hash of the text.
+#: Learning rows that the weights are fitted on, at most; the smallest by a hash of id and text.
 FIT_ROWS = 3000
 #: Languages that a model may have.
 MAX_LANGS = 500
@@ -123,7 +123,7 @@ def learning(docs: DataFrame):
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model of the learning rows' text and lang. Without any, it has no languages and predicts und."""
     arrow_batches(docs.sparkSession)
-    rows = docs.filter(learning(docs) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    rows = docs.filter(learning(docs) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS + 1).collect()]
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
@@ -173,6 +173,19 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+def known(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose language the model tells with a score of ``least`` or more; und goes."""
+    arrow_batches(docs.sparkSession)
+    told, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            got = [told.value.predict(t) for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array([x != "und" and p >= least for x, p in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_language(spark, sf_dir: str) -> DataFrame:
     """The predicted language of all ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -149,23 +149,23 @@ def link(fps: DataFrame, sample_least: int = SAMPLE_LEAST, leaf: int = SHARD_SAM
     return fps.mapInArrow(deal, "shard long, fp long").groupBy("shard").applyInArrow(_solve, "a long, b long")
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
 
 
 def _rows(cols):
-    for i, t in zip(cols["doc_id"], cols["text"], strict=True):
+    for i, h, t in zip(cols["doc_id"], cols["h"], cols["text"], strict=True):
         f = fingerprint(t)
-        yield i, f - (1 << 64) if f >> 63 else f
+        yield i, h, f - (1 << 64) if f >> 63 else f
 
 
 def group(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, fp (signed), root (the class's smallest fingerprint), component_id (its smallest doc_id).
+    """Per row of ``docs``: doc_id, h (hash of the text), fp (signed), root (the class's smallest fingerprint), component_id (its smallest doc_id).
 
     Null and wordless texts have fingerprint zero and are linked like any other; null ids never name a class
     unless it has no others; repeated rows share a class; an empty table gives an empty result. Other columns are ignored.
     """
     arrow_batches(docs.sparkSession)
-    marked = cut(map_rows(docs.select(F.col("doc_id").cast("long"), "text"), _SCHEMA, _rows))
+    marked = cut(map_rows(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text"), _SCHEMA, _rows))
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     arrow_batches(docs.sparkSession, 10_000)
     root = roots(link(fps.select("fp")))
@@ -173,7 +173,18 @@ def group(docs: DataFrame) -> DataFrame:
     placed = fps.join(root, fps["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(names, "root").select("fp", "root", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class the row of its smallest id (null only if it has no other).
+
+    Of rows with that id, the text of the smallest hash stays, and of equal rows one.
+    """
+    first = cut(group(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("h").alias("_h"), F.count("*").alias("_n")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
+    kept = docs.join(first.select("_id", "_h"), same, "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]) if first.filter("_n > 1").limit(1).count() else kept
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
