@@ -10,8 +10,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def stream(spark: SparkSession, sf_dir: str, name: str = "events", files_a_trigger: int = 64) -> DataFrame:
     """A table's Parquet files as a stream."""
-    path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    # as a pattern, so that a table of one file is as good as a folder
+    path = f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
 
 
