@@ -68,7 +68,7 @@ sql("a03_zero_fill", "SELECT c.c_custkey, count(o.o_orderkey) AS n, CAST(coalesc
 sql("a04_conditional_distinct", "SELECT o_orderpriority, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_custkey END) AS n FROM orders GROUP BY o_orderpriority")
 sql("a05_coverage", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag")
 sql("a06_avg_case", "SELECT l_linestatus, greatest(CAST(floor(avg(CASE WHEN l_quantity > 25 THEN l_quantity WHEN l_quantity > 5 THEN 20 ELSE 10 END) + 0.5) AS BIGINT), 20) AS m FROM lineitem GROUP BY l_linestatus")
-sql("a07_rounded_average", "SELECT c_nationkey, round(avg(c_acctbal), 2) AS m FROM customer GROUP BY c_nationkey")
+sql("a07_rounded_average", "SELECT c_nationkey, CAST(floor(CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS DOUBLE) / count(*)) AS BIGINT) AS mean_cents FROM customer GROUP BY c_nationkey")
 sql("a08_any_true", "SELECT l_orderkey, max(CASE WHEN l_discount > 0.08 THEN 1 ELSE 0 END) AS any_big FROM lineitem GROUP BY l_orderkey")
 sql("a09_keeper_having", "SELECT p_name, p_brand, min(p_partkey) AS keeper, count(*) AS n FROM part GROUP BY p_name, p_brand HAVING count(*) > 1")
 sql("a10_modal_value", "SELECT o_orderstatus, o_orderpriority FROM (SELECT o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC, o_orderpriority) AS rn FROM orders GROUP BY o_orderstatus, o_orderpriority) WHERE rn = 1")
