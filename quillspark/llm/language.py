@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_batches
+from quillspark.llm.common import arrow_batches, sampled
 
 DIM = 1 << 14
 #: Learning rows that the weights are fitted on, at most; the smallest by a hash of id and text.
@@ -138,8 +138,9 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             got = [counts(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([i.astype(np.int32).tobytes() for i, _ in got], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in got], pa.binary()), b.column(1)], ["i", "n", "lang"])
 
-    # ties in the hash are equal texts; which of them stays makes no difference unless their labels differ
-    sample = rows.withColumn("h", F.xxhash64("text", "lang")).orderBy("h", "lang").limit(fit_rows).select("text", "lang")
+    # a share of all rows that holds enough of the smallest: what one task must order is bounded
+    some = sampled(rows.withColumn("h", F.xxhash64("doc_id", "text")), "h", fit_rows, int(df[DIM]))
+    sample = some.orderBy("h", "lang").limit(fit_rows).select("text", "lang")
     place = {x: k for k, x in enumerate(langs)}
     data = []
     for r in sample.mapInArrow(packed, "i binary, n binary, lang string").collect():
