@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_batches, cut, map_rows
+from quillspark.llm.common import arrow_batches, cut, map_rows, sampled
 from quillspark.llm.components import roots
 
 WORDS = 3
@@ -136,8 +136,10 @@ def _solve(table: pa.Table) -> pa.Table:
 def link(fps: DataFrame, sample_least: int = SAMPLE_LEAST, leaf: int = SHARD_SAMPLE) -> DataFrame:
     """Links (a, b) that span the classes of distinct ``fps`` (a column fp, signed 64 bits)."""
     spark = fps.sparkSession
-    n = min(SAMPLE_MOST, max(sample_least, fps.count() // SAMPLE_SHARE))
-    sample = [r["fp"] for r in fps.orderBy(F.xxhash64("fp")).limit(n).collect()]
+    of = fps.count()
+    n = min(SAMPLE_MOST, max(sample_least, of // SAMPLE_SHARE))
+    hashed = sampled(fps.withColumn("h", F.xxhash64("fp")), "h", n, of)
+    sample = [r["fp"] for r in hashed.orderBy("h").limit(n).select("fp").collect()]
     told = spark.sparkContext.broadcast(fit(np.array(sample, np.int64).view(np.uint64), leaf))
 
     def deal(batches):
