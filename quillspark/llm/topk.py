@@ -114,7 +114,7 @@ def search(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vect
 
     ``queries`` is a condition on ``vec_id``. All rows but those with the query's id are candidates. Rows
     whose vector is null or holds null or non-finite components take no part; missing trailing components
-    count as zero; of repeated query ids the smallest vector asks. Null ids are candidates, after all others
+    count as zero; of repeated query ids the smallest vector asks. Vectors whose scores may exceed 62 bits are an error. Null ids are candidates, after all others
     in ties, and never queries. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -122,7 +122,8 @@ def search(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vect
     rows = usable(vectors, id_col, vector_col)
     asks = rows.filter(queries & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("x").alias("x"))
     stats = asks.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("width")).first()
-    norm = rows.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + F.floor(v * 256) * F.floor(v * 256)))).first()[0] or 0.0
+    whole = lambda v: F.floor(v * 256).cast("double")
+    norm = rows.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + whole(v) * whole(v)))).first()[0] or 0.0
     blocks = -(-stats["n"] // block)
     out = None
     for i in range(blocks):
@@ -131,7 +132,10 @@ def search(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vect
             continue
         ids = np.array([r["vec_id"] for r in mine], np.int64)
         q = _matrix([r["x"] for r in mine], stats["width"])
-        reach = np.ceil(np.sqrt((q * q).sum(1)) * np.sqrt(norm)).astype(np.int64) + 1  # no score lies beyond
+        reach = np.ceil(np.sqrt((q * q).sum(1)) * np.sqrt(norm)) + 1  # no score lies beyond
+        if (reach >= 2**61).any():
+            raise ValueError("a score may exceed 62 bits")
+        reach = reach.astype(np.int64)
         lo, width = -reach, (2 * reach) // BINS + 1
         known = np.zeros(len(ids), bool)
         while not known.all():
