@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import education as E
 from quillspark.functions import text as T
-from quillspark.operators import audits, curriculum, layout, relational
+from quillspark.operators import audits, bank, curriculum, layout, relational
 from quillspark.plans import sql_queries  # noqa: F401  its twins are used here
 from quillspark.plans.registry import ORACLES, query
 from quillspark.session import table
@@ -155,3 +155,57 @@ def a24_fingerprint_operator(spark, sf_dir):
 def w07_interpolate(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.when(F.col("n_nationkey") % 3 == 0, (F.col("n_nationkey") * F.col("n_nationkey")).cast("double")).alias("k"))
     return layout.interpolate(n, "n_regionkey", "n_nationkey", "k").select("n_nationkey", F.floor(1000 * F.col("k")).alias("milli"))
+
+
+@query("SELECT p_partkey FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_size > 25 DESC, p_partkey % 2 = 0 DESC, p_size % 4 DESC, p_partkey) AS rn FROM part) ORDER BY rn, p_brand LIMIT 40")
+def x22_select_items(spark, sf_dir):
+    """Items dealt over concepts, each concept's best first."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("concept"), F.col("p_partkey").alias("ord"), (F.col("p_size") > 25).alias("grounded"), (F.col("p_partkey") % 2 == 0).alias("keyed"), (F.col("p_size") % 4).alias("dok"))
+    return bank.select_items(p, 40).select(F.col("ord").alias("p_partkey"))
+
+
+@query("SELECT n_nationkey, CAST(ceil(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) / 2.0) AS INTEGER) AS batch FROM nation")
+def x49_batches(spark, sf_dir):
+    return bank.batches(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", 2).select("n_nationkey", "batch")
+
+
+@query("SELECT p_brand AS concept, p_type AS level, CAST(sum(p_size) AS DOUBLE) / CAST(sum(sum(p_size)) OVER (PARTITION BY p_brand) AS DOUBLE) AS share FROM part GROUP BY p_brand, p_type")
+def x44_merge_blocks(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("concept"), F.col("p_type").alias("level"), F.col("p_size").cast("double").alias("share"))
+    return bank.merge_blocks(p)
+
+
+@query("SELECT subject, institute AS source FROM (SELECT c_mktsegment AS subject, c_nationkey AS institute, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey = 7 DESC, count(*) DESC, c_nationkey) AS rn FROM customer GROUP BY 1, 2) WHERE rn = 1")
+def x19_content_source(spark, sf_dir):
+    """The wanted institute where it has content, else the one with most."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("subject"), F.col("c_nationkey").alias("institute"))
+    return bank.content_source(c, c.select("subject").distinct().withColumn("institute", F.lit(7)))
+
+
+@query("SELECT s_suppkey, n_nationkey AS nation_id, n_nationkey IS NULL AS open_ FROM supplier LEFT JOIN (SELECT lower(trim(n_name)) AS k, min(n_nationkey) AS n_nationkey FROM nation WHERE n_nationkey % 2 = 0 GROUP BY 1) n ON n.k = (SELECT lower(trim(m.n_name)) FROM nation m WHERE m.n_nationkey = s_nationkey)")
+def x50_resolve_ids(spark, sf_dir):
+    """Names to ids by folded name, and what stays open."""
+    n = table(spark, sf_dir, "nation")
+    s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.upper("n_name").alias("nation"))
+    dim = n.filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return bank.resolve_ids(s, {"nation": dim}).select("s_suppkey", "nation_id", (F.size("unresolved") > 0).alias("open_"))
+
+
+@query("SELECT c_mktsegment AS subject, c_custkey AS chapter, a AS first_day, b AS last_day FROM (SELECT c_mktsegment, c_custkey, CASE WHEN e - n + 1 <= 500 THEN DATE '2024-01-01' + CAST(e - n AS INTEGER) END AS a, CASE WHEN e <= 500 THEN DATE '2024-01-01' + CAST(e - 1 AS INTEGER) END AS b FROM (SELECT c_mktsegment, c_custkey, c_custkey % 3 + 1 AS n, sum(c_custkey % 3 + 1) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS e FROM customer))")
+def x17_macro_plan(spark, sf_dir):
+    """Chapters on a subject's teaching days, each after those before it."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("subject"), F.col("c_custkey").alias("chapter"), F.col("c_custkey").alias("ord"), (F.col("c_custkey") % 3 + 1).alias("periods"))
+    days = spark.range(500).select(F.expr("date_add(DATE'2024-01-01', CAST(id AS INT))").alias("day"), F.lit(1).alias("n"))
+    slots = c.select("subject").distinct().crossJoin(F.broadcast(days))
+    return bank.macro_plan(c, slots).select("subject", "chapter", "first_day", "last_day")
+
+
+@query()
+def x27_item_metadata(spark, sf_dir):
+    """Derived metadata of turns as items (unit tests pin the values)."""
+    return bank.metadata(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("stem"), F.lit(False).alias("is_mcq")))
+
+
+@query()
+def x36_near_duplicate_items(spark, sf_dir):
+    return bank.near_duplicates(table(spark, sf_dir, "benchmark").select(F.lit(1).alias("grp"), F.col("item_id").alias("id"), F.col("text").alias("stem")))
