@@ -107,7 +107,7 @@ class Model:
         self.langs, self.weights, self.idf, self.heat = langs, weights.astype(np.float32), idf, heat
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not any(m[0].isalpha() for m in _LETTER.finditer(text)):
             return "und", 0.0
         i, n = counts(text)
         p = _softmax((features(i, n, self.idf) @ self.weights[i] + self.weights[DIM]) / self.heat)
