@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_batches
+from quillspark.llm.common import arrow_batches, sampled
 
 #: Labelled rows that are learnt from, at most, of each class; the smallest by a hash of the id.
 FIT_ROWS = {1: 2000, 0: 3000}
@@ -185,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: dict[int, int] | None =
     fit_rows = fit_rows or FIT_ROWS
     rows = []
     for y, n in sorted(fit_rows.items()):
-        ids = labels.filter(learning() & (F.col("toxic") == y)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        mine = labels.filter(learning() & (F.col("toxic") == y)).select("doc_id", F.xxhash64("doc_id").alias("h"))
+        ids = sampled(mine, "h", n, mine.count()).distinct().orderBy("h", "doc_id").limit(n).select("doc_id")
         ids = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long")
         got = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(n)
         rows += [(r["text"], y) for r in got.collect()]
