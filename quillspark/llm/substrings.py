@@ -11,7 +11,7 @@ have equal anchors. Consecutive windows with one anchor form a segment. Anchors
    instead, shared out by their own hash, so that no bucket holds a hot anchor's contexts.
 
 Chunks (documents by hash) combine copies before anything is sent and compute their anchors anew in each
-round; the documents' bytes are shuffled once. All answers are exact but for 88-bit hash collisions.
+round; the documents' bytes are shuffled once. All answers are exact but for 80-bit hash collisions.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +31,10 @@ _SPAN = WIDTH - ANCHOR + 1
 #: Bytes of text in a chunk and of positions treated at once; chunks and buckets at least.
 CHUNK_BYTES, BLOCK, CHUNKS, BUCKETS = 8 << 20, 1 << 20, 1024, 512
 #: Segments of an anchor in one chunk, and in all, from which it counts as hot.
-HOT_HERE, HOT_ALL = 8, 64
+HOT_HERE, HOT_ALL = 32, 512
 SHARDS = 8
 ONE, AMBIGUOUS, HOT = 0, 1, 2
-_MARK = np.uint64((1 << 48) - 1)
+_MARK = np.uint64((1 << 40) - 1)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -126,8 +127,8 @@ class Runs:
 
 
 def _keys(runs: Runs, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """What is sent of each segment's anchor (``width`` bytes) and whole hash (6 bytes)."""
-    return runs.anchor >> np.uint64(64 - 8 * width), np.minimum(runs.whole >> np.uint64(16), _MARK - np.uint64(1))
+    """What is sent of each segment's anchor (``width`` bytes) and whole hash (5 bytes)."""
+    return runs.anchor >> np.uint64(64 - 8 * width), np.minimum(runs.whole >> np.uint64(24), _MARK - np.uint64(1))
 
 
 def _pack(x: np.ndarray, width: int) -> bytes:
@@ -141,6 +142,14 @@ def _unpack(b: bytes, n: int, width: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _zip(b: bytes) -> bytes:
+    return zstandard.compress(b, 3)
+
+
+def _unzip(b: bytes) -> bytes:
+    return zstandard.decompress(b)
+
+
 def _put(columns: list[tuple[np.ndarray, int]]) -> bytes:
     return b"".join(_pack(x, w) for x, w in columns)
 
@@ -209,7 +218,7 @@ def _introduce(width: int, buckets: int, hot_here: int):
             keep = ~hot | first
             s = np.where(hot, _MARK, s)[keep]
             h, d = h[keep], d[keep]
-        return _table(_sent([h, s, d.view(np.uint64)], [width, 6, 8], buckets, h, c.number), _SENT)
+        return _table(_sent([h, s, d.view(np.uint64)], [width, 5, 8], buckets, h, c.number), _SENT)
 
     return run
 
@@ -219,7 +228,7 @@ def _sort_out(width: int, hot_all: int):
 
     def run(table: pa.Table) -> pa.Table:
         chunks, ns, blobs = (table.column(k).to_pylist() for k in ("chunk", "n", "b"))
-        got = [_get(b, n, [width, 6, 8]) for n, b in zip(ns, blobs, strict=True)]
+        got = [_get(b, n, [width, 5, 8]) for n, b in zip(ns, blobs, strict=True)]
         h, s, d = (np.concatenate(x) for x in zip(*got, strict=True))
         d, chunk = d.view(np.int64), np.repeat(chunks, ns)
         order = np.lexsort((d, s, h))
@@ -242,7 +251,7 @@ def _sort_out(width: int, hot_all: int):
                     x = x[np.concatenate(([True], h[x][1:] != h[x][:-1]))]  # an anchor once
                     blob = _put([(h[x], width)])
                 else:
-                    blob = _put([(h[x], width), (s[x], 6), (least[x].view(np.uint64), 8)])
+                    blob = _put([(h[x], width), (s[x], 5), (least[x].view(np.uint64), 8)])
                 rows.append((int(chunk[at[a]]), kind, len(x), blob))
         return _table(rows, _TOLD)
 
@@ -254,7 +263,7 @@ def _told(table: pa.Table, width: int):
     got = {ONE: [], AMBIGUOUS: [], HOT: []}
     for kind, n, b in zip(*(table.column(k).to_pylist() for k in ("kind", "n", "b")), strict=True):
         if kind in got:
-            got[kind].append(_get(b, n, [width, 6, 8] if kind == ONE else [width]))
+            got[kind].append(_get(b, n, [width, 5, 8] if kind == ONE else [width]))
     one = [np.concatenate(x) for x in zip(*got[ONE], strict=True)] if got[ONE] else [np.zeros(0, np.uint64)] * 3
     return one, *(np.concatenate([x[0] for x in got[k]]) if got[k] else np.zeros(0, np.uint64) for k in (AMBIGUOUS, HOT))
 
@@ -270,9 +279,6 @@ def _hot_windows(c: Chunk, h: np.ndarray, hot: np.ndarray):
     return start, x, doc, head
 
 
-_STRINGS = [("bucket", pa.int64()), ("chunk", pa.int64()), ("key", pa.list_(pa.int64())), ("doc", pa.list_(pa.int64())), ("s", pa.list_(pa.binary()))]
-
-
 def _send_strings(width: int, buckets: int):
     """Round 2, at a chunk: the bytes of ambiguous segments by their anchors, of hot segments' windows by their own hash."""
 
@@ -286,7 +292,7 @@ def _send_strings(width: int, buckets: int):
 
             def put(to, key, doc, s):
                 row = out.setdefault(int(to) % buckets, ([], [], []))
-                row[0].append(int(np.uint64(key).view(np.int64)))
+                row[0].append(int(key))
                 row[1].append(int(doc))
                 row[2].append(s)
 
@@ -299,9 +305,11 @@ def _send_strings(width: int, buckets: int):
                 start, x, doc, head = _hot_windows(c, _keys(c.runs, width)[0], hot)
                 for i in head.tolist():
                     put(x[i] >> np.uint64(16), x[i], doc[i], c.runs.bytes[start[i] : start[i] + WIDTH])
-        rows = [(b, number, *x) for b, x in out.items()]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        return pa.table([pa.array(v, t) for v, (_, t) in zip(cols, _STRINGS, strict=True)], schema=pa.schema([(k, t) for k, t in _STRINGS if k]))
+        rows = []
+        for b, (keys, own, strings) in out.items():
+            columns = [(np.array(keys, np.uint64), 8), (np.array(own, np.int64).view(np.uint64), 8), (np.fromiter(map(len, strings), np.uint64, len(strings)), 2)]
+            rows.append((b, number, len(keys), _put(columns) + _zip(b"".join(strings))))
+        return _table(rows, _SENT)
 
     return run
 
@@ -315,8 +323,11 @@ def _compare(table: pa.Table) -> pa.Table:
     least: list[int] = []
     shard: list[int] = []
     senders = []
-    for chunk, keys, docs, strings in zip(*(table.column(k).to_pylist() for k in ("chunk", "key", "doc", "s")), strict=True):
-        for k, d, s in zip(keys, docs, strings, strict=True):
+    for chunk, n, blob in zip(*(table.column(k).to_pylist() for k in ("chunk", "n", "b")), strict=True):
+        keys, docs, lengths = _get(blob, n, [8, 8, 2])
+        text, at = _unzip(blob[18 * n :]), 0
+        for k, d, m in zip(keys.tolist(), docs.view(np.int64).tolist(), lengths.tolist(), strict=True):
+            s, at = text[at : at + m], at + m
             if (i := place.setdefault(s, len(place))) == len(least):
                 least.append(d)
                 shard.append(chunk % SHARDS)
@@ -331,7 +342,7 @@ def _compare(table: pa.Table) -> pa.Table:
     rows = []
     for chunk, x in back.items():
         n = np.array([len(v) for _, v in x], np.uint64)
-        blob = _put([(np.array([k for k, _ in x], np.int64).view(np.uint64), 8), (n, 2)]) + np.concatenate([v for _, v in x]).tobytes()
+        blob = _put([(np.array([k for k, _ in x], np.uint64), 8), (n, 2)]) + np.concatenate([v for _, v in x]).tobytes()
         rows.append((chunk, STRINGS, len(x), blob))
     return _table(rows, _TOLD)
 
@@ -416,7 +427,9 @@ def remove_repeats(docs: DataFrame, chunks: int | None = None, buckets: int | No
     by_chunk = d.groupBy("chunk")
     sent = by_chunk.applyInArrow(_introduce(width, buckets, hot_here), _DDL[id(_SENT)])
     told = sent.groupBy("bucket").applyInArrow(_sort_out(width, hot_all), _DDL[id(_TOLD)])
-    strings = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_send_strings(width, buckets), "bucket long, chunk long, key array<long>, doc array<long>, s array<binary>")
+    unclear = told.filter(F.col("kind") != ONE)
+    # fewer buckets for strings: they compress better together
+    strings = by_chunk.cogroup(unclear.groupBy("chunk")).applyInArrow(_send_strings(width, max(1, buckets // 4)), _DDL[id(_SENT)])
     compared = strings.groupBy("bucket").applyInArrow(_compare, _DDL[id(_TOLD)])
     every = told.filter(F.col("kind") != AMBIGUOUS).unionByName(compared)
     return by_chunk.cogroup(every.groupBy("chunk")).applyInArrow(_remove(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
