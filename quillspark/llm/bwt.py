@@ -5,21 +5,22 @@ from __future__ import annotations
 import numpy as np
 
 
-def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix starts in order, symbols before them, number of strings) of a shard, by prefix doubling.
+def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(suffix starts in order, the two symbols before each, number of end marks) of a shard, by prefix doubling.
 
-    Strings stand one after the other, each with an end mark of its own; marks sort before all bytes and
-    among themselves in the strings' order. Symbols are bytes plus one; a mark is 0.
+    Strings stand one after the other, each with two end marks; marks sort before all bytes, later ones before
+    earlier ones, and otherwise in the strings' order. A symbol is a byte plus one. A pair is 0 for the first two
+    suffixes of a string, which have no two symbols before them.
     """
-    text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"\0\0".join(strings) + b"\0\0", np.uint8).astype(np.int64) + 1
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    ends = np.cumsum(lengths + 1) - 1
+    ends = np.cumsum(lengths + 2) - 1
     m, n = len(strings), len(text)
-    rank = text + m
-    rank[ends] = np.arange(m)
-    text[ends] = 0
+    text[ends] = text[ends - 1] = 0
+    rank = text + 2 * m
+    rank[ends], rank[ends - 1] = np.arange(m), np.arange(m, 2 * m)
     step = 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)  # equal ranks stay equal, so no order among them matters
     while True:
         r = rank[order]
         fresh = np.concatenate(([0], np.cumsum(r[1:] != r[:-1])))
@@ -30,47 +31,55 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         follow = np.zeros(n, np.int64)
         follow[:-step] = rank[step:] + 1
         rank = rank * (n + 2) + follow
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         step *= 2
-    return order, text[order - 1], np.int64(m)
+    pairs = np.zeros(n, np.int64)
+    pairs[2:] = text[:-2] * 257 + text[1:-1]
+    begin = ends - lengths - 1
+    pairs[begin] = pairs[np.minimum(begin + 1, n - 1)] = 0
+    return order, pairs[order], 2 * m
 
 
-def merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shard of each suffix in merged order, its place within the shard, common prefix with the one before).
+def merge(parts: list[tuple[np.ndarray, np.ndarray, int]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard of each suffix in merged order by ``depth`` symbols or more, its place within the shard).
 
-    No suffix is sorted again. Round h takes the interleave by h - 1 symbols to that by h: the symbols
-    before the suffixes, stably sorted, say where each suffix that is one longer goes. A boundary that
-    first appears in round h is a common prefix of h - 1; after ``depth`` rounds the rest share ``depth``.
+    No suffix is sorted again. A round takes the interleave by h symbols to that by h + 2: the pairs of symbols
+    before the suffixes, stably sorted, say where each suffix that is two longer goes. A round that changes
+    nothing is the last.
     """
     sizes = [len(p[0]) for p in parts]
-    symbols = np.concatenate([p[1] for p in parts]).astype(np.uint16)
-    kind = np.uint8 if len(parts) < 256 else np.uint16
+    used, symbols = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+    symbols = symbols.astype(np.uint16 if len(used) <= 65536 else np.uint32)
+    kind = np.uint8 if len(parts) <= 256 else np.uint16
     z = np.repeat(np.arange(len(parts), dtype=kind), sizes)
-    marks = np.repeat(np.arange(len(parts), dtype=kind), [int(p[2]) for p in parts])
-    m, n = len(marks), len(z)
-    prefix = np.full(n, depth, np.int64)
-    block = np.zeros(n, np.int64)
-    count = 0
-    for h in range(1, depth + 1):
-        c = np.empty(n, np.uint16)
+    half = [p[2] // 2 for p in parts]
+    marks = np.tile(np.repeat(np.arange(len(parts), dtype=kind), half), 2)  # last marks, then those before them
+    c = np.empty(len(z), symbols.dtype)
+    for _ in range(-(-depth // 2) + 1 if len(parts) > 1 else 0):
         c[np.argsort(z, kind="stable")] = symbols
-        source = np.argsort(c, kind="stable")
-        new = z[source]
-        new[:m] = marks
-        edge = np.empty(n, bool)
-        edge[0] = True
-        s, t = source[:-1], source[1:]
-        edge[1:] = (c[s] != c[t]) | (block[s] != block[t])
-        edge[: min(m + 1, n)] = True  # every end mark differs from every other
-        prefix[edge & (prefix == depth)] = h - 1
-        block = np.cumsum(edge)
-        still = count == block[-1] and (new == z).all()
-        z, count = new, block[-1]
-        if still or count == n:
+        new = z[np.argsort(c, kind="stable")]
+        new[: len(marks)] = marks  # end marks keep the strings' order
+        if (new == z).all():
             break
-    place = np.empty(n, np.int64)
+        z = new
+    place = np.empty(len(z), np.int64)
     place[np.argsort(z, kind="stable")] = np.concatenate([np.arange(k) for k in sizes])
-    return z, place, prefix
+    return z, place
+
+
+def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Whether ``width`` bytes from each of ``a`` and from each of ``b`` are the same."""
+    same = np.ones(len(a), bool)
+    if width < 8:
+        for k in range(width):
+            same &= text[a + k] == text[b + k]
+        return same
+    words = np.zeros(len(text) - 7, np.uint64)
+    for k in range(8):
+        words = (words << np.uint64(8)) | text[k : len(text) - 7 + k]
+    for k in [*range(0, width - 7, 8), width - 8]:
+        same &= words[a + k] == words[b + k]
+    return same
 
 
 def least_by_window(strings: list[bytes], docs: np.ndarray, shard_of: list[int], width: int) -> list[np.ndarray]:
@@ -83,17 +92,21 @@ def least_by_window(strings: list[bytes], docs: np.ndarray, shard_of: list[int],
     if not members:
         return out
     parts = [transform([strings[i] for i in of]) for of in members]
-    z, place, prefix = merge(parts, width)
-    owner, offset = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
-    for k, of in enumerate(members):
-        starts = np.concatenate(([0], np.cumsum([len(strings[i]) + 1 for i in of])))
-        at = z == k
-        sa = parts[k][0][place[at]]
-        j = np.searchsorted(starts, sa, side="right") - 1
-        owner[at], offset[at] = np.array(of)[j], sa - starts[j]
-    # repeated intervals: neighbours that share ``width`` bytes
-    joined = prefix >= width
-    joined[0] = False
+    z, place = merge(parts, width)
+    every = [i for of in members for i in of]
+    text = np.frombuffer(b"\0\0".join(strings[i] for i in every) + b"\0\0", np.uint8)
+    starts = np.concatenate(([0], np.cumsum(np.fromiter((len(strings[i]) + 2 for i in every), np.int64, len(every)))))
+    shift = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
+    places = np.concatenate([p[0] + s for p, s in zip(parts, shift, strict=False)])
+    at = places[shift[z] + place]  # where in the text each suffix begins, in merged order
+    j = np.searchsorted(starts, at, side="right") - 1
+    full = at + width + 1 < starts[j + 1]  # the others are shorter than a window
+    at, j = at[full], j[full]
+    if not len(at):
+        return out
+    owner, offset = np.array(every)[j], at - starts[j]
+    # repeated intervals: neighbours in merged order that share ``width`` bytes
+    joined = np.concatenate(([False], common(text, at[:-1], at[1:], width)))
     head = np.flatnonzero(~joined)
     least = np.minimum.reduceat(np.asarray(docs)[owner], head)
     group = np.cumsum(~joined) - 1

@@ -33,6 +33,8 @@ CHUNK_BYTES, BLOCK, CHUNKS, BUCKETS = 8 << 20, 1 << 20, 1024, 512
 #: Segments of an anchor in one chunk, and in all, from which it counts as hot.
 HOT_HERE, HOT_ALL = 32, 512
 SHARDS = 8
+#: Bytes of strings whose transforms are merged at once, about.
+PART_BYTES = 128 << 10
 ONE, AMBIGUOUS, HOT = 0, 1, 2
 _MARK = np.uint64((1 << 40) - 1)
 
@@ -268,6 +270,18 @@ def _told(table: pa.Table, width: int):
     return one, *(np.concatenate([x[0] for x in got[k]]) if got[k] else np.zeros(0, np.uint64) for k in (AMBIGUOUS, HOT))
 
 
+def _answers(told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What buckets told a chunk in round 2: strings' hashes, numbers of windows, and all windows' least documents."""
+    keys, counts, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for kind, n, b in zip(*(told.column(k).to_pylist() for k in ("kind", "n", "b")), strict=True):
+        if kind == STRINGS:
+            k, m = _get(b, n, [8, 2])
+            keys.append(k)
+            counts.append(m.astype(np.int64))
+            values.append(np.frombuffer(b[10 * n :], np.int64))
+    return np.concatenate(keys), np.concatenate(counts), np.concatenate(values)
+
+
 def _hot_windows(c: Chunk, h: np.ndarray, hot: np.ndarray):
     """Window starts of hot segments, sorted by (hash, document), with heads of equal ones."""
     of = np.flatnonzero(np.isin(h, hot)) if len(hot) else np.zeros(0, np.int64)
@@ -280,10 +294,13 @@ def _hot_windows(c: Chunk, h: np.ndarray, hot: np.ndarray):
 
 
 def _send_strings(width: int, buckets: int):
-    """Round 2, at a chunk: the bytes of ambiguous segments by their anchors, of hot segments' windows by their own hash."""
+    """Round 2, at a chunk: the bytes of ambiguous segments by their anchors, of hot segments' windows by their own hash.
+
+    What round 3 still needs of round 1 goes along, to come back with round 2's answers.
+    """
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        out: dict[int, tuple[list, list, list]] = {}
+        out: dict[int, tuple[list, list, list, list]] = {}
         number = 0
         if docs.num_rows and told.num_rows:
             c = Chunk(docs)
@@ -291,10 +308,11 @@ def _send_strings(width: int, buckets: int):
             _, ambiguous, hot = _told(told, width)
 
             def put(to, key, doc, s):
-                row = out.setdefault(int(to) % buckets, ([], [], []))
+                row = out.setdefault(int(to) % buckets, ([], [], [], []))
                 row[0].append(int(key))
                 row[1].append(int(doc))
                 row[2].append(s)
+                row[3].append(int(to) // buckets % 256)
 
             if len(ambiguous):
                 order, head, h, _, d = c.records(width)
@@ -306,9 +324,12 @@ def _send_strings(width: int, buckets: int):
                 for i in head.tolist():
                     put(x[i] >> np.uint64(16), x[i], doc[i], c.runs.bytes[start[i] : start[i] + WIDTH])
         rows = []
-        for b, (keys, own, strings) in out.items():
-            columns = [(np.array(keys, np.uint64), 8), (np.array(own, np.int64).view(np.uint64), 8), (np.fromiter(map(len, strings), np.uint64, len(strings)), 2)]
+        for b, (keys, own, strings, part) in out.items():
+            columns = [(np.array(keys, np.uint64), 8), (np.array(own, np.int64).view(np.uint64), 8), (np.fromiter(map(len, strings), np.uint64, len(strings)), 2), (np.array(part, np.uint64), 1)]
             rows.append((b, number, len(keys), _put(columns) + _zip(b"".join(strings))))
+        for kind, n, b in zip(*(told.column(k).to_pylist() for k in ("kind", "n", "b")), strict=True):
+            if kind != AMBIGUOUS and docs.num_rows:
+                rows.append((number % buckets, number, -n, bytes([kind]) + b))
         return _table(rows, _SENT)
 
     return run
@@ -322,24 +343,37 @@ def _compare(table: pa.Table) -> pa.Table:
     place: dict[bytes, int] = {}
     least: list[int] = []
     shard: list[int] = []
-    senders = []
+    part: list[int] = []
+    senders, rows = [], []
     for chunk, n, blob in zip(*(table.column(k).to_pylist() for k in ("chunk", "n", "b")), strict=True):
-        keys, docs, lengths = _get(blob, n, [8, 8, 2])
-        text, at = _unzip(blob[18 * n :]), 0
-        for k, d, m in zip(keys.tolist(), docs.view(np.int64).tolist(), lengths.tolist(), strict=True):
+        if n < 0:  # from round 1
+            rows.append((chunk, blob[0], -n, blob[1:]))
+            continue
+        keys, docs, lengths, parts = _get(blob, n, [8, 8, 2, 1])
+        text, at = _unzip(blob[19 * n :]), 0
+        for k, d, m, p in zip(keys.tolist(), docs.view(np.int64).tolist(), lengths.tolist(), parts.tolist(), strict=True):
             s, at = text[at : at + m], at + m
             if (i := place.setdefault(s, len(place))) == len(least):
                 least.append(d)
                 shard.append(chunk % SHARDS)
+                part.append(p)
             elif d < least[i]:
                 least[i] = d
             senders.append((chunk, k, d, i))
-    found = least_by_window(list(place), np.array(least, np.int64), shard, WIDTH)
+    # equal windows have equal anchors, so parts by anchor can be merged apart; small ones stay in the cache
+    strings = list(place)
+    groups = min(256, max(1, sum(map(len, strings)) // PART_BYTES))
+    by_part: list[list[int]] = [[] for _ in range(groups)]
+    for i, p in enumerate(part):
+        by_part[p % groups].append(i)
+    found: list = [None] * len(strings)
+    for of in by_part:
+        for i, v in zip(of, least_by_window([strings[i] for i in of], np.array([least[i] for i in of], np.int64), [shard[i] for i in of], WIDTH), strict=True):
+            found[i] = v
     back: dict[int, list] = {}
     for chunk, k, d, i in senders:
         if (found[i] < d).any():
             back.setdefault(chunk, []).append((k, found[i]))
-    rows = []
     for chunk, x in back.items():
         n = np.array([len(v) for _, v in x], np.uint64)
         blob = _put([(np.array([k for k, _ in x], np.uint64), 8), (n, 2)]) + np.concatenate([v for _, v in x]).tobytes()
@@ -376,26 +410,24 @@ def _remove(width: int):
         known[order] = np.repeat(least, size)
         hit = known < c.docs
         cover(c.runs.start[hit], c.runs.length[hit])
-        answers: dict[int, np.ndarray] = {}
-        for kind, m, b in zip(*(told.column(k).to_pylist() for k in ("kind", "n", "b")), strict=True):
-            if kind == STRINGS:
-                keys, counts = _get(b, m, [8, 2])
-                values = np.frombuffer(b[10 * m :], np.int64)
-                at = np.concatenate(([0], np.cumsum(counts.astype(np.int64))))
-                answers.update((k, values[at[i] : at[i + 1]]) for i, k in enumerate(keys.tolist()))
-        if answers:
-            told_of = np.fromiter(answers, np.uint64, len(answers))
-            for r in np.flatnonzero(np.isin(c.runs.whole, told_of)).tolist():
-                v = answers[int(c.runs.whole[r])]
-                if len(v) == c.runs.length[r]:
-                    w = np.flatnonzero(v < c.docs[r])
-                    cover(c.runs.start[r] + w, 1)
+        keys, counts, values = _answers(told)
+        begin = np.concatenate(([0], np.cumsum(counts)))
+        if len(keys):
+            by = np.argsort(keys)
+            find = lambda x: by[np.minimum(np.searchsorted(keys[by], x), len(by) - 1)]
+            k = find(c.runs.whole)
+            r = np.flatnonzero((keys[k] == c.runs.whole) & (counts[k] == c.runs.length))
+            k, m = k[r], c.runs.length[r]
+            within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            less = values[np.repeat(begin[k], m) + within] < np.repeat(c.docs[r], m)
+            cover((np.repeat(c.runs.start[r], m) + within)[less], 1)
         if len(hot):
             start, x, doc, first = _hot_windows(c, _keys(c.runs, width)[0], hot)
             low = doc[first]
-            for i, k in enumerate(x[first].tolist()):
-                if (v := answers.get(k)) is not None and len(v) == 1:
-                    low[i] = min(low[i], v[0])
+            if len(keys) and len(first):
+                k = find(x[first])
+                same = (keys[k] == x[first]) & (counts[k] == 1)
+                low[same] = np.minimum(low[same], values[begin[k[same]]])
             lows = np.repeat(low, np.diff(np.concatenate((first, [len(x)]))))
             cover(start[lows < doc], 1)
         gone = np.cumsum(change[:n]) > 0
@@ -427,12 +459,10 @@ def remove_repeats(docs: DataFrame, chunks: int | None = None, buckets: int | No
     by_chunk = d.groupBy("chunk")
     sent = by_chunk.applyInArrow(_introduce(width, buckets, hot_here), _DDL[id(_SENT)])
     told = sent.groupBy("bucket").applyInArrow(_sort_out(width, hot_all), _DDL[id(_TOLD)])
-    unclear = told.filter(F.col("kind") != ONE)
     # fewer buckets for strings: they compress better together
-    strings = by_chunk.cogroup(unclear.groupBy("chunk")).applyInArrow(_send_strings(width, max(1, buckets // 4)), _DDL[id(_SENT)])
+    strings = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_send_strings(width, max(1, buckets // 4)), _DDL[id(_SENT)])
     compared = strings.groupBy("bucket").applyInArrow(_compare, _DDL[id(_TOLD)])
-    every = told.filter(F.col("kind") != AMBIGUOUS).unionByName(compared)
-    return by_chunk.cogroup(every.groupBy("chunk")).applyInArrow(_remove(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return by_chunk.cogroup(compared.groupBy("chunk")).applyInArrow(_remove(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op6_substrings(spark, sf_dir: str) -> DataFrame:
