@@ -113,8 +113,8 @@ def content_source(content: DataFrame, wanted: DataFrame) -> DataFrame:
     """(subject, institute): the wanted institute where it has content (subject, institute), else the one with most, the least id on ties."""
     n = content.groupBy("subject", "institute").agg(F.count("*").alias("n"))
     most = n.groupBy("subject").agg(F.max_by("institute", F.struct("n", -F.col("institute"))).alias("_most"))
-    own = n.select("subject", F.col("institute").alias("_own"))
-    x = wanted.join(own, (wanted["subject"] == own["subject"]) & (wanted["institute"] == own["_own"]), "left").drop(own["subject"])
+    own = n.select(F.col("subject").alias("_s"), F.col("institute").alias("_own"))
+    x = wanted.join(own, (F.col("subject") == F.col("_s")) & (F.col("institute") == F.col("_own")), "left").drop("_s")
     return x.join(most, "subject", "left").select("subject", F.coalesce("_own", "_most").alias("source"))
 
 
