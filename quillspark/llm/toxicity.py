@@ -1,15 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled texts: one on ordinary text, and one
-that holds the same ordinary content and the words that toxic text uses far more often. A window of
-text that compresses better with the second holds toxic material. Rows that neither dictionary saw
-calibrate the threshold of a window's gain and the document's score.
+Zstandard trains dictionaries on windows of labelled text, a few on toxic and more on ordinary text, all of
+one size and with the same parameters, each on its own share of a bounded sample. A window's margin is
+the length under the best ordinary dictionary less that under the worst toxic one: what one sample happens
+to know and another doesn't cancels, and only what all toxic text shares and no ordinary text has is left.
+Rows that no dictionary saw calibrate the margin that counts and the document's score.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,123 +20,116 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import arrow_batches, sampled
 
-#: Labelled rows that are learnt from, at most, of each class; the smallest by a hash of the id.
-FIT_ROWS = {1: 2000, 0: 3000}
+#: Labelled rows that are learnt from, at most, of each class (the smallest by a hash of the id), and bytes of such a
+#: text at most: longer ones teach nothing, but are scored whole like all others.
+FIT_ROWS, FIT_TEXT_BYTES = {1: 2000, 0: 3000}, 32_768
 #: Bytes of a window, and what two neighbours share.
-WINDOW, OVERLAP = 64, 16
-ORDINARY_BYTES, TOXIC_BYTES = 4096, 8192
-#: The same for both dictionaries, whatever their sizes.
-PARAMETERS = {"window_log": 17, "hash_log": 15, "chain_log": 15, "search_log": 5, "min_match": 4, "strategy": zstandard.STRATEGY_GREEDY, "target_length": 32}
-#: A toxic word: this many distinct contexts at least, and this many times its rate in ordinary text, beyond
-#: chance: twice the log-likelihood ratio exceeds what the best of all words reaches by luck by this much.
-CONTEXTS, TIMES, MARGIN = 3, 8.0, 10.0
-#: Code points of a toxic beginning at least, and the share of its uses that must agree on a longer one.
-SHORTEST, SHARED = 3, 0.75
+WINDOW, OVERLAP = 56, 14
+#: Dictionaries of toxic and of ordinary text at most, their bytes at most, and texts that one needs at least.
+TOXIC, ORDINARY, DICTIONARY_BYTES, LEAST_TEXTS = 5, 8, 250_000, 40
+#: Segments of a dictionary and the substrings that are counted to choose them, in bytes.
+SEGMENT, SUBSTRING = 24, 6
+#: The same for all dictionaries.
+PARAMETERS = {"window_log": 19, "hash_log": 17, "chain_log": 16, "search_log": 1, "min_match": 5, "target_length": 64, "strategy": zstandard.STRATEGY_BTOPT}
+#: A window whose margin falls below this many bytes isn't compressed further.
+LEAST = 1
 PREDICT = 0.7
-#: Window thresholds tried, in bytes; the one of least log loss on the calibration rows stays.
-THRESHOLDS = (0.0, 1.0, 2.0, 3.0)
+#: Margins tried, in bytes; the one of least log loss on the calibration rows stays.
+THRESHOLDS = (1.0, 2.0, 3.0)
+#: Windows that are compressed together, so that one dictionary at a time is in the cache.
+BLOCK = 16_384
 
-_WORD = re.compile(r"\w+")
 
-
-def windows(text: str | None) -> list[bytes]:
+def windows(text: str | None) -> Iterator[bytes]:
     b = (text or "").lower().encode("utf-8", "replace")
-    return [b[i : i + WINDOW] for i in range(0, max(1, len(b) - OVERLAP), WINDOW - OVERLAP)] if b else []
-
-
-def _contexts(texts: list[str]) -> tuple[Counter, int]:
-    """Distinct (word before, word, word after) by word: copies of a text add nothing."""
-    seen = set()
-    for t in texts:
-        w = ["", *_WORD.findall(t.lower()), ""]
-        seen.update(zip(w, w[1:], w[2:], strict=False))
-    return Counter(x[1] for x in seen), len(seen)
+    for i in range(0, max(1, len(b) - OVERLAP) if b else 0, WINDOW - OVERLAP):
+        yield b[i : i + WINDOW]
 
 
-def ordinary_dictionary(texts: list[str]) -> bytes:
-    """Content of a dictionary trained on ordinary windows; of few windows, their ends."""
-    samples = [x for t in texts for x in windows(t)]
+def dictionary(texts: list[str], size: int) -> bytes:
+    """A dictionary trained on the distinct windows of ``texts``; of too few for that, their bytes."""
+    samples = list(dict.fromkeys(w for t in texts for w in windows(t)))
     try:
-        return zstandard.train_dictionary(8 * ORDINARY_BYTES, samples).as_bytes()[-ORDINARY_BYTES:]
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=SUBSTRING, split_point=1.0).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-ORDINARY_BYTES:]
-
-
-def toxic_words(toxic: list[str], ordinary: list[str]) -> bytes:
-    """Beginnings of words that set toxic text apart, the most telling last.
-
-    A beginning is as short as is surely toxic, then as long as SHARED of its uses agree: endings that
-    ordinary words have too would only match ordinary text.
-    """
-    t, nt = _contexts(toxic)
-    o, no = _contexts(ordinary)
-    starts: dict[str, list] = defaultdict(lambda: [0, 0])
-    for k, words in enumerate((t, o)):
-        for w, n in words.items():
-            w = f" {w} "
-            for m in range(SHORTEST + 1, len(w) + 1):
-                starts[w[:m]][k] += n
-    tried = sum(1 for n, _ in starts.values() if n >= CONTEXTS)
-    following = defaultdict(list)
-    for x in starts:
-        following[x[:-1]].append(x)
-    sure: dict[str, float] = {}
-    for x, (n, other) in sorted(starts.items(), key=lambda y: (len(y[0]), y[0])):
-        e = nt * (other + 0.5) / (no + 1)
-        if n < CONTEXTS or n < TIMES * e or (g := 2 * (n * np.log(n / e) - n + e)) < 2 * np.log(tried + 1) + MARGIN:
-            continue
-        if not any(x[:m] in sure for m in range(SHORTEST + 1, len(x))):
-            sure[x] = g
-    chosen = {}
-    for x, g in sure.items():
-        total = starts[x][0]
-        while longer := [y for y in following[x] if starts[y][0] >= SHARED * total]:
-            x = longer[0]
-        chosen[x] = max(g, chosen.get(x, 0.0))
-    return b"\0".join(x.encode() for x in sorted(chosen, key=lambda x: (chosen[x], x)))[-TOXIC_BYTES:]
+        return b"".join(samples)[:size]
 
 
 class Model:
-    """Dictionary contents, the windows' threshold and the document's calibration."""
+    """The classes' dictionaries, the margin from which a window counts, and the document's calibration."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, threshold: float = 0.0, weights=None):
+    def __init__(self, ordinary: list[bytes], toxic: list[bytes], threshold: float = LEAST, weights=None):
         self.ordinary, self.toxic, self.threshold, self.weights = ordinary, toxic, threshold, weights
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_pair"}
+        return {k: v for k, v in self.__dict__.items() if k != "_ready"}
 
     def _compressors(self):
-        if "_pair" not in self.__dict__:
-            made = []
-            # Both hold the toxic words' parts, and filler stands where the other has whole words: but for
-            # whole toxic words, both give the same matches at the same places.
-            words = self.toxic.split(b"\0")
-            parts = b"\0".join(w[i : i + len(w) // 2 + 1] for w in words for i in range(len(w) - len(w) // 2))
-            for whole in (b"\0" * len(self.toxic), self.toxic):
-                content = parts + b"\0" + whole + b"\0" + self.ordinary
+        if "_ready" not in self.__dict__:
+
+            def ready(content):
                 p = zstandard.ZstdCompressionParameters(**PARAMETERS, write_content_size=False, write_dict_id=False)
-                d = zstandard.ZstdCompressionDict(content.ljust(8, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d = zstandard.ZstdCompressionDict(content.ljust(8, b"\0"))
                 d.precompute_compress(compression_params=p)
-                made.append(zstandard.ZstdCompressor(compression_params=p, dict_data=d))
-            self._pair = made
-        return self._pair
-
-    def gains(self, text: str | None) -> np.ndarray:
-        """Bytes that the toxic dictionary saves on each window."""
-        a, b = self._compressors()
-        w = windows(text)
-        return np.array([len(a.compress(x)) - len(b.compress(x)) for x in w], float)
-
-    def features(self, g: np.ndarray) -> np.ndarray:
-        """Bias; whether any window gains more than the threshold; the largest gain, all gains and gains a window beyond it."""
-        over = np.maximum(g - self.threshold, 0.0)
-        every, top = over.sum(), over.max(initial=0.0)
-        return np.array([1.0, float(top > 0), np.log1p(top), np.log1p(every), np.log1p(100 * every / max(1, len(g)))])
+                return zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress
+
+            self._ready = [ready(x) for x in self.ordinary], [ready(x) for x in self.toxic]
+        return self._ready
+
+    def margins(self, block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows that keep a margin of LEAST under all dictionaries: places, margins and mean gains."""
+        at = np.arange(len(block))
+        low, high = np.full(len(at), 1 << 30), np.zeros(len(at), np.int64)
+        sums = np.zeros((2, len(at)), np.int64)
+        for pair in itertools.zip_longest(*self._compressors()):
+            some = [block[i] for i in at.tolist()]
+            for k, c in enumerate(pair):
+                if c:
+                    n = np.fromiter((len(c(x)) for x in some), np.int64, len(some))
+                    low, high = (np.minimum(low, n), high) if k == 0 else (low, np.maximum(high, n))
+                    sums[k] += n
+            keep = low - high >= LEAST
+            at, low, high, sums = at[keep], low[keep], high[keep], sums[:, keep]
+        return at, (low - high).astype(float), sums[0] / max(1, len(self.ordinary)) - sums[1] / max(1, len(self.toxic))
+
+    def gains(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """By text: margins and mean gains of its telling windows, and how many windows it has."""
+        margin, gain, count = [[] for _ in texts], [[] for _ in texts], [0] * len(texts)
+        block, owner = [], []
+
+        def settle():
+            at, m, g = self.margins(block)
+            for k, x, y in zip(at.tolist(), m.tolist(), g.tolist(), strict=True):
+                margin[owner[k]].append(x)
+                gain[owner[k]].append(y)
+            block.clear()
+            owner.clear()
+
+        for i, t in enumerate(texts):
+            for w in windows(t):
+                count[i] += 1
+                block.append(w)
+                owner.append(i)
+                if len(block) == BLOCK:
+                    settle()
+        settle()
+        return [(np.array(m), np.array(g), n) for m, g, n in zip(margin, gain, count, strict=True)]
+
+    def features(self, g: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+        """Bias; the best and second window by margin and gain; the largest of each; margins beyond the threshold a window; windows. All but the bias are 0 where no window tells."""
+        m, gain, n = g
+        if not len(m):
+            return np.array([1.0, 0, 0, 0, 0, 0, 0])
+        both = np.sort(np.minimum(m, 8) / 2 + np.minimum(gain, 12) / 2)[::-1]
+        return np.array([1.0, both[0], both[1] if len(both) > 1 else 0.0, m.max(), gain.max(), np.maximum(m - self.threshold, 0).sum() / np.sqrt(n), np.log1p(n)])
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        if self.weights is None:
+            return [0.0] * len(texts)
+        return [float(1 / (1 + np.exp(-np.clip(self.features(g) @ self.weights, -30, 30)))) for g in self.gains(texts)]
 
     def score(self, text: str | None) -> float:
-        if self.weights is None:
-            return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self.features(self.gains(text)) @ self.weights, -30, 30))))
+        return self.scores([text])[0]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -153,16 +147,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def fit(rows: list[tuple[str, int]]) -> Model:
     """A model of (text, toxic) rows: two thirds train the dictionaries, the rest calibrates."""
     built, rest = [r for k, r in enumerate(rows) if k % 3], [r for k, r in enumerate(rows) if k % 3 == 0]
-    toxic, ordinary = ([t for t, y in built if y == k] for k in (1, 0))
+    toxic, ordinary = (list(dict.fromkeys(t for t, y in built if y == k)) for k in (1, 0))
     if not toxic or not ordinary or not any(y for _, y in rest) or all(y for _, y in rest):
-        return Model(b"", b"")
-    m = Model(ordinary_dictionary(ordinary), toxic_words(toxic, ordinary))
-    gains = [(m.gains(t), y) for t, y in rest]
-    y = np.array([y for _, y in gains], float)
+        return Model([], [])
+    size_of = lambda texts: sum(len(t.encode("utf-8", "replace")) for t in texts)
+    n = max(1, min(TOXIC, len(toxic) // LEAST_TEXTS))
+    size = max(256, min(DICTIONARY_BYTES, *(size_of(toxic[i::n]) // 2 for i in range(n)), size_of(ordinary) // 2))
+    many = max(1, min(ORDINARY, len(ordinary) // LEAST_TEXTS, size_of(ordinary) // (2 * size)))
+    m = Model([dictionary(ordinary[i::many], size) for i in range(many)], [dictionary(toxic[i::n], size) for i in range(n)])
+    gains = m.gains([t for t, _ in rest])
+    y = np.array([y for _, y in rest], float)
     best = np.inf
     for t in THRESHOLDS:
         m.threshold = t
-        x = np.array([m.features(g) for g, _ in gains])
+        x = np.array([m.features(g) for g in gains])
         w = _logistic(x, y)
         p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
         if (loss := -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()) < best:
@@ -180,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: dict[int, int] | None =
     """A model of labelled learning rows. Without both classes it scores everything 0.
 
     The label rows are chosen first, so no text is shuffled: their ids, of bounded number, are broadcast.
-    A document with several labels takes each of them; labels without a document and null texts are left out.
+    A document with several labels takes each of them; labels without a document, null texts and those of more
+    than FIT_TEXT_BYTES are left out; of repeated rows each counts. Extra columns are ignored.
     """
     fit_rows = fit_rows or FIT_ROWS
     rows = []
@@ -188,20 +187,24 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: dict[int, int] | None =
         mine = labels.filter(learning() & (F.col("toxic") == y)).select("doc_id", F.xxhash64("doc_id").alias("h"))
         ids = sampled(mine, "h", n, mine.count()).distinct().orderBy("h", "doc_id").limit(n).select("doc_id")
         ids = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long")
-        got = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(n)
+        got = docs.filter(F.octet_length("text") <= FIT_TEXT_BYTES).select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(n)
         rows += [(r["text"], y) for r in got.collect()]
     return fit(rows)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score and predicted for every row, from the whole text alone; null and empty texts are scored as texts without windows."""
+    """doc_id, score and predicted for every row, from the whole text alone, however long.
+
+    Null and empty texts are scored as texts without windows; repeated rows get the same score; an empty table
+    gives an empty result; other columns are ignored.
+    """
     arrow_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = told.value
         for b in batches:
-            s = [m.score(t) for t in b.column(1).to_pylist()]
+            s = m.scores(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= PREDICT) for x in s], pa.int32())], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")

@@ -385,21 +385,38 @@ def test_topk_few_rows(spark):
 # --- 10 toxicity
 
 
-def test_toxicity_held_out():
-    r = random.Random(9)
+def toxic_rows(n, seed):
+    r = random.Random(seed)
     bad = ["grubmouth", "slugface", "wormbrain", "dunghead"]
-
-    def text(y):
-        w = filler(r.random(), r.randint(20, 120)).split()
-        for _ in range(r.randint(2, 5) if y else 0):
+    common = [filler(k, 1) for k in range(400)]
+    out = []
+    for i in range(n):
+        w = [r.choice(common) for _ in range(r.randint(20, 120))]
+        for _ in range(r.randint(2, 5) if i % 4 == 0 else 0):
             w.insert(r.randrange(len(w)), r.choice(bad))
-        return " ".join(w)
+        out.append((" ".join(w), int(i % 4 == 0)))
+    return out
+
 
-    rows = [(text(y), y) for y in (i % 4 == 0 for i in range(600))]
-    m = toxicity.fit([(t, int(y)) for t, y in rows[:450]])
-    got = [(m.score(t) >= toxicity.PREDICT, y) for t, y in rows[450:]]
+def test_toxicity_held_out():
+    m = toxicity.fit(toxic_rows(900, 9))
+    held = toxic_rows(200, 10)
+    got = [(p >= toxicity.PREDICT, y) for (_, y), p in zip(held, m.scores([t for t, _ in held]))]
     assert sum(p == y for p, y in got) / len(got) > 0.95
     assert m.score("") == m.score(None) < 0.3
+    # both classes' dictionaries are trained the same way, and are of one size
+    assert len(m.ordinary) == len(m.toxic) > 1 and len({len(d) for d in m.ordinary + m.toxic}) == 1
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Of the labelled rows that the model never saw: recall and precision."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.train(d, labels)
+    held = d.join(labels.filter("toxic IS NOT NULL"), "doc_id").filter(~toxicity.learning()).select("doc_id", "text", "toxic").collect()
+    p = m.scores([r["text"] for r in held])
+    caught = [x >= toxicity.PREDICT for x, r in zip(p, held) if r["toxic"]]
+    wrong = [x >= toxicity.PREDICT for x, r in zip(p, held) if not r["toxic"]]
+    assert sum(caught) / len(caught) > 0.35 and sum(wrong) / len(wrong) < 0.03
 
 
 def test_toxicity_odd_rows(spark):
@@ -408,6 +425,12 @@ def test_toxicity_odd_rows(spark):
     m = toxicity.train(d, labels)
     assert toxicity.score(d, m).count() == len(ODD) and all(0 <= x["score"] <= 1 for x in toxicity.score(d, m).collect())
     assert toxicity.train(d, labels.filter("false")).score("text") == 0.0
+    assert toxicity.score(d.filter("false"), m).count() == 0
+    twice = toxicity.score(d, m).filter("doc_id = 4").collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+    # a text is scored whole: what stands at its end counts like what stands at its start
+    fitted = toxicity.fit(toxic_rows(900, 9))
+    assert fitted.score("x " * 60_000 + "slugface wormbrain dunghead") > fitted.score("x " * 60_000)
 
 
 # --- the queries and the pipeline
