@@ -40,12 +40,14 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
     return order, pairs[order], 2 * m
 
 
-def merge(parts: list[tuple[np.ndarray, np.ndarray, int]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard of each suffix in merged order by ``depth`` symbols or more, its place within the shard).
+def merge(parts: list[tuple[np.ndarray, np.ndarray, int]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard of each suffix in merged order by ``depth`` symbols, its place within the shard, the number of its interval).
 
-    No suffix is sorted again. A round takes the interleave by h symbols to that by h + 2: the pairs of symbols
-    before the suffixes, stably sorted, say where each suffix that is two longer goes. A round that changes
-    nothing is the last.
+    No suffix is sorted again, and no text is looked at. A round takes the interleave by h symbols to that by h + 2:
+    the pairs of symbols before the suffixes, stably sorted, say where each suffix that is two longer goes. Suffixes
+    part in the round in which their pairs differ or what follows them has parted, so an interval after ``depth``
+    symbols (an even number) is a set of suffixes with a common prefix of that length. A round that changes nothing
+    is the last.
     """
     sizes = [len(p[0]) for p in parts]
     used, symbols = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
@@ -55,35 +57,26 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray, int]], depth: int) -> tuple[
     half = [p[2] // 2 for p in parts]
     marks = np.tile(np.repeat(np.arange(len(parts), dtype=kind), half), 2)  # last marks, then those before them
     c = np.empty(len(z), symbols.dtype)
-    for _ in range(-(-depth // 2) + 1 if len(parts) > 1 else 0):
+    interval, edge = np.zeros(len(z), np.int32), np.ones(len(z), bool)
+    for _ in range(depth // 2):
         c[np.argsort(z, kind="stable")] = symbols
-        new = z[np.argsort(c, kind="stable")]
-        new[: len(marks)] = marks  # end marks keep the strings' order
-        if (new == z).all():
+        order = np.argsort(c, kind="stable")
+        new, pair, follows = z[order], c[order], interval[order]
+        new[: len(marks)] = marks  # end marks keep the strings' order, and share nothing
+        edge[1:] = (pair[1:] != pair[:-1]) | (follows[1:] != follows[:-1])
+        edge[: len(marks)] = True
+        parted = np.cumsum(edge, dtype=np.int32)
+        done = parted[-1] == interval[-1] and (new == z).all()
+        z, interval = new, parted
+        if done:
             break
-        z = new
     place = np.empty(len(z), np.int64)
     place[np.argsort(z, kind="stable")] = np.concatenate([np.arange(k) for k in sizes])
-    return z, place
-
-
-def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-    """Whether ``width`` bytes from each of ``a`` and from each of ``b`` are the same."""
-    same = np.ones(len(a), bool)
-    if width < 8:
-        for k in range(width):
-            same &= text[a + k] == text[b + k]
-        return same
-    words = np.zeros(len(text) - 7, np.uint64)
-    for k in range(8):
-        words = (words << np.uint64(8)) | text[k : len(text) - 7 + k]
-    for k in [*range(0, width - 7, 8), width - 8]:
-        same &= words[a + k] == words[b + k]
-    return same
+    return z, place, interval
 
 
 def least_by_window(strings: list[bytes], docs: np.ndarray, shard_of: list[int], width: int) -> list[np.ndarray]:
-    """For each string and each of its windows of ``width`` bytes, the least of ``docs`` over the strings that hold the window."""
+    """For each string and each of its windows of ``width`` bytes (an even number), the least of ``docs`` over the strings that hold the window."""
     out = [np.full(max(0, len(s) - width + 1), d, np.int64) for s, d in zip(strings, docs, strict=True)]
     shards: dict[int, list[int]] = {}
     for i, k in enumerate(shard_of):
@@ -92,24 +85,23 @@ def least_by_window(strings: list[bytes], docs: np.ndarray, shard_of: list[int],
     if not members:
         return out
     parts = [transform([strings[i] for i in of]) for of in members]
-    z, place = merge(parts, width)
+    z, place, interval = merge(parts, width)
     every = [i for of in members for i in of]
-    text = np.frombuffer(b"\0\0".join(strings[i] for i in every) + b"\0\0", np.uint8)
     starts = np.concatenate(([0], np.cumsum(np.fromiter((len(strings[i]) + 2 for i in every), np.int64, len(every)))))
     shift = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
     places = np.concatenate([p[0] + s for p, s in zip(parts, shift, strict=False)])
     at = places[shift[z] + place]  # where in the text each suffix begins, in merged order
     j = np.searchsorted(starts, at, side="right") - 1
     full = at + width + 1 < starts[j + 1]  # the others are shorter than a window
-    at, j = at[full], j[full]
+    at, j, interval = at[full], j[full], interval[full]
     if not len(at):
         return out
     owner, offset = np.array(every)[j], at - starts[j]
-    # repeated intervals: neighbours in merged order that share ``width`` bytes
-    joined = np.concatenate(([False], common(text, at[:-1], at[1:], width)))
-    head = np.flatnonzero(~joined)
+    # repeated intervals: suffixes that have not parted after ``width`` symbols
+    fresh = np.concatenate(([True], interval[1:] != interval[:-1]))
+    head = np.flatnonzero(fresh)
     least = np.minimum.reduceat(np.asarray(docs)[owner], head)
-    group = np.cumsum(~joined) - 1
+    group = np.cumsum(fresh) - 1
     repeated = np.flatnonzero(np.bincount(group, minlength=len(head))[group] > 1)
     for i, o, d in zip(owner[repeated].tolist(), offset[repeated].tolist(), least[group[repeated]].tolist(), strict=True):
         if d < out[i][o]:

@@ -11,7 +11,10 @@ have equal anchors. Consecutive windows with one anchor form a segment. Anchors
    instead, shared out by their own hash, so that no bucket holds a hot anchor's contexts.
 
 Chunks (documents by hash) combine copies before anything is sent and compute their anchors anew in each
-round; the documents' bytes are shuffled once. All answers are exact but for 80-bit hash collisions.
+round; the documents' bytes are shuffled once. Within a chunk copies of a segment are told by 64-bit hashes and
+confirmed byte by byte; an anchor for which the bytes contradict counts as hot. Between chunks, segments of one
+anchor are told by 56 bits, so a wrong answer takes two different ones among the at most HOT_ALL of an anchor
+that agree in them: with 1e13 such pairs, about 1e-4 are expected. Merged strings are compared by their bytes.
 """
 
 from __future__ import annotations
@@ -36,7 +39,11 @@ SHARDS = 8
 #: Bytes of strings whose transforms are merged at once, about.
 PART_BYTES = 128 << 10
 ONE, AMBIGUOUS, HOT = 0, 1, 2
-_MARK = np.uint64((1 << 40) - 1)
+#: Bytes of a segment's hash that are sent; all ones mark a hot anchor.
+SENT = 7
+_MARK = np.uint64((1 << 8 * SENT) - 1)
+#: Bits of a segment's hash that tell copies within a chunk, before their bytes are compared.
+TOLD_BY = np.uint64(2**64 - 1)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -112,6 +119,17 @@ class Runs:
         s = int(self.start[i])
         return self.bytes[s : s + int(self.length[i]) + WIDTH - 1]
 
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether segments ``a`` and ``b`` (places, one by one) hold the same bytes."""
+        data, top = np.frombuffer(self.bytes, np.uint8), np.arange(WIDTH + _SPAN - 1)
+        out = self.length[a] == self.length[b]
+        for i in range(0, len(a), 1 << 15):
+            x, y = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
+            at = np.minimum(top, (self.length[x] + WIDTH - 2)[:, None])  # beyond its end, the last byte again
+            last = len(data) - 1
+            out[i : i + (1 << 15)] &= (data[self.start[x][:, None] + at] == data[np.minimum(self.start[y][:, None] + at, last)]).all(1)
+        return out
+
     def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the windows of segments ``of``, and hashes of their bytes."""
         n = self.length[of]
@@ -129,8 +147,8 @@ class Runs:
 
 
 def _keys(runs: Runs, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """What is sent of each segment's anchor (``width`` bytes) and whole hash (5 bytes)."""
-    return runs.anchor >> np.uint64(64 - 8 * width), np.minimum(runs.whole >> np.uint64(24), _MARK - np.uint64(1))
+    """What is sent of each segment's anchor (``width`` bytes) and whole hash (SENT bytes)."""
+    return runs.anchor >> np.uint64(64 - 8 * width), np.minimum(runs.whole >> np.uint64(64 - 8 * SENT), _MARK - np.uint64(1))
 
 
 def _pack(x: np.ndarray, width: int) -> bytes:
@@ -189,16 +207,26 @@ class Chunk:
         self.docs = self.ids[self.runs.doc] if len(self.ids) else np.zeros(0, np.int64)
 
     def records(self, width: int):
-        """Order of the segments by (anchor, whole), heads of equal ones, and the heads' anchor, whole and least document."""
+        """Order of the segments by (anchor, whole), heads of the same ones, the heads' anchor, whole and least document, and anchors whose hashes lied."""
         h, s = _keys(self.runs, width)
-        order = np.lexsort((self.docs, s, h))
+        whole = self.runs.whole & TOLD_BY
+        order = np.lexsort((self.docs, whole, self.runs.anchor))
+        a, w = self.runs.anchor[order], whole[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1]))) if len(h) else np.zeros(0, bool)
+        copy = np.flatnonzero(~new)
+        first = np.flatnonzero(new)[np.cumsum(new)[copy] - 1]
+        wrong = copy[~self.runs.same(order[copy], order[first])]
+        for x in (wrong, wrong + 1):  # each of these stands alone
+            new[x[x < len(new)]] = True
+        head = np.flatnonzero(new)
         h, s = h[order], s[order]
-        head = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])))) if len(h) else np.zeros(0, np.int64)
-        return order, head, h[head], s[head], self.docs[order][head]
+        return order, head, h[head], s[head], self.docs[order][head], np.unique(h[wrong])
 
 
 def _sent(rows: list[np.ndarray], widths: list[int], buckets: int, by: np.ndarray, chunk: int) -> list[tuple]:
+    """Rows by bucket; of the first column, the anchor, what the bucket's number tells isn't sent."""
     to = (by % np.uint64(buckets)).astype(np.int64)
+    rows = [by // np.uint64(buckets), *rows]
     order = np.argsort(to, kind="stable")
     to = to[order]
     head = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else []
@@ -212,26 +240,32 @@ def _introduce(width: int, buckets: int, hot_here: int):
 
     def run(table: pa.Table) -> pa.Table:
         c = Chunk(table)
-        _, _, h, s, d = c.records(width)
+        _, _, h, s, d, wrong = c.records(width)
         if len(h):
             first = np.concatenate(([True], h[1:] != h[:-1]))
             group = np.cumsum(first) - 1
-            hot = np.bincount(group)[group] > hot_here
+            hot = (np.bincount(group)[group] > hot_here) | np.isin(h, wrong)
             keep = ~hot | first
             s = np.where(hot, _MARK, s)[keep]
             h, d = h[keep], d[keep]
-        return _table(_sent([h, s, d.view(np.uint64)], [width, 5, 8], buckets, h, c.number), _SENT)
+        return _table(_sent([s, d.view(np.uint64)], [_less(width, buckets), SENT, 8], buckets, h, c.number), _SENT)
 
     return run
 
 
-def _sort_out(width: int, hot_all: int):
+def _less(width: int, buckets: int) -> int:
+    """Bytes of an anchor's quotient by the number of buckets."""
+    return (8 * width - buckets.bit_length() + 1 + 7) // 8
+
+
+def _sort_out(width: int, buckets: int, hot_all: int):
     """Round 1, at a bucket: the least document of an anchor's only segment, or that the anchor is ambiguous or hot."""
 
     def run(table: pa.Table) -> pa.Table:
         chunks, ns, blobs = (table.column(k).to_pylist() for k in ("chunk", "n", "b"))
-        got = [_get(b, n, [width, 5, 8]) for n, b in zip(ns, blobs, strict=True)]
+        got = [_get(b, n, [_less(width, buckets), SENT, 8]) for n, b in zip(ns, blobs, strict=True)]
         h, s, d = (np.concatenate(x) for x in zip(*got, strict=True))
+        h = h * np.uint64(buckets) + np.uint64(table.column("bucket")[0].as_py())
         d, chunk = d.view(np.int64), np.repeat(chunks, ns)
         order = np.lexsort((d, s, h))
         h, s, d, chunk = h[order], s[order], d[order], chunk[order]
@@ -253,7 +287,7 @@ def _sort_out(width: int, hot_all: int):
                     x = x[np.concatenate(([True], h[x][1:] != h[x][:-1]))]  # an anchor once
                     blob = _put([(h[x], width)])
                 else:
-                    blob = _put([(h[x], width), (s[x], 5), (least[x].view(np.uint64), 8)])
+                    blob = _put([(h[x], width), (s[x], SENT), (least[x].view(np.uint64), 8)])
                 rows.append((int(chunk[at[a]]), kind, len(x), blob))
         return _table(rows, _TOLD)
 
@@ -265,7 +299,7 @@ def _told(table: pa.Table, width: int):
     got = {ONE: [], AMBIGUOUS: [], HOT: []}
     for kind, n, b in zip(*(table.column(k).to_pylist() for k in ("kind", "n", "b")), strict=True):
         if kind in got:
-            got[kind].append(_get(b, n, [width, 5, 8] if kind == ONE else [width]))
+            got[kind].append(_get(b, n, [width, SENT, 8] if kind == ONE else [width]))
     one = [np.concatenate(x) for x in zip(*got[ONE], strict=True)] if got[ONE] else [np.zeros(0, np.uint64)] * 3
     return one, *(np.concatenate([x[0] for x in got[k]]) if got[k] else np.zeros(0, np.uint64) for k in (AMBIGUOUS, HOT))
 
@@ -315,7 +349,7 @@ def _send_strings(width: int, buckets: int):
                 row[3].append(int(to) // buckets % 256)
 
             if len(ambiguous):
-                order, head, h, _, d = c.records(width)
+                order, head, h, _, d, _ = c.records(width)
                 for i in np.flatnonzero(np.isin(h, ambiguous)).tolist():
                     r = order[head[i]]
                     put(h[i], c.runs.whole[r], d[i], c.runs.string(r))
@@ -395,7 +429,7 @@ def _remove(width: int):
             np.add.at(change, start, 1)
             np.add.at(change, start + windows + WIDTH - 1, -1)
 
-        order, head, h, s, d = c.records(width)
+        order, head, h, s, d, _ = c.records(width)
         size = np.diff(np.concatenate((head, [len(order)]))) if len(head) else head
         (oh, os, od), _, hot = _told(told, width)
         least = d.copy()
@@ -404,7 +438,7 @@ def _remove(width: int):
             mine, theirs = (_mixed(a * np.uint64(0x9E3779B97F4A7C15) ^ _mixed(b)) for a, b in ((h, s), (oh, os)))
             by = np.argsort(theirs)
             at = np.minimum(np.searchsorted(theirs[by], mine), len(by) - 1)
-            same = theirs[by][at] == mine
+            same = (oh[by][at] == h) & (os[by][at] == s)
             least[same] = np.minimum(least[same], od[by][at][same].view(np.int64))
         known = np.empty(len(order), np.int64)
         known[order] = np.repeat(least, size)
@@ -458,7 +492,7 @@ def remove_repeats(docs: DataFrame, chunks: int | None = None, buckets: int | No
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     by_chunk = d.groupBy("chunk")
     sent = by_chunk.applyInArrow(_introduce(width, buckets, hot_here), _DDL[id(_SENT)])
-    told = sent.groupBy("bucket").applyInArrow(_sort_out(width, hot_all), _DDL[id(_TOLD)])
+    told = sent.groupBy("bucket").applyInArrow(_sort_out(width, buckets, hot_all), _DDL[id(_TOLD)])
     # fewer buckets for strings: they compress better together
     strings = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_send_strings(width, max(1, buckets // 4)), _DDL[id(_SENT)])
     compared = strings.groupBy("bucket").applyInArrow(_compare, _DDL[id(_TOLD)])
