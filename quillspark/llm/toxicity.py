@@ -30,9 +30,12 @@ TOXIC, ORDINARY, DICTIONARY_BYTES, LEAST_TEXTS = 5, 8, 250_000, 40
 #: Segments of a dictionary and the substrings that are counted to choose them, in bytes.
 SEGMENT, SUBSTRING = 24, 6
 #: The same for all dictionaries.
-PARAMETERS = {"window_log": 19, "hash_log": 17, "chain_log": 16, "search_log": 1, "min_match": 5, "target_length": 64, "strategy": zstandard.STRATEGY_BTOPT}
+PARAMETERS = {"window_log": 19, "hash_log": 17, "chain_log": 16, "search_log": 1, "min_match": 5, "target_length": 16, "strategy": zstandard.STRATEGY_BTOPT}
 #: A window whose margin falls below this many bytes isn't compressed further.
 LEAST = 1
+#: The first pair is also asked with a quick strategy; a window that the toxic dictionary doesn't make shorter by this
+#: many bytes isn't compressed with the thorough one at all.
+QUICK, GATE = zstandard.STRATEGY_GREEDY, 0
 PREDICT = 0.7
 #: Margins tried, in bytes; the one of least log loss on the calibration rows stays.
 THRESHOLDS = (1.0, 2.0, 3.0)
@@ -67,21 +70,22 @@ class Model:
     def _compressors(self):
         if "_ready" not in self.__dict__:
 
-            def ready(content):
-                p = zstandard.ZstdCompressionParameters(**PARAMETERS, write_content_size=False, write_dict_id=False)
+            def ready(content, **other):
+                p = zstandard.ZstdCompressionParameters(**PARAMETERS | other, write_content_size=False, write_dict_id=False)
                 d = zstandard.ZstdCompressionDict(content.ljust(8, b"\0"))
                 d.precompute_compress(compression_params=p)
                 return zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress
 
-            self._ready = [ready(x) for x in self.ordinary], [ready(x) for x in self.toxic]
+            self._ready = [ready(x) for x in self.ordinary], [ready(x) for x in self.toxic], [ready(x[0], strategy=QUICK) for x in (self.ordinary, self.toxic)]
         return self._ready
 
     def margins(self, block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the windows that keep a margin of LEAST under all dictionaries: places, margins and mean gains."""
-        at = np.arange(len(block))
+        ordinary, toxic, (quick, other) = self._compressors()
+        at = np.array([i for i, x in enumerate(block) if len(quick(x)) - len(other(x)) >= GATE], np.int64)
         low, high = np.full(len(at), 1 << 30), np.zeros(len(at), np.int64)
         sums = np.zeros((2, len(at)), np.int64)
-        for pair in itertools.zip_longest(*self._compressors()):
+        for pair in itertools.zip_longest(ordinary, toxic):
             some = [block[i] for i in at.tolist()]
             for k, c in enumerate(pair):
                 if c:
