@@ -12,15 +12,15 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_batches, sampled
+from quillspark.llm.common import arrow_batches
 
 DIM = 1 << 14
-#: Learning rows that the weights are fitted on, at most; the smallest by a hash of id and text.
-FIT_ROWS = 3000
-#: Languages that a model may have.
-MAX_LANGS = 500
+#: Learning rows that the weights are fitted on, about: each language's smallest by a hash of id and text, as many of
+#: each as its share of the bound, and LEAST_ROWS at least. A rare language is so learnt like any other.
+FIT_ROWS, LEAST_ROWS = 3000, 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
 
@@ -121,12 +121,15 @@ def learning(docs: DataFrame):
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """A model of the learning rows' text and lang. Without any, it has no languages and predicts und."""
+    """A model of the learning rows' text and lang, of all languages that occur. Without any, it predicts und.
+
+    Null texts and languages teach nothing; repeated rows count as often as they occur; other columns are ignored. On
+    the driver it holds DIM x languages x 16 bytes while it is fitted, and at most FIT_ROWS + LEAST_ROWS x languages rows.
+    """
     arrow_batches(docs.sparkSession)
     rows = docs.filter(learning(docs) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS + 1).collect()]
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    langs = sorted(size)
     found = rows.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(DIM + 1, np.int64)
     for r in found:
@@ -136,14 +139,19 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     def packed(batches):
         for b in batches:
             got = [counts(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([i.astype(np.int32).tobytes() for i, _ in got], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in got], pa.binary()), b.column(1)], ["i", "n", "lang"])
-
-    # a share of all rows that holds enough of the smallest: what one task must order is bounded
-    some = sampled(rows.withColumn("h", F.xxhash64("doc_id", "text")), "h", fit_rows, int(df[DIM]))
-    sample = some.orderBy("h", "lang").limit(fit_rows).select("text", "lang")
+            yield pa.RecordBatch.from_arrays([pa.array([i.astype(np.int32).tobytes() for i, _ in got], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in got], pa.binary()), b.column(1), b.column(2)], ["i", "n", "lang", "h"])
+
+    quota = {x: max(LEAST_ROWS, round(fit_rows * n / sum(size.values()))) for x, n in size.items()}
+    # of each language a share of its rows that holds enough of the smallest: what a task must order is bounded
+    below = {x: min(2**63 - 1, int((min(1.0, 4 * quota[x] / n) * 2 - 1) * 2**63)) for x, n in size.items()}
+    told = docs.sparkSession.createDataFrame([(x, quota[x], below[x]) for x in langs], "lang string, quota long, below long")
+    some = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(told, "lang").filter(F.col("h") <= F.col("below"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    sample = some.withColumn("rank", rank).filter(F.col("rank") <= F.col("quota")).select("text", "lang", "h")
     place = {x: k for k, x in enumerate(langs)}
     data = []
-    for r in sample.mapInArrow(packed, "i binary, n binary, lang string").collect():
+    got = sample.mapInArrow(packed, "i binary, n binary, lang string, h long").collect() if langs else []
+    for r in sorted(got, key=lambda r: (r["h"], r["lang"])):
         i = np.frombuffer(r["i"], np.int32)
         data.append((i, features(i, np.frombuffer(r["n"], np.int32), idf), place[r["lang"]]))
     if not data:
@@ -158,7 +166,8 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of every row with lang_pred and score, from the whole text alone.
 
-    A null text, or one without letters, is und with score 0.
+    A null text, or one without letters, is und with score 0. Repeated rows get the same prediction; an empty table
+    gives an empty result; columns beside ``keep`` are ignored; texts of any length count whole.
     """
     arrow_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)
@@ -175,7 +184,10 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 
 def known(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose language the model tells with a score of ``least`` or more; und goes."""
+    """The rows of ``docs`` whose language the model tells with a score of ``least`` or more; und goes.
+
+    Null texts go; repeated rows all stay or all go; an empty table stays empty; columns of any name pass through.
+    """
     arrow_batches(docs.sparkSession)
     told, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
