@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_batches, map_rows
+from quillspark.llm.common import apart, arrow_batches, cut, dropped, map_rows, stored
 
 WINDOW = 13
 #: Words whose suffix block picks shift and bucket.
@@ -24,7 +24,9 @@ BLOCK = 3
 #: Bytes of benchmark text searched for in one pass; a larger benchmark takes several passes.
 PASS_BYTES = 8_000_000
 
-_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+_PATTERN = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+_WORD = re.compile(_PATTERN)
+_JAVA = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
@@ -123,47 +125,69 @@ class _Told:
         return self.held.value
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[list[tuple]]:
-    """The benchmark's (item_id as string, text) in parts of about ``limit`` bytes of text."""
-    b = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).filter(F.col("t").isNotNull())
+def _parts(benchmark: DataFrame, limit: int, window: int = WINDOW) -> tuple[DataFrame, int]:
+    """The benchmark's items (i, t, part) in parts of about ``limit`` bytes of text, and how many parts there are.
+
+    A long item is cut into pieces that overlap by all but one word of a window, so that it has the same windows and
+    no part is larger than the limit by much. Only one part at a time ever comes to the driver.
+    """
+    b = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t")).filter(F.col("t").isNotNull())
+    step = max(1, limit // 16)
+    w = F.regexp_extract_all(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(_JAVA), F.lit(0))
+    b = b.select("i", w.alias("w")).filter(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(step))
+    b = b.select("i", F.explode(F.transform(starts, lambda s: F.array_join(F.slice("w", s + 1, F.lit(step + window - 1)), " "))).alias("t"))
     total = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-total // limit)
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(max(n, 1)))
-    return [[(r["i"], r["t"]) for r in b.filter(part == k).collect()] for k in range(n)]
+    n = max(1, -(-total // limit))
+    b = b.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+    return (stored(b, "part") if n > 1 else b), n
+
+
+def _told(spark, parts: DataFrame, k: int) -> _Told:
+    return _Told(spark, [(r["i"], r["t"]) for r in parts.filter(F.col("part") == k).select("i", "t").collect()])
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("h", pa.string()), ("n_words", pa.int64()), ("hits", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, hits (word intervals [start, end), disjoint), items (distinct ids as strings).
+    """Per row of ``docs``: doc_id, h (md5 of the text; null where one pass is enough), n_words, hits (word intervals [start, end); of one pass disjoint), items (distinct ids as strings).
 
-    Null texts have no words; a null item id counts as an item with an empty name; repeated rows give
-    repeated results; extra columns are ignored. Without benchmark words nothing is hit.
+    Null texts have no words; a null item id counts as an item with an empty name, and items that share an id are
+    one; repeated rows give repeated results; extra columns are ignored. Without benchmark words nothing is hit; an
+    empty table gives an empty result. Texts are searched whole, however long.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     d = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    passes = _blocks(benchmark, pass_bytes) or [[]]
-    out = None
-    for items in passes:
-        told = _Told(spark, items)
-        many = len(passes) > 1
+    parts, n = _parts(benchmark, pass_bytes)
 
-        def rows(cols, told=told, many=many):
+    def searched(told, many):
+        def rows(cols):
             match = _matcher(told)
             for i, t in zip(cols["doc_id"], cols["text"], strict=True):
                 w = words(t)
                 hits, found = match.search(w)
-                yield i, hashlib.md5((t or "").encode()).hexdigest() if many else None, len(w), [list(x) for x in union(hits)], sorted(x or "" for x in found)
-
-        part = map_rows(d, _SCHEMA, rows)
-        out = part if out is None else out.unionByName(part)
-    if len(passes) == 1:
-        return out.drop("h")
-    # a row comes once from each pass; equal rows have equal results
-    one = out.groupBy("doc_id", "h", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("c"))
-    return one.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("c") / len(passes)).cast("int")))).select("doc_id", "h", "n_words", "hits", "items")
+                yield i, hashlib.md5((t or "").encode()).hexdigest() if many else None, len(w), [list(x) for x in union(hits)], sorted(found)
+
+        return map_rows(d, _SCHEMA, rows)
+
+    if n == 1:
+        return searched(_told(spark, parts, 0), False)
+    hit = None
+    for k in range(n):  # each pass is written before the next begins, and its tables are let go
+        told = _told(spark, parts, k)
+        rows = cut(searched(told, True)) if k == 0 else cut(searched(told, True).filter(F.size("hits") > 0))
+        told.held.unpersist()
+        if k == 0:
+            every = rows.select("doc_id", "h", "n_words")
+        some = rows.filter(F.size("hits") > 0).select("doc_id", "h", "hits", "items")
+        hit = some if hit is None else hit.unionByName(some)
+    dropped(parts)
+    one = hit.groupBy("doc_id", "h").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    e, o = every.alias("e"), one.alias("o")
+    none = lambda c: F.coalesce(F.col(f"o.{c}"), F.array().cast(dict(one.dtypes)[c])).alias(c)
+    return e.join(o, F.col("e.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("e.h") == F.col("o.h")), "left").select("e.doc_id", "e.h", "n_words", none("hits"), none("items"))
 
 
 def hit_words(hits):
@@ -185,15 +209,20 @@ def judge(found: DataFrame, *more: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, as they are."""
+    """The rows of ``docs`` that aren't contaminated, as they are; columns of any name pass through.
+
+    Null texts are clean; of repeated rows all stay or all go; an empty table stays empty.
+    """
     spark = docs.sparkSession
-    passes = _blocks(benchmark, pass_bytes) or [[]]
-    if len(passes) > 1:
-        key = lambda: F.md5(F.coalesce(F.col("text"), F.lit("")))
-        bad = judge(find(docs, benchmark, pass_bytes), "h").filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (key() == F.col("_h")), "left_anti")
+    parts, n = _parts(benchmark, pass_bytes)
+    if n > 1:
+        of, key = apart("id"), apart("h")
+        bad = judge(find(docs, benchmark, pass_bytes), "h").filter("contaminated").select(F.col("doc_id").alias(of), F.col("h").alias(key)).distinct()
+        dropped(parts)
+        own = F.md5(F.coalesce(F.col("text"), F.lit("")))
+        return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (own == F.col(key)), "left_anti")
     arrow_batches(spark)
-    told, at = _Told(spark, passes[0]), docs.columns.index("text")
+    told, at = _told(spark, parts, 0), docs.columns.index("text")
 
     def run(batches):
         match = _matcher(told)
