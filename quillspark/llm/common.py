@@ -9,13 +9,22 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows an Arrow batch carries to a Python worker; long texts make larger batches costly.
-BATCH_ROWS = 512
+#: Rows and bytes that an Arrow batch carries to a Python worker, at most (a single row may be longer).
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds, so that a worker's memory doesn't grow with the input."""
+    """Bound what one Arrow batch holds, in rows and in bytes, so that a worker's memory doesn't grow with the input.
+
+    The session keeps both settings: plans read them when they run, after the operator has returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def apart(name: str) -> str:
+    """A column name that no table has."""
+    return f"{name}_{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,13 +48,28 @@ def sampled(df: DataFrame, h: str, rows: int, of: int) -> DataFrame:
     return df if share >= 1 else df.filter(F.col(h) < int((2 * share - 1) * 2**63))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below the checkpoint folder, and read again."""
-    spark = df.sparkSession
-    cut(spark.range(1))  # makes sure of a folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+def folder(spark: SparkSession) -> str:
+    """A new path below the checkpoint folder."""
+    cut(spark.range(1))  # makes sure of a checkpoint folder
+    return f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written as Parquet below the checkpoint folder, and read again; ``by``: columns that become folders."""
+    path = folder(df.sparkSession)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a ``stored`` table that nothing reads any more."""
+    jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for f in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        while "stored-" in path.getParent().toString():
+            path = path.getParent()
+        path.getFileSystem(hadoop).delete(path, True)
+        return
 
 
 def map_rows(df: DataFrame, schema: pa.Schema, rows: Callable[[dict], Iterator[tuple]]) -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_batches, cut, map_rows, sampled
+from quillspark.llm.common import apart, arrow_batches, cut, map_rows, sampled
 from quillspark.llm.components import roots
 
 WORDS = 3
@@ -91,10 +91,10 @@ def shards(tree, x: np.ndarray, at: np.ndarray):
             yield from shards(side, x, part)
 
 
-def links(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Position pairs of distinct fingerprints at most RADIUS apart, each at least once."""
+def links(x: np.ndarray, most: int = 1 << 20):
+    """Position pairs of distinct fingerprints at most RADIUS apart, each at least once, in parts of about ``most``."""
     rng = np.random.default_rng(SEED)
-    left, right, todo = [], [], [np.arange(len(x))]
+    left, right, held, todo = [], [], 0, [np.arange(len(x))]
     while todo:
         at = todo.pop()
         if len(at) > DIRECT and (cut_ := _split(x[at], rng)):
@@ -102,16 +102,21 @@ def links(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         y = x[at]
         for i in range(0, len(y), 256):
-            r, c = np.nonzero(np.bitwise_count(y[i : i + 256, None] ^ y[None, i:]) <= RADIUS)
-            keep = c > r
-            left.append(at[i + r[keep]])
-            right.append(at[i + c[keep]])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
-
-
-def classes(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest position in each position's class."""
-    f = np.arange(n)
+            for j in range(i, len(y), 1 << 14):
+                r, c = np.nonzero(np.bitwise_count(y[i : i + 256, None] ^ y[None, j : j + (1 << 14)]) <= RADIUS)
+                keep = c + j > r + i
+                left.append(at[i + r[keep]])
+                right.append(at[j + c[keep]])
+                held += int(keep.sum())
+                if held > most:
+                    yield np.concatenate(left), np.concatenate(right)
+                    left, right, held = [], [], 0
+    if left:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def classes(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest position in each position's class, after the classes ``f`` are joined by pairs ``a``, ``b``."""
     while True:
         low = np.minimum(f[a], f[b])
         g = f.copy()
@@ -128,7 +133,9 @@ def _solve(table: pa.Table) -> pa.Table:
     """A shard's (shard, fp) rows to links (a > b) that span its classes."""
     x = np.sort(table.column("fp").to_numpy())
     u = x.view(np.uint64)
-    root = classes(len(u), *links(u))
+    root = np.arange(len(u))
+    for a, b in links(u):  # a dense shard's pairs are folded into its classes as they come
+        root = classes(root, a, b)
     own = root != np.arange(len(u))
     return pa.table({"a": x[own], "b": x[root[own]]})
 
@@ -181,12 +188,19 @@ def group(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the row of its smallest id (null only if it has no other).
 
-    Of rows with that id, the text of the smallest hash stays, and of equal rows one.
+    Of rows with that id, the text of the smallest hash stays, and of equal rows one. An empty table stays empty;
+    columns of any name pass through. Only rows that go are looked up, so texts are shuffled only where those are many.
     """
-    first = cut(group(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("h").alias("_h"), F.count("*").alias("_n")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
-    kept = docs.join(first.select("_id", "_h"), same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]) if first.filter("_n > 1").limit(1).count() else kept
+    of, n, key = apart("id"), apart("n"), apart("h")
+    g = cut(group(docs))
+    mine = g.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = mine.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("h").alias("h"))
+    stays = first.select(F.col("doc_id").alias(of), F.col("h").alias(key))
+    gone = g.join(stays, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col("h") == F.col(key)), "left_anti")
+    gone = gone.select(F.col("doc_id").alias(of), F.col("h").alias(key)).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(key)), "left_anti")
+    again = g.join(stays, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col("h") == F.col(key)), "left_semi").groupBy("doc_id", "h").agg(F.count("*").alias(n)).filter(F.col(n) > 1)
+    return kept.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else kept
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 def documents(spark, rows):
     """Documents of (id, text) rows, with columns whose names operators might use inside."""
     d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
-    for c in ("fp", "h", "root", "chunk", "key", "_text", "found", "size", "range", "label", "score", "bucket"):
+    for c in ("fp", "h", "root", "chunk", "key", "_text", "found", "size", "range", "label", "score", "bucket", "_id", "_h", "_n", "n", "a", "b", "hits", "items", "part", "copy", "c", "i", "t"):
         d = d.withColumn(c, F.lit("clash"))
     return d
 
@@ -214,7 +214,7 @@ def test_vantage_point_links_find_every_pair():
     rng = np.random.default_rng(6)
     centres = rng.integers(0, 2**63, 60, dtype=np.uint64)
     x = np.unique(np.concatenate([centres, *[centres ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for _ in range(30)]]))
-    got = {tuple(sorted(p)) for p in zip(*map(np.ndarray.tolist, simhash.links(x)))}
+    got = {tuple(sorted(p)) for p in ((i, j) for part in simhash.links(x, 100) for i, j in zip(*map(np.ndarray.tolist, part)))}
     d = np.bitwise_count(x[:, None] ^ x[None, :])
     want = {(i, j) for i, j in zip(*np.nonzero(d <= 2)) if i < j}
     assert got == {(int(i), int(j)) for i, j in want}
@@ -226,6 +226,39 @@ def test_vantage_point_links_find_every_pair():
     assert together == got
 
 
+def test_dense_shard_folds_its_pairs():
+    """A ball of radius 2: 2,081 fingerprints with far more pairs than are ever held, and one class."""
+    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    ball = np.unique(np.concatenate([[np.uint64(0)], one, (one[:, None] | one[None, :]).ravel()]))
+    import pyarrow as pa
+
+    got = simhash._solve(pa.table({"fp": ball.view(np.int64)}))
+    assert got.num_rows == len(ball) - 1 and max(len(a) for a, _ in simhash.links(ball, 10_000)) < 300_000
+    root = np.arange(len(ball))
+    for a, b in simhash.links(ball, 10_000):
+        root = simhash.classes(root, a, b)
+    assert (root == 0).all()
+
+
+def test_simhash_components_equal_brute_force(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    rows = [(r["doc_id"], brute_fingerprint(r["text"])) for r in d.select("doc_id", "text").collect()]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in rows:
+        for j, y in rows:
+            if i < j and bin(x ^ y).count("1") <= 2:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in simhash.group(d).collect()}
+    assert got == {i: (x, find(i)) for i, x in rows}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i + 1, i) for i in range(60)] + [(200 + i, 100) for i in range(1, 50)] + [(249, 248)]
     r = {x["node"]: x["root"] for x in components.roots(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -349,6 +382,19 @@ def test_language_odd_rows(spark):
     assert {r["doc_id"] for r in language.known(d, m).collect()} == {None, 4, 5, 6}
 
 
+def test_language_learns_many_and_rare_ones(spark):
+    """600 languages, most of them of a few rows: none is left out, and none stops the rest."""
+    r = random.Random(6)
+    alphabets = [chr(0x4E00 + 20 * k) + chr(0x4E00 + 20 * k + 1) for k in range(600)]
+    rows = [(k, "".join(r.choice(alphabets[k % 600]) for _ in range(12)), f"l{k % 600}", "s", 0) for k in range(4800)]
+    d = spark.createDataFrame(rows, DOCS)
+    m = language.train(d)
+    assert len(m.langs) == 600
+    got = language.predict(d, m, ("doc_id", "lang")).collect()
+    assert len(got) == 4800 and sum(x["lang"] == x["lang_pred"] for x in got) > 4500
+    assert language.predict(d.filter("false"), m).count() == 0
+
+
 def test_ftrl_prunes_and_temperature_calibrates():
     rng = np.random.default_rng(0)
     rows = [(np.array([y, 2 + int(rng.integers(50))]), np.array([1.0, 0.2]), y) for y in rng.integers(0, 2, 300)]
