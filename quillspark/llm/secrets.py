@@ -2,12 +2,18 @@
 
 The guess cost of a value is the least total of a segmentation into known words, dates, repeats, keyboard
 walks, runs of neighbouring characters, and brute-force spans: log10 of the guesses that an attacker who
-knows the segments' kinds would need. Weak placeholders ("changeme", "password2024") stay below the bar.
+knows the segments' kinds would need. Weak placeholders ("changeme", "password2024") stay below the bar. Words
+and their ranks come from the vocabularies of public tokenizers where those are there, beside a short list here.
 """
 
 from __future__ import annotations
 
+import base64
+import bisect
+import functools
+import json
 import math
+import os
 import re
 
 import pyarrow as pa
@@ -20,8 +26,13 @@ KINDS = ("assign", "access", "hex", "guess")
 BASE = KINDS[:3]
 #: log10 guesses from which a value in a credential's context is a secret, and its shortest length.
 COST, SHORTEST = 10.0, 8
-#: Longest segment but brute force.
+#: log10 guesses from which a value's cost isn't told exactly: whatever follows, it needs as many.
+ENOUGH = 40.0
+#: Characters of a word, date, walk or run, and of a repeated block, at most: longer walks count as several.
 SEGMENT = 24
+#: Vocabularies whose words come in order of their frequency, nearly: a JSON file of a tokenizer with word ends, and
+#: base64 tokens with ranks. A file that isn't there gives no words.
+VOCABULARIES = ("/opt/tokenizers/word_bpe_49k.json", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -39,16 +50,40 @@ WORDS = (
     "the", "and", "key", "token", "api", "pass", "here", "none", "null", "true", "false", "value", "string", "config", "summer",
     "winter", "spring", "autumn", "monday", "friday", "january", "december", "love", "money", "google", "internet", "computer", "server",
     "service", "database", "public", "private", "access", "account", "project", "secure", "system", "office", "company", "house",
+    "production", "staging", "development", "localhost", "postgres", "postgresql", "mysql", "mongodb", "redis", "oracle", "docker", "kubernetes",
+    "jenkins", "github", "gitlab", "amazon", "azure", "windows", "ubuntu", "linux", "apache", "backup", "support", "manager", "testing",
 )
 #: The rows of a keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-_RANK = {w: k + 1 for k, w in enumerate(WORDS)}
 _LEET = str.maketrans("4@301!$57", "aaeoiisst")
 _PLACE = {c: (x + y * 0.5, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 _DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d)\Z")
 _YEAR = re.compile(r"(?:19|20)\d\d\Z")
 
 
+def ranks(paths: tuple[str, ...] = VOCABULARIES) -> dict[str, int]:
+    """Words of three letters or more by rank, the commonest first; the list here comes before all."""
+    found: dict[str, int] = {}
+    for path in (p for p in paths if os.path.exists(p)):
+        with open(path, "rb") as f:
+            if path.endswith(".json"):
+                got = ((w[:-4], k) for w, k in json.load(f)["model"]["vocab"].items() if w.endswith("</w>"))
+            else:
+                got = [(base64.b64decode(w)[1:].decode("latin-1").lower(), int(k)) for w, k in map(bytes.split, f) if base64.b64decode(w)[:1] == b" "]
+        for w, k in got:
+            if re.fullmatch(r"[a-z]{3,}", w):
+                found[w] = min(found.get(w, k), k)
+    out = {w: k + 1 for k, w in enumerate(WORDS)}
+    for w in sorted(found, key=lambda w: (found[w], w)):
+        out.setdefault(w, len(out) + 1)
+    return out
+
+
+@functools.cache
+def _ranks() -> dict[str, int]:
+    return ranks()
+
+
 def _brute(c: str) -> float:
     if c.isdigit() and c.isascii():
         return 1.0
@@ -57,53 +92,101 @@ def _brute(c: str) -> float:
     return math.log10(26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100)
 
 
-def _segment(s: str) -> float:
-    """log10 guesses of one segment of a kind but brute force and repeats; infinite if it is of none."""
-    best = math.inf
-    low = s.lower()
-    for form, more in ((low, 0.0), (low.translate(_LEET), 0.6)):
-        if form in _RANK:
-            capital = 0.0 if s == low else 0.3 if s == low.capitalize() or s == s.upper() else 1.0
-            best = min(best, math.log10(_RANK[form] + 1) + capital + more)
-    if len(s) >= 4 and s[0].isdigit():
-        if _YEAR.match(s):
-            best = min(best, math.log10(200))
-        elif _DATE.match(s):
-            best = min(best, math.log10(365 * 200) + (0.6 if not s.isdigit() else 0.0))
-    if len(s) >= 3:
-        steps = {ord(b) - ord(a) for a, b in zip(s, s[1:], strict=False)}
-        if len(steps) == 1 and abs(next(iter(steps))) == 1:
-            best = min(best, math.log10(26 * 2 * len(s)))
-        at = [_PLACE.get(c) for c in low]
-        if all(at) and all(abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1 and p != q for p, q in zip(at, at[1:], strict=False)):
-            ways = [(q[0] - p[0], q[1] - p[1]) for p, q in zip(at, at[1:], strict=False)]
-            turns = 1 + sum(a != b for a, b in zip(ways, ways[1:], strict=False))
-            best = min(best, math.log10(40) + turns * math.log10(5) + math.log10(len(s)))
-    return best
-
-
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for ``value``: the cheapest segmentation, by dynamic programming from left to right."""
+def _word(s: str, low: str, rank: int, more: float) -> float:
+    capital = 0.0 if s == low else 0.3 if s == low.capitalize() or s == s.upper() else 1.0
+    return math.log10(rank + 1) + capital + more
+
+
+def _date(s: str) -> float:
+    if _YEAR.match(s):
+        return math.log10(200)
+    return math.log10(365 * 200) + (0.6 if not s.isdigit() else 0.0) if _DATE.match(s) else math.inf
+
+
+def _segments(v: str, known: dict[str, int]):
+    """A function of e: (length, cost) of the segments that end at e and are words, dates, runs of neighbouring characters or keyboard walks."""
+    low = v.lower()
+    low = low if len(low) == len(v) else "".join(c.lower() if len(c.lower()) == 1 else c for c in v)
+    leet = low.translate(_LEET)
+    longest = min(SEGMENT, max(map(len, known), default=0))
+    place = [_PLACE.get(c) for c in low]
+    near = [False] + [bool(p and q and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1) for p, q in zip(place, place[1:], strict=False)]
+    step = [0] + [ord(b) - ord(a) for a, b in zip(v, v[1:], strict=False)]
+
+    def ending(e: int):
+        for n in range(2, min(longest, e) + 1):
+            w = low[e - n : e]
+            if (r := known.get(w)) is not None:
+                yield n, _word(v[e - n : e], w, r, 0.0)
+            x = leet[e - n : e]
+            if x != w and (r := known.get(x)) is not None:
+                yield n, _word(v[e - n : e], w, r, 0.6)
+        if v[e - 1].isdigit():
+            for n in range(4, min(10, e) + 1):
+                if v[e - n].isdigit() and (c := _date(v[e - n : e])) < math.inf:
+                    yield n, c
+        n, d = 2, step[e - 1] if e > 1 else 0
+        while abs(d) == 1 and n < min(SEGMENT, e) and step[e - n] == d:
+            n += 1
+            yield n, math.log10(26 * 2 * n)
+        n, turns, way = 1, 1, None
+        while n < min(SEGMENT, e) and near[e - n]:
+            p, q = place[e - n - 1], place[e - n]
+            before, way = way, (q[0] - p[0], q[1] - p[1])
+            turns += before is not None and before != way
+            n += 1
+            if n >= 3:
+                yield n, math.log10(40) + turns * math.log10(5) + math.log10(n)
+
+    return ending
+
+
+def guess_cost(value: str, known: dict[str, int] | None = None, enough: float = math.inf) -> float:
+    """log10 of the guesses for ``value``: the cheapest segmentation, by dynamic programming from left to right.
+
+    A block that is repeated counts once, and how often; of a run of equal blocks all are taken, or all but the first
+    one or two, which may belong to what stands before. Once every place that a segment could still begin at has
+    cost ``enough``, that is the answer.
+    """
     n = len(value)
+    ending = _segments(value, _ranks() if known is None else known)
     cost = [0.0] + [math.inf] * n
+    plain = [0.0]  # brute force up to here
+    for c in value:
+        plain.append(plain[-1] + _brute(c))
+    same = [0] * (SEGMENT + 1)  # by distance: characters up to here that equal those so far before
+    alone: list[dict[int, float]] = [{} for _ in range(n + 1)]  # by end and length: a segment's own cost
+    dear = 0  # places in a row up to here that cost enough
     for e in range(1, n + 1):
-        cost[e] = cost[e - 1] + _brute(value[e - 1])
-        for s in range(max(0, e - SEGMENT), e - 1):
-            if cost[s] < cost[e] and (c := cost[s] + 0.3 + _segment(value[s:e])) < cost[e]:
-                cost[e] = c
-        for m in range(1, min(SEGMENT, e // 2) + 1):  # the last k blocks of m equal characters
-            k, block = 1, value[e - m : e]
-            while (k + 1) * m <= e and value[e - (k + 1) * m : e - k * m] == block:
-                k += 1
-                once = min(sum(map(_brute, block)), _segment(block))
-                cost[e] = min(cost[e], cost[e - k * m] + 0.3 + once + math.log10(k))
-                if k * m >= 4 * SEGMENT:
-                    break
+        best = cost[e - 1] + plain[e] - plain[e - 1]
+        for m, c in ending(e):
+            alone[e][m] = min(c, alone[e].get(m, math.inf))
+            best = min(best, cost[e - m] + 0.3 + c)
+        cheap = False
+        last = value[e - 1]
+        for m in range(1, min(SEGMENT, e - 1) + 1):
+            if value[e - 1 - m] != last:
+                same[m] = 0
+                continue
+            same[m] += 1
+            k = same[m] // m + 1  # equal blocks that end here
+            if k == 1:
+                continue
+            once = min(plain[e] - plain[e - m], alone[e].get(m, math.inf))
+            for j in range(max(2, k - 2), k + 1):
+                best = min(best, cost[e - j * m] + 0.3 + once + math.log10(j))
+                cheap |= cost[e - j * m] < enough
+        cost[e] = best
+        if e > 2 * SEGMENT:
+            alone[e - 2 * SEGMENT] = {}
+        dear = dear + 1 if best >= enough else 0
+        if dear > 3 * SEGMENT and not cheap:
+            return enough
     return cost[n]
 
 
-def spans(text: str | None) -> list[tuple[int, int, int, float | None]]:
-    """(start, kind, end, cost) by start, then kind; a guess that touches a base span adds nothing and is left out."""
+def spans(text: str | None, known: dict[str, int] | None = None) -> list[tuple[int, int, int, float | None]]:
+    """(start, kind, end, cost) by start, then kind; a guess that touches a base span adds nothing and is left out. ``known``: words by rank."""
     if not text:
         return []
     found = []
@@ -115,10 +198,16 @@ def spans(text: str | None) -> list[tuple[int, int, int, float | None]]:
         found += [(m.start(), 1, m.end(), None) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), None) for m in _HEX.finditer(text)]
     if hinted:
-        base = sorted(found)
+        held: list[tuple[int, int]] = []  # the base spans, merged where they overlap
+        for s, _, e, _ in sorted(found, key=lambda x: x[:3]):
+            if held and s < held[-1][1]:
+                held[-1] = held[-1][0], max(e, held[-1][1])
+            else:
+                held.append((s, e))
         for m in _CONTEXT.finditer(text):
             s, e = m.span(1)
-            if e - s >= SHORTEST and not any(a < e and s < b for a, _, b, _ in base) and (c := guess_cost(text[s:e])) >= COST:
+            i = bisect.bisect_left(held, (e,)) - 1  # the last that begins before the end
+            if e - s >= SHORTEST and not (i >= 0 and held[i][1] > s) and (c := guess_cost(text[s:e], known, ENOUGH)) >= COST:
                 found.append((s, 3, e, c))
     return sorted(found, key=lambda x: x[:3])
 
@@ -127,45 +216,53 @@ _ITEM = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int3
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("found", pa.list_(_ITEM))])
 
 
-def _rows(cols):
-    for i, t in zip(cols["doc_id"], cols["text"], strict=True):
-        yield i, [{"kind": KINDS[k], "start": s, "end": e, "cost": c} for s, k, e, c in spans(t)]
-
+def scan(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES) -> DataFrame:
+    """Per row of ``docs``: doc_id and found, its spans (kind, start, end, cost) in order; costs are told up to ENOUGH.
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id and found, its spans (kind, start, end, cost) in order.
-
-    A null text is empty and has none; repeated rows give repeated results; other columns are ignored.
+    A null text is empty and has none; texts are scanned whole, in time that grows with their length; repeated rows
+    give repeated results; an empty table gives an empty result; other columns are ignored. Words are read on the driver.
     """
     arrow_batches(docs.sparkSession)
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), _SCHEMA, _rows)
+    told = docs.sparkSession.sparkContext.broadcast(ranks(vocabularies))
+
+    def rows(cols):
+        for i, t in zip(cols["doc_id"], cols["text"], strict=True):
+            yield i, [{"kind": KINDS[k], "start": s, "end": e, "cost": c} for s, k, e, c in spans(t, told.value)]
+
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), _SCHEMA, rows)
 
 
-def redacted(text: str | None, mark: str = "[SECRET]") -> str | None:
+def redacted(text: str | None, known: dict[str, int] | None = None, mark: str = "[SECRET]") -> str | None:
     """``text`` with each secret's characters replaced by ``mark``; null stays null."""
     if not text:
         return text
     out, at = [], 0
-    for s, _, e, _ in spans(text):
+    for s, _, e, _ in spans(text, known):
         if s >= at:
             out += [text[at:s], mark]
         at = max(at, e)
     return "".join([*out, text[at:]]) if out else text
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with secrets in ``text`` replaced and ``n_chars`` counted anew where it changed; clean rows stay as they are."""
+def redact(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES) -> DataFrame:
+    """``docs`` with secrets in ``text`` replaced, and ``n_chars``, if there is such a column, counted anew where it changed.
+
+    Null texts and clean rows stay as they are; repeated rows are changed alike; an empty table stays empty; columns
+    of any name pass through.
+    """
     arrow_batches(docs.sparkSession)
-    at, count = docs.columns.index("text"), docs.columns.index("n_chars")
+    at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    told = docs.sparkSession.sparkContext.broadcast(ranks(vocabularies))
 
     def run(batches):
         for b in batches:
             old = b.column(at).to_pylist()
-            new = [redacted(t) for t in old]
+            new = [redacted(t, told.value) for t in old]
             cols = list(b.columns)
             cols[at] = pa.array(new, b.column(at).type)
-            n = b.column(count).to_pylist()
-            cols[count] = pa.array([len(t) if t != o else c for t, o, c in zip(new, old, n, strict=True)], b.column(count).type)
+            if count is not None:
+                n = b.column(count).to_pylist()
+                cols[count] = pa.array([len(t) if t != o else c for t, o, c in zip(new, old, n, strict=True)], b.column(count).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
     return docs.mapInArrow(run, docs.schema)
