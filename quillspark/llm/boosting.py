@@ -66,3 +66,18 @@ class Boosted:
                 logits[:, c] += self.value[r, c, at]
         z = logits - logits.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+    def save(self, path) -> None:
+        """The fitted arrays as one compressed file."""
+        sizes = np.array([len(e) for e in self.edges])
+        shape = np.array([self.k, self.rounds, self.depth, self.bins])
+        np.savez_compressed(path, edges=np.concatenate(self.edges), sizes=sizes, shape=shape, feature=self.feature.astype(np.int16), bound=self.bound.astype(np.int16), value=self.value)
+
+    @classmethod
+    def load(cls, path) -> Boosted:
+        with np.load(path) as f:
+            k, rounds, depth, bins = (int(x) for x in f["shape"])
+            out = cls(k, rounds, depth, bins=bins)
+            out.edges = np.split(f["edges"], np.cumsum(f["sizes"])[:-1])
+            out.feature, out.bound, out.value = f["feature"].astype(np.int32), f["bound"].astype(np.int32), f["value"]
+        return out

@@ -3,12 +3,16 @@
 Each block element is ABOVE the article (it holds it and more), IN it, or OUT of it. The trees give each
 state's probability from the node's subtree, attributes, depth and siblings; the decoding takes the best
 assignment in which below OUT all is OUT, and below IN nothing is ABOVE. Text of IN elements is kept.
-The trees are trained on pages generated from rules (``training_pages``), never on the tables.
+Where nothing is IN, the best ``article`` or ``main`` is. The trees are trained on pages generated from rules
+(``training_page``), never on the tables; ``python -m quillspark.llm.html`` trains them and writes the fitted arrays
+to the file beside this module that queries read.
 """
 
 from __future__ import annotations
 
+import functools
 import html as _html
+import pathlib
 import random
 import re
 from collections import defaultdict
@@ -25,7 +29,7 @@ ABOVE, IN, OUT = 0, 1, 2
 
 #: Element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
+RAW = frozenset("script style template iframe textarea title svg select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -37,7 +41,7 @@ ENDS = {
 }
 GOOD_TAGS = frozenset(("article", "main"))
 BAD_TAGS = frozenset(("nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"))
-#: Parts of class and id names that speak for and against main text.
+#: Parts of class and id names that speak for main text, against it, and strongly against it.
 GOOD = frozenset("article content post entry story main text body prose richtext markdown page".split())
 BAD = frozenset(
     "nav navbar navigation menu header masthead topbar footer bottom sidebar side aside widget ad ads advert adverts advertisement advertising sponsor "
@@ -45,6 +49,11 @@ BAD = frozenset(
     "subscription signup login search share sharing social related recommended recommendations more comment comments reply replies "
     "respond discussion disqus breadcrumb breadcrumbs pagination pager tags copyright legal skip toolbar form rating".split()
 )
+STRONG = frozenset(
+    "nav navbar navigation menu masthead topbar footer sidebar widget ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
+    "banner cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login search comment comments reply replies respond disqus "
+    "breadcrumb breadcrumbs pagination".split()
+)
 GROUPS = ("article main", "section", "div center", "p", "h1 h2 h3 h4 h5 h6", "li dd dt", "ul ol dl", "table tbody thead tfoot tr td th caption", "nav menu", "header", "footer", "aside", "form fieldset", "blockquote pre figure figcaption", "html body")
 _GROUP = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 
@@ -55,10 +64,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("at", "bad", "blocks", "children", "depth", "elements", "good", "links", "marks", "paragraphs", "parent", "size", "start", "tag")
+    __slots__ = ("at", "bad", "blocks", "children", "depth", "elements", "good", "links", "marks", "paragraphs", "parent", "size", "start", "strong", "tag")
 
-    def __init__(self, tag, parent, at, good=False, bad=False):
-        self.tag, self.parent, self.at, self.good, self.bad = tag, parent, at, good, bad
+    def __init__(self, tag, parent, at, good=False, bad=False, strong=False):
+        self.tag, self.parent, self.at, self.good, self.bad, self.strong = tag, parent, at, good, bad, strong
         self.depth = parent.depth + 1 if parent else 0
         self.children, self.blocks = [], []
         self.size = self.links = self.marks = self.elements = self.paragraphs = self.start = 0
@@ -99,7 +108,7 @@ def parse(page: str):
         """Ends all open elements from place ``upto`` of the stack on."""
         nonlocal link
         while len(stack) > upto:
-            if stack[-1][0] in BLOCK:
+            if stack[-1][0] in BLOCK or (stack[-1][0] == "noscript" and stack[-1][1].tag == "noscript"):
                 flush()
             tag = stack.pop()[0]
             opened[tag] -= 1
@@ -147,7 +156,7 @@ def parse(page: str):
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
-        if tag in BLOCK:
+        if tag in BLOCK or (tag == "noscript" and not opened.get("p")):
             if tag in ENDS and (i := last(*ENDS[tag])):
                 close(i)
             elif tag not in ENDS and (i := last(("p",), ("td", "th", "button"))):
@@ -157,15 +166,16 @@ def parse(page: str):
                 if tag == "body" and len(nodes) == 1:
                     root.tag = "body"
                 continue
-            good = bad = False
+            good = bad = strong = False
             if m[3]:
                 for a in _ATTR.finditer(m[3]):
                     parts = {p.lower() for p in _PART.findall(a[1] or a[2] or a[3] or "")}
                     good |= not parts.isdisjoint(GOOD)
                     bad |= not parts.isdisjoint(BAD)
+                    strong |= not parts.isdisjoint(STRONG)
             if tag != "hr":
                 parent = stack[-1][1]
-                node = Node(tag, parent, len(nodes), good, bad)
+                node = Node(tag, parent, len(nodes), good, bad, strong)
                 node.start = seen
                 parent.children.append(node)
                 nodes.append(node)
@@ -194,14 +204,14 @@ def parse(page: str):
 
 def features(nodes: list[Node]) -> np.ndarray:
     """A row for each node: subtree density, attribute tokens, depth, sibling and ancestor statistics."""
-    out = np.zeros((len(nodes), 30 + len(GROUPS)), np.float32)
+    out = np.zeros((len(nodes), 33 + len(GROUPS)), np.float32)
     total = max(1, nodes[0].size)
     holds = [False] * len(nodes)  # a descendant speaks for main text
     near = [0] * len(nodes)  # what the nearest telling ancestor or the node itself says
     for x in reversed(nodes):
         if x.parent is not None and (holds[x.at] or x.tag in GOOD_TAGS or x.good and not x.bad):
             holds[x.parent.at] = True
-    good_above, bad_above = [False] * len(nodes), [False] * len(nodes)
+    good_above, bad_above, strong_above = [False] * len(nodes), [False] * len(nodes), [False] * len(nodes)
     for x in nodes:
         p = x.parent
         own_good, own_bad = x.tag in GOOD_TAGS or x.good, x.tag in BAD_TAGS or x.bad
@@ -209,19 +219,21 @@ def features(nodes: list[Node]) -> np.ndarray:
         if p is not None:
             good_above[x.at] = good_above[p.at] or p.tag in GOOD_TAGS or p.good
             bad_above[x.at] = bad_above[p.at] or p.tag in BAD_TAGS or p.bad
+            strong_above[x.at] = strong_above[p.at] or p.tag in BAD_TAGS or p.strong
         near[x.at] = own or (near[p.at] if p is not None else 0)
         size, sib = x.size, p.children if p is not None else [x]
         r = out[x.at]
-        r[:30] = (
+        r[:33] = (
             x.depth, np.log1p(size), x.links / size if size else 0, np.log1p(x.paragraphs), np.log1p(x.elements), size / x.elements,
             x.marks / size if size else 0, x.start / total, len(sib), size / total, size / p.size if p is not None and p.size else 1,
             len(x.children), len(x.blocks), x.tag in GOOD_TAGS, x.tag in BAD_TAGS, x.good, x.bad, good_above[x.at], bad_above[x.at],
             near[x.at], holds[x.at], near[p.at] if p is not None else 0, p.links / p.size if p is not None and p.size else 0,
             np.log1p(p.paragraphs) if p is not None else 0, p.good if p is not None else 0, p.bad if p is not None else 0,
             (p.tag in BAD_TAGS) if p is not None else 0, (p.tag in GOOD_TAGS) if p is not None else 0, holds[0], x.paragraphs / x.elements,
+            x.strong, strong_above[x.at], x.good and x.bad and not x.strong,
         )
         if x.tag in _GROUP:
-            r[30 + _GROUP[x.tag]] = 1
+            r[33 + _GROUP[x.tag]] = 1
     return out
 
 
@@ -241,6 +253,28 @@ def decode(nodes: list[Node], logp: np.ndarray) -> list[int]:
     return state
 
 
+def settle(nodes: list[Node], blocks, logp: np.ndarray) -> list[int]:
+    """``decode``, but a page with an article or main element keeps the likeliest one where nothing else is IN."""
+    state = decode(nodes, logp)
+    if blocks and not any(state[x.at] == IN for x, _ in blocks):
+        outside = [False] * len(nodes)
+        for x in nodes:
+            outside[x.at] = x.parent is not None and (outside[x.parent.at] or x.tag in BAD_TAGS)
+        own = [x for x in nodes if x.tag in GOOD_TAGS and x.size and not outside[x.at]]
+        if own:
+            best = max(own, key=lambda x: (x.size * np.exp(logp[x.at, IN]), -x.at))
+            held = logp.copy()
+            held[best.at] = (-1e9, 0.0, -1e9)
+            state = decode(nodes, held)
+            if not any(state[x.at] == IN for x, _ in blocks):  # its inside is all OUT: then all of it counts
+                inside = {best.at}
+                for x in nodes[best.at + 1 :]:
+                    if x.parent.at in inside and x.tag not in BAD_TAGS:
+                        inside.add(x.at)
+                        state[x.at] = IN
+    return state
+
+
 def _assemble(nodes, blocks, state) -> str:
     return "\n".join(t for x, t in blocks if state[x.at] == IN)
 
@@ -269,11 +303,18 @@ def _attr(r: random.Random, names: str) -> str:
     return r.choice((f' class="{name}"', f' id="{name}"', f' class="{name} x{r.randint(1, 9)}"', f' class="col-{name}"'))
 
 
+def _unlucky(r: random.Random, names: str = "more header side bottom legal tags share related notice rating skip form social copyright") -> str:
+    """A class of main text with a part that speaks against it."""
+    return f' class="{r.choice(names.split())}-{r.choice("text story body content prose article entry".split())}"'
+
+
 def _clutter(r: random.Random) -> str:
     """One piece of a page that is no main text."""
     p = lambda a, b: f"<p>{_prose(r, a, b)}</p>" if r.random() < 0.7 else _prose(r, a, b)
     tag = lambda names: r.choice(names.split())
-    kind = r.randrange(12)
+    kind = r.randrange(13)
+    if kind == 12:
+        return f"<noscript>{r.choice((p(1, 1), _words(r, 3, 9), '<div' + _attr(r, 'notice alert banner') + '>' + p(1, 2) + '</div>'))}</noscript>"
     if kind == 0:
         return f"<nav><ul>{_links(r, r.randint(2, 9))}</ul></nav>"
     if kind == 1:
@@ -321,6 +362,10 @@ def _article(r: random.Random, marked: bool) -> str:
             parts.append(f"<figure><img><figcaption>{_prose(r, 1, 1)}</figcaption></figure>")
         elif kind < 0.95:
             parts.append(f"<pre>{_prose(r, 1, 2)}</pre>")
+        elif kind < 0.955:  # names that speak against text, on what is text
+            parts.append(f"<{(t := r.choice(('div', 'section')))}{_unlucky(r)}><p>{_prose(r, 1, 6)}</p>{'<p>' + _prose(r, 1, 6) + '</p>' if r.random() < 0.5 else ''}</{t}>")
+        elif kind < 0.96:
+            parts.append(f"<noscript><p>{_prose(r, 1, 3)}</p></noscript>")
         elif kind < 0.97:
             parts.append(f"<{(t := r.choice(('div', 'section')))}><p>{_prose(r, 1, 4)}</p><p>{_prose(r, 1, 4)}</p></{t}>")
         elif marked:
@@ -333,9 +378,10 @@ def training_page(r: random.Random) -> str:
     kind = r.random()
     inner = _article(r, kind < 0.75)
     if kind < 0.4:
-        core = f"<article{r.choice(('', '', _attr(r, 'post entry article')))}><!--on-->{inner}<!--off--></article>"
+        names = _unlucky(r, " ".join(sorted(BAD))) if r.random() < 0.2 else r.choice(("", "", _attr(r, "post entry article"), f' class="post {r.choice(sorted(BAD))}-{r.choice(("policy", "open", "list", "free"))}"'))
+        core = f"<article{names}><!--on-->{inner}<!--off--></article>"
     elif kind < 0.52:
-        core = f"<main><!--on-->{inner}<!--off--></main>"
+        core = f"<main{_unlucky(r, ' '.join(sorted(BAD))) if r.random() < 0.1 else ''}><!--on-->{inner}<!--off--></main>"
     elif kind < 0.75:
         t = r.choice(("div", "div", "section", "td"))
         core = f"<{t}{_attr(r, 'content article post-body entry-content story main-text')}><!--on-->{inner}<!--off--></{t}>"
@@ -383,25 +429,29 @@ def _truth(page: str) -> tuple[list[Node], list[int]]:
     return nodes, state
 
 
-#: Pages that the trees are trained on.
-PAGES = 1000
-_TRAINED: dict[int, Boosted] = {}
+#: Pages that the trees are trained on, and the file that holds what they came to.
+PAGES = 1500
+FITTED = pathlib.Path(__file__).with_name("html_trees.npz")
 
 
 def train(pages: int = PAGES, seed: int = 11) -> Boosted:
     """The trees, from ``pages`` generated pages; the same on every run."""
-    if pages not in _TRAINED:
-        r = random.Random(seed)
-        xs, ys = [], []
-        for _ in range(pages):
-            page = training_page(r)
-            clean = re.sub(r"<!--(?:on|off)-->", "", page)
-            nodes, _ = parse(clean)
-            _, state = _truth(page)
-            xs.append(features(nodes))
-            ys += state
-        _TRAINED[pages] = Boosted(3).fit(np.concatenate(xs), np.array(ys))
-    return _TRAINED[pages]
+    r = random.Random(seed)
+    xs, ys = [], []
+    for _ in range(pages):
+        page = training_page(r)
+        clean = re.sub(r"<!--(?:on|off)-->", "", page)
+        nodes, _ = parse(clean)
+        _, state = _truth(page)
+        xs.append(features(nodes))
+        ys += state
+    return Boosted(3).fit(np.concatenate(xs), np.array(ys))
+
+
+@functools.cache
+def fitted() -> Boosted:
+    """The trees of ``train`` as ``FITTED`` holds them."""
+    return Boosted.load(FITTED)
 
 
 def extract(pages: list[str | None], model: Boosted) -> list[str]:
@@ -417,7 +467,7 @@ def extract(pages: list[str | None], model: Boosted) -> list[str]:
             out.append("")
             continue
         nodes, blocks = p
-        out.append(_assemble(nodes, blocks, decode(nodes, logp[at : at + len(nodes)])))
+        out.append(_assemble(nodes, blocks, settle(nodes, blocks, logp[at : at + len(nodes)])))
         at += len(nodes)
     return out
 
@@ -425,11 +475,11 @@ def extract(pages: list[str | None], model: Boosted) -> list[str]:
 def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``.
 
-    Blocks of the article in page order, one line each; a null or empty page has an empty text. Repeated
-    rows give repeated results; extra columns are ignored.
+    Blocks of the article in page order, one line each; a null or empty page has an empty text. Repeated rows give
+    repeated results; an empty table gives an empty result; pages of any length are read whole; extra columns are ignored.
     """
     arrow_batches(pages.sparkSession, 256)
-    told = pages.sparkSession.sparkContext.broadcast(model or train())
+    told = pages.sparkSession.sparkContext.broadcast(model or fitted())
 
     def run(batches):
         for b in batches:
@@ -442,3 +492,7 @@ def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
 def op4_html(spark, sf_dir: str) -> DataFrame:
     """The main text of every row of ``pages``."""
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+if __name__ == "__main__":
+    train().save(FITTED)
