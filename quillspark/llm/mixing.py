@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut
+from quillspark.llm.common import apart, cut
 
 #: Most copies of a source that a mix may take.
 EPOCHS = 3
@@ -26,28 +26,42 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``at``, their places from 0 in code point order (null last): range-sorted, counted by range, prefix sums over the ranges."""
+    of, n = apart("range"), apart("n")
+    order = F.col("source").asc_nulls_last()
+    sorted_ = cut(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn(of, F.spark_partition_id()).withColumn(n, F.monotonically_increasing_id() % (1 << 33)))
+    before, starts = 0, []
+    for r in sorted_.groupBy(of).count().orderBy(of).collect():  # a row for each range
+        starts.append((r[of], before))
+        before += r["count"]
+    starts = sources.sparkSession.createDataFrame(starts, f"`{of}` int, start long")
+    return sorted_.join(F.broadcast(starts), of).withColumn("at", F.col("start") + F.col(n)).drop(of, n, "start")
+
+
 def targets(ranges: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """source, w, s, target from (source, range, n) totals: 100 % of all sizes shared by weight.
 
-    A source stops at ``epochs`` times its size; the excess is reshared by weight. In order of s / w the
-    full sources come first, so one pass of prefix sums over the sources (a row each) finds them; sums are
-    integers, and the only rounding is one division.
+    A source stops at ``epochs`` times its size; the excess is reshared by weight. Each round finds the sources that
+    their share fills, by two sums over all sources, until none is left: no task holds them all. Products are exact
+    decimals, and the only rounding is one division.
     """
     s = ranges.groupBy("source").agg(F.sum("n").alias("s"))
-    ranked = s.withColumn("at", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("at") % len(weights) + 1).cast("int")).cast("long")
-    ranked = ranked.withColumn("w", w)
-    every = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before = W.orderBy(F.col("s") / F.col("w"), "at").rowsBetween(W.unboundedPreceding, -1)
-    x = ranked.select(
-        "*", F.sum("s").over(every).alias("t"), F.sum("w").over(every).alias("ws"),
-        F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"),
-    )
-    full = epochs * F.col("s") * (F.col("ws") - F.col("w0")) < F.col("w") * (F.col("t") - epochs * F.col("s0"))
-    x = x.withColumn("full", full)
-    rest = F.col("t") - epochs * F.coalesce(F.sum(F.when(F.col("full"), F.col("s"))).over(every), F.lit(0))
-    open_w = F.sum(F.when(~F.col("full"), F.col("w"))).over(every)
-    target = F.when(F.col("full"), (epochs * F.col("s")).cast("double")).otherwise((rest * F.col("w")).cast("double") / open_w.cast("double"))
+    x = cut(ranked(s).withColumn("w", w).select("source", "s", "w"))
+    big = lambda c: F.col(c).cast("decimal(19,0)")
+    total = x.agg(F.sum(big("s"))).first()[0] or 0
+    full, rest, open_w = F.lit(False), total, None
+    while True:
+        sums = x.filter(~full).agg(F.count("*"), F.sum(big("w"))).first()
+        held = x.filter(full).agg(F.sum(big("s"))).first()[0] or 0
+        rest, before, open_w = total - epochs * held, open_w, sums[1] or 0
+        if open_w == before:
+            break
+        exact = lambda v: F.lit(str(v)).cast("decimal(19,0)")
+        full = epochs * big("s") * exact(open_w) < big("w") * exact(rest)
+    share = (exact(rest) * big("w")).cast("double") / exact(open_w).cast("double")
+    target = F.when(full, (epochs * big("s")).cast("double")).otherwise(share)
     return x.select("source", "w", "s", target.alias("target"))
 
 

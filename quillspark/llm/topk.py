@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_batches
+from quillspark.llm.common import arrow_batches, folder, stored
 
 #: Queries in a block: bounds what is broadcast (block x dimensions x 8 bytes).
 BLOCK = 1024
@@ -114,8 +114,10 @@ def search(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vect
 
     ``queries`` is a condition on ``vec_id``. All rows but those with the query's id are candidates. Rows
     whose vector is null or holds null or non-finite components take no part; missing trailing components
-    count as zero; of repeated query ids the smallest vector asks. Vectors whose scores may exceed 62 bits are an error. Null ids are candidates, after all others
-    in ties, and never queries. An empty table gives an empty result.
+    count as zero; of repeated query ids the smallest vector asks. Vectors whose scores may exceed 62 bits are an error.
+    Null ids are candidates, after all others in ties, and never queries; of candidates that tie at the kth place the
+    smaller ids stay. Repeated rows are candidates each. Extra columns are ignored; an empty table gives an empty
+    result. Each block's result is written before the next begins, so the plan doesn't grow with the queries.
     """
     spark = vectors.sparkSession
     arrow_batches(spark, ROWS)
@@ -125,9 +127,13 @@ def search(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vect
     whole = lambda v: F.floor(v * 256).cast("double")
     norm = rows.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + whole(v) * whole(v)))).first()[0] or 0.0
     blocks = -(-stats["n"] // block)
-    out = None
+    if not blocks:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asks = asks.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    if blocks > 1:
+        asks, path = stored(asks, "block"), folder(spark)
     for i in range(blocks):
-        mine = asks.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()
+        mine = asks.filter(F.col("block") == i).collect()
         if not mine:
             continue
         ids = np.array([r["vec_id"] for r in mine], np.int64)
@@ -157,11 +163,13 @@ def search(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vect
                     width[j] = -(-width[j] // BINS)
         told = spark.sparkContext.broadcast((ids, q, lo, width))
         found = rows.mapInArrow(_reach(told, k), "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        if blocks > 1:
+            found.write.parquet(f"{path}/block={i}")
+            told.unpersist()
+    if blocks > 1:
+        found = spark.read.schema("query_id long, vec_id long, score long").parquet(f"{path}/block=*")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_topk(spark, sf_dir: str) -> DataFrame:
