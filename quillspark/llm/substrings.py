@@ -13,8 +13,8 @@ have equal anchors. Consecutive windows with one anchor form a segment. Anchors
 Chunks (documents by hash) combine copies before anything is sent and compute their anchors anew in each
 round; the documents' bytes are shuffled once. Within a chunk copies of a segment are told by 64-bit hashes and
 confirmed byte by byte; an anchor for which the bytes contradict counts as hot. Between chunks, segments of one
-anchor are told by 56 bits, so a wrong answer takes two different ones among the at most HOT_ALL of an anchor
-that agree in them: with 1e13 such pairs, about 1e-4 are expected. Merged strings are compared by their bytes.
+anchor are told by 48 bits, so a wrong answer takes two different ones among the at most HOT_ALL of an anchor
+that agree in them: with 1e13 such pairs, 0.04 are expected. Merged strings are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ SHARDS = 8
 PART_BYTES = 128 << 10
 ONE, AMBIGUOUS, HOT = 0, 1, 2
 #: Bytes of a segment's hash that are sent; all ones mark a hot anchor.
-SENT = 7
+SENT = 6
 _MARK = np.uint64((1 << 8 * SENT) - 1)
 #: Bits of a segment's hash that tell copies within a chunk, before their bytes are compared.
 TOLD_BY = np.uint64(2**64 - 1)
@@ -206,14 +206,14 @@ class Chunk:
         self.runs = Runs(self.texts)
         self.docs = self.ids[self.runs.doc] if len(self.ids) else np.zeros(0, np.int64)
 
-    def records(self, width: int):
-        """Order of the segments by (anchor, whole), heads of the same ones, the heads' anchor, whole and least document, and anchors whose hashes lied."""
+    def records(self, width: int, confirmed: bool = True):
+        """Order of the segments by (anchor, whole), heads of the same ones, the heads' anchor, whole and least document, and anchors whose hashes lied (looked for unless ``confirmed`` is false)."""
         h, s = _keys(self.runs, width)
         whole = self.runs.whole & TOLD_BY
         order = np.lexsort((self.docs, whole, self.runs.anchor))
         a, w = self.runs.anchor[order], whole[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1]))) if len(h) else np.zeros(0, bool)
-        copy = np.flatnonzero(~new)
+        copy = np.flatnonzero(~new) if confirmed else np.zeros(0, np.int64)
         first = np.flatnonzero(new)[np.cumsum(new)[copy] - 1]
         wrong = copy[~self.runs.same(order[copy], order[first])]
         for x in (wrong, wrong + 1):  # each of these stands alone
@@ -349,7 +349,7 @@ def _send_strings(width: int, buckets: int):
                 row[3].append(int(to) // buckets % 256)
 
             if len(ambiguous):
-                order, head, h, _, d, _ = c.records(width)
+                order, head, h, _, d, _ = c.records(width, confirmed=False)  # lying anchors are hot by now
                 for i in np.flatnonzero(np.isin(h, ambiguous)).tolist():
                     r = order[head[i]]
                     put(h[i], c.runs.whole[r], d[i], c.runs.string(r))
