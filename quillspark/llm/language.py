@@ -145,7 +145,8 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     # of each language a share of its rows that holds enough of the smallest: what a task must order is bounded
     below = {x: min(2**63 - 1, int((min(1.0, 4 * quota[x] / n) * 2 - 1) * 2**63)) for x, n in size.items()}
     told = docs.sparkSession.createDataFrame([(x, quota[x], below[x]) for x in langs], "lang string, quota long, below long")
-    some = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(told, "lang").filter(F.col("h") <= F.col("below"))
+    # (the languages are on the driver already, a row each; so texts stay where they are)
+    some = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(told), "lang").filter(F.col("h") <= F.col("below"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
     sample = some.withColumn("rank", rank).filter(F.col("rank") <= F.col("quota")).select("text", "lang", "h")
     place = {x: k for k, x in enumerate(langs)}
