@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,13 +11,18 @@ from pyspark.sql import functions as F
 from quillspark.functions import education as E
 from quillspark.functions import scoring
 from quillspark.functions import text as T
-from quillspark.operators.relational import top_k
+from quillspark.operators.parsing import section_score
+from quillspark.operators.relational import similar_sets, top_k
 from quillspark.operators.rules import Rule, check
 
-#: Difficulty rungs: the Bloom levels and the depth that each allows.
+# Difficulty rungs, with the Bloom levels and the depth that each allows.
 LADDER = {"easy": (("Remember", "Understand"), 1), "medium": (("Understand", "Apply"), 2), "hard": (("Analyze", "Evaluate", "Create"), 3)}
 
 
+#: How many times the longest other option, and characters more, a key may have.
+LENGTH_TELL = 1.35, 8
+
+
 def choice_rules(stem: Column, options: Column, key: Column, difficulty: Column, level: Column, dok: Column) -> list[Rule]:
     """Rules of a generated choice item: the length tell, vague and repeated options, a stem that gives the key away, the ladder."""
     n = F.size(options)
@@ -35,7 +42,7 @@ def choice_rules(stem: Column, options: Column, key: Column, difficulty: Column,
         Rule("empty_option", "error", F.exists(options, lambda o: F.trim(o) == "")),
         Rule("same_options", "error", F.size(F.array_distinct(F.transform(options, E.norm_option))) < n),
         Rule("no_key", "error", F.size(F.filter(options, lambda o: o == key)) != 1),
-        Rule("length_tell", "error", F.char_length(key) > longest * 1.35 + 8),
+        Rule("length_tell", "error", F.char_length(key) > longest * LENGTH_TELL[0] + LENGTH_TELL[1]),
         Rule("vague_options", "error", (F.size(F.filter(options, vague)) > 1) | vague(key)),
         Rule("gives_key_away", "error", echoes(key) & ~F.exists(others, echoes)),
         Rule("no_such_difficulty", "error", ~difficulty.isin(*LADDER)),
@@ -80,6 +87,10 @@ def answer_binding(items: DataFrame) -> DataFrame:
     return items.groupBy("grp").agg(F.count("*").alias("rows"), n(scored).alias("scored"), n(scored & (F.size(F.array_intersect(a, b)) == 0)).alias("unrelated"))
 
 
+#: The lean and the share of aligned rows that make a file suspect, and the run that does.
+LEAN, ALIGNED, RUN = 0.35, 0.5, 6
+
+
 def alignment(links: DataFrame) -> DataFrame:
     """By file: rows judged, aligned, leaning to the next and to the previous row, the longest run of one lean, and suspect.
 
@@ -95,7 +106,7 @@ def alignment(links: DataFrame) -> DataFrame:
     n = lambda d: F.coalesce(F.sum(F.when(F.col("d") == d, F.col("k"))), F.lit(0)).alias
     g = runs.groupBy("file").agg(F.sum("k").alias("judged"), n("h")("here"), n("a")("ahead"), n("b")("behind"), F.coalesce(F.max(F.when(F.col("d") != "h", F.col("k"))), F.lit(0)).alias("longest"))
     lean = F.greatest("ahead", "behind") / F.col("judged")
-    return g.withColumn("suspect", ((lean >= 0.35) & (F.col("here") / F.col("judged") < 0.5)) | (F.col("longest") >= 6))
+    return g.withColumn("suspect", ((lean >= LEAN) & (F.col("here") / F.col("judged") < ALIGNED)) | (F.col("longest") >= RUN))
 
 
 def misfiled_blocks(items: DataFrame, gap: int = 150, least: int = 5, chapter_least: int = 12, most: float = 0.12) -> DataFrame:
@@ -115,56 +126,117 @@ def misfiled_blocks(items: DataFrame, gap: int = 150, least: int = 5, chapter_le
 
 
 def concept_scores(concepts: DataFrame, profile: str = "content") -> DataFrame:
-    """(id, value, status) of concepts (id, name, quote, slice, chapter, nearest): grounding in chapter and slice, attribution, distinctness.
+    """(id, value, status) of concepts (id, name, quote, slice, chapter, nearest and, where there is a curriculum, mapped, outcomes, has_curriculum, errors, warnings).
 
-    ``nearest`` is the greatest containment among siblings (null without any).
+    ``nearest`` is the greatest containment among siblings (null without any), ``mapped`` the best score of a mapped
+    outcome, ``outcomes`` the outcomes' text. ``errors`` and ``warnings`` of an audit cost what they cost.
     """
-    in_chapter = T.grounded(F.col("quote"), F.col("chapter"))
-    parts = {
-        "grounding_chapter": in_chapter.cast("double"), "grounding_span": (in_chapter & T.grounded(F.col("quote"), F.col("slice"))).cast("double"),
-        "attribution": F.least(F.lit(1.0), T.coverage(T.stems("name"), T.stems("slice")) / 0.6), "distinctness": F.greatest(F.lit(0.0), 1.0 - F.coalesce(F.col("nearest"), F.lit(0.0))),
-    }
-    return concepts.select("id", scoring.confidence(parts, profile).alias("value")).withColumn("status", scoring.band(F.col("value")))
+    given = lambda c, kind: F.col(c) if c in concepts.columns else F.lit(None).cast(kind)
+    own = T.coverage(T.stems("name"), T.stems("slice"))
+    outcomes = given("outcomes", "string")
+    served = F.when(outcomes.isNotNull(), T.coverage(T.stems("name"), T.stems(outcomes)))
+    parts = scoring.concept_parts(T.grounded(F.col("quote"), F.col("chapter")), T.grounded(F.col("quote"), F.col("slice")), own, F.col("nearest"), given("mapped", "double"), served, F.coalesce(given("has_curriculum", "boolean"), F.lit(False)))
+    penalty = {k: F.coalesce(given(k, "int"), F.lit(0)) for k in ("errors", "warnings")}
+    return concepts.select("id", scoring.confidence(parts, profile, **penalty).alias("value")).withColumn("status", scoring.band(F.col("value")))
+
+
+def topic_scores(topics: DataFrame) -> DataFrame:
+    """(id, value, status) of topics (id, name, quote, chapter, outline): the chapter's outline is null where it prints none."""
+    cover = T.coverage(T.stems("name"), T.stems("chapter"))
+    outline = F.when(F.col("outline").isNotNull(), T.coverage(T.stems("name"), T.stems("outline")))
+    parts = scoring.topic_parts(T.grounded(F.col("quote"), F.col("chapter")), cover, outline)
+    return topics.select("id", scoring.confidence(parts).alias("value")).withColumn("status", scoring.band(F.col("value")))
 
 
 def nearest_sibling(names: DataFrame) -> DataFrame:
-    """(id, nearest): the greatest containment with another name of the same group (grp, id, name); pairs meet on shared words."""
+    """(id, nearest): the greatest containment with another name of the same group (grp, id, name), a chapter's; ids meet on shared words, and counts of them say how much is shared."""
     s = names.select("grp", "id", T.subject_tokens("name").alias("s"))
-    e = s.select("grp", "id", "s", F.explode("s").alias("x"))
+    e = s.select("grp", "id", F.size("s").alias("n"), F.explode("s").alias("x"))
     a, b = e.alias("a"), e.alias("b")
     pairs = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.id") != F.col("b.id")))
-    return pairs.groupBy(F.col("a.id").alias("id")).agg(F.max(T.containment(F.col("a.s"), F.col("b.s"))).alias("nearest"))
+    shared = pairs.groupBy(F.col("a.id").alias("id"), F.col("b.id").alias("other")).agg((F.count("*") / F.least(F.first("a.n"), F.first("b.n"))).alias("c"))
+    return shared.groupBy("id").agg(F.max("c").alias("nearest"))
+
+
+#: Fixed values of the audit: coverage from which a topic is grounded, and weakly so; coverage from which a concept belongs
+#: to its topic; minutes that may be missing; topics of a chapter; characters of a topic, and of a section that needs one.
+GROUNDED, WEAK, BELONGS, MINUTES, TOPICS, TOPIC_CHARS, SECTION_CHARS = 0.6, 0.35, 0.4, 2, (3, 10), 800, 400
+
+
+def duplicate_names(names: DataFrame) -> DataFrame:
+    """(grp, a, b), a < b: names (grp, id, name) of a group that are one unit; they meet on their rarer stems only."""
+    s = names.select("grp", "id", T.subject_tokens("name").alias("s"))
+    keyed = s.select(F.struct("grp", "id").alias("k"), F.transform("s", lambda x: F.concat_ws("\x00", F.col("grp").cast("string"), x)).alias("keys"))
+    met = similar_sets(keyed, "k", "keys", T.DUPLICATE).select("a", "b")
+    of = lambda k: s.select(F.struct("grp", "id").alias(k), F.col("s").alias(f"{k}_s"))
+    pairs = met.join(of("a"), "a").join(of("b"), "b").filter(T.is_duplicate(F.col("a_s"), F.col("b_s")))
+    return pairs.select(F.col("a.grp").alias("grp"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-def audit_chapters(topics: DataFrame, concepts: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Issues (chapter, check, severity, ids) of topics (chapter, id, name, shown, minutes), concepts (chapter, topic_id, id, name) and chapters (chapter, md, minutes).
+def audit_chapters(topics: DataFrame, concepts: DataFrame, chapters: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """Issues (chapter, check, severity, ids) of eight checks.
 
-    Checks: grounding, attribution, duplicates, childless topics, minutes, number of topics.
+    Inputs: topics (chapter, id, name, shown, minutes, start, end), concepts (chapter, topic_id, id, name, minutes),
+    chapters (chapter, title, md, semantic: array of names, or null), and sections (chapter, ord, title, kind, text) as
+    ``parsing.split_sections`` gives them, with an authoritative outline's chapters left out of the coverage check by
+    ``numbered`` (boolean, in chapters, if there). Checks: grounding, relevance (revision blocks, repeated topics and
+    concepts), attribution, coverage, granularity, hierarchy (childless, minutes), semantic.
     """
+    none = F.array().cast("array<bigint>")
     live = topics.filter(F.coalesce("shown", F.lit(True)))
-    own = chapters.select("chapter", T.stems("md").alias("have"))
-    cover = live.join(own, "chapter").withColumn("c", T.coverage(T.stems("name"), F.col("have")))
-    issue = lambda df, name, severity, ids: df.select("chapter", F.lit(name).alias("check"), severity.alias("severity"), ids.alias("ids"))
+    issue = lambda df, name, severity, ids=none: df.select("chapter", F.lit(name).alias("check"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), ids.cast("array<bigint>").alias("ids"))
     one = F.array("id")
-    grounding = issue(cover.filter("c < 0.6"), "grounding", F.when(F.col("c") >= 0.35, "warning").otherwise("error"), one)
-    known = topics.select(F.col("chapter").alias("_c"), F.col("id").alias("_t"), F.coalesce("shown", F.lit(True)).alias("_s"))
-    loose = concepts.join(known, (F.col("chapter") == F.col("_c")) & (F.col("topic_id") == F.col("_t")), "left").filter(F.col("_t").isNull() | ~F.col("_s"))
-    attribution = issue(loose, "attribution", F.lit("error"), one)
-    s = live.select("chapter", "id", T.subject_tokens("name").alias("s"))
-    e = s.select("*", F.explode("s").alias("x"))
-    a, b = e.alias("a"), e.alias("b")
-    pairs = a.join(b, (F.col("a.chapter") == F.col("b.chapter")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.id") < F.col("b.id"))).filter(T.is_duplicate(F.col("a.s"), F.col("b.s")))
-    duplicates = issue(pairs.select(F.col("a.chapter").alias("chapter"), F.array("a.id", "b.id").alias("id")).distinct(), "duplicates", F.lit("error"), F.col("id"))
-    childless = issue(live.join(concepts.select(F.col("topic_id").alias("id")).distinct(), "id", "left_anti"), "childless", F.lit("error"), one)
-    sums = live.groupBy("chapter").agg(F.sum("minutes").alias("m"), F.count("*").alias("n")).join(chapters.select("chapter", "minutes"), "chapter")
-    none = F.array().cast("array<bigint>")
-    minutes = issue(sums.filter(F.abs(F.col("m") - F.col("minutes")) > 2), "minutes", F.lit("warning"), none)
-    count = issue(sums.filter(~F.col("n").between(3, 10)), "topic_count", F.lit("warning"), none)
-    out = None
-    for x in (grounding, attribution, duplicates, childless, minutes, count):
-        x = x.withColumn("ids", F.col("ids").cast("array<bigint>"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    text = chapters.select("chapter", "md", T.stems("md").alias("have"))
+    out = []
+    cover = live.join(text, "chapter").withColumn("c", T.coverage(T.stems("name"), F.col("have")))
+    out.append(issue(cover.filter(F.col("c") < GROUNDED), "grounding", F.when(F.col("c") >= WEAK, "warning").otherwise("error"), one))
+    # attribution: one issue where a chapter has no topics at all, else one for each concept that is loose or lies elsewhere
+    known = topics.select(F.col("chapter").alias("_c"), F.col("id").alias("topic_id"), F.coalesce("shown", F.lit(True)).alias("_s"), F.col("start").alias("_a"), F.col("end").alias("_b"))
+    any_topic = topics.select("chapter").distinct()
+    out.append(issue(concepts.join(any_topic, "chapter", "left_anti").select("chapter").distinct(), "attribution", "error"))
+    c = concepts.join(any_topic, "chapter", "left_semi").alias("c")
+    c = c.join(known.alias("t"), (F.col("c.chapter") == F.col("t._c")) & (F.col("c.topic_id") == F.col("t.topic_id")), "left").select("c.*", "_c", "_s", "_a", "_b")
+    out.append(issue(c.filter(F.col("_c").isNull() | ~F.col("_s")), "attribution", "error", one))
+    own = c.filter(F.col("_s") & F.col("_a").isNotNull()).join(text.select("chapter", "md"), "chapter")
+    span = F.substring(F.col("md"), F.col("_a") + 1, F.col("_b") - F.col("_a"))
+    out.append(issue(own.filter(T.coverage(T.stems("name"), T.stems(span)) < BELONGS), "attribution", "warning", one))
+    # relevance: repeated names; under one topic they only overlap
+    twice = duplicate_names(live.select(F.col("chapter").alias("grp"), "id", "name"))
+    out.append(issue(twice.withColumnRenamed("grp", "chapter"), "relevance", "error", F.array("a", "b")))
+    twice = duplicate_names(concepts.filter("topic_id IS NOT NULL").select(F.col("chapter").alias("grp"), "id", "name"))
+    of = lambda k: concepts.select(F.col("chapter").alias("grp"), F.col("id").alias(k), F.col("topic_id").alias(f"{k}_t"))
+    twice = twice.join(of("a"), ["grp", "a"]).join(of("b"), ["grp", "b"]).withColumnRenamed("grp", "chapter")
+    out.append(issue(twice, "relevance", F.when(F.col("a_t") == F.col("b_t"), "warning").otherwise("error"), F.array("a", "b")))
+    # granularity
+    out.append(issue(live.filter(F.col("end") - F.col("start") < TOPIC_CHARS), "granularity", "warning", one))
+    counts = live.groupBy("chapter").agg(F.count("*").alias("n"))
+    out.append(issue(counts.filter((F.col("n") > TOPICS[1]) | (F.col("n") < TOPICS[0])), "granularity", F.when(F.col("n") > TOPICS[1], "error").otherwise("warning")))
+    # hierarchy
+    under = concepts.groupBy("chapter", F.col("topic_id").alias("id")).agg(F.sum(F.coalesce("minutes", F.lit(0))).alias("_m"))
+    held = live.join(under, ["chapter", "id"], "left")
+    out.append(issue(held.filter(F.col("_m").isNull()), "hierarchy", "error", one))
+    out.append(issue(held.filter((F.coalesce("minutes", F.lit(0)) > 0) & (F.abs(F.col("_m") - F.col("minutes")) > MINUTES)), "hierarchy", "warning", one))
+    # coverage and revision, by each topic's best section
+    if sections is not None:
+        s = sections.filter("title IS NOT NULL").select("chapter", "ord", "title", "kind", "text")
+        target = live.select("chapter", "id", "name", F.array_distinct(T.tokens("name")).alias("want"))
+        scored = target.join(s, "chapter").withColumn("score", section_score(F.col("want"), F.col("title"), F.col("text")))
+        home = scored.groupBy("chapter", "id").agg(F.max_by(F.struct("ord", "kind"), F.struct("score", -F.col("ord"))).alias("h"))
+        out.append(issue(home.filter("h.kind = 'revision'"), "relevance", "error", one))
+        open_ = chapters.filter(~F.coalesce("numbered", F.lit(False))) if "numbered" in chapters.columns else chapters
+        named = open_.select("chapter", T.normalise_name("title").alias("_title"))
+        taught = s.filter((F.col("kind") == "teaching") & (F.char_length("text") >= SECTION_CHARS)).join(named, "chapter").filter(T.normalise_name("title") != F.col("_title"))
+        claimed = home.select("chapter", F.col("h.ord").alias("ord"))
+        said = scored.filter(T.coverage(T.stems("name"), T.stems("title")) >= 0.5).select("chapter", "ord")
+        out.append(issue(taught.join(claimed.union(said).distinct(), ["chapter", "ord"], "left_anti"), "coverage", "error", F.array("ord")))
+    # semantic scope: names of the semantic payload that are no topic's or concept's
+    out.append(issue(chapters.filter(F.col("semantic").isNull()), "semantic", "warning"))
+    told = chapters.select("chapter", F.posexplode("semantic").alias("k", "name"))
+    both = told.select(F.col("chapter").alias("grp"), (-F.col("k") - 1).cast("long").alias("id"), "name").unionByName(live.select(F.col("chapter").alias("grp"), F.col("id").cast("long").alias("id"), "name")).unionByName(concepts.select(F.col("chapter").alias("grp"), (F.col("id").cast("long") + (1 << 40)).alias("id"), "name"))
+    met = duplicate_names(both).filter((F.col("a") < 0) & (F.col("b") >= 0)).select(F.col("grp").alias("chapter"), F.col("a").alias("k")).distinct().groupBy("chapter").agg(F.count("*").alias("m"))
+    share = told.groupBy("chapter").agg(F.count("*").alias("n")).join(met, "chapter", "left").filter(F.coalesce("m", F.lit(0)) < 0.5 * F.col("n"))
+    out.append(issue(share, "semantic", "warning"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def verdicts(issues: DataFrame) -> DataFrame:
@@ -173,6 +245,27 @@ def verdicts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("chapter").agg(n("error").alias("errors"), n("warning").alias("warnings")).withColumn("passed", F.col("errors") == 0).orderBy(F.desc("errors"), F.desc("warnings"), "chapter")
 
 
+def legacy_audit(concepts: DataFrame, budgets: DataFrame) -> DataFrame:
+    """By chapter, the worst first: topics, concepts, distinct, duplicate_rows, target, ceiling, over_budget_by, mean_confidence, below_flag.
+
+    Only what can be told without quotes is scored: concepts (chapter, topic_id, id, name, slice, outcomes or null);
+    budgets as ``planning.chapter_budget`` gives them.
+    """
+    near = nearest_sibling(concepts.select(F.struct("chapter", "topic_id").alias("grp"), "id", "name"))
+    x = concepts.join(near, "id", "left").select("*", F.lit("").alias("quote"), F.lit("").alias("chapter_text"))
+    own = T.coverage(T.stems("name"), T.stems("slice"))
+    served = F.when(F.col("outcomes").isNotNull(), T.coverage(T.stems("name"), T.stems("outcomes")))
+    no = F.lit(False)
+    parts = scoring.concept_parts(no, no, own, F.col("nearest"), F.lit(None).cast("double"), served, no)
+    x = x.select("chapter", "topic_id", "name", scoring.confidence({k: parts[k] for k in scoring.WEIGHTS["deterministic_backfill"]}, "deterministic_backfill").alias("value"))
+    g = x.groupBy("chapter").agg(
+        F.count_distinct("topic_id").alias("topics"), F.count("*").alias("concepts"), F.count_distinct("name").alias("distinct"),
+        F.bround(F.avg("value"), 3).alias("mean_confidence"), F.sum(F.when(F.col("value") < scoring.FLAG, 1).otherwise(0)).cast("long").alias("below_flag"),
+    )
+    g = g.join(budgets.select("chapter", "target", "ceiling"), "chapter", "left").withColumn("duplicate_rows", F.col("concepts") - F.col("distinct"))
+    return g.withColumn("over_budget_by", F.greatest(F.lit(0), F.col("distinct") - F.col("ceiling"))).orderBy("mean_confidence", "chapter")
+
+
 def merge_parts(items: DataFrame) -> DataFrame:
     """Adds label to items (book, part, number): where two parts or more begin at 2 or less, numbers restart, so the part qualifies them."""
     first = items.groupBy("book", "part").agg(F.min("number").alias("_f")).groupBy("book").agg(F.sum(F.when(F.col("_f") <= 2, 1).otherwise(0)).alias("_n"))

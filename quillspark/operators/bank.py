@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 
 import pandas as pd
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import education as E
 from quillspark.functions import text as T
+from quillspark.operators import curriculum
+from quillspark.operators.relational import similar_sets
 
 
 def select_items(items: DataFrame, n: int) -> DataFrame:
@@ -50,18 +51,41 @@ def metadata(items: DataFrame) -> DataFrame:
     )
 
 
+#: What a concept's name and description weigh in a match, and the depth's difficulty from 1 to 5.
+NAME_WEIGHT, DESCRIPTION_WEIGHT, DIFFICULTY = 0.8, 0.2, {1: 2, 2: 3, 3: 4}
+
+
+def tag_offline(items: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(id, concept_id, confidence, bloom, dok, difficulty) of items (grp, id, stem, form, marks) by words alone, against concepts (grp, id, name, description).
+
+    An item and a concept of one group meet on shared words. Below the least accepted score the concept is null, and
+    no score counts for more than the cap: a match of words is no understanding.
+    """
+    words = lambda df, c, k: df.select("grp", F.col("id").alias(k), F.explode(F.array_distinct(T.tokens(c))).alias("x"))
+    stem = words(items, "stem", "item")
+    size = concepts.select(F.col("grp"), F.col("id").alias("concept"), F.size(F.array_distinct(T.tokens("name"))).alias("n"), F.size(F.array_distinct(T.tokens("description"))).alias("d"))
+    side = lambda c, weight: words(concepts, c, "concept").withColumn("weight", F.lit(weight))
+    hits = stem.join(side("name", "n").unionByName(side("description", "d")), ["grp", "x"]).groupBy("grp", "item", "concept").agg(F.sum(F.when(F.col("weight") == "n", 1).otherwise(0)).alias("hn"), F.sum(F.when(F.col("weight") == "d", 1).otherwise(0)).alias("hd"))
+    one = lambda h, of: F.col(h) / F.greatest(F.col(of), F.lit(1))
+    score = NAME_WEIGHT * one("hn", "n") + DESCRIPTION_WEIGHT * one("hd", "d")
+    best = hits.join(size, ["grp", "concept"]).filter("n > 0").withColumn("score", score).groupBy("grp", F.col("item").alias("id")).agg(F.max_by(F.struct("concept", "score"), F.struct("score", -F.col("concept"))).alias("b"))
+    level = T.bloom(F.col("stem"), F.col("form"))
+    x = items.join(best, ["grp", "id"], "left").withColumn("bloom", level).withColumn("dok", T.dok(F.col("bloom"), F.coalesce("marks", F.lit(2))))
+    return x.select(
+        "id", F.when(F.col("b.score") >= curriculum.ACCEPTED, F.col("b.concept")).alias("concept_id"), F.bround(F.least(F.coalesce("b.score", F.lit(0.0)), F.lit(curriculum.LEXICAL)), 3).alias("confidence"),
+        "bloom", "dok", T.lookup(DIFFICULTY, F.col("dok"), 3).alias("difficulty"),
+    )
+
+
 def near_duplicates(items: DataFrame, most: float = 0.8) -> DataFrame:
     """(a, b, overlap), a < b, of items (grp, id, stem) whose bags of words share more than ``most`` of the smaller, within a group.
 
-    Items of a group meet on shared words only; of a bag, copies of a word count.
+    The kth copy of a word is an element of its own, so bags are sets, and pairs meet on their rarer elements only.
     """
     w = items.select("grp", "id", F.explode(T.tokens("stem")).alias("x")).groupBy("grp", "id", "x").agg(F.count("*").alias("k"))
-    n = w.groupBy("id").agg(F.sum("k").alias("n"))
-    a, b = w.alias("a"), w.alias("b")
-    s = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.id") < F.col("b.id")))
-    s = s.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.sum(F.least("a.k", "b.k")).alias("shared"))
-    s = s.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    return s.withColumn("overlap", F.col("shared") / F.least("na", "nb")).filter(F.col("overlap") > most).select("a", "b", "overlap")
+    e = w.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.concat_ws("\x00", F.col("grp").cast("string"), "x", i.cast("string")))).alias("e"))
+    bags = e.groupBy("id").agg(F.collect_list("e").alias("bag"))
+    return similar_sets(bags, "id", "bag", most).filter(F.col("score") > most).select("a", "b", F.col("score").alias("overlap"))
 
 
 def mark_bands(marks: Column, levels: int) -> Column:
@@ -172,19 +196,73 @@ def parse_curricula(docs: DataFrame) -> DataFrame:
     return docs.select("id", "md").mapInPandas(run, "id long, type string, code string, description string, parent string")
 
 
-def best_order(df: DataFrame, most: int = 7) -> DataFrame:
-    """(grp, ord, head, tail) pieces put in the order in which most tails run on into the next head; groups of more than ``most`` stay as they are."""
+#: Pieces of a group up to which the best order is found exactly.
+EXACT_PIECES = 14
+
+
+def _flow(tail: str, head: str) -> int:
+    """1 where one piece runs on into the next: an open end into a small letter, or a full stop into none."""
+    if not tail or not head:
+        return 0
+    closed = tail[-1] in ".?!:"
+    return int(closed != head[0].islower())
+
+
+def _best_path(w: list[list[int]]) -> list[int]:
+    """The order of all pieces with the most flow; the first in their own order among equals. Dynamic programming over subsets."""
+    n = len(w)
+    best = [[-1] * n for _ in range(1 << n)]  # flow still to come, by the pieces used and the last of them
+    for used in range((1 << n) - 1, 0, -1):
+        for last in (i for i in range(n) if used >> i & 1):
+            best[used][last] = max((w[last][j] + best[used | 1 << j][j] for j in range(n) if not used >> j & 1), default=0)
+    path = [max(range(n), key=lambda i: (best[1 << i][i], -i))]
+    used = 1 << path[0]
+    while len(path) < n:
+        left = (j for j in range(n) if not used >> j & 1)
+        path.append(max(left, key=lambda j: (w[path[-1]][j] + best[used | 1 << j][j], -j)))
+        used |= 1 << path[-1]
+    return path
+
+
+def _matched_path(w: list[list[int]]) -> list[int]:
+    """An order of many pieces: a largest matching of ends to heads, by augmenting paths, whose circles are opened at their first piece."""
+    n = len(w)
+    before = [-1] * n  # of each piece, the one that runs on into it
+
+    def find(i, seen):
+        for j in range(n):
+            if i != j and w[i][j] and j not in seen:
+                seen.add(j)
+                if before[j] < 0 or find(before[j], seen):
+                    before[j] = i
+                    return True
+        return False
+
+    for i in range(n):
+        find(i, set())
+    after = {i: j for j, i in enumerate(before) if i >= 0}
+    out, placed = [], [False] * n
+    starts = [j for j in range(n) if before[j] < 0] + list(range(n))
+    for s in starts:
+        while s is not None and not placed[s]:
+            placed[s] = True
+            out.append(s)
+            s = after.get(s)
+    return out
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("ord").reset_index(drop=True)
 
-        def flow(i, j):
-            a, b = str(p["tail"][i]).strip(), str(p["head"][j]).strip()
-            return int(bool(a) and bool(b) and (a[-1] not in ".?!:" and b[0].islower() or a[-1] in ".?!:" and not b[0].islower()))
+def best_order(df: DataFrame, exact: int = EXACT_PIECES) -> DataFrame:
+    """(grp, ord, head, tail) pieces put in the order in which most tails run on into the next head.
 
-        order = range(len(p))
-        if 1 < len(p) <= most:
-            order = max(itertools.permutations(order), key=lambda o: sum(flow(i, j) for i, j in itertools.pairwise(o)))
-        return pd.DataFrame({"grp": p["grp"], "ord": p["ord"].iloc[list(order)].to_numpy(), "pos": range(len(p))})
+    Groups of up to ``exact`` pieces get the best order there is; larger ones the chains of a largest matching, which
+    lose at most one join for each circle that has to be opened. A group is one document's pieces, which a task holds.
+    """
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("ord").reset_index(drop=True)
+        heads, tails = ([str(x or "").strip() for x in p[c]] for c in ("head", "tail"))
+        w = [[_flow(a, b) for b in heads] for a in tails]
+        order = _best_path(w) if len(p) <= exact else _matched_path(w)
+        return pd.DataFrame({"grp": p["grp"], "ord": p["ord"].iloc[order].to_numpy(), "pos": range(len(p))})
 
     return df.groupBy("grp").applyInPandas(run, "grp long, ord long, pos long")

@@ -52,8 +52,11 @@ def primary(links: DataFrame) -> DataFrame:
 
 
 def concept_plan(have: DataFrame, blueprint: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(concept, level, form, want, have, gap): what each concept lacks of the blueprint (level, form, want: a handful of rows)."""
-    want = concepts.select("concept").crossJoin(F.broadcast(blueprint.limit(1000)))
+    """(concept, level, form, want, have, gap): what each concept lacks of the blueprint (level, form, want).
+
+    Every concept is held against every blueprint row, whole; which side is broadcast, if any, is left to their sizes.
+    """
+    want = concepts.select("concept").crossJoin(blueprint)
     h = have.groupBy("concept", "level", "form").agg(F.count("*").alias("have"))
     x = want.join(h, ["concept", "level", "form"], "left").withColumn("have", F.coalesce("have", F.lit(0)))
     return x.withColumn("gap", F.greatest(F.lit(0), F.col("want") - F.col("have")))

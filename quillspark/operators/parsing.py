@@ -5,24 +5,49 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 
-_SECTION = re.compile(r"(?im)^#*\s*section\s*[-:]?\s*([A-E])\b.*$")
-_ANSWERS = re.compile(r"(?im)^#*\s*answers?(?:\s+key)?\s*:?\s*$")
-_NUMBER = re.compile(r"(?m)(?:^|(?<=\s))(?:Q\.?\s*)?(\d{1,3})[.)]\s+")
-_OPTION = re.compile(r"\(\s*([a-dA-D])\s*\)\s*")
-_ANSWER = re.compile(r"(?i)\banswer\s*[:\-]\s*\(?([a-d])\)?")
-_SOLUTION = re.compile(r"(?i)\b(?:solution|explanation)\s*[:\-]\s*")
-_KEY = re.compile(r"(\d{1,3})\s*[.):\-]\s*\(?([a-dA-D])\)?")
-_AR = re.compile(r"(?is)assertion\s*(?:\(\s*a\s*\))?\s*[:\-]\s*(.*?)\s*reason\s*(?:\(\s*r\s*\))?\s*[:\-]\s*(.*)")
-#: Marks of a section's items.
-SECTION_MARKS = {"A": 1, "B": 2, "C": 3, "D": 5, "E": 4}
+@dataclass(frozen=True)
+class Grammar:
+    """How a family of papers is set: words that open its parts. ``questions`` reads any paper by such a grammar."""
+
+    sections: tuple[str, ...] = ("section", "part")
+    forms: dict[str, tuple[str, ...]] = field(default_factory=lambda: {
+        "assertion_reason": ("assertion",), "mcq": ("multiple choice", "choose the correct", "objective"), "true_false": ("true or false", "true/false"),
+        "fill_blank": ("fill in the blank",), "very_short": ("very short",), "short": ("short answer", "short type"), "long": ("long answer", "long type"),
+        "case_study": ("case based", "case-based", "case study"),
+    })
+    answers: tuple[str, ...] = ("answer key", "answers")
+    answer: tuple[str, ...] = ("answer", "ans", "correct option")
+    solution: tuple[str, ...] = ("solutions", "solution", "explanation")
+    alternative: tuple[str, ...] = ("OR",)
+    page: str = r"<!--\s*page[:\s]*(\d+)\s*-->"
+    #: Marks and section by form, and form by section, where a heading doesn't tell.
+    marks: dict[str, int] = field(default_factory=lambda: {"mcq": 1, "assertion_reason": 1, "true_false": 1, "fill_blank": 1, "very_short": 2, "short": 3, "long": 5, "case_study": 4})
+    letters: dict[str, str] = field(default_factory=lambda: {"mcq": "A", "assertion_reason": "A", "true_false": "A", "fill_blank": "A", "very_short": "B", "short": "C", "long": "D", "case_study": "E"})
+
+    def form_of(self, letter: str) -> str:
+        return next((f for f in ("mcq", "very_short", "short", "long", "case_study") if self.letters.get(f) == letter), "short")
+
+
+CBSE = Grammar()
+_NUMBER = re.compile(r"(?:^|(?<=\s))(?:Q\s?\.?\s?)?(\d{1,3})\s?[.)](?=\s)", re.M)
+_LABEL = re.compile(r"\(\s?([a-dA-D])\s?\)")
+_ROMAN = re.compile(r"\(\s?(i{1,3}|iv|v|vi{0,3})\s?\)")
+_ROMANS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii")
+_EACH = re.compile(r"(\d+)\s*marks?\b", re.I)
+_KEY = re.compile(r"(\d{1,3})\s*[.):\-]\s*\(?\s?([a-dA-D])\b\)?")
+_PAIR = re.compile(r"assertion\s*(?:\(\s*a\s*\))?\s*[:\-]\s*(.*?)\s*reason\s*(?:\(\s*r\s*\))?\s*[:\-]\s*(.*)", re.I | re.S)
+_FIGURE = re.compile(r"\b(?:figure|diagram|graph|picture|fig\.)", re.I)
+_OWN_FIGURE = re.compile(r"\b(?:draw|sketch|plot|construct|label)\w*\b[^.]{0,60}\b(?:figure|diagram|graph|picture)", re.I)
+_SHOWN = re.compile(r"\b(?:given|shown|adjoining|above|below|following)\b[^.]{0,20}\b(?:figure|diagram|graph|picture|fig\.)|\b(?:figure|diagram|graph|picture)\b[^.]{0,20}\b(?:given|shown|above|below)", re.I)
 
 
 def rising(numbers: list[int]) -> list[int]:
@@ -35,72 +60,180 @@ def rising(numbers: list[int]) -> list[int]:
     return out
 
 
-def questions(md: str | None) -> list[dict]:
-    """Items of a question paper: section, number, stem, options, key, marks, assertion, reason, solution, hash, start.
+def _any(words: tuple[str, ...]) -> str:
+    return "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
+
+
+def _tidy(s: str) -> str:
+    return " ".join(s.split())
+
+
+def _answers(md: str, g: Grammar) -> tuple[str, dict[int, str]]:
+    """A paper without its last block of answers, and the keys in that: the heading counts only before numbers that rise from its first on."""
+    for m in reversed(list(re.finditer(rf"(?:^|(?<=\s))#*\s*(?:{_any(g.answers)})\s*:?\s+(?=(?:Q\s?\.?\s?)?\d{{1,3}}\s*[.):\-])", md, re.I))):
+        found = [(int(n), k.lower()) for n, k in _KEY.findall(md[m.end() :])]
+        if found:
+            first = found[0][0] - 1
+            return md[: m.start()], {found[i][0]: found[i][1] for i in rising([n - first for n, _ in found])}
+    return md, {}
+
+
+def _form(heading: str, g: Grammar) -> str | None:
+    low = heading.lower()
+    hits = [(low.find(w), -len(w), f) for f, ws in g.forms.items() for w in ws if w in low]
+    return min(hits)[2] if hits else None
+
+
+def _parts(md: str, g: Grammar) -> list[tuple[int, int, str, str, int]]:
+    """(begin, end, section letter, form, marks) of the runs of items: printed sections and headings within them, or, without sections, the headings of forms that a number follows."""
+    printed = [(m.start(), m.end(), m[1].upper()) for m in re.finditer(rf"\b(?:{_any(g.sections)})\s*[-:\u2013]?\s*([A-E])\b", md, re.I)]
+    phrases = _any(tuple(w for ws in g.forms.values() for w in ws))
+    named = []
+    for m in re.finditer(rf"\b(?:{phrases})", md, re.I):
+        after = _NUMBER.search(md, m.end(), m.end() + (400 if printed else 80))
+        if after and not any(s <= m.start() < e + 80 for s, e, _ in printed) and (not named or m.start() - named[-1] >= 30) and not _NUMBER.search(md, max(0, m.start() - 12), m.start()):
+            if not printed or _form(md[m.start() : m.end()], g) == "assertion_reason" and "question" in md[m.end() : m.end() + 30].lower():
+                named.append(m.start())
+    cuts = sorted([(s, e, letter) for s, e, letter in printed] + [(s, s, None) for s in named])
+    out, letter = [], None
+    for i, (s, e, own) in enumerate(cuts):
+        end = cuts[i + 1][0] if i + 1 < len(cuts) else len(md)
+        first = _NUMBER.search(md, e)
+        heading = md[s : min(end, first.start() if first else end, e + 120)]
+        form = _form(heading, g) or g.form_of(own or letter or "A")
+        letter = own or (letter if printed else None) or g.letters.get(form, "A")
+        told = _EACH.search(heading)
+        out.append((e, end, letter, form, int(told[1]) if told else g.marks.get(form, 1)))
+    return out or [(0, len(md), "A", "mcq", 1)]
+
+
+def _split(piece: str, words: tuple[str, ...]) -> tuple[str, str | None]:
+    m = re.search(rf"\b(?:{_any(words)})\s*[:\-]\s*", piece, re.I)
+    return (piece[: m.start()], piece[m.end() :]) if m else (piece, None)
+
+
+def _item(piece: str, g: Grammar) -> dict:
+    """The fields of one item's text."""
+    key = None
+    if a := re.search(rf"\b(?:{_any(g.answer)})\s*[:\-]?\s*\(\s?([a-dA-D])\s?\)|\b(?:{_any(g.answer)})\s*[:\-]\s*([a-dA-D])\b", piece, re.I):
+        key = (a[1] or a[2]).lower()
+        piece = piece[: a.start()] + " " + piece[a.end() :]
+    body, solution = _split(piece, g.solution)
+    pair = _PAIR.match(_tidy(body))
+    labels = list(_LABEL.finditer(body))
+    climb = [labels[k] for k in rising([ord(o[1].lower()) - 96 for o in labels])][:4]
+    options: list[str] = []
+    if len(climb) == 4 and not pair:
+        options = [_tidy(body[o.end() : climb[k + 1].start() if k < 3 else len(body)]).strip(" .;,") for k, o in enumerate(climb)]
+        body = body[: climb[0].start()]
+    parts = list(_ROMAN.finditer(body))
+    subs = [parts[k][1] for k in rising([_ROMANS.index(p[1]) + 1 for p in parts])]
+    worth = sum(int(x) for x in re.findall(r"\(\s*(\d+)\s*marks?\s*\)", body, re.I))
+    stem = _tidy(body)
+    hashed = " ".join(re.findall(r"\w+", stem.lower())) + "|" + "|".join(sorted(o.lower() for o in options))
+    return {
+        "stem": stem, "options": options, "key": key if options or pair else None, "worth": worth, "sub_parts": subs if len(subs) >= 2 else [],
+        "assertion": pair[1].strip() if pair else None, "reason": pair[2].strip() if pair else None, "solution": _tidy(solution) if solution else None,
+        "needs_figure": bool(_FIGURE.search(stem)) and (bool(_SHOWN.search(stem)) or not _OWN_FIGURE.search(stem)), "sha256": hashlib.sha256(hashed.encode()).hexdigest(),
+    }
 
-    A last ANSWERS block gives keys by number; numbers must rise by one within a section; options must climb from a.
+
+def questions(md: str | None, grammar: Grammar = CBSE) -> list[dict]:
+    """Items of a question paper: section, number, alternative, form, stem, options, key, marks, sub_parts, assertion, reason, solution, needs_figure, page, sha256, start.
+
+    The text is one stream: headings, numbers and labels count wherever they stand, so a page that was joined into one
+    line reads like a tidy one. A last block of answers gives keys by number; numbers must rise by one within a run;
+    options must climb from a. What stands on either side of a lone OR are alternatives of one number. The page is the
+    last page mark before an item.
     """
     md = md or ""
-    keys: dict[int, str] = {}
-    if blocks := list(_ANSWERS.finditer(md)):
-        keys = {int(n): k.lower() for n, k in _KEY.findall(md[blocks[-1].end() :])}
-        md = md[: blocks[-1].start()]
-    cuts = [(m.start(), m.end(), m[1].upper()) for m in _SECTION.finditer(md)] or [(0, 0, "A")]
+    pages = [(m.start(), int(m[1])) for m in re.finditer(grammar.page, md, re.I)]
+    text = re.sub(grammar.page, lambda m: " " * len(m[0]), md, flags=re.I)
+    text, keys = _answers(text, grammar)
     out = []
-    for i, (_, begin, name) in enumerate(cuts):
-        end = cuts[i + 1][0] if i + 1 < len(cuts) else len(md)
-        body = md[begin:end]
-        found = list(_NUMBER.finditer(body))
-        numbers = [int(m[1]) for m in found]
-        first = numbers[0] - 1 if numbers else 0  # sections may go on counting
-        kept = [found[j] for j in rising([n - first for n in numbers])]
+    for begin, end, letter, form, marks in _parts(text, grammar):
+        found = list(_NUMBER.finditer(text, begin, end))
+        if not found:
+            continue
+        first = int(found[0][1]) - 1  # runs may go on counting
+        kept = [found[j] for j in rising([int(m[1]) - first for m in found])]
         for j, m in enumerate(kept):
-            piece = body[m.end() : kept[j + 1].start() if j + 1 < len(kept) else len(body)].strip()
+            piece = text[m.end() : kept[j + 1].start() if j + 1 < len(kept) else end]
             number = int(m[1])
-            solution = None
-            if s := _SOLUTION.search(piece):
-                piece, solution = piece[: s.start()].strip(), piece[s.end() :].strip()
-            key = keys.get(number)
-            if a := _ANSWER.search(piece) or (solution and _ANSWER.search(solution)) or None:
-                key = a[1].lower()
-                piece = _ANSWER.sub("", piece).strip()
-            marks_at = list(_OPTION.finditer(piece))
-            climb = rising([ord(o[1].lower()) - 96 for o in marks_at])
-            options = []
-            if len(climb) == 4:
-                at = [marks_at[k] for k in climb]
-                options = [" ".join(piece[o.end() : (at[k + 1].start() if k < 3 else len(piece))].split()) for k, o in enumerate(at)]
-                piece = piece[: at[0].start()].strip()
-            stem = " ".join(piece.split())
-            ar = _AR.match(stem)
-            norm = " ".join(re.findall(r"\w+", stem.lower())) + "|" + "|".join(sorted(o.lower() for o in options))
-            out.append({
-                "section": name, "number": number, "stem": stem, "options": options, "key": key if options else None,
-                "marks": SECTION_MARKS.get(name, 1), "assertion": ar[1] if ar else None, "reason": ar[2] if ar else None, "solution": solution,
-                "sha256": hashlib.sha256(norm.encode()).hexdigest(), "start": begin + m.start(),
-            })
+            for k, one in enumerate(re.split(rf"(?<=\s)(?:{_any(grammar.alternative)})(?=\s)", piece)):
+                x = _item(one, grammar)
+                if k and not x["stem"]:
+                    continue
+                own = "assertion_reason" if x["assertion"] is not None else "mcq" if x["options"] else "case_study" if form == "case_study" and x["sub_parts"] else form
+                worth = x.pop("worth")
+                x["key"] = x["key"] or (keys.get(number) if x["options"] or x["assertion"] is not None else None)
+                out.append({"section": letter, "number": number, "alternative": k, "form": own, "marks": worth if own == "case_study" and worth else marks, "page": next((p for at, p in reversed(pages) if at <= m.start()), None), "start": m.start(), **x})
     return out
 
 
-_ITEM = "id long, section string, number int, stem string, options array<string>, key string, marks int, assertion string, reason string, solution string, sha256 string, start int"
+_ITEM = "id long, section string, number int, alternative int, form string, stem string, options array<string>, key string, marks int, sub_parts array<string>, assertion string, reason string, solution string, needs_figure boolean, page int, sha256 string, start int"
 
 
-def extract_questions(docs: DataFrame) -> DataFrame:
-    """Items of every document (id, md). The state machine is sequential within a document; documents are independent."""
+def extract_questions(docs: DataFrame, grammar: Grammar = CBSE) -> DataFrame:
+    """Items of every document (id, md), read by ``grammar``. The state machine is sequential within a document; documents are independent."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in _ITEM.split(", ")]
         for b in batches:
-            rows = [{"id": i, **q} for i, md in zip(b["id"], b["md"], strict=True) for q in questions(md)]
-            yield pd.DataFrame(rows, columns=names)
+            rows = [{"id": i, **q} for i, md in zip(b["id"], b["md"], strict=True) for q in questions(md, grammar)]
+            yield pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
 
     return docs.select("id", "md").mapInPandas(run, _ITEM)
 
 
+#: Items by section of a full paper, and its marks.
+BLUEPRINT, FULL_MARKS = {"A": 20, "B": 5, "C": 6, "D": 4, "E": 3}, 80
+
+
 def section_fingerprint(items: DataFrame) -> DataFrame:
-    """By document and section: items, marks, choice items, assertion-reason items."""
+    """By document and section: items, marks, choice items, assertion-reason items, items with a figure, forms in the order in which they come, and how many a full paper has."""
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    return items.groupBy("id", "section").agg(F.count("*").alias("n"), F.sum("marks").alias("marks"), n(F.size("options") == 4).alias("choice"), n(F.col("assertion").isNotNull()).alias("assertion_reason"))
+    forms = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("start", "form"))), lambda x: x["form"]))
+    g = items.groupBy("id", "section").agg(
+        F.count("*").alias("n"), F.sum("marks").alias("marks"), n(F.size("options") == 4).alias("choice"), n(F.col("assertion").isNotNull()).alias("assertion_reason"),
+        n(F.col("needs_figure")).alias("figures"), forms.alias("forms"),
+    )
+    return g.withColumn("expected", T.lookup(BLUEPRINT, F.col("section"), 0))
+
+
+def topic_outline(docs: DataFrame, least: int = 3) -> DataFrame:
+    """(id, ord, number, title, authoritative) of documents (id, md): sections that the text numbers itself ("2.1 Mirrors"), the first of each number and wording.
+
+    ``least`` or more of them make an outline that topics can be held against.
+    """
+    line = docs.select("id", F.posexplode(F.split("md", "\n")).alias("line", "s"))
+    shape = r"^#{0,6}\s?(\d{1,2}\.\d{1,2})\.?\s+(\p{L}[^.?!]{2,79})$"
+    x = line.withColumn("number", F.regexp_extract("s", shape, 1)).withColumn("title", F.trim(F.regexp_extract("s", shape, 2))).filter("number != ''")
+    one = x.groupBy("id", "number").agg(F.min_by("title", "line").alias("title"), F.min("line").alias("line"))
+    one = one.groupBy("id", T.normalise_name("title").alias("_k")).agg(F.min_by("number", "line").alias("number"), F.min_by("title", "line").alias("title"), F.min("line").alias("line")).drop("_k")
+    w = W.partitionBy("id")
+    return one.select("id", F.row_number().over(w.orderBy("line")).alias("ord"), "number", "title", (F.count("*").over(w) >= least).alias("authoritative"))
+
+
+def topic_spans(docs: DataFrame, topics: DataFrame) -> DataFrame:
+    """(id, ord, start, end): where each topic (id, ord, name) lies in its document (id, md); spans tile the text. Documents without topics have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, md, found in zip(b["id"], b["md"], b["topics"], strict=True):
+                found = list(found)
+                rows += [(i, x["ord"], s, e) for x, (s, e) in zip(found, partition_by_topics(md or "", [x["name"] or "" for x in found]), strict=True)]
+            yield pd.DataFrame(rows, columns=["id", "ord", "start", "end"])
+
+    of = topics.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("topics"))
+    return docs.join(of, "id").select("id", "md", "topics").mapInPandas(run, "id long, ord long, start long, end long")
+
+
+def section_score(target: Column, title: Column, text: Column, body: int = 4000, most: int = 120) -> Column:
+    """How much of a target's tokens a section holds: its heading counts three times what its body's first ``body`` characters do."""
+    share = lambda c: T.coverage(target, F.array_distinct(T.tokens(c)))
+    return 3.0 * share(F.substring(title, 1, most)) + share(F.substring(text, 1, body))
 
 
 def split_sections(docs: DataFrame) -> DataFrame:

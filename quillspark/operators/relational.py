@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+
 
 def optional(df: DataFrame, **bound) -> DataFrame:
     """Equality filters for the arguments that are given; a null argument filters nothing (and adds nothing to the plan)."""
@@ -72,52 +74,73 @@ def prefix_pairs(names: DataFrame, col: str) -> DataFrame:
 def similar_sets(sets: DataFrame, id_col: str, set_col: str, least: float) -> DataFrame:
     """(a, b, shared, score), a < b, containment at least ``least`` > 0: pairs meet on shared elements, rarest first.
 
-    A pair with containment t of a set of size n shares at least ceil(t n) elements, so one of its n - ceil(t n) + 1
-    rarest is among them: only those of either set are keys, which keeps common elements from making pairs.
+    A pair with containment t of a set of size n shares at least ceil(t n) elements, so one of the smaller set's
+    n - ceil(t n) + 1 rarest is among them: only those are keys, which keeps common elements from making pairs. What
+    meets are ids and elements; sets are fetched for the pairs that met.
     """
-    e = sets.select(F.col(id_col).alias("id"), F.col(set_col).alias("s"), F.explode(set_col).alias("x"))
+    s = sets.select(F.col(id_col).alias("id"), F.col(set_col).alias("s")).filter(F.size("s") > 0)
+    e = s.select("id", F.size("s").alias("n"), F.explode("s").alias("x"))
     freq = e.groupBy("x").agg(F.count("*").alias("f"))
     ranked = e.join(freq, "x").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("f", "x")))
-    n = F.size("s")
-    keys = ranked.filter(F.col("r") <= n - F.ceil(n * least - 1e-9) + 1).select("id", "s", "x")
-    pairs = keys.alias("p").join(e.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.id") != F.col("q.id")))
-    pairs = pairs.filter(F.size("p.s") <= F.size("q.s"))
-    a, b = F.least("p.id", "q.id"), F.greatest("p.id", "q.id")
-    shared = F.size(F.array_intersect("p.s", "q.s"))
-    return pairs.select(a.alias("a"), b.alias("b"), shared.cast("long").alias("shared"), (shared / F.size("p.s")).alias("score")).distinct().filter(F.col("score") >= least)
-
-
-def contains_join(docs: DataFrame, quotes: DataFrame, words: int = 6) -> DataFrame:
+    keys = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    p, q = keys.alias("p"), e.alias("q")
+    met = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.id") != F.col("q.id")) & (F.col("p.n") <= F.col("q.n")))
+    met = met.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
+    of = lambda k: s.select(F.col("id").alias(k), F.col("s").alias(f"{k}_s"))
+    x = met.join(of("a"), "a").join(of("b"), "b")
+    shared = F.size(F.array_intersect("a_s", "b_s"))
+    score = shared / F.least(F.size("a_s"), F.size("b_s"))
+    return x.select("a", "b", shared.cast("long").alias("shared"), score.alias("score")).filter(F.col("score") >= least)
+
+
+def contains_join(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """(quote, doc): the quote's text stands verbatim in the document's. Inputs: docs(doc, t), quotes(quote, q), both normalised.
 
-    A quote is looked up by its first words: an equality join with the documents' distinct word runs, then ``contains``.
+    The first and last word of a quote may be parts of longer words of the text; the words between are whole. A quote
+    is looked up by the one of them that the fewest documents hold, and a text is fetched only for the pairs that so
+    meet. A quote without inner words is looked up among the distinct words of all texts instead.
     """
-    q = quotes.withColumn("w", F.split("q", " ")).filter(F.col("q") != "").withColumn("k", F.least(F.size("w"), F.lit(words)))
-    # the first and last word may be parts of longer words of the text, so the key takes whole inner words where there are any
-    q = q.withColumn("key", F.when(F.size("w") >= 3, F.array_join(F.slice("w", F.lit(2), F.greatest(F.lit(1), F.least(F.size("w") - 2, F.lit(words)))), " ")))
-    long_, short = q.filter(F.col("key").isNotNull()).withColumn("k", F.size(F.split("key", " "))), q.filter(F.col("key").isNull())
-    lengths = [r["k"] for r in long_.select("k").distinct().limit(words + 1).collect()]
-    d = docs.withColumn("w", F.split("t", " "))
-    out = docs.join(F.broadcast(short) if not lengths else short, F.col("t").contains(F.col("q"))).select("quote", "doc")
-    for k in lengths:
-        run = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(k)), " "))  # noqa: B023
-        keys = d.filter(F.size("w") >= k).select("doc", "t", F.explode(F.array_distinct(run)).alias("key"))
-        hit = keys.join(long_.filter(F.col("k") == k).select("quote", "q", "key"), "key").filter(F.col("t").contains(F.col("q")))
-        out = out.unionByName(hit.select("quote", "doc"))
-    return out.distinct()
-
-
-def best_overlap(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    w = F.split("q", " ")
+    q = quotes.filter(F.col("q") != "").select("quote", "q", w.alias("w"))
+    inner = q.filter(F.size("w") >= 3).select("quote", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("x"))
+    words = docs.select("doc", F.explode(F.array_distinct(F.split("t", " "))).alias("x"))
+    asked = words.join(inner.select("x").distinct(), "x")
+    seen = asked.groupBy("x").agg(F.count("*").alias("f"))
+    key = inner.join(seen, "x", "left").groupBy("quote").agg(F.min_by("x", F.struct(F.coalesce("f", F.lit(0)), "x")).alias("x"), F.min(F.coalesce("f", F.lit(0))).alias("f"))
+    met = asked.join(key.filter("f > 0").select("quote", "x"), "x").select("quote", "doc")
+    short = q.filter(F.size("w") < 3).select("quote", "q", F.element_at("w", 1).alias("first"), F.size("w").alias("k"))
+    every = words.select("x").distinct()
+    fits = F.when(F.col("k") == 1, F.col("x").contains(F.col("first"))).otherwise(F.col("x").endswith(F.col("first")))
+    met = met.unionByName(words.join(every.join(short, fits).select("quote", "x"), "x").select("quote", "doc"))
+    found = met.distinct().join(quotes.select("quote", "q"), "quote").join(docs.select("doc", "t"), "doc")
+    return found.filter(F.col("t").contains(F.col("q"))).select("quote", "doc")
+
+
+def best_overlap(left: DataFrame, right: DataFrame, k: int, tokens: str = "tokens") -> DataFrame:
     """(l, r, score, rank): the k ``right`` items that cover most of each ``left`` item's tokens; ties to the smaller r.
 
-    Inputs: l, tokens and r, tokens (distinct). An equality join on tokens and a count; nothing is paired that shares nothing.
+    Inputs: l, tokens and r, tokens (distinct). An equality join on tokens and a count; nothing is paired that shares
+    nothing. Tokens of ``right`` that no left item has go before the join, and counts combine before the shuffle.
     """
-    a = left.select("l", F.size("tokens").alias("n"), F.explode("tokens").alias("x"))
-    b = right.select("r", F.explode("tokens").alias("x"))
+    a = left.select("l", F.size(tokens).alias("n"), F.explode(tokens).alias("x"))
+    b = right.select("r", F.explode(tokens).alias("x"))
     s = a.join(b, "x").groupBy("l", "r").agg((F.count("*") / F.max("n")).alias("score"))
     return top_k(s, ["l"], [F.desc("score"), F.col("r")], k)
 
 
+def first_names(names: DataFrame) -> DataFrame:
+    """(grp, ord, name) rows whose name isn't that of an earlier row of the group: names that are one unit, and no discriminator apart.
+
+    A later name goes when it is a duplicate of any earlier one, kept or not. Names meet on their rarer stems.
+    """
+    s = names.select("grp", "ord", "name", T.subject_tokens("name").alias("s"))
+    keyed = s.select(F.struct("grp", "ord").alias("id"), F.transform("s", lambda x: F.concat_ws("\x00", F.col("grp").cast("string"), x)).alias("k"))
+    met = similar_sets(keyed, "id", "k", T.DUPLICATE).select("a", "b")
+    of = lambda k: s.select(F.struct("grp", "ord").alias(k), F.col("s").alias(f"{k}_s"))
+    twice = met.join(of("a"), "a").join(of("b"), "b").filter(T.is_duplicate(F.col("a_s"), F.col("b_s"))).select(F.col("b.grp").alias("grp"), F.col("b.ord").alias("ord")).distinct()
+    return names.join(twice, ["grp", "ord"], "left_anti")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, keep_old_when_null: bool = True) -> DataFrame:
     """Rows of both sides by key: new values win; where they are null the old ones stay, unless told otherwise."""
     o, n = old.alias("o"), new.alias("n")
@@ -126,10 +149,20 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep_old_when_null: bool =
     return j.select(F.coalesce(f"n.{key}", f"o.{key}").alias(key), *[pick(c).alias(c) for c in old.columns if c != key])
 
 
-def retire(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Upsert on a natural key that hides what the new batch doesn't hold: key and shown."""
-    o, n = old.select(F.col(key).alias("o")).distinct(), new.select(F.col(key).alias("n")).distinct()
-    return o.join(n, F.col("o") == F.col("n"), "full_outer").select(F.coalesce("o", "n").alias(key), F.col("n").isNotNull().alias("shown"), F.col("o").isNull().alias("added"))
+def retire(old: DataFrame, new: DataFrame, key: str, id_col: str) -> DataFrame:
+    """``old`` rows by natural key after the batch ``new`` (no ids): what it holds is updated and shown, what it doesn't is hidden, what is new is added with a null id.
+
+    Of old rows that share a key, the one of the least id is the row; the others are hidden. All columns come back,
+    with shown and added.
+    """
+    rest = [c for c in old.columns if c not in (key, id_col)]
+    first = F.row_number().over(W.partitionBy(key).orderBy(id_col)) == 1
+    o = old.withColumn("_first", first).alias("o")
+    n = new.groupBy(key).agg(*[F.min_by(c, F.struct(*rest)).alias(c) for c in rest]).withColumn("_new", F.lit(True)).alias("n")
+    j = o.join(n, F.col(f"o.{key}").eqNullSafe(F.col(f"n.{key}")) & F.col("o._first"), "full_outer")
+    here, there = F.coalesce(F.col("n._new"), F.lit(False)), F.col(f"o.{id_col}").isNotNull()
+    pick = lambda c: F.when(here, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+    return j.select(F.col(f"o.{id_col}").alias(id_col), F.coalesce(f"o.{key}", f"n.{key}").alias(key), *[pick(c) for c in rest], here.alias("shown"), (~there).alias("added"))
 
 
 def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:

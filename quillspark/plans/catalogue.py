@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import scoring, text
 from quillspark.operators import parsing, planning, relational, rules
-from quillspark.plans import domain, sql_queries  # noqa: F401  they register queries
+from quillspark.plans import banks, domain, sql_queries  # noqa: F401  they register queries
 from quillspark.plans.registry import ORACLES, QUERIES, query
 from quillspark.session import table
 from quillspark.streaming import ledger
@@ -66,7 +66,7 @@ def t06_match_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.match_key("p_name").alias("k"))
 
 
-_SUBJECT = f"WITH s AS (SELECT DISTINCT p_name AS n, {_stems('p_name')} AS x FROM part)"
+_SUBJECT = f"WITH s AS (SELECT i AS n, {_stems('t')} AS x FROM (SELECT conv_id * 100 + turn AS i, array_to_string(string_split(text, ' ')[1:4], ' ') AS t FROM conversations))"
 
 
 @query(
@@ -74,8 +74,9 @@ _SUBJECT = f"WITH s AS (SELECT DISTINCT p_name AS n, {_stems('p_name')} AS x FRO
     "WHERE len(a.x) > 0 AND len(b.x) > 0 AND CAST(len(list_intersect(a.x, b.x)) AS DOUBLE) / least(len(a.x), len(b.x)) >= 0.8"
 )
 def j19_name_containment_pairs(spark, sf_dir):
-    """Names of which the shorter's stems lie in the longer by four fifths, found by their rarest stems."""
-    s = table(spark, sf_dir, "part").select(F.col("p_name").alias("n"), text.stems("p_name").alias("x")).distinct()
+    """Turns whose first words lie in another's by four fifths of their stems, found by their rarest stems."""
+    c = table(spark, sf_dir, "conversations")
+    s = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("n"), text.stems(F.array_join(F.slice(F.split("text", " "), 1, 4), " ")).alias("x"))
     return relational.similar_sets(s, "n", "x", text.DUPLICATE).select("a", "b", "shared")
 
 
@@ -88,7 +89,7 @@ def j19_name_containment_pairs(spark, sf_dir):
 def t07_coverage_topk(spark, sf_dir):
     """The three documents that cover most of each benchmark item."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("l"), text.stems("text").alias("tokens"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("r"), text.stems("text").alias("tokens"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("r"), F.array_distinct(F.transform(text.tokens("text"), text.singular)).alias("tokens"))
     n = b.select("l", F.size("tokens").alias("n"))
     x = relational.best_overlap(b, d, 3).join(n, "l")
     return x.select(F.col("l").alias("item_id"), F.col("r").alias("doc_id"), F.round(F.col("score") * F.col("n")).cast("long").alias("shared"), "rank")
@@ -138,12 +139,24 @@ def t33_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), " ").alias("links"))
 
 
-_BLOOM_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in text.BLOOM) + " ELSE 'understand' END"
+_SAYS = "list_has_any(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}#]+', ' ', 'g'), ' '), [{0}])"
+_BLOOM_SQL = "CASE " + " ".join(f"WHEN {_SAYS.format(words)} THEN '{level}'" for level, words in (
+    ("create", "'compose', 'create', 'design', 'develop', 'devise', 'formulate', 'invent', 'plan', 'propose'"),
+    ("evaluate", "'agree', 'argue', 'assess', 'criticise', 'defend', 'evaluate', 'judge', 'justify', 'recommend'"),
+    ("analyze", "'analyse', 'analyze', 'assertion', 'compare', 'contrast', 'deduce', 'derive', 'differentiate', 'distinguish', 'examine', 'infer', 'prove', 'relate'"),
+    ("apply", "'apply', 'balance', 'calculate', 'complete', 'compute', 'convert', 'determine', 'draw', 'find', 'plot', 'simplify', 'sketch', 'solve', 'use'"),
+    ("understand", "'classify', 'describe', 'discuss', 'explain', 'how', 'illustrate', 'interpret', 'summarise', 'why'"),
+    ("recall", "'define', 'identify', 'label', 'list', 'mention', 'name', 'recall', 'state', 'what', 'when', 'where', 'who'"),
+)) + " ELSE 'understand' END"
+#: Questions made of suppliers: each begins with another verb.
+_ASKED = "SELECT s_suppkey, ['Design', 'Justify', 'Compare', 'Solve', 'Explain', 'Define', 'Paint'][s_suppkey % 7 + 1] || ' the offer of ' || s_name || '.' AS text FROM supplier"
 
 
-@query(f"SELECT conv_id, turn, {_BLOOM_SQL} AS bloom FROM conversations")
+@query(f"SELECT s_suppkey, {_BLOOM_SQL} AS bloom FROM ({_ASKED})")
 def t25_bloom(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.bloom(F.coalesce("text", F.lit("")), F.lit("none")).alias("bloom"))
+    verbs = F.array(*[F.lit(v) for v in ("Design", "Justify", "Compare", "Solve", "Explain", "Define", "Paint")])
+    asked = F.concat(F.element_at(verbs, (F.col("s_suppkey") % 7 + 1).cast("int")), F.lit(" the offer of "), F.col("s_name"), F.lit("."))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.bloom(asked, F.lit("none")).alias("bloom"))
 
 
 @query()
@@ -190,7 +203,7 @@ _VOCAB = f"e AS (SELECT source, unnest({_TOKENS.format('text')}) AS x FROM docum
 @query(f"WITH {_VOCAB} SELECT a.source AS a, b.source AS b, count(*) AS shared FROM v a JOIN v b ON a.x = b.x AND a.source < b.source GROUP BY 1, 2")
 def a23_vocab_overlap(spark, sf_dir):
     """Shared words of the sources' 40 most frequent."""
-    e = table(spark, sf_dir, "documents").select("source", F.explode(text.tokens("text")).alias("x")).groupBy("source", "x").count()
+    e = text.token_rows(table(spark, sf_dir, "documents"), ["source"], "text").groupBy("source", "x").count()
     v = relational.top_k(e, ["source"], [F.desc("count"), F.col("x")], 40).select("source", "x")
     a, b = v.alias("a"), v.alias("b")
     j = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.source") < F.col("b.source")))
@@ -205,13 +218,17 @@ def a26_sequence_gaps(spark, sf_dir):
 
 @query(f"WITH e AS (SELECT DISTINCT source, unnest({_TOKENS.format('text')}) AS x FROM documents) SELECT x, count(*) AS n FROM e GROUP BY x HAVING count(*) <= 3")
 def a27_rare_vocabulary(spark, sf_dir):
-    e = table(spark, sf_dir, "documents").select("source", F.explode(text.tokens("text")).alias("x")).distinct()
+    e = text.token_rows(table(spark, sf_dir, "documents"), ["source"], "text", distinct=True).groupBy("source", "x").agg(F.lit(1))
     return e.groupBy("x").agg(F.count("*").alias("n")).filter("n <= 3")
 
 
-@query("SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON b.p_name LIKE a.p_name || '%' AND a.p_name <> b.p_name")
+@query("SELECT DISTINCT a.n AS a, b.n AS b FROM (SELECT s_name AS n FROM supplier UNION SELECT substring(s_name, 1, 15) FROM supplier UNION SELECT n_name FROM nation) a JOIN (SELECT s_name AS n FROM supplier UNION SELECT n_name FROM nation) b ON starts_with(b.n, a.n) AND a.n <> b.n")
 def j06_prefix_join(spark, sf_dir):
-    return relational.prefix_pairs(table(spark, sf_dir, "part"), "p_name")
+    """Names that begin another: nations of one digit and of two, and suppliers' numbers cut short."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    names = s.select("s_name").union(s.select(F.substring("s_name", 1, 15))).union(n.select("n_name"))
+    whole = s.select(F.col("s_name").alias("b")).union(n.select("n_name"))
+    return relational.prefix_pairs(names.toDF("name"), "name").join(whole, "b", "left_semi").select("a", "b")
 
 
 @query(f"WITH p AS (SELECT p_partkey, array_to_string(list_sort({_FOLD.format(_TOKENS.format('p_name'))}), ' ') AS k FROM part) SELECT k, count(*) AS n, min(p_partkey) AS least FROM p GROUP BY k")
@@ -233,14 +250,15 @@ def j16_carry_forward(spark, sf_dir):
 
 
 @query(
-    f"WITH q AS (SELECT item_id, {_stems('text')} AS w FROM benchmark), c AS (SELECT DISTINCT p_name AS name, {_stems('p_name')} AS w FROM part), "
+    f"WITH q AS (SELECT item_id, {_stems('text')} AS w FROM benchmark), c AS (SELECT conv_id * 100 + turn AS name, {_stems('t')} AS w FROM (SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:5], ' ') AS t FROM conversations)), "
     "e AS (SELECT item_id, unnest(w) AS x FROM q), f AS (SELECT name, len(w) AS n, unnest(w) AS x FROM c) "
     "SELECT item_id, name FROM (SELECT item_id, name, row_number() OVER (PARTITION BY item_id ORDER BY CAST(count(*) AS DOUBLE) / max(n) DESC, name) AS rn FROM e JOIN f USING (x) GROUP BY item_id, name) WHERE rn = 1"
 )
 def j20_lexical_best_match(spark, sf_dir):
-    """The part name of which each item holds the largest share of words."""
+    """The turn of whose first words each item holds the largest share."""
     q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.stems("text")).alias("x"))
-    c = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), text.stems("p_name").alias("w")).distinct().select("name", F.size("w").alias("n"), F.explode("w").alias("x"))
+    first = text.stems(F.array_join(F.slice(F.split("text", " "), 1, 5), " "))
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("name"), first.alias("w")).select("name", F.size("w").alias("n"), F.explode("w").alias("x"))
     s = q.join(c, "x").groupBy("item_id", "name").agg((F.count("*") / F.max("n")).alias("score"))
     return relational.top_k(s, ["item_id"], [F.desc("score"), F.col("name")], 1).select("item_id", "name")
 
@@ -312,10 +330,15 @@ def s13_upsert(spark, sf_dir):
     return relational.upsert(o.filter("o_orderkey % 3 <> 0"), new, "o_orderkey")
 
 
-@query("SELECT coalesce(o.k, n.k) AS k, n.k IS NOT NULL AS shown, o.k IS NULL AS added FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') o FULL OUTER JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') n ON o.k = n.k")
+@query(
+    "WITH o AS (SELECT c_custkey AS id, c_nationkey || c_mktsegment AS k, c_acctbal AS v, row_number() OVER (PARTITION BY c_nationkey || c_mktsegment ORDER BY c_custkey) AS rn FROM customer WHERE c_custkey % 3 <> 0), "
+    "n AS (SELECT c_nationkey || c_mktsegment AS k, min(c_acctbal) AS v FROM customer WHERE c_custkey % 7 = 0 GROUP BY 1) "
+    "SELECT o.id, coalesce(o.k, n.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.v ELSE o.v END AS v, n.k IS NOT NULL AS shown, o.id IS NULL AS added FROM o FULL OUTER JOIN n ON o.k = n.k AND o.rn = 1"
+)
 def s15_retire(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus")
-    return relational.retire(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'O'"), "k")
+    """Customers by nation and segment after a batch: what it holds is updated, what it doesn't hidden; of repeats the least id stays."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.col("c_nationkey").cast("string"), "c_mktsegment").alias("k"), F.col("c_acctbal").alias("v"))
+    return relational.retire(c.filter("id % 3 <> 0"), c.filter("id % 7 = 0").drop("id"), "k", "id")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 3) UNION ALL SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 3")
@@ -331,12 +354,17 @@ def s17_carry(spark, sf_dir):
     return relational.carry_forward(o.filter("o_orderstatus = 'F'"), new, "o_custkey", ["tag"]).select("o_orderkey", "tag")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer")
+@query(
+    "SELECT 'changed' AS what, c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'HIDDEN' ELSE nullif(c_mktsegment, 'BUILDING') END AS v FROM customer UNION ALL "
+    "SELECT 'log', c_custkey, nullif(c_mktsegment, 'BUILDING') FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'reverted', c_custkey, nullif(c_mktsegment, 'BUILDING') FROM customer"
+)
 def s18_logged_revert(spark, sf_dir):
-    """A logged change and its revert give the table back."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    changed, log = relational.change_log(c, "c_custkey", "c_mktsegment", F.lit("HIDDEN"), F.col("c_custkey") % 2 == 0)
-    return relational.revert(changed, log, "c_custkey", "c_mktsegment")
+    """A logged change, its log, and the state after it is taken back, nulls included."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("v"))
+    changed, log = relational.change_log(c, "c_custkey", "v", F.lit("HIDDEN"), F.col("c_custkey") % 2 == 0)
+    back = relational.revert(changed, log, "c_custkey", "v")
+    tag = lambda df, what: df.select(F.lit(what).alias("what"), "c_custkey", "v")
+    return tag(changed, "changed").unionByName(tag(log.withColumnRenamed("previous", "v"), "log")).unionByName(tag(back, "reverted"))
 
 
 @query("SELECT code, severity, count(*) AS n FROM (SELECT 'W-01' AS code, 'warning' AS severity FROM documents WHERE length(text) BETWEEN 1 AND 14 UNION ALL SELECT 'V-11', 'error' FROM documents WHERE length(text) > 5000 UNION ALL SELECT 'V-09', 'error' FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL OR l.quality <= 0 UNION ALL SELECT 'V-02', 'error' FROM documents WHERE trim(text) = '') GROUP BY ALL")
@@ -354,18 +382,37 @@ def x15_allocate(spark, sf_dir):
     return planning.allocate(c).select(F.col("chapter").alias("c_custkey"), "periods")
 
 
-@query("WITH s AS (SELECT r_regionkey, lower(r_name) AS t FROM region) SELECT p.page_id, s.r_regionkey FROM pages p JOIN s ON contains(lower(substring(p.html, 1, 400)), s.t)")
+@query(
+    "WITH b AS (SELECT item_id, lower(string_split(text, ' ')[1]) AS t FROM benchmark) SELECT DISTINCT p.page_id, b.t FROM (SELECT page_id, lower(regexp_extract(html, '<title>([^<]*)', 1)) AS h, lower(substring(html, 1, 1200)) AS s FROM pages) p "
+    "JOIN b ON list_contains(string_split(regexp_replace(p.s, '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), b.t) WHERE NOT contains(p.h, b.t)"
+)
 def x32_foreign_pages(spark, sf_dir):
-    """Pages whose head names a title: titles are a dimension (a row each) that the size check keeps small."""
-    r = table(spark, sf_dir, "region").select("r_regionkey", F.lower("r_name").alias("t"))
-    p = table(spark, sf_dir, "pages").select("page_id", F.lower(F.substring("html", 1, 400)).alias("h"))
-    return p.join(r, F.col("h").contains(F.col("t"))).select("page_id", "r_regionkey")
+    """Pages whose head holds a title's word that isn't in their own title: pages and titles meet on words."""
+    b = table(spark, sf_dir, "benchmark").select(F.lower(F.element_at(F.split("text", " "), 1)).alias("t")).distinct()
+    p = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("h"), F.lower(F.substring("html", 1, 1200)).alias("s"))
+    words = p.select("page_id", "h", F.explode(F.array_distinct(F.split(F.regexp_replace("s", r"[^\p{L}\p{N}]++", " "), " "))).alias("t"))
+    return words.join(b, "t").filter(~F.col("h").contains(F.col("t"))).select("page_id", "t")
 
 
-@query()
+_PAPER = "SELECT c_nationkey AS id, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer"
+
+
+@query(
+    f"SELECT id, 'A' AS section, CAST(k AS INTEGER) AS number, 'mcq' AS form, 'Which balance has customer ' || c_custkey || '?' AS stem, ['a', 'b', 'c', 'd'][c_custkey % 4 + 1] AS key, CAST(1 AS INTEGER) AS marks, 'p' || k || '|q|r|s' AS options FROM ({_PAPER}) WHERE k <= 12 "
+    f"UNION ALL SELECT id, 'C', CAST(k AS INTEGER), 'short', 'Tell what you know of customer ' || c_custkey || '.', NULL, CAST(3 AS INTEGER), '' FROM ({_PAPER}) WHERE k BETWEEN 13 AND 18"
+)
 def x04_extract_questions(spark, sf_dir):
-    """Items of question papers, over the documents (golden tests pin the grammar)."""
-    return parsing.extract_questions(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("md")))
+    """Items of question papers, one for each nation, that are set from its customers, joined into one line."""
+    w = W.partitionBy("c_nationkey").orderBy("c_custkey")
+    c = table(spark, sf_dir, "customer").withColumn("k", F.row_number().over(w)).filter("k <= 18")
+    n = lambda x: F.col(x).cast("string")
+    choice = F.concat(n("k"), F.lit(". Which balance has customer "), n("c_custkey"), F.lit("? (a) p"), n("k"), F.lit(" (b) q (c) r (d) s Solution: see 99. or (b). Answer: ("), F.substring(F.lit("abcd"), (F.col("c_custkey") % 4 + 1).cast("int"), F.lit(1)), F.lit(")"))
+    short = F.concat(n("k"), F.lit(". Tell what you know of customer "), n("c_custkey"), F.lit("."))
+    parts = F.array_sort(F.collect_list(F.struct("k", F.when(F.col("k") <= 12, choice).otherwise(short).alias("s"))))
+    run = lambda cond: F.array_join(F.transform(F.filter(parts, cond), lambda x: x["s"]), " ")
+    md = F.concat(F.lit("Section A: Multiple Choice Questions "), run(lambda x: x["k"] <= 12), F.lit(" Section C: Short Answer Type Questions (3 marks each) "), run(lambda x: x["k"] > 12))
+    items = parsing.extract_questions(c.groupBy(F.col("c_nationkey").cast("long").alias("id")).agg(md.alias("md")))
+    return items.select(F.col("id").cast("int").alias("id"), "section", "number", "form", "stem", "key", "marks", F.array_join("options", "|").alias("options"))
 
 
 @query()
@@ -423,10 +470,10 @@ def x32_page_profile(spark, sf_dir):
 )
 def x46_vocabulary_rank(spark, sf_dir):
     """Documents that share more rare words with another source than with their own; a tie contradicts nothing."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.array_distinct(text.tokens("text"))).alias("x"))
-    e = d.select("source", "x").distinct()
-    rare = e.groupBy("x").agg(F.count("*").alias("n")).filter("n <= 3").select("x")
-    s = d.withColumnRenamed("source", "own").join(rare, "x").join(e, "x").groupBy("doc_id", "own", "source").agg(F.count("*").alias("n"))
+    d = text.token_rows(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text", distinct=True)
+    e = d.groupBy("x", "source").agg(F.lit(1))
+    rare = e.select("x", "source", F.count("*").over(W.partitionBy("x")).alias("n")).filter("n <= 3").select("x", "source")
+    s = d.withColumnRenamed("source", "own").join(rare, "x").groupBy("doc_id", "own", "source").agg(F.count("*").alias("n"))
     own = F.col("source") == F.col("own")
     b = s.groupBy("doc_id", "own").agg(F.max(F.when(own, F.col("n")).otherwise(0)).alias("mine"), F.max(F.when(~own, F.col("n")).otherwise(0)).alias("other"))
     return b.select("doc_id", "mine", "other", (F.col("other") > F.col("mine")).alias("hold"))

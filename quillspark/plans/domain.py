@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import education as E
@@ -67,10 +68,17 @@ def x30_alignment_slip(spark, sf_dir):
     return audits.alignment(c.select(F.col("conv_id").alias("file"), F.col("turn").alias("ord"), T.stems("text").alias("probe"), T.stems("text").alias("stem")))
 
 
-@query()
+@query(
+    "WITH r AS (SELECT c_nationkey AS chapter, CAST(floor(rn / 20) AS BIGINT) AS g, count(*) AS n, min(c_custkey) AS first, max(c_custkey) AS last FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS rn FROM customer) GROUP BY 1, 2), "
+    "m AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY n DESC, g) AS k, sum(n) OVER (PARTITION BY chapter) AS total, count(*) OVER (PARTITION BY chapter) AS runs FROM r) "
+    "SELECT a.chapter, CAST(a.g * 100000 + (a.first) AS BIGINT) AS first, a.n FROM m a JOIN m b ON a.chapter = b.chapter AND b.k = 1 WHERE a.k > 1 AND a.n >= 5 AND a.total >= 12 AND a.runs > 1 AND a.g % 2 <> b.g % 2"
+)
 def x31_misfiled_blocks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("chapter"), F.col("doc_id").alias("id"), "text")
-    return audits.misfiled_blocks(d, gap=25, most=0.9)
+    """Blocks of ids that lie far from the rest of their chapter and speak of other things: every second block of 20 customers does."""
+    w = W.partitionBy("c_nationkey").orderBy("c_custkey")
+    c = table(spark, sf_dir, "customer").withColumn("g", F.floor((F.row_number().over(w) - 1) / 20))
+    words = F.when(F.col("g") % 2 == 0, F.lit("light mirror lens ray")).otherwise(F.lit("cell tissue organ plant"))
+    return audits.misfiled_blocks(c.select(F.col("c_nationkey").alias("chapter"), (F.col("g") * 100_000 + F.col("c_custkey")).alias("id"), words.alias("text")), gap=50_000).select("chapter", "first", "n")
 
 
 @query("SELECT part_, number, CASE WHEN n >= 2 THEN part_ || '.' || number ELSE CAST(number AS VARCHAR) END AS label FROM (SELECT CAST(l_linenumber AS VARCHAR) AS part_, l_orderkey AS number, l_suppkey AS book FROM lineitem) i JOIN (SELECT book, count(*) FILTER (WHERE f <= 2) AS n FROM (SELECT l_suppkey AS book, l_linenumber AS p, min(l_orderkey) AS f FROM lineitem GROUP BY 1, 2) GROUP BY book) g USING (book)")
@@ -195,8 +203,8 @@ def x50_resolve_ids(spark, sf_dir):
 def x17_macro_plan(spark, sf_dir):
     """Chapters on a subject's teaching days, each after those before it."""
     c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("subject"), F.col("c_custkey").alias("chapter"), F.col("c_custkey").alias("ord"), (F.col("c_custkey") % 3 + 1).alias("periods"))
-    days = spark.range(500).select(F.expr("date_add(DATE'2024-01-01', CAST(id AS INT))").alias("day"), F.lit(1).alias("n"))
-    slots = c.select("subject").distinct().crossJoin(F.broadcast(days))
+    days = F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.date_add(F.lit("2024-01-01").cast("date"), 499)))
+    slots = c.select("subject").distinct().select("subject", days.alias("day"), F.lit(1).alias("n"))
     return bank.macro_plan(c, slots).select("subject", "chapter", "first_day", "last_day")
 
 
@@ -206,6 +214,15 @@ def x27_item_metadata(spark, sf_dir):
     return bank.metadata(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("stem"), F.lit(False).alias("is_mcq")))
 
 
-@query()
+_BAG = "SELECT conv_id * 100 + turn AS id, role AS grp, w, count(*) AS k FROM (SELECT conv_id, turn, role, unnest(list_filter(string_split(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:6], ' ')), '[^\\p{L}\\p{N}\\p{M}]+', ' ', 'g'), ' '), lambda x: x <> '' AND x NOT IN (" + _S + "))) AS w FROM conversations) GROUP BY ALL"
+
+
+@query(
+    f"WITH b AS ({_BAG}), n AS (SELECT id, sum(k) AS n FROM b GROUP BY id) SELECT p.id AS a, q.id AS b, CAST(floor(1000 * CAST(sum(least(p.k, q.k)) AS DOUBLE) / least(max(x.n), max(y.n))) AS BIGINT) AS milli FROM b p JOIN b q ON p.grp = q.grp AND p.w = q.w AND p.id < q.id "
+    "JOIN n x ON x.id = p.id JOIN n y ON y.id = q.id GROUP BY p.id, q.id HAVING CAST(sum(least(p.k, q.k)) AS DOUBLE) / least(max(x.n), max(y.n)) > 0.5"
+)
 def x36_near_duplicate_items(spark, sf_dir):
-    return bank.near_duplicates(table(spark, sf_dir, "benchmark").select(F.lit(1).alias("grp"), F.col("item_id").alias("id"), F.col("text").alias("stem")))
+    """Turns of one role whose first words, as bags, share more than half of the smaller."""
+    first = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    c = table(spark, sf_dir, "conversations").select(F.col("role").alias("grp"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), first.alias("stem"))
+    return bank.near_duplicates(c, 0.5).select("a", "b", F.floor(1000 * F.col("overlap")).alias("milli"))

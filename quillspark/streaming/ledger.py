@@ -17,13 +17,21 @@ def stream(spark: SparkSession, sf_dir: str, name: str = "events", files_a_trigg
 
 
 def drain(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """All that is available now, in a memory table: for tests and small results."""
+    """All that is available now, in a memory table: for small results. Where the session has a checkpoint folder, the stream's state lies there."""
     spark = df.sparkSession
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
+    w = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    if mode == "complete" and (shared := spark.conf.get("spark.checkpoint.dir", None)):  # a memory table can recover in this mode only
+        w = w.option("checkpointLocation", f"{shared}/stream-{name}")
+    w.start().awaitTermination()
     return spark.table(name)
 
 
+def drain_to(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All that is available now, appended to a Parquet table at ``path``; both folders are shared, so a lost executor costs nothing."""
+    df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def latest(events: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
     """The latest values of each key (update or complete mode)."""
     return events.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_r")).select(key, "_r.*")
@@ -79,6 +87,25 @@ def stuck_batch(runs: DataFrame, now: Column, minutes: int = 60) -> DataFrame:
     return last.withColumn("status", F.when(old, "failed").otherwise(F.col("status")))
 
 
+def live(jobs: DataFrame, hours: int = 24) -> DataFrame:
+    """(key, status, n): each news of a job with how many it has had; a job without news for ``hours`` of event time is forgotten, and begins anew."""
+
+    def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        b = pd.concat(list(batches)).sort_values("at")
+        seen = state.get[0] if state.exists else 0
+        for status in b["status"]:
+            seen += 1
+            yield pd.DataFrame({"key": [key[0]], "status": [status], "n": [seen]})
+        state.update((seen,))
+        state.setTimeoutTimestamp(int(b["at"].iloc[-1].timestamp() * 1000) + hours * 3_600_000)
+
+    j = jobs.withWatermark("at", "1 minute")
+    return j.groupBy("key").applyInPandasWithState(step, "key string, status string, n long", "n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def evict(jobs: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     """Jobs but those that ended more than ``hours`` ago."""
     ended = F.col("status").isin("done", "failed", "skipped")

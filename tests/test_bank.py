@@ -1,6 +1,8 @@
 """Bank and plan operators on small inputs of our own."""
 
 import datetime as dt
+import itertools
+import random
 
 from pyspark.sql import functions as F
 
@@ -64,3 +66,32 @@ def test_curricula_and_order(spark):
     assert [(r["type"], r["code"], r["parent"]) for r in rows] == [("goal", "CG-1", None), ("competency", "C-1.1", "CG-1"), ("outcome", "C-1.1-LO1", "C-1.1"), ("outcome", "C-1.1-LO2", "C-1.1"), ("competency", "C-1.2", "CG-1")]
     p = spark.createDataFrame([(1, 1, "continues here", "the end"), (1, 2, "The start", "and it")], "grp long, ord long, head string, tail string")
     assert [r["ord"] for r in bank.best_order(p).orderBy("pos").collect()] == [2, 1]
+
+
+def flow(pieces, order):
+    return sum(bank._flow(pieces[a][1], pieces[b][0]) for a, b in itertools.pairwise(order))
+
+
+def test_best_order_is_the_best_of_all(spark):
+    r = random.Random(4)
+    for n in (1, 2, 3, 5, 7):
+        pieces = [(r.choice(("Big", "small", "")), r.choice(("ends.", "goes on", ""))) for _ in range(n)]
+        w = [[bank._flow(a[1], b[0]) for b in pieces] for a in pieces]
+        best = max(flow(pieces, o) for o in itertools.permutations(range(n)))
+        assert flow(pieces, bank._best_path(w)) == best and sorted(bank._matched_path(w)) == list(range(n))
+        assert flow(pieces, bank._matched_path(w)) >= best - max(1, n // 2)
+    # a group of twelve is put in order, and so is one of forty
+    for n in (12, 40):
+        rows = [(1, i, "Start" if i == n - 1 else f"part {i}", "goes on" if i else "the end.") for i in range(n)]
+        got = bank.best_order(spark.createDataFrame(rows, "grp long, ord long, head string, tail string")).orderBy("pos").collect()
+        order = [x["ord"] for x in got]
+        assert sorted(order) == list(range(n)) and order != list(range(n)) and flow([x[2:] for x in rows], order) >= n - 2
+
+
+def test_offline_tags(spark):
+    items = spark.createDataFrame([(1, 1, "Compare plant cells and animal cells", "long", 5), (1, 2, "Define a galaxy", "short", 3), (2, 3, "Define plant cells", "short", 3)], "grp int, id int, stem string, form string, marks int")
+    concepts = spark.createDataFrame([(1, 7, "plant cells", "walls of cells"), (1, 8, "animal cells", ""), (1, 9, "stars", "a galaxy holds many suns and much dust")], "grp int, id int, name string, description string")
+    got = {r["id"]: tuple(r)[1:] for r in bank.tag_offline(items, concepts).collect()}
+    assert got[1] == (7, 0.45, "analyze", 3, 4)
+    assert got[2][0] is None and 0 < got[2][1] < 0.25 and got[2][2:] == ("recall", 1, 2)
+    assert got[3] == (None, 0.0, "recall", 1, 2)

@@ -81,13 +81,39 @@ def test_concept_scores_order(spark):
 
 
 def test_audit(spark):
-    topics = spark.createDataFrame([(1, 10, "Water cycle stages", True, 40), (1, 11, "Stages in water cycle", None, 40), (1, 12, "Unknown planets orbit", True, 10), (1, 13, "hidden", False, 5)], "chapter int, id long, name string, shown boolean, minutes int")
-    concepts = spark.createDataFrame([(1, 10, 100, "Rain"), (1, 13, 101, "x"), (1, 99, 102, "y"), (1, 11, 103, "z")], "chapter int, topic_id long, id long, name string")
-    chapters = spark.createDataFrame([(1, "The water cycle has stages.", 120)], "chapter int, md string, minutes int")
-    i = audits.audit_chapters(topics, concepts, chapters)
-    got = {(r["check"], r["severity"], tuple(r["ids"])) for r in i.collect()}
-    assert got == {("grounding", "error", (12,)), ("attribution", "error", (101,)), ("attribution", "error", (102,)), ("duplicates", "error", (10, 11)), ("childless", "error", (12,)), ("minutes", "warning", ())}
-    assert audits.verdicts(i).first()["errors"] == 5
+    topics = spark.createDataFrame([(1, 10, "Water cycle stages", True, 40, 0, 900), (1, 11, "Stages in water cycle", None, 40, 900, 1000), (1, 12, "Unknown planets orbit", True, 10, 1000, 2000), (1, 13, "hidden", False, 5, None, None)], "chapter int, id long, name string, shown boolean, minutes int, start int, end int")
+    concepts = spark.createDataFrame([(1, 10, 100, "Water cycle", 39), (1, 13, 101, "x", 5), (1, 99, 102, "y", 5), (1, 11, 103, "Far off things", 10), (2, None, 200, "alone", 5)], "chapter int, topic_id long, id long, name string, minutes int")
+    md = "The water cycle has stages. " + "Rain falls on the hills. " * 90
+    chapters = spark.createDataFrame([(1, "Water", md, ["the water cycle", "stages of water cycles"]), (2, "Empty", "nothing", None)], "chapter int, title string, md string, semantic array<string>")
+    sections = spark.createDataFrame([(1, 1, "Water cycle stages", "teaching", "The water cycle. " * 40), (1, 2, "Clouds and snow", "teaching", "Clouds " * 100), (1, 3, "Unknown planets: revision", "revision", "planets orbit"), (1, 4, "WATER", "teaching", "w " * 400)], "chapter int, ord int, title string, kind string, text string")
+    i = audits.audit_chapters(topics, concepts, chapters, sections)
+    got = {(r["chapter"], r["check"], r["severity"], tuple(r["ids"])) for r in i.collect()}
+    assert got == {
+        (1, "grounding", "error", (12,)), (1, "attribution", "error", (101,)), (1, "attribution", "error", (102,)), (1, "attribution", "warning", (103,)), (2, "attribution", "error", ()),
+        (1, "relevance", "error", (10, 11)), (1, "relevance", "error", (12,)), (1, "granularity", "warning", (11,)), (1, "hierarchy", "error", (12,)), (1, "hierarchy", "warning", (11,)),
+        (1, "coverage", "error", (2,)), (2, "semantic", "warning", ()),
+    }
+    v = audits.verdicts(i).collect()
+    assert [(r["chapter"], r["errors"], r["warnings"], r["passed"]) for r in v] == [(1, 7, 3, False), (2, 1, 1, False)]
+
+
+def test_concepts_with_a_curriculum(spark):
+    """A missing syllabus costs nothing, an unserved one does, a citation beats a match of words."""
+    chapter = "Plants make food in light. Roots drink water from soil."
+    base = ("Plants make food", "plants make food in light", "Plants make food in light.", chapter, None)
+    rows = spark.createDataFrame([(1, *base, None, False), (2, *base, None, True), (3, *base, 0.9, True), (4, *base, 0.45, True)], "id int, name string, quote string, slice string, chapter string, nearest double, mapped double, has_curriculum boolean")
+    s = {r["id"]: r["value"] for r in audits.concept_scores(rows, "curriculum").collect()}
+    assert s[1] == s[3] == 1.0 and s[2] == 0.7 and s[2] < s[4] < s[3]
+    audited = rows.limit(1).withColumn("errors", F.lit(2)).withColumn("warnings", F.lit(1))
+    assert audits.concept_scores(audited, "curriculum").first()["value"] == 0.52
+
+
+def test_blueprint_is_whole(spark):
+    concepts = spark.createDataFrame([("a",), ("b",)], "concept string")
+    blueprint = spark.range(1500).select(F.col("id").cast("string").alias("level"), F.lit("any").alias("form"), F.lit(1).alias("want"))
+    have = spark.createDataFrame([("a", "7", "any")], "concept string, level string, form string")
+    x = curriculum.concept_plan(have, blueprint, concepts)
+    assert x.count() == 3000 and x.filter("gap = 0").count() == 1
 
 
 def test_load_shape_and_runs(spark):

@@ -40,22 +40,54 @@ def test_coverage_conventions(spark):
     assert one(spark, text.grounded(F.col("q"), F.col("h")), q="", h="x") is False
 
 
+FORMS = [
+    # labels that are sub-parts: a command stands before them, or nothing
+    ("long", False, "Give one test for each of these gases: (a) oxygen (b) hydrogen (c) ammonia (d) chlorine"),
+    ("long", False, "Explain the following. (a) Copper turns green in damp air. (b) Salt water conducts. (c) Graphite is soft."),
+    ("long", False, "(a) Name the gland that makes saliva. (b) What does it do? (c) Which food does it act on first?"),
+    ("short", False, "Write a balanced equation for (a) the burning of sulphur (b) the heating of chalk."),
+    # labels that are options, though no options are stored
+    ("mcq", False, "The change of ice to water is an example of (i) freezing (ii) melting (iii) boiling (iv) sublimation"),
+    ("mcq", False, "Which one of these was not among the findings of the survey? (a) red (b) green (c) blue (d) grey"),
+    ("mcq", False, "A spoon left in vinegar loses its shine. This is due to the formation of(a) rust(b) a salt(c) glass(d) wax"),
+    ("mcq", False, "The colour of the flame of a sodium lamp is (a) blue (b) yellow (c) violet (d) white"),
+    # stored options are facts
+    ("mcq", True, "Calculate the speed of a train that covers 90 km in 2 hours."),
+    ("mcq", True, "Plants take in carbon dioxide by day. True or false?"),
+    ("mcq", True, "8 g of one powder reacts with 3 g of another. What is the total mass afterwards?"),
+    # the wording tells
+    ("assertion_reason", False, "Assertion (A): Ice floats on water. Reason (R): Ice is less dense."),
+    ("assertion_reason", True, "Assertion: The moon shines. Reason: It reflects light."),
+    ("match_following", False, "Match the columns: Column-I (a) lime Column-II (i) CaO"),
+    ("fill_blank", False, "The SI unit of force is ________."),
+    ("true_false", False, "State whether the sentence is true or false: Sound travels in a vacuum."),
+    ("proof", False, "Prove that the base angles of an isosceles triangle are equal."),
+    ("construction", False, "Draw a neat circuit with two lamps in series."),
+    ("numerical", False, "Calculate the work done by a force of 5 N over 3 m."),
+    ("case_study_parent", False, "Read this passage and answer the questions below it. The river rose at night."),
+    # length tells the rest, and marks that are no words do not count
+    ("very_short", False, "Name the vitamin that sunlight gives us."),
+    ("very_short", False, "Why is argon put into lamps ? \u00ad \u00ad \u00ad \u00ad \u00ad \u00ad \u00ad \u00ad \u00ad \u00ad \u00ad \u00ad \u00ad \u00ad \u00ad \u00ad \u00ad \u00ad \u00ad"),
+    ("short", False, " ".join(["word"] * 30)),
+    ("long", False, " ".join(["word"] * 60)),
+]
+
+
+@pytest.mark.parametrize(("form", "mcq", "stem"), FORMS)
+def test_forms(spark, form, mcq, stem):
+    assert one(spark, text.classify_form(F.col("s"), F.lit(mcq)), s=stem) == form
+
+
 @pytest.mark.parametrize(
-    ("stem", "mcq", "form"),
+    ("stem", "level", "marks", "dok"),
     [
-        ("Assertion (A): Ice floats. Reason (R): It is less dense.", False, "assertion_reason"),
-        ("Match the following terms", True, "match_following"),
-        ("Fill in the blank: water is ____", False, "fill_blank"),
-        ("State whether the claim is true or false", False, "true_false"),
-        ("Calculate the speed of the car", True, "mcq"),
-        ("Calculate the speed of the car", False, "numerical"),
-        ("Which of the following floats? (a) ice (b) iron", False, "mcq"),
-        ("Give one use for each of the following: (a) tin (b) zinc (c) lead", False, "long"),
-        ("Why do leaves fall?", False, "very_short"),
+        ("Design a filter for muddy water.", "create", 5, 4), ("Do you agree? Justify.", "evaluate", 3, 3), ("Compare acids and bases.", "analyze", 1, 2),
+        ("Solve for x.", "apply", 5, 3), ("Why do leaves fall?", "understand", 2, 2), ("Define force.", "recall", 1, 1), ("Tick one.", "analyze", 5, 3),
     ],
-)
-def test_forms(spark, stem, mcq, form):
-    assert one(spark, text.classify_form(F.col("s"), F.lit(mcq)), s=stem) == form
+)
+def test_bloom_and_depth(spark, stem, level, marks, dok):
+    level_ = text.bloom(F.col("s"), F.lit("long"))
+    assert one(spark, level_, s=stem) == level and one(spark, text.dok(level_, F.lit(marks)), s=stem) == dok
 
 
 def test_scalars(spark):

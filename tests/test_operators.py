@@ -31,17 +31,65 @@ def test_questions_from_a_paper():
     assert [(x["section"], x["number"]) for x in q] == [("A", 1), ("A", 2), ("A", 3), ("B", 4), ("B", 5)]
     assert q[0]["options"] == ["oxygen", "carbon dioxide", "helium", "neon"] and q[0]["key"] == "b"
     assert q[1]["key"] == "b" and q[1]["stem"] == "Pick the metal."
-    assert q[2]["assertion"].startswith("Ice floats") and q[2]["reason"].startswith("Ice is")
+    assert q[2]["assertion"].startswith("Ice floats") and q[2]["reason"].startswith("Ice is") and q[2]["key"] == "a"
     assert q[3]["solution"].startswith("Molecules") and q[3]["marks"] == 2
     assert len({x["sha256"] for x in q}) == 5
     assert parsing.questions("") == parsing.questions(None) == []
 
 
+def full_paper():
+    """A paper of 38 items and 80 marks, with an answer block that repeats every number."""
+    label = lambda i: f"(a) {i}p (b) {i}q (c) {i}r (d) {i}s"
+    part = lambda head, rows: [head, "", *rows, ""]
+    lines = ["# CHAPTER 9", ""]
+    lines += part("Section A: Multiple Choice Questions", [f"{i}. Pick the value {i} of the list.\n{label(i)}" for i in range(1, 17)])
+    lines += part("Assertion-Reasoning Questions :", ["(a) Both hold, and R explains A.", "(b) Both hold.", *[f"{i}. Assertion (A): Fact {i} holds.\nReason (R): Cause {i} is known." for i in range(17, 21)]])
+    lines += part("Section B: Very Short Answer Type Questions (2 marks each)", [f"{i}. Name rule {i}." for i in range(21, 26)])
+    lines += part("Section C: Short Answer Type Questions (3 marks each)", [f"{i}. Explain case {i}. Solution: It takes 4. 5 is too many, see (b)." for i in range(26, 32)])
+    lines += part("Section D: Long Answer Type Questions (5 marks each)", [f"{i}. Draw the graph of line {i}." for i in range(32, 36)])
+    lines += part("Section E: Case-Based Questions (4 marks each)", [f"{i}. A shop sells {i} pens.\n(i) How many? (1 mark)\n(ii) When? (1 mark)\n(iii) Why so? (2 marks)" for i in range(36, 39)])
+    return "\n".join([*lines, "ANSWERS", "", *[f"{n}. (b)" for n in range(1, 39)]])
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_a_full_paper_tidy_and_joined_into_one_line(joined):
+    md = " ".join(full_paper().split()) if joined else full_paper()
+    q = parsing.questions(md)
+    n = lambda key: {k: sum(x[key] == k for x in q) for k in {x[key] for x in q}}
+    assert len(q) == 38 and sum(x["marks"] for x in q) == 80 and n("section") == parsing.BLUEPRINT
+    assert n("form") == {"mcq": 16, "assertion_reason": 4, "very_short": 5, "short": 6, "long": 4, "case_study": 3}
+    assert all(len(x["options"]) == 4 and x["key"] == "b" for x in q if x["form"] == "mcq")
+    assert all(x["sub_parts"] == ["i", "ii", "iii"] for x in q if x["form"] == "case_study")
+    assert all(x["solution"] and "Solution" not in x["stem"] for x in q if x["form"] == "short") and len({x["sha256"] for x in q}) == 38
+
+
+def test_a_paper_without_sections():
+    """Headings of forms, pages, alternatives and figures, all in one stream: nineteen items."""
+    label = "(a) p (b) q (c) r (d) s"
+    parts = ["<!-- page 3 --> MULTIPLE CHOICE QUESTIONS", *[f"{i}. Which is it, {i}? {label} Solution: see (b). Answer: ( c)" for i in range(1, 9)]]
+    parts += ["Assertion and reason questions", *[f"{i}. Assertion: Fact {i}. Reason: Cause {i}. Answer: (a)" for i in (9, 10)]]
+    parts += ["<!-- page 4 --> VERY SHORT TYPE QUESTIONS", *[f"{i}. Name rule {i} of all." for i in (11, 12, 13)], "Short Answer Type Questions (4 marks each)", "14. Look at the figure given below and tell. OR Draw a diagram of a cell.", "15. Say more."]
+    parts += ["LONG ANSWER QUESTIONS", "16. Discuss.", "17. Prove it.", "CASE STUDY QUESTIONS", *[f"{i}. They went by rail. (i) Why? (ii) When? (iii) How?" for i in (18, 19)]]
+    q = parsing.questions(" ".join(parts))
+    assert [x["number"] for x in q] == [*range(1, 15), 14, *range(15, 20)] and [x["alternative"] for x in q if x["number"] == 14] == [0, 1]
+    assert [x["form"] for x in q] == ["mcq"] * 8 + ["assertion_reason"] * 2 + ["very_short"] * 3 + ["short"] * 3 + ["long"] * 2 + ["case_study"] * 2
+    assert all(x["key"] == "c" for x in q[:8]) and q[8]["key"] == "a" and {x["page"] for x in q[:10]} == {3} and {x["page"] for x in q[10:]} == {4}
+    assert [x["needs_figure"] for x in q if x["number"] == 14] == [True, False] and [x["marks"] for x in q[13:16]] == [4, 4, 4] and q[-1]["marks"] == 4
+
+
+def test_another_grammar():
+    """A publisher's own words for parts, answers and alternatives."""
+    g = parsing.Grammar(sections=("khand",), answers=("uttar mala",), answer=("uttar",), solution=("hal",), alternative=("athva",), page=r"\[p(\d+)\]")
+    q = parsing.questions("[p7] KHAND - A 1. Pick. (a) w (b) x (c) y (d) z Uttar: (d) 2. Pick. (a) w (b) x (c) y (d) z KHAND - C 3. Say. Hal: so. athva Tell. UTTAR MALA 1. a 2. (c)", g)
+    assert [(x["section"], x["number"], x["alternative"], x["key"], x["page"]) for x in q] == [("A", 1, 0, "d", 7), ("A", 2, 0, "c", 7), ("C", 3, 0, None, 7), ("C", 3, 1, None, 7)]
+    assert q[2]["solution"] == "so."
+
+
 def test_questions_over_documents(spark):
     docs = spark.createDataFrame([(1, PAPER), (2, ""), (3, None)], "id long, md string")
     items = parsing.extract_questions(docs)
-    fp = {(r["id"], r["section"]): (r["n"], r["marks"], r["choice"], r["assertion_reason"]) for r in parsing.section_fingerprint(items).collect()}
-    assert fp == {(1, "A"): (3, 3, 2, 1), (1, "B"): (2, 4, 0, 0)}
+    fp = {(r["id"], r["section"]): (r["n"], r["marks"], r["choice"], r["assertion_reason"], r["figures"], r["forms"], r["expected"]) for r in parsing.section_fingerprint(items).collect()}
+    assert fp == {(1, "A"): (3, 3, 2, 1, 0, ["mcq", "assertion_reason"], 20), (1, "B"): (2, 4, 0, 0, 0, ["very_short"], 5)}
 
 
 def test_sections_carry_their_kind(spark):
@@ -135,6 +183,49 @@ def test_pack_runs_over_and_reviews(spark):
     assert [r["period"] for r in rows if r["kind"] == "review"] == [6]
 
 
+def test_rebalance_equals_moving_one_by_one(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(g, f"c{k}", r.randint(0, 12)) for g in range(40) for k in range(r.randint(1, 6))] + [(99, "a", 10**8), (99, "b", 0), (99, "c", 3)]
+
+    def by_hand(have, floor):
+        w = list(have)
+        while min(w) < floor and max(w) > floor:
+            w[w.index(max(w))] -= 1
+            w[w.index(min(w))] += 1
+        return w
+
+    got = {(x["grp"], x["cat"]): x["want"] for x in planning.rebalance(spark.createDataFrame(rows, "grp long, cat string, have long"), 5).collect()}
+    for g in {x[0] for x in rows} - {99}:
+        own = sorted(x[1:] for x in rows if x[0] == g)
+        assert [got[g, c] for c, _ in own] == by_hand([n for _, n in own], 5), own
+    assert (got[99, "a"], got[99, "b"], got[99, "c"]) == (10**8 - 7, 5, 5)
+
+
+def test_budgets_follow_their_bounds(spark):
+    c = spark.createDataFrame([(1, 0, 0, None), (2, 4, 0, 20)], "chapter int, outcomes int, competencies int, periods int")
+    t = spark.createDataFrame([(1, k, 100 + k) for k in range(20)] + [(2, k, 5000 - 900 * k) for k in range(6)], "chapter int, ord int, size int")
+    b = {r["chapter"]: r for r in planning.chapter_budget(c, t).collect()}
+    assert (b[1]["target"], b[1]["warnings"], sum(b[1]["quota"])) == (40, ["split_below_topics"], 40)
+    assert b[2]["source"] == "learning_outcomes" and "anchors_diverge" in b[2]["warnings"] and sum(b[2]["quota"]) == b[2]["target"] and b[2]["quota"][0] >= b[2]["quota"][-1]
+    q = spark.createDataFrame([(1, k, s, 2) for k, s in enumerate((3.0, 0.5, 2.5, 0.1, 0.2))], "topic int, ord int, score double, quota int")
+    kept = {r["ord"]: r["reason"] for r in planning.enforce_quota(q).collect()}
+    assert kept == {0: None, 2: None, 1: "not supported by the text", 4: "over the allowance", 3: "over the allowance"}
+
+
+def test_names_are_aligned_by_words_and_then_by_place(spark):
+    n = spark.createDataFrame([(1, 1, "Light rays"), (1, 2, "Sound"), (2, 1, "One"), (2, 2, "Two")], "grp long, l long, name string")
+    r = spark.createDataFrame([(1, 5, "Noise"), (1, 6, "Rays of light"), (2, 7, "Three")], "grp long, r long, name string")
+    assert {tuple(x) for x in planning.align_names(n, r).collect()} == {(1, 1, 6, "words"), (1, 2, 5, "order")}
+
+
+def test_retire_keeps_the_least_id_and_all_columns(spark):
+    old = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "z")], "id long, k string, v string")
+    new = spark.createDataFrame([("a", "new"), ("c", "fresh")], "k string, v string")
+    assert {tuple(r) for r in relational.retire(old, new, "k", "id").collect()} == {(1, "a", "new", True, False), (2, "a", "y", False, False), (3, "b", "z", False, False), (None, "c", "fresh", True, True)}
+
+
 def test_greedy_and_matching(spark):
     g = planning.greedy(spark.createDataFrame([(1, i, float(n), 2, 10.0) for i, n in enumerate([5, 1, 1, 1])], "grp long, item long, need double, bins int, room double"))
     assert [r["bin"] for r in g.orderBy("item").collect()] == [0, 1, 1, 1]
@@ -153,6 +244,14 @@ def test_sources(spark, tmp_path):
     assert f.first()["is_pdf"] and files.not_cached(f, f.select("sha256")).count() == 0
     files.write_table(rows, str(tmp_path / "t"), ["status"])
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    files.write_table(spark.read.parquet(str(tmp_path / "t")).filter("status = 'done'"), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1 and not list(tmp_path.glob("t.*"))
+    bad = rows.select(F.raise_error(F.lit("lost")).alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        files.write_table(bad, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1  # a lost job leaves the old table
+    found = spark.createDataFrame([("d/a.md", 1), ("d/a.PDF", 2), ("d/b.txt", 3), ("d/c.exe", 4)], "path string, length int")
+    assert {r["path"] for r in files.prefer(found, ("pdf", "md", "txt")).collect()} == {"d/a.PDF", "d/b.txt"}
     files.dump_csv(rows.select("key", "status"), str(tmp_path / "d"), 1)
     assert spark.read.csv(str(tmp_path / "d"), header=True).count() == 2
 
