@@ -244,3 +244,15 @@ def sequence_gaps(df: DataFrame, by: str, number: str) -> DataFrame:
     span = df.groupBy(by).agg(F.min(number).alias("a"), F.max(number).alias("b"))
     every = span.select(by, F.explode(F.sequence("a", "b")).alias(number))
     return every.join(df.select(by, number).distinct(), [by, number], "left_anti")
+
+
+def reconcile(rows: DataFrame, owners: DataFrame, key: str, mirror: str, owner: str) -> DataFrame:
+    """Rows with the owner's value, state (same, contradicts, orphan; a null on either side contradicts nothing) and settled: the owner's value, or the mirrored one where there is none.
+
+    The premise is checked: a key that has several owners is an error, which says how many have.
+    """
+    one = owners.groupBy(key).agg(F.first(owner).alias(owner), F.count_distinct(F.struct(owner)).alias("_n"))
+    only = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("several owners of "), F.col(key).cast("string")))).otherwise(F.col(owner))
+    x = rows.join(one, key, "left").withColumn(owner, only)
+    state = F.when(F.col("_n").isNull(), "orphan").when(F.col(mirror) != F.col(owner), "contradicts").otherwise("same")
+    return x.withColumn("state", state).withColumn("settled", F.coalesce(F.col(owner), F.col(mirror))).drop("_n")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import scoring, text
 from quillspark.operators import parsing, planning, relational, rules
-from quillspark.plans import banks, domain, sql_queries  # noqa: F401  they register queries
+from quillspark.plans import banks, domain, frames, sql_queries  # noqa: F401  they register queries
 from quillspark.plans.registry import ORACLES, QUERIES, query
-from quillspark.session import table
+from quillspark.session import table, texts
 from quillspark.streaming import ledger
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -31,7 +31,7 @@ _CLEAN = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 
 @query(f"SELECT doc_id, sha256({_CLEAN}) AS h FROM documents")
 def s10_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.content_hash("text").alias("h"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.content_hash("text").alias("h"))
 
 
 _DUPES = f"SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, h) AS keeper, count(*) OVER (PARTITION BY lang, h) AS n FROM (SELECT doc_id, lang, sha256({_CLEAN}) AS h FROM documents)"
@@ -40,13 +40,13 @@ _DUPES = f"SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, h) AS keeper, cou
 @query(f"SELECT * FROM ({_DUPES}) WHERE n > 1")
 def x33_duplicate_keeper(spark, sf_dir):
     """Documents whose normalised text and language recur, with the smallest id as keeper."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", text.content_hash("text").alias("h"))
+    d = texts(spark, sf_dir, "documents", "doc_id", "lang", "text").select("doc_id", "lang", text.content_hash("text").alias("h"))
     return relational.duplicates(d, ["lang", "h"], "doc_id").select("doc_id", "keeper", "n")
 
 
 @query(f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY sha256({_CLEAN}) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
 def w01_first_seen_dedupe(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", text.content_hash("text").alias("h"))
+    d = texts(spark, sf_dir, "documents", "doc_id", "lang", "text").select("doc_id", "lang", text.content_hash("text").alias("h"))
     return relational.first_seen(d, ["h"], ["doc_id"]).select("doc_id", "lang")
 
 
@@ -89,7 +89,7 @@ def j19_name_containment_pairs(spark, sf_dir):
 def t07_coverage_topk(spark, sf_dir):
     """The three documents that cover most of each benchmark item."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("l"), text.stems("text").alias("tokens"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("r"), F.array_distinct(F.transform(text.tokens("text"), text.singular)).alias("tokens"))
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("r"), F.array_distinct(F.transform(text.tokens("text"), text.singular)).alias("tokens"))
     n = b.select("l", F.size("tokens").alias("n"))
     x = relational.best_overlap(b, d, 3).join(n, "l")
     return x.select(F.col("l").alias("item_id"), F.col("r").alias("doc_id"), F.round(F.col("score") * F.col("n")).cast("long").alias("shared"), "rank")
@@ -99,14 +99,14 @@ def t07_coverage_topk(spark, sf_dir):
 def t12_grounding(spark, sf_dir):
     """Benchmark texts that stand verbatim in a document."""
     clean = F.lower(text.collapse("text"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), clean.alias("t"))
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("doc"), clean.alias("t"))
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote"), clean.alias("q"))
     return relational.contains_join(d, b).select(F.col("quote").alias("item_id"), F.col("doc").alias("doc_id"))
 
 
 @query(r"SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(text, '[A-Za-z]|[^\p{L}]', '', 'g')) AS other_letters, length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(text, '[^\x{0900}-\x{097F}]', '', 'g')) AS devanagari FROM documents")
 def t22_script_profile(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *text.script_counts("text"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", *text.script_counts("text"))
 
 
 _SYL = r"(len(regexp_extract_all(t, '[aeiouy]+')) - len(regexp_extract_all(t, '[aeiouy][a-z]*[b-df-hj-np-tv-xz]e([^a-z]|$)')))"
@@ -117,7 +117,7 @@ _SYL = r"(len(regexp_extract_all(t, '[aeiouy]+')) - len(regexp_extract_all(t, '[
     + _SYL + " AS y FROM (SELECT doc_id, lower(text) AS t FROM documents)) WHERE w >= 6"
 )
 def t23_reading_level(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", text.reading_grade("text").alias("g")).filter("g IS NOT NULL")
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.reading_grade("text").alias("g")).filter("g IS NOT NULL")
     return d.select("doc_id", F.floor(1000 * F.col("g")).alias("milli"))
 
 
@@ -126,7 +126,7 @@ _HTML = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_r
 
 @query(f"SELECT page_id, {_HTML} AS t FROM pages")
 def t18_html_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.html_text("html").alias("t"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", text.html_text("html").alias("t"))
 
 
 @query("SELECT page_id, array_to_string(regexp_extract_all(html, '(?i)<li[^>]*>(.*?)</li>', 1), '|') AS cells FROM pages")
@@ -169,7 +169,7 @@ def t24_form_classifier(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 0.0::DOUBLE ELSE CAST(length(regexp_replace(text, '[^ÂÃ�]', '', 'g')) AS DOUBLE) / length(text) END AS ratio FROM documents")
 def t20_mojibake_ratio(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.mojibake_ratio("text").alias("ratio"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.mojibake_ratio("text").alias("ratio"))
 
 
 @query(
@@ -177,7 +177,7 @@ def t20_mojibake_ratio(spark, sf_dir):
 )
 def n03_quality_score(spark, sf_dir):
     q = scoring.extraction_quality(F.char_length("text"), F.regexp_count("text", F.lit(r"[^\s]+")), text.mojibake_ratio("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.floor(1000 * q).alias("milli"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.floor(1000 * q).alias("milli"))
 
 
 @query(
@@ -203,7 +203,7 @@ _VOCAB = f"e AS (SELECT source, unnest({_TOKENS.format('text')}) AS x FROM docum
 @query(f"WITH {_VOCAB} SELECT a.source AS a, b.source AS b, count(*) AS shared FROM v a JOIN v b ON a.x = b.x AND a.source < b.source GROUP BY 1, 2")
 def a23_vocab_overlap(spark, sf_dir):
     """Shared words of the sources' 40 most frequent."""
-    e = text.token_rows(table(spark, sf_dir, "documents"), ["source"], "text").groupBy("source", "x").count()
+    e = text.token_rows(texts(spark, sf_dir, "documents", "source", "text"), ["source"], "text").groupBy("source", "x").count()
     v = relational.top_k(e, ["source"], [F.desc("count"), F.col("x")], 40).select("source", "x")
     a, b = v.alias("a"), v.alias("b")
     j = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.source") < F.col("b.source")))
@@ -218,7 +218,7 @@ def a26_sequence_gaps(spark, sf_dir):
 
 @query(f"WITH e AS (SELECT DISTINCT source, unnest({_TOKENS.format('text')}) AS x FROM documents) SELECT x, count(*) AS n FROM e GROUP BY x HAVING count(*) <= 3")
 def a27_rare_vocabulary(spark, sf_dir):
-    e = text.token_rows(table(spark, sf_dir, "documents"), ["source"], "text", distinct=True).groupBy("source", "x").agg(F.lit(1))
+    e = text.token_rows(texts(spark, sf_dir, "documents", "source", "text"), ["source"], "text", distinct=True).groupBy("source", "x").agg(F.lit(1))
     return e.groupBy("x").agg(F.count("*").alias("n")).filter("n <= 3")
 
 
@@ -389,7 +389,7 @@ def x15_allocate(spark, sf_dir):
 def x32_foreign_pages(spark, sf_dir):
     """Pages whose head holds a title's word that isn't in their own title: pages and titles meet on words."""
     b = table(spark, sf_dir, "benchmark").select(F.lower(F.element_at(F.split("text", " "), 1)).alias("t")).distinct()
-    p = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("h"), F.lower(F.substring("html", 1, 1200)).alias("s"))
+    p = texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.lower(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("h"), F.lower(F.substring("html", 1, 1200)).alias("s"))
     words = p.select("page_id", "h", F.explode(F.array_distinct(F.split(F.regexp_replace("s", r"[^\p{L}\p{N}]++", " "), " "))).alias("t"))
     return words.join(b, "t").filter(~F.col("h").contains(F.col("t"))).select("page_id", "t")
 
@@ -417,7 +417,7 @@ def x04_extract_questions(spark, sf_dir):
 
 @query()
 def x02_split_sections(spark, sf_dir):
-    return parsing.split_sections(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("md")))
+    return parsing.split_sections(texts(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("text").alias("md")))
 
 
 @query(
@@ -458,7 +458,7 @@ def w23_rebalance(spark, sf_dir):
 @query(f"SELECT page_id, CAST(len(regexp_extract_all(t, '[a-z]+')) AS BIGINT) AS words, t LIKE '%©%' AS legal FROM (SELECT page_id, lower({_HTML}) AS t FROM pages)")
 def x32_page_profile(spark, sf_dir):
     t = F.lower(text.html_text("html"))
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count(t, F.lit("[a-z]+")).cast("long").alias("words"), t.contains("©").alias("legal"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.regexp_count(t, F.lit("[a-z]+")).cast("long").alias("words"), t.contains("©").alias("legal"))
 
 
 @query(
@@ -470,7 +470,7 @@ def x32_page_profile(spark, sf_dir):
 )
 def x46_vocabulary_rank(spark, sf_dir):
     """Documents that share more rare words with another source than with their own; a tie contradicts nothing."""
-    d = text.token_rows(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text", distinct=True)
+    d = text.token_rows(texts(spark, sf_dir, "documents", "doc_id", "source", "text"), ["doc_id", "source"], "text", distinct=True)
     e = d.groupBy("x", "source").agg(F.lit(1))
     rare = e.select("x", "source", F.count("*").over(W.partitionBy("x")).alias("n")).filter("n <= 3").select("x", "source")
     s = d.withColumnRenamed("source", "own").join(rare, "x").groupBy("doc_id", "own", "source").agg(F.count("*").alias("n"))

@@ -35,3 +35,19 @@ def build_session(master: str | None = None, app: str = "quillspark", **conf: st
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir`` (any path Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of a table for each core from which its own splits are left to do.
+SPREAD_BYTES = 32 << 20
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """``columns`` of a table whose rows cost much work each. A small table, which may be one row group of one file and so one task, is dealt over all cores; a large one has splits enough."""
+    df = table(spark, sf_dir, name).select(*columns)
+    n = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= n:
+        return df
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(path, files))
+    return df.repartition(n) if size < n * SPREAD_BYTES else df
