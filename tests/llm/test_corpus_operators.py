@@ -670,3 +670,25 @@ def test_pipeline_stages(spark, tmp_path):
             assert not any(base_spans(r["text"] or "") for r in kept.collect()) and sizes[-1] == sizes[-2]
     assert sizes[0] >= sizes[1] >= sizes[2] == sizes[3] == sizes[4] > 100
     assert {tuple(r) for r in corpus_pipeline.run(spark, SF).collect()} == {tuple(r) for r in kept.collect()}
+
+
+def test_pipeline_stages_on_odd_rows_and_an_empty_table(spark):
+    """Nulls, repeated rows, long texts and columns whose names operators use inside: each stage keeps what it must, and all columns."""
+    import corpus_pipeline
+
+    english = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en' AND length(text) > 300").limit(30)
+    odd = documents(spark, [*ODD, (7, "a token=abcdefghijkl123 b")])
+    docs = english
+    for c in [x for x in odd.columns if x not in english.columns]:
+        docs = docs.withColumn(c, F.lit("clash"))
+    docs = docs.unionByName(odd).withColumn("source", F.when(F.col("doc_id") > 3, F.col("source")))
+    for rows, least in ((docs, 20), (docs.filter("false"), 0)):
+        kept = rows
+        for name, stage in corpus_pipeline.STAGES:
+            before, kept = kept, stage(spark, kept, SF).cache()
+            n = kept.count()
+            if name != "mixing":
+                assert kept.columns == docs.columns, name
+                assert n <= before.count()
+            assert n >= least, name
+        assert {"doc_id", "taken"} <= set(kept.columns)
