@@ -40,15 +40,33 @@ def missing_answers(items: DataFrame) -> DataFrame:
 
 
 def metadata(items: DataFrame) -> DataFrame:
-    """Derived metadata of items (id, stem, is_mcq): form, marks, bloom, dok, difficulty, knowledge type, reading grade, script, latency."""
-    form = T.classify_form(F.col("stem"), F.col("is_mcq"))
-    x = items.withColumn("form", form).withColumn("marks", T.lookup(T.MARKS, F.col("form"), 1)).withColumn("bloom", T.bloom(F.col("stem"), F.col("form")))
-    x = x.withColumn("dok", T.dok(F.col("bloom"), F.col("marks")))
-    return x.select(
-        "id", "form", "marks", "bloom", "dok", F.when(F.col("dok") <= 1, "easy").when(F.col("dok") == 2, "medium").otherwise("hard").alias("difficulty"),
-        E.knowledge_type("stem").alias("knowledge"), T.reading_grade("stem").alias("grade"), F.when(F.col("stem").rlike(r"[\x{0900}-\x{097F}]"), "devanagari").otherwise("latin").alias("script"),
-        (F.col("marks") * 60 + F.size(T.tokenise("stem"))).alias("latency"),
-    )
+    """Derived metadata of items (id, stem, is_mcq and, where told, subject, standard, section, form, bloom, dok, marks, difficulty, option_count, needs_figure, hint, sha256, concept_id, chapter_id, topic_id, outcome_id, confidence).
+
+    What a source tells stands; the rest is derived from the stem. A difficulty in three words can't justify the ends of a scale of five.
+    """
+    given = lambda c, kind: F.col(c).cast(kind) if c in items.columns else F.lit(None).cast(kind)
+    x = items.withColumn("_form", F.coalesce(given("form", "string"), T.classify_form(F.col("stem"), F.col("is_mcq"))))
+    x = x.withColumn("_marks", F.coalesce(given("marks", "double"), T.lookup(T.MARKS, F.col("_form"), 1).cast("double")))
+    x = x.withColumn("_bloom", F.coalesce(F.lower(given("bloom", "string")), T.bloom(F.col("stem"), F.col("_form"))))
+    x = x.withColumn("_dok", F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce(given("dok", "int"), T.dok(F.col("_bloom"), F.col("_marks"))))))
+    n = F.coalesce(given("option_count", "int"), F.when(F.col("is_mcq"), 4).otherwise(0))
+    figure, hint = F.coalesce(given("needs_figure", "boolean"), F.lit(False)), F.trim(F.coalesce(given("hint", "string"), F.lit(""))) != ""
+    subject, standard = given("subject", "string"), given("standard", "int")
+    told = T.lookup({"easy": 2, "medium": 3, "moderate": 3, "hard": 4, "difficult": 4}, F.lower(given("difficulty", "string")))
+    hindi = F.col("stem").rlike(r"[\x{0900}-\x{097F}]")
+    middle = F.when(standard.isNotNull(), standard <= 8)
+    columns = {
+        "form": F.col("_form"), "item_type": F.when(F.col("_form") == "case_study_parent", "case_study").otherwise(F.col("_form")), "marks": F.col("_marks").cast("int"), "bloom": F.col("_bloom"), "dok": F.col("_dok"),
+        "difficulty": F.when(F.col("_dok") <= 1, "easy").when(F.col("_dok") == 2, "medium").otherwise("hard"), "difficulty_1_to_5": F.coalesce(told, T.lookup(DIFFICULTY, F.col("_dok"), 4)),
+        "knowledge": E.knowledge_by_level(F.col("_bloom"), subject), "wording": E.knowledge_type("stem"), "blueprint": E.blueprint_band(given("section", "string"), F.col("_form"), F.col("_marks")),
+        "guessing": F.when(n >= 4, "medium").when(n >= 2, "high").otherwise("low"), "assessment": F.when(n == 0, "competency").otherwise("formative"), "format": F.when(figure, "text_diagram").when(n > 0, "h5p"),
+        "interactive": F.coalesce(T.lookup(E.INTERACTIVE, F.col("_form")), F.when(n >= 2, "multiple_choice")), "scaffold": F.when(hint, "hint_available").otherwise("none"), "scaffold_ids": F.when(hint, '["hint_1"]'),
+        "latency_band": T.lookup(E.LATENCY, F.col("_bloom")), "latency": F.col("_marks") * 60 + F.size(T.tokenise("stem")), "visual": figure, "offline": ~figure, "script": F.when(hindi, "devanagari").otherwise("latin"),
+        "language": F.when(hindi, "hi").otherwise("en"), "grade": F.when(~hindi, T.reading_grade("stem")), "aptitude": E.aptitude(subject), "grade_band": F.when(middle, "middle").when(~middle, "secondary"), "stage": F.when(middle, "Middle").when(~middle, "Secondary"),
+        "content_ref": given("sha256", "string"), "concept_ref": given("concept_id", "long"), "chapter_ref": given("chapter_id", "long"), "topic_ref": given("topic_id", "long"), "outcome_ref": given("outcome_id", "long"),
+        "confidence": given("confidence", "double"), "scope": F.lit("tenant"), "quality": F.lit("draft"), "tagged_by": F.lit("derived"),
+    }
+    return x.select("id", *[v.alias(k) for k, v in columns.items()])
 
 
 #: What a concept's name and description weigh in a match, and the depth's difficulty from 1 to 5.

@@ -93,26 +93,27 @@ def similar_sets(sets: DataFrame, id_col: str, set_col: str, least: float) -> Da
     return x.select("a", "b", shared.cast("long").alias("shared"), score.alias("score")).filter(F.col("score") >= least)
 
 
-def contains_join(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+def contains_join(docs: DataFrame, quotes: DataFrame, keys: int = 3) -> DataFrame:
     """(quote, doc): the quote's text stands verbatim in the document's. Inputs: docs(doc, t), quotes(quote, q), both normalised.
 
     The first and last word of a quote may be parts of longer words of the text; the words between are whole. A quote
-    is looked up by the one of them that the fewest documents hold, and a text is fetched only for the pairs that so
-    meet. A quote without inner words is looked up among the distinct words of all texts instead.
+    is looked up by the longest of them, up to ``keys``, which a document must all hold: one pass over the documents'
+    words, and a text is fetched only for the pairs that so meet. A quote without inner words is looked up among the
+    distinct words of all texts instead.
     """
     w = F.split("q", " ")
     q = quotes.filter(F.col("q") != "").select("quote", "q", w.alias("w"))
-    inner = q.filter(F.size("w") >= 3).select("quote", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("x"))
+    inner = q.filter(F.size("w") >= 3).select("quote", F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2)).alias("w"))
+    longest = F.slice(F.array_sort(F.transform("w", lambda x: F.struct((-F.char_length(x)).alias("n"), x.alias("x")))), 1, keys)
+    key = inner.select("quote", longest.alias("k")).select("quote", F.size("k").alias("n"), F.explode(F.transform("k", lambda y: y["x"])).alias("x"))
     words = docs.select("doc", F.explode(F.array_distinct(F.split("t", " "))).alias("x"))
-    asked = words.join(inner.select("x").distinct(), "x")
-    seen = asked.groupBy("x").agg(F.count("*").alias("f"))
-    key = inner.join(seen, "x", "left").groupBy("quote").agg(F.min_by("x", F.struct(F.coalesce("f", F.lit(0)), "x")).alias("x"), F.min(F.coalesce("f", F.lit(0))).alias("f"))
-    met = asked.join(key.filter("f > 0").select("quote", "x"), "x").select("quote", "doc")
-    short = q.filter(F.size("w") < 3).select("quote", "q", F.element_at("w", 1).alias("first"), F.size("w").alias("k"))
-    every = words.select("x").distinct()
-    fits = F.when(F.col("k") == 1, F.col("x").contains(F.col("first"))).otherwise(F.col("x").endswith(F.col("first")))
-    met = met.unionByName(words.join(every.join(short, fits).select("quote", "x"), "x").select("quote", "doc"))
-    found = met.distinct().join(quotes.select("quote", "q"), "quote").join(docs.select("doc", "t"), "doc")
+    met = words.join(key, "x").groupBy("quote", "doc", "n").agg(F.count("*").alias("hit")).filter("hit = n").select("quote", "doc")
+    short = q.filter(F.size("w") < 3).select("quote", F.element_at("w", 1).alias("first"), F.size("w").alias("k"))
+    if short.limit(1).count():
+        fits = F.when(F.col("k") == 1, F.col("x").contains(F.col("first"))).otherwise(F.col("x").endswith(F.col("first")))
+        some = words.select("x").distinct().join(short, fits).select("quote", "x")
+        met = met.unionByName(words.join(some, "x").select("quote", "doc")).distinct()
+    found = met.join(quotes.select("quote", "q"), "quote").join(docs.select("doc", "t"), "doc")
     return found.filter(F.col("t").contains(F.col("q"))).select("quote", "doc")
 
 

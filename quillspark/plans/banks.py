@@ -189,6 +189,18 @@ def m02_merged_envelope(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", E.merged_envelope(old, F.lit("new")).alias("answer"))
 
 
+@query("SELECT s_suppkey, s_suppkey % 4 IN (0, 1) AS fit, CASE WHEN s_suppkey % 3 = 0 THEN 4 WHEN s_suppkey % 3 = 1 THEN 3 ELSE 1 END AS level, CASE WHEN s_suppkey % 3 = 2 THEN NULL ELSE 'WAVES OF LIGHT' END AS title FROM supplier")
+def t26_t28_t29_items_and_headings(spark, sf_dir):
+    """Whether an item fits a second role, a heading's level, and the title in a line that runs on."""
+    k = F.col("s_suppkey")
+    step = F.when(k % 4 == 0, "concept_diagnostic").when(k % 4 == 1, "adaptive_test").when(k % 4 == 2, "adaptive_diagnostic").otherwise("mastery_check")
+    fit = E.fits(step, F.lit("HOTS"), F.lit("Medium"), F.lit("none"), F.lit(True))
+    role, text = F.when(k % 3 == 2, "title").otherwise("heading"), F.when(k % 3 == 0, "2.1.4 Waves").otherwise("Waves")
+    line = F.when(k % 3 == 0, "WAVES OF LIGHT A Light travels in").when(k % 3 == 1, "WAVES OF LIGHT In this section you will").otherwise("Work out 4 and 6")
+    level = E.hierarchy_level(role, F.lit(None).cast("int"), text)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", fit.alias("fit"), level.alias("level"), E.section_title(line).alias("title"))
+
+
 # --- joins and windows that are operators
 
 

@@ -367,12 +367,29 @@ def s18_logged_revert(spark, sf_dir):
     return tag(changed, "changed").unionByName(tag(log.withColumnRenamed("previous", "v"), "log")).unionByName(tag(back, "reverted"))
 
 
-@query("SELECT code, severity, count(*) AS n FROM (SELECT 'W-01' AS code, 'warning' AS severity FROM documents WHERE length(text) BETWEEN 1 AND 14 UNION ALL SELECT 'V-11', 'error' FROM documents WHERE length(text) > 5000 UNION ALL SELECT 'V-09', 'error' FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL OR l.quality <= 0 UNION ALL SELECT 'V-02', 'error' FROM documents WHERE trim(text) = '') GROUP BY ALL")
+_ITEM = "SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'mcq' WHEN 1 THEN 'assertion_reason' ELSE 'short' END AS form FROM supplier"
+_FAILS = {
+    "V-02": "form <> 'short' AND k % 5 = 1 AND k % 7 <> 2", "V-04": "form <> 'short' AND k % 5 = 2", "V-06": "k % 11 = 0", "V-07": "k % 4 = 1", "V-08": "k % 10 = 9 AND k > 9", "V-09": "form = 'mcq' AND k % 7 = 2",
+    "V-10": "form = 'assertion_reason' AND k % 6 = 1", "V-11": "k % 13 = 5 AND k % 7 <> 2", "W-01": "form = 'short' AND k % 2 = 0",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{code}' AS code, '{'warning' if code[0] == 'W' else 'error'}' AS severity, count(*) AS n FROM ({_ITEM}) WHERE {cond} HAVING count(*) > 0" for code, cond in _FAILS.items()))
 def x05_validate_items(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    none = F.lit(None)
-    rs = rules.item_rules(F.col("text"), F.lit("long"), none.cast("array<string>"), none.cast("string"), F.col("quality"))
-    return rules.counts(rules.check(d, rs))
+    """Extracted items by the rules that they break: each of the nine can fire."""
+    k = F.col("s_suppkey")
+    form = F.when(k % 3 == 0, "mcq").when(k % 3 == 1, "assertion_reason").otherwise("short")
+    four = F.array(*[F.lit(x) for x in "pqr"], F.when(k % 13 == 5, F.repeat(F.lit("x"), 251)).otherwise("s"))
+    options = F.when(k % 7 == 2, F.array().cast("array<string>")).otherwise(four)
+    key = F.when(k % 5 == 1, "E").when(k % 5 != 2, "B")
+    digest = F.when(k % 10 == 9, "same").otherwise(k.cast("string"))
+    s = table(spark, sf_dir, "supplier").select(k, form.alias("form"), options.alias("options"), key.alias("key"), digest.alias("digest"), F.when(k % 11 == 0, " ").otherwise("What?").alias("stem"))
+    s = rules.seen_before(s, ["digest"], ["s_suppkey"])
+    c = F.col
+    rs = rules.item_rules(
+        c("stem"), c("form"), c("options"), c("key"), assertion=F.lit("A"), reason=F.when(k % 6 != 1, "R"), needs_figure=k % 4 == 1, images=F.lit(0), again=c("again"), answer=F.when(k % 2 == 1, "so")
+    )
+    return rules.counts(rules.check(s, rs))
 
 
 @query("SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 = 0 THEN 7 ELSE floor(greatest(0, 500 - coalesce(sum(CASE WHEN c_custkey % 3 = 0 THEN 7 END) OVER u, 0)) / count(CASE WHEN c_custkey % 3 <> 0 THEN 1 END) OVER u) + CASE WHEN row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_custkey % 3 <> 0 THEN 0 ELSE 1 END, c_custkey) <= greatest(0, 500 - coalesce(sum(CASE WHEN c_custkey % 3 = 0 THEN 7 END) OVER u, 0)) % count(CASE WHEN c_custkey % 3 <> 0 THEN 1 END) OVER u THEN 1 ELSE 0 END END AS BIGINT) AS periods FROM customer WINDOW u AS (PARTITION BY c_nationkey)")

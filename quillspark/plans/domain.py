@@ -202,10 +202,21 @@ def x17_macro_plan(spark, sf_dir):
     return bank.macro_plan(c, slots).select("subject", "chapter", "first_day", "last_day")
 
 
-@query()
+@query(
+    "SELECT s_suppkey AS id, f AS form, m AS marks, CASE v WHEN 0 THEN 'analyze' WHEN 1 THEN 'apply' ELSE 'recall' END AS bloom, CASE v WHEN 0 THEN CASE WHEN m <= 1 THEN 2 ELSE 3 END WHEN 1 THEN 2 ELSE 1 END AS dok, "
+    "CASE v WHEN 0 THEN 'conceptual' WHEN 1 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'procedural' ELSE 'conceptual' END ELSE 'factual' END AS knowledge, CASE WHEN q THEN 'objective' WHEN s_suppkey % 5 = 0 THEN 'case_based' ELSE CASE WHEN m <= 1 THEN 'objective' ELSE 'short_answer' END END AS blueprint, "
+    "CASE WHEN q THEN 'medium' ELSE 'low' END AS guessing, CASE v WHEN 0 THEN 'slow_analysis' WHEN 1 THEN 'medium_application' ELSE 'fast_recall' END AS latency_band, CASE WHEN s_suppkey % 2 = 0 THEN 'numerical' ELSE 'verbal' END AS aptitude, CASE WHEN s_suppkey % 12 <= 8 THEN 'Middle' ELSE 'Secondary' END AS stage "
+    "FROM (SELECT *, s_suppkey % 3 AS v, s_suppkey % 4 = 0 AS q, CASE WHEN s_suppkey % 4 = 0 THEN 'mcq' WHEN s_suppkey % 3 = 1 THEN 'numerical' ELSE 'very_short' END AS f, CAST(CASE WHEN s_suppkey % 4 = 0 THEN 1 WHEN s_suppkey % 3 = 1 THEN 3 ELSE 1 END AS INTEGER) AS m FROM supplier)"
+)
 def x27_item_metadata(spark, sf_dir):
-    """Derived metadata of turns as items (unit tests pin the values)."""
-    return bank.metadata(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("stem"), F.lit(False).alias("is_mcq")))
+    """Derived metadata of items that are set from suppliers."""
+    k = F.col("s_suppkey")
+    stem = F.concat(F.when(k % 3 == 0, "Compare ").when(k % 3 == 1, "Calculate ").otherwise("Define "), F.lit("the offer of "), "s_name", F.lit("."))
+    items = table(spark, sf_dir, "supplier").select(
+        k.alias("id"), stem.alias("stem"), (k % 4 == 0).alias("is_mcq"), F.when(k % 2 == 0, "Maths").otherwise("English").alias("subject"), (k % 12).alias("standard"),
+        F.when((k % 5 == 0) & (k % 4 != 0), "Case based questions").when(k % 4 == 0, "Objective").alias("section"),
+    )
+    return bank.metadata(items).select("id", "form", "marks", "bloom", "dok", "knowledge", "blueprint", "guessing", "latency_band", "aptitude", "stage")
 
 
 _BAG = "SELECT conv_id * 100 + turn AS id, role AS grp, w, count(*) AS k FROM (SELECT conv_id, turn, role, unnest(list_filter(string_split(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:6], ' ')), '[^\\p{L}\\p{N}\\p{M}]+', ' ', 'g'), ' '), lambda x: x <> '' AND x NOT IN (" + _S + "))) AS w FROM conversations) GROUP BY ALL"

@@ -158,11 +158,13 @@ def test_similar_sets_equal_brute_force(spark):
 
 
 def test_rules(spark):
-    df = spark.createDataFrame([(1, "Pick one thing from here", ["a", "b", "c"], "a", 1), (2, "", None, None, None)], "id long, stem string, o array<string>, k string, m int")
-    c = rules.check(df, rules.item_rules(F.col("stem"), F.lit("mcq"), F.col("o"), F.col("k"), F.col("m")))
+    df = spark.createDataFrame([(1, "Pick one thing from here", ["a", "b", "c"], "A"), (2, "", None, None), (3, "Pick", ["a", "b", "c", "d"], "e")], "id long, stem string, o array<string>, k string")
+    c = rules.check(df, rules.item_rules(F.col("stem"), F.lit("mcq"), F.col("o"), F.col("k")))
     got = {r["id"]: {i["code"] for i in r["issues"]} for r in c.collect()}
-    assert got == {1: {"V-04"}, 2: {"V-02", "V-04", "V-06", "V-09"}}
-    assert {r["id"]: (r["errors"], r["warnings"]) for r in rules.tally(c, "id").collect()}[2] == (4, 0)
+    assert got == {1: {"V-09"}, 2: {"V-04", "V-06", "V-09"}, 3: {"V-02"}}
+    assert {r["id"]: (r["errors"], r["warnings"]) for r in rules.tally(c, "id").collect()}[2] == (3, 0)
+    again = rules.seen_before(spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, None)], "id long, h string"), ["h"], ["id"])
+    assert {r["id"]: r["again"] for r in again.collect()} == {1: False, 2: True, 3: False, 4: False}
 
 
 def test_calendar_and_weeks(spark):
