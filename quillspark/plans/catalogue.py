@@ -117,8 +117,8 @@ _SYL = r"(len(regexp_extract_all(t, '[aeiouy]+')) - len(regexp_extract_all(t, '[
     + _SYL + " AS y FROM (SELECT doc_id, lower(text) AS t FROM documents)) WHERE w >= 6"
 )
 def t23_reading_level(spark, sf_dir):
-    d = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.reading_grade("text").alias("g")).filter("g IS NOT NULL")
-    return d.select("doc_id", F.floor(1000 * F.col("g")).alias("milli"))
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", *text.reading_counts("text")).filter("words >= 6")
+    return d.select("doc_id", F.floor(1000 * text.grade_of(*[F.col(c) for c in ("words", "sentences", "syllables")])).alias("milli"))
 
 
 _HTML = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
