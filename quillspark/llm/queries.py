@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, html, language, mixing, pii, secrets, simhash, substrings, topk, toxicity
+from quillspark.llm import decontamination, divergence, html, language, mixing, pii, secrets, simhash, substrings, topk, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_topk": topk.op9_topk,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_divergence": divergence.op11_divergence,
 }
-ORACLES = {"op2_decontamination": decontamination.SQL, "op8_mixing": mixing.SQL, "op9_topk": topk.SQL}
+ORACLES = {"op2_decontamination": decontamination.SQL, "op8_mixing": mixing.SQL, "op9_topk": topk.SQL, "op11_divergence": divergence.SQL}
