@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, divergence, html, language, mixing, pii, quality, secrets, simhash, substrings, topk, toxicity
+from quillspark.llm import decontamination, divergence, html, language, mixing, pii, quality, secrets, simhash, substrings, topk, toxicity, trie
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_divergence": divergence.op11_divergence,
     "op12_quality": quality.op12_quality,
+    "op13_trie": trie.op13_trie,
 }
-ORACLES = {"op2_decontamination": decontamination.SQL, "op8_mixing": mixing.SQL, "op9_topk": topk.SQL, "op11_divergence": divergence.SQL, "op12_quality": quality.SQL}
+ORACLES = {"op2_decontamination": decontamination.SQL, "op8_mixing": mixing.SQL, "op9_topk": topk.SQL, "op11_divergence": divergence.SQL, "op12_quality": quality.SQL, "op13_trie": trie.SQL}
