@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.session import checkpointed
 
 
 def optional(df: DataFrame, **bound) -> DataFrame:
@@ -129,17 +130,44 @@ def best_overlap(left: DataFrame, right: DataFrame, k: int, tokens: str = "token
     return top_k(s, ["l"], [F.desc("score"), F.col("r")], k)
 
 
-def first_names(names: DataFrame) -> DataFrame:
-    """(grp, ord, name) rows whose name isn't that of an earlier row of the group: names that are one unit, and no discriminator apart.
+def first_independent(pairs: DataFrame) -> DataFrame:
+    """(id) of what goes when ids are taken in order and each is dropped that is paired with an earlier one that stayed.
 
-    A later name goes when it is a duplicate of any earlier one, kept or not. Names meet on their rarer stems.
+    ``pairs`` has a < b once each. In a round, ids that no open pair names as the later one stay, and what is paired with them goes;
+    pairs of an id that goes are closed, so what it alone held back may stay in the next round. A round settles the least open id of
+    every connected part at least, and all of a star or a clique; only a chain of n ids in order takes n / 2 rounds.
     """
-    s = names.select("grp", "ord", "name", T.subject_tokens("name").alias("s"))
-    keyed = s.select(F.struct("grp", "ord").alias("id"), F.transform("s", lambda x: F.concat_ws("\x00", F.col("grp").cast("string"), x)).alias("k"))
+    pairs = checkpointed(pairs.select("a", "b"))
+    gone = []
+    while not pairs.isEmpty():
+        stay = pairs.select(F.col("a").alias("id")).distinct().join(pairs.select(F.col("b").alias("id")), "id", "left_anti")
+        goes = checkpointed(pairs.join(stay.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        gone.append(goes)
+        for end in ("a", "b"):
+            pairs = pairs.join(goes.withColumnRenamed("id", end), end, "left_anti")
+        pairs = checkpointed(pairs.select("a", "b"))
+    return reduce(DataFrame.unionByName, gone) if gone else pairs.select(F.col("a").alias("id"))
+
+
+def first_names(names: DataFrame, part: str | None = None) -> DataFrame:
+    """Rows (grp, ord, name) that stay when the names of a group are taken in order and each is dropped that has no token, or that names
+    the same unit as an earlier one that stayed: by containment of their stems, with no discriminator apart.
+
+    A name of stopwords alone names no unit and stays. With ``part`` (a column), a part of a group that would be left
+    empty keeps its first row, which drops no other. Equal sets of stems are one name from the start, so copies make no pairs; the rest meet on their rarer stems.
+    """
+    s = names.filter(T.normalise_name("name") != "").select("grp", "ord", T.subject_tokens("name").alias("s"))
+    once = checkpointed(s.filter(F.size("s") > 0).groupBy("grp", "s").agg(F.min("ord").alias("ord")).withColumn("id", F.struct("grp", "ord")))
+    keyed = once.select("id", F.transform("s", lambda x: F.concat_ws("\x00", F.col("grp").cast("string"), x)).alias("k"))
     met = similar_sets(keyed, "id", "k", T.DUPLICATE).select("a", "b")
-    of = lambda k: s.select(F.struct("grp", "ord").alias(k), F.col("s").alias(f"{k}_s"))
-    twice = met.join(of("a"), "a").join(of("b"), "b").filter(T.is_duplicate(F.col("a_s"), F.col("b_s"))).select(F.col("b.grp").alias("grp"), F.col("b.ord").alias("ord")).distinct()
-    return names.join(twice, ["grp", "ord"], "left_anti")
+    of = lambda k: once.select(F.col("id").alias(k), F.col("s").alias(f"{k}_s"))
+    pairs = met.join(of("a"), "a").join(of("b"), "b").filter(T.is_duplicate(F.col("a_s"), F.col("b_s")))
+    stay = once.join(first_independent(pairs), "id", "left_anti").select("grp", "ord").unionByName(s.filter(F.size("s") == 0).select("grp", "ord"))
+    if part is not None:
+        kept = names.join(stay.withColumn("_stays", F.lit(True)), ["grp", "ord"], "left").groupBy("grp", part)
+        least = kept.agg(F.min("ord").alias("ord"), F.max("_stays").alias("_stays")).filter("_stays is null")
+        stay = stay.unionByName(least.select("grp", "ord"))
+    return names.join(stay, ["grp", "ord"], "left_semi")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep_old_when_null: bool = True) -> DataFrame:

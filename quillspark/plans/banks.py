@@ -481,12 +481,32 @@ def x24_tag_offline(spark, sf_dir):
     return bank.tag_offline(items, concepts).select("id", "concept_id", "confidence", "bloom", "dok")
 
 
-@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source, doc_id % 9 ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+@query(
+    """
+    WITH RECURSIVE n AS (
+      SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, doc_id % 3 AS part,
+             [lower(p_name) || chr(97 + i::INTEGER) FOR i IN range(doc_id % 7, doc_id % 7 + 2 + doc_id % 4)] AS s
+      FROM (SELECT source, doc_id, 'zq' AS p_name FROM documents WHERE doc_id % 11 <> 0)),
+    w AS (
+      SELECT source, k, doc_id, s, TRUE AS stays, [s] AS kept FROM n WHERE k = 1
+      UNION ALL
+      SELECT source, k, doc_id, s, ok, CASE WHEN ok THEN list_append(kept, s) ELSE kept END
+      FROM (SELECT n.source, n.k, n.doc_id, n.s, w.kept,
+                   len(list_filter(w.kept, lambda x: CAST(len(list_intersect(x, n.s)) AS DOUBLE) / least(len(x), len(n.s)) >= 0.8)) = 0 AS ok
+            FROM w JOIN n ON n.source = w.source AND n.k = w.k + 1)),
+    p AS (
+      SELECT d.source, d.doc_id % 3 AS part, min(d.doc_id) AS doc_id, bool_or(coalesce(w.stays, FALSE)) AS any_
+      FROM documents d LEFT JOIN w ON w.source = d.source AND w.doc_id = d.doc_id GROUP BY d.source, d.doc_id % 3)
+    SELECT source, doc_id FROM w WHERE stays UNION SELECT source, doc_id FROM p WHERE NOT any_
+    """
+)
 def w01_first_names(spark, sf_dir):
-    """Names in order of first sight: a later one that is the same unit goes."""
-    name = F.concat(F.lit("The z"), F.md5(_s("k")), F.lit("q"), F.when(F.col("doc_id") % 2 == 0, " overview").otherwise(""))
-    d = table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 9).select(F.col("source").alias("grp"), F.col("doc_id").alias("ord"), name.alias("name"))
-    return relational.first_names(d).select(F.col("grp").alias("source"), F.col("ord").alias("doc_id"))
+    """Names of two to five words from an alphabet, so that they overlap in chains: one stays unless an earlier that stayed names the same; every eleventh has no token."""
+    word = lambda i: F.concat(F.lit("The zq"), F.char(97 + i))
+    words = F.transform(F.sequence(F.col("doc_id") % 7, F.col("doc_id") % 7 + 1 + F.col("doc_id") % 4), word)
+    name = F.when(F.col("doc_id") % 11 == 0, F.lit(" -- ")).otherwise(F.array_join(words, " "))
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("ord"), name.alias("name"), (F.col("doc_id") % 3).alias("part"))
+    return relational.first_names(d, "part").select(F.col("grp").alias("source"), F.col("ord").alias("doc_id"))
 
 
 # --- streams

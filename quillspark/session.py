@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,16 @@ def build_session(master: str | None = None, app: str = "quillspark", **conf: st
     return b.getOrCreate()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, in ``spark.checkpoint.dir``; only a local session without that setting gets a folder of its own."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir`` (any path Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

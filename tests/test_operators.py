@@ -266,3 +266,53 @@ def test_stuck_stream_equals_batch(spark, tmp_path):
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     got = {tuple(r) for r in ledger.drain(ledger.stuck(s, 60), "append", "stuck_test").collect()}
     assert {("b", "done"), ("c", "done"), ("d", "done"), ("a", "failed")} == got
+
+
+def named_in_order(names):
+    """The reference rule, one name after the other: (stays) for token sets in order."""
+    kept = []
+    for k, s in names:
+        if s and not any(duplicate(s, x) for _, x in kept):
+            kept.append((k, s))
+    return [k for k, _ in kept]
+
+
+def duplicate(a, b):
+    from quillspark.functions import text as T
+
+    if not a or not b or (a ^ b) & set(T.DISCRIMINATORS):
+        return False
+    short = min(len(a), len(b))
+    return a == b if short < 2 else len(a & b) / short >= 0.8
+
+
+def test_first_names_are_those_of_a_walk_in_order(spark):
+    import random
+
+    chain = ["Water cycle rain", "Water cycle rain cloud river lake", "Cloud river lake"]
+    d = spark.createDataFrame([(1, i, n) for i, n in enumerate([*chain, "--", "", None, "of the", "Water cycle rain"])], "grp int, ord int, name string")
+    assert [r["ord"] for r in relational.first_names(d).orderBy("ord").collect()] == [0, 2, 6]
+    r = random.Random(3)
+    words = [f"wq{c}" for c in "abcdefghij"] + ["adding", "even"]
+    rows = []
+    for g in range(6):
+        rows += [(g, i, " ".join(r.sample(words[: 5 + g], r.randint(1, 5)))) for i in range(60)]
+        rows += [(g, 60 + i, " ".join(f"ch{j}x" for j in range(3 * i, 3 * i + 6))) for i in range(30)]  # a chain: each shares half with the next
+        rows += [(g, 90 + i, "hub aa bb" + "".join(f" leaf{i}y{k}" for k in range(i % 4))) for i in range(20)]  # a star
+    got = {(x["grp"], x["ord"]) for x in relational.first_names(spark.createDataFrame(rows, "grp int, ord int, name string")).collect()}
+    assert got == {(g, k) for g in range(6) for k in named_in_order([(i, set(n.split())) for gg, i, n in rows if gg == g])}
+
+
+def test_first_names_leave_no_part_empty(spark):
+    rows = [(1, 0, "t1", "Plant cell wall"), (1, 1, "t1", "Plant root hair"), (1, 2, "t2", "Plant cell wall"), (1, 3, "t2", "plant cell walls"), (1, 4, "t3", "--")]
+    d = spark.createDataFrame(rows, "grp int, ord int, topic string, name string")
+    assert [r["ord"] for r in relational.first_names(d, "topic").orderBy("ord").collect()] == [0, 1, 2, 4]
+
+
+def test_first_independent_of_chains_and_stars(spark):
+    chain = [(i, i + 1) for i in range(7)]
+    star = [(100, i) for i in range(101, 120)] + [(i, i + 1) for i in range(101, 119)]
+    back = [(200 + i, 210) for i in range(10)]
+    got = {r["id"] for r in relational.first_independent(spark.createDataFrame(chain + star + back, "a long, b long")).collect()}
+    assert got == {1, 3, 5, 7} | set(range(101, 120)) | {210}
+    assert relational.first_independent(spark.createDataFrame([], "a long, b long")).collect() == []
