@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import scoring, text
 from quillspark.operators import parsing, planning, relational, rules
-from quillspark.plans import banks, domain, frames, sql_queries  # noqa: F401  they register queries
+from quillspark.plans import banks, domain, frames, papers, sql_queries  # noqa: F401  they register queries
 from quillspark.plans.registry import ORACLES, QUERIES, query
 from quillspark.session import table, texts
 from quillspark.streaming import ledger
