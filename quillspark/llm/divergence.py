@@ -9,6 +9,7 @@ that both sides have, and one product covers the terms that neither has. All ari
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,33 +23,31 @@ LEAST = 3
 #: Terms told for each group, at most: the report's length.
 TOP = 200
 #: Distinct (group, term) counts that a task holds before it sends them on, and bytes of a text that are cut into words at once.
-ENTRIES, PIECE = 250_000, 1 << 20
+ENTRIES, PIECE = 600_000, 1 << 20
 
 #: Bytes of terms: letters in lower case and all of non-ASCII characters; others end a term.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def terms(text: str) -> Counter:
-    """Occurrences of each term (as UTF-8) in a text, cut in pieces where no term is."""
-    data = text.encode().translate(_TERM)
-    if len(data) <= PIECE:
-        return Counter(data.split())
-    found, at = Counter(), 0
+def terms(text: str) -> Iterator[list[bytes]]:
+    """The terms of a text (as UTF-8), in pieces that are cut where no term is."""
+    data, at = text.encode().translate(_TERM), 0
     while at < len(data):
         end = data.find(b" ", at + PIECE)
         end = len(data) if end < 0 else end
-        found.update(data[at:end].split())
+        yield data[at:end].split()
         at = end
-    return found
 
 
 def _partial(batches):
     """Rows (lang, source, term, n, docs): sums over some of a task's documents."""
 
     def out():
-        flat = [(lang, source, term, n, d) for (lang, source), of in held.items() for term, (n, d) in of.items()]
+        cols = [[], [], [], [], []]
+        for (lang, source), (total, inside) in held.items():
+            for c, more in zip(cols, ([lang] * len(total), [source] * len(total), list(total), list(total.values()), [inside[t] for t in total]), strict=True):
+                c += more
         held.clear()
-        cols = list(zip(*flat, strict=True)) or [[]] * 5
         kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
         arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
         arrays[2] = arrays[2].cast(pa.string())
@@ -58,12 +57,13 @@ def _partial(batches):
     entries = 0
     for b in batches:
         for lang, source, text in zip(*(b.column(i) for i in range(3)), strict=True):
-            of = held.setdefault((lang.as_py(), source.as_py()), {})
-            before = len(of)
-            for term, n in terms(text.as_py()).items():
-                had = of.get(term)
-                of[term] = (n, 1) if had is None else (had[0] + n, had[1] + 1)
-            entries += len(of) - before
+            total, inside = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+            before, seen = len(total), set()
+            for words in terms(text.as_py()):
+                total.update(words)
+                seen.update(words)
+            inside.update(seen)
+            entries += len(total) - before
             if entries >= ENTRIES:
                 yield out()
                 entries = 0
