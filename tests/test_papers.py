@@ -1,6 +1,6 @@
 """Answer-anchored papers, generated-item gates, curricula in tables, outlines, on small inputs of our own."""
 
-from quillspark.operators import parsing
+from quillspark.operators import gates, parsing
 
 
 def test_answer_anchored_papers(spark):
@@ -55,3 +55,50 @@ def test_running_lines_go_by_place_and_pages(spark):
     assert [x for x in got if x[0] == 2] == [(2, i, "same") for i in range(4)]
     assert not any(s.startswith("leaf") for *_, s in got) and [s for i, _, s in got if s.startswith("Chapter")] == ["Chapter head 4"]  # the one in a page's midst
     assert sum(s == "own text" for *_, s in got) == 5 and sum(s == "once more" for *_, s in got) == 2
+
+
+def test_stated_arithmetic_is_exact():
+    from fractions import Fraction
+
+    worked = {
+        "What is 3/4 + 2 × (5 - 1)?": (Fraction(35, 4), ()), "Work out 2^3^2.": (512, ()), "Find 41 squared": (1681, ()), "Add 12 cm + 3 m": (Fraction(78, 25), (("m", 1),)),
+        "the sum of 4, 5 and 6": (15, ()), "the square root of 169 m2": (13, (("m", 1),)), "20% of 50 kg": (10000, (("g", 1),)), "difference between 10 and 3": (7, ()),
+        "6 m / 2 s": (3, (("m", 1), ("s", -1))), "1 1/2 + 2": (Fraction(7, 2), ()), "the average of 1, 2 and 6": (3, ()), "(2 + 3) * 4 and 1 + 1": (20, ()), "0.1 + 0.2": (Fraction(3, 10), ()),
+    }
+    for stem, want in worked.items():
+        assert gates.recompute(stem) == want, stem
+    for stem in (None, "", "no sums", "It is 7.", "5 m + 3 kg", "1/0", "the square root of 2", "2^9999", "9" * 50 + " + 1"):
+        assert gates.recompute(stem) is None, stem
+    q = gates.recompute("What is 3/4 + 2 × (5 - 1)?")
+    assert all(gates.states(a, q) for a in ("35/4", "8 3/4", "it is 8.75", "875%")) and not any(gates.states(a, q) for a in ("8.7", "", None, "35", "8.75 m"))
+    m = gates.recompute("12 cm + 3 m")
+    assert all(gates.states(a, m) for a in ("312 cm", "3.12 m", "3.12")) and not any(gates.states(a, m) for a in ("312", "3.12 kg", "31.2 m"))
+
+
+def test_every_gate_fires_alone(spark):
+    good = dict(id=0, chapter=1, grounded_on=10, concept=5, note=None, stem="What is 2 + 3 now", answer="5", explanation="so", bloom="apply", form="mcq", options=["5", "6", "7", "8"], mark_scheme=None, misconception=False, misconception_text=None)
+    faults = [
+        ({}, []), ({"grounded_on": 99}, ["G1"]), ({"grounded_on": None}, ["G1"]), ({"grounded_on": 20}, ["G1"]), ({"concept": 6, "stem": "Why 2 + 3"}, ["G2"]), ({"concept": 6, "note": "filed there", "stem": "Why 2 + 3"}, []), ({"grounded_on": 11, "concept": 7, "stem": "And 2 + 3"}, ["G3"]),
+        ({"explanation": " "}, ["G4"]), ({"bloom": None}, ["G4"]), ({"options": ["5", "6", "7"]}, ["G5"]), ({"options": ["5", "6", "7", " 7"]}, ["G5"]), ({"options": None}, ["G5"]), ({"options": ["1", "2", "3", "4"]}, ["G5"]),
+        ({"stem": "Then 2 + 3 is how much of it"}, ["G6"]), ({"form": "short"}, ["G7"]), ({"form": "short", "mark_scheme": "one"}, []), ({"misconception": True}, ["G8"]), ({"misconception": True, "misconception_text": "adds up"}, []),
+        ({"answer": "6"}, ["G9"]), ({"stem": "Tell me"}, ["G9"]), ({"stem": None}, ["G4", "G9"]),
+    ]
+    rows = [good | f | {"id": i} for i, (f, _) in enumerate(faults)]
+    schema = "id int, chapter int, grounded_on int, concept int, note string, stem string, answer string, explanation string, bloom string, form string, options array<string>, mark_scheme string, misconception boolean, misconception_text string"
+    items = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    sourced = spark.createDataFrame([(10, 1, 5, "Then 2 and 3 is so how much of all it was"), (11, 1, 7, "words of their own"), (20, 2, 5, "in another chapter")], "id int, chapter int, concept int, stem string")
+    got = {r["id"]: r for r in gates.generated_items(items, sourced, spark.createDataFrame([(1, 5), (1, 6)], "chapter int, concept int")).collect()}
+    for i, (_, want) in enumerate(faults):
+        assert [x["code"] for x in got[i]["issues"]] == want, (faults[i], got[i])
+        assert got[i]["passed"] == (not want)
+
+
+def test_covered_equals_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    asked = [(i, i % 2, r.sample("abcdefghij", r.randint(1, 8))) for i in range(60)] + [(99, 0, [])]
+    held = [(i, i % 2, r.sample("abcdefghij", r.randint(1, 9))) for i in range(60)]
+    for over in (0.5, 0.8):
+        got = {(x["q"], x["e"]) for x in gates.covered(spark.createDataFrame(asked, "q int, g int, s array<string>"), spark.createDataFrame(held, "e int, g int, s array<string>"), over).collect()}
+        assert got == {(q, e) for q, g, s in asked for e, h, t in held if g == h and s and len(set(s) & set(t)) / len(s) > over}
