@@ -517,17 +517,27 @@ def r04_stream_distinct(spark, sf_dir):
     """Retried entries once: each event comes twice."""
     e = ledger.stream(spark, sf_dir)
     twice = e.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("again")
-    return ledger.drain(ledger.distinct(twice, "ts", ["event_id"], "40 days").select("event_id", "user_id"), "append", f"distinct_{uuid.uuid4().hex}")
+    return ledger.settled(ledger.distinct(twice, "ts", ["event_id"], "40 days").select("event_id", "user_id"))
 
 
-@query("SELECT user_id, CAST(max(n) AS BIGINT) AS n, count(*) AS news FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id < 20) GROUP BY user_id")
+@query("SELECT user_id, CAST(max(n) AS BIGINT) AS n, count(*) AS news FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) GROUP BY user_id")
 def r05_stream_live(spark, sf_dir):
     """News of each job, counted as long as it is remembered."""
-    e = ledger.stream(spark, sf_dir).filter("user_id < 20").select(_s("user_id").alias("key"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("at"))
-    out = ledger.drain(ledger.live(e, 24 * 60), "append", f"live_{uuid.uuid4().hex}")
+    e = ledger.stream(spark, sf_dir).select(_s("user_id").alias("key"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    out = ledger.settled(ledger.live(e, 24 * 60))
     return out.groupBy(F.col("key").cast("long").alias("user_id")).agg(F.max("n").alias("n"), F.count("*").alias("news"))
 
 
+@query(
+    "SELECT user_id, CASE WHEN status = 'view' THEN 'failed' ELSE status END AS status FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS seen, (SELECT max(ts) FROM events) AS newest FROM events GROUP BY user_id) "
+    "WHERE status <> 'view' OR seen + INTERVAL 60 MINUTE <= date_trunc('millisecond', newest - INTERVAL 1 MINUTE)"
+)
+def r03_stream_stuck(spark, sf_dir):
+    """Runs as a stream tells them: as they end, or failed when the watermark has passed an hour without news (here: view is running)."""
+    e = ledger.stream(spark, sf_dir).select(_s("user_id").alias("key"), F.when(F.col("event_type") == "view", "running").otherwise(F.col("event_type")).alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    return ledger.settled(ledger.stuck(e, 60)).select(F.col("key").cast("long").alias("user_id"), "status")
+
+
 @query("SELECT event_id FROM events WHERE NOT (event_type IN ('purchase', 'error') AND ts < TIMESTAMP '2024-01-20 00:00:00')")
 def r05_evict(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", T.lookup({"purchase": "done", "error": "failed"}, F.col("event_type"), "running").alias("status"), F.col("ts").alias("at"))

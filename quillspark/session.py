@@ -33,13 +33,18 @@ def build_session(master: str | None = None, app: str = "quillspark", **conf: st
     return b.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, in ``spark.checkpoint.dir``; only a local session without that setting gets a folder of its own."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder of checkpoints, ``spark.checkpoint.dir``, which all executors share; only a local session without that setting gets one of its own."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, below the ``shared`` folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

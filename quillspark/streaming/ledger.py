@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from quillspark.session import shared
+
+#: The state store of the keyed streams.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str = "events", files_a_trigger: int = 64) -> DataFrame:
@@ -32,6 +40,12 @@ def drain_to(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """All that is available now, as a new table below the shared folder: for results of any size."""
+    path = f"{shared(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    return drain_to(df, f"{path}/table", f"{path}/state")
+
+
 def latest(events: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
     """The latest values of each key (update or complete mode)."""
     return events.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_r")).select(key, "_r.*")
@@ -58,26 +72,78 @@ def sessions(events: DataFrame, ts: str, gap: str, key: str, late: str = "1 day"
     return e.groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n"))
 
 
-def stuck(runs: DataFrame, minutes: int = 60) -> DataFrame:
-    """(key, status): runs as they end, and "failed" for those without news for ``minutes`` of event time; state goes with them."""
-
-    def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"key": [key[0]], "status": ["failed"]})
-            return
-        b = pd.concat(list(batches)).sort_values("at")
+def _keyed(df: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """``processor`` by key over a stream with column ``at``: its state lies in RocksDB, so it is bounded by disk and not by memory."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return df.withWatermark("at", "1 minute").groupBy("key").transformWithStateInPandas(processor, schema, "append", "eventTime")
+
+
+class _Timed(StatefulProcessor):
+    """One typed value a key, which is dropped ``minutes`` of event time after the key's last news."""
+
+    state: str
+
+    def __init__(self, minutes: int):
+        self.wait = minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.value = handle, handle.getValueState("value", self.state)
+
+    def keep(self, value: tuple, at) -> None:
+        """Holds ``value`` until ``wait`` after ``at``; there is one timer a key."""
+        self.drop()
+        self.value.update(value)
+        self.handle.registerTimer(int(at.timestamp() * 1000) + self.wait)
+
+    def drop(self) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.value.clear()
+
+    def close(self) -> None:
+        pass
+
+
+class _Stuck(_Timed):
+    state = "status string"
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        b = pd.concat(list(rows)).sort_values("at", kind="stable")
         status = b["status"].iloc[-1]
         if status == "running":
-            state.update((status,))
-            state.setTimeoutTimestamp(int(b["at"].iloc[-1].timestamp() * 1000) + minutes * 60_000)
+            self.keep((status,), b["at"].iloc[-1])
         else:
-            if state.exists:
-                state.remove()
+            self.drop()
             yield pd.DataFrame({"key": [key[0]], "status": [status]})
 
-    r = runs.withWatermark("at", "1 minute")
-    return r.groupBy("key").applyInPandasWithState(step, "key string, status string", "status string", "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        self.value.clear()
+        yield pd.DataFrame({"key": [key[0]], "status": ["failed"]})
+
+
+class _Live(_Timed):
+    state = "n long, until long"
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        b = pd.concat(list(rows)).sort_values("at", kind="stable")
+        n, until = self.value.get() if self.value.exists() else (0, 0)
+        told = []
+        for at in b["at"]:
+            now = int(at.timestamp() * 1000)
+            n = 1 if now > until else n + 1  # by event time, whenever the timer comes
+            until = now + self.wait
+            told.append(n)
+        self.keep((n, until), b["at"].iloc[-1])
+        yield pd.DataFrame({"key": key[0], "status": b["status"].to_numpy(), "n": told})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        self.value.clear()
+        return iter([])
+
+
+def stuck(runs: DataFrame, minutes: int = 60) -> DataFrame:
+    """(key, status): runs (key, status, at) as they end, and "failed" for those without news for ``minutes`` of event time; state goes with them."""
+    return _keyed(runs, _Stuck(minutes), "key string, status string")
 
 
 def stuck_batch(runs: DataFrame, now: Column, minutes: int = 60) -> DataFrame:
@@ -89,21 +155,7 @@ def stuck_batch(runs: DataFrame, now: Column, minutes: int = 60) -> DataFrame:
 
 def live(jobs: DataFrame, hours: int = 24) -> DataFrame:
     """(key, status, n): each news of a job with how many it has had; a job without news for ``hours`` of event time is forgotten, and begins anew."""
-
-    def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        b = pd.concat(list(batches)).sort_values("at")
-        seen = state.get[0] if state.exists else 0
-        for status in b["status"]:
-            seen += 1
-            yield pd.DataFrame({"key": [key[0]], "status": [status], "n": [seen]})
-        state.update((seen,))
-        state.setTimeoutTimestamp(int(b["at"].iloc[-1].timestamp() * 1000) + hours * 3_600_000)
-
-    j = jobs.withWatermark("at", "1 minute")
-    return j.groupBy("key").applyInPandasWithState(step, "key string, status string, n long", "n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _keyed(jobs, _Live(60 * hours), "key string, status string, n long")
 
 
 def evict(jobs: DataFrame, now: Column, hours: int = 24) -> DataFrame:

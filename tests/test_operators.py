@@ -268,6 +268,30 @@ def test_stuck_stream_equals_batch(spark, tmp_path):
     assert {("b", "done"), ("c", "done"), ("d", "done"), ("a", "failed")} == got
 
 
+def test_keyed_streams_go_on_from_their_state_and_forget(spark, tmp_path):
+    t = lambda m: dt.datetime(2024, 1, 1, 10, 0) + dt.timedelta(minutes=m)
+    schema = "key string, status string, at timestamp"
+    first = [[("a", "new", t(0)), ("b", "running", t(1))], [("a", "more", t(10)), ("c", "running", t(15))]]
+    second = [[("a", "again", t(30)), ("c", "done", t(31))], [("z", "new", t(900))], [("a", "late", t(950)), ("y", "running", t(951))]]
+    for op, schema_of in ((lambda s: ledger.live(s, 2), "live"), (lambda s: ledger.stuck(s, 60), "stuck")):
+        home = tmp_path / schema_of
+
+        def run(at, parts, op=op, home=home):
+            for i, rows in enumerate(parts):
+                spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(home / f"{at}/in/{len(list((home / at / 'in').glob('*')))}{i}"))
+            s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(home / at / "in/*"))
+            return sorted(tuple(r) for r in ledger.drain_to(op(s), str(home / at / "out"), str(home / at / "state")).collect())
+
+        whole = run("whole", first + second)
+        run("cut", first)
+        assert run("cut", second) == whole  # the second run goes on where the first ended
+        assert run("cut", []) == whole  # and nothing comes twice
+        open_keys = {r["key"]["key"] for r in spark.read.format("statestore").option("stateVarName", "value").load(str(home / "cut/state")).select("key").collect()}
+        assert open_keys == ({"z", "a", "y"} if schema_of == "live" else {"y"})  # what ended or was forgotten holds no state
+    told = {tuple(r) for r in spark.read.parquet(str(tmp_path / "live/whole/out")).collect()}
+    assert {("a", "again", 3), ("a", "late", 1)} <= told  # forgotten in between
+
+
 def named_in_order(names):
     """The reference rule, one name after the other: (stays) for token sets in order."""
     kept = []
