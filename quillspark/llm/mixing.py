@@ -68,10 +68,10 @@ def targets(ranges: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFra
 def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row of ``docs``: doc_id, size, source_size, target (of its source), taken.
 
-    A null text has size 0; null sources form one source, the last; repeated rows share a key and are
+    A null text has size 0; null sources form one source, the last; rows without an id are ordered by their texts; repeated rows share a key and are
     taken one after the other; an empty table gives an empty result. Other columns are ignored. Reruns agree.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("?"), F.coalesce(F.col(text_col), F.lit("")))))
     sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")))
     digits = 2
     rows = sized.count()
@@ -102,7 +102,7 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), '?' || coalesce(text, ''))) AS k
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS s, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w,

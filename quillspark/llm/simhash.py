@@ -26,6 +26,8 @@ SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST = 500, 8192, 200_000
 SHARD_SAMPLE, DIRECT = 64, 512
 #: A split must leave either side at most this share.
 LARGEST = 0.85
+#: Fingerprints of a part that no vantage point divides from which neighbours are sorted instead of compared, and variants sorted at once.
+DENSE, VARIANTS = 8192, 8_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -91,8 +93,32 @@ def shards(tree, x: np.ndarray, at: np.ndarray):
             yield from shards(side, x, part)
 
 
-def links(x: np.ndarray, most: int = 1 << 20):
-    """Position pairs of distinct fingerprints at most RADIUS apart, each at least once, in parts of about ``most``."""
+def _variants(x: np.ndarray):
+    """Position pairs that span what lies within two bits in ``x``: two fingerprints do just when they share one that differs from either by a bit at most.
+
+    Every fingerprint is dealt out under itself and its 64 neighbours, by parts of those, so time and memory are those of sorting.
+    """
+    flips = np.concatenate(([np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)))
+    parts = max(1, 65 * len(x) // VARIANTS)
+    for p in range(parts):
+        keys, at = [], []
+        for f in flips:
+            y = x ^ f
+            mine = np.flatnonzero((y * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts) == p)
+            keys.append(y[mine])
+            at.append(mine)
+        keys, at = np.concatenate(keys), np.concatenate(at)
+        order = np.argsort(keys, kind="stable")
+        keys, at = keys[order], at[order]
+        same = np.flatnonzero(keys[1:] == keys[:-1])
+        yield at[same], at[same + 1]
+
+
+def links(x: np.ndarray, most: int = 1 << 20, span: bool = False):
+    """Position pairs of distinct fingerprints at most RADIUS apart, each at least once, in parts of about ``most``.
+
+    With ``span``, of a dense part that no vantage point divides, only pairs that span its classes.
+    """
     rng = np.random.default_rng(SEED)
     left, right, held, todo = [], [], 0, [np.arange(len(x))]
     while todo:
@@ -101,6 +127,10 @@ def links(x: np.ndarray, most: int = 1 << 20):
             todo += [at[cut_[2]], at[cut_[3]]]
             continue
         y = x[at]
+        if span and len(at) > DENSE:
+            for a, b in _variants(y):
+                yield at[a], at[b]
+            continue
         for i in range(0, len(y), 256):
             for j in range(i, len(y), 1 << 14):
                 r, c = np.nonzero(np.bitwise_count(y[i : i + 256, None] ^ y[None, j : j + (1 << 14)]) <= RADIUS)
@@ -134,7 +164,7 @@ def _solve(table: pa.Table) -> pa.Table:
     x = np.sort(table.column("fp").to_numpy())
     u = x.view(np.uint64)
     root = np.arange(len(u))
-    for a, b in links(u):  # a dense shard's pairs are folded into its classes as they come
+    for a, b in links(u, span=True):  # a dense shard's pairs are folded into its classes as they come
         root = classes(root, a, b)
     own = root != np.arange(len(u))
     return pa.table({"a": x[own], "b": x[root[own]]})
@@ -188,8 +218,9 @@ def group(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the row of its smallest id (null only if it has no other).
 
-    Of rows with that id, the text of the smallest hash stays, and of equal rows one. An empty table stays empty;
-    columns of any name pass through. Only rows that go are looked up, so texts are shuffled only where those are many.
+    Of rows with that id, the text of the smallest hash stays; of rows with that text too, the one whose columns, written as JSON, come
+    first. An empty table stays empty; columns of any name pass through. A long text costs its length, for hashing. Only rows
+    that go are looked up, so texts are shuffled only where those are many.
     """
     of, n, key = apart("id"), apart("n"), apart("h")
     g = cut(group(docs))
@@ -200,7 +231,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias(of), F.col("h").alias(key)).distinct()
     kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(key)), "left_anti")
     again = g.join(stays, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col("h") == F.col(key)), "left_semi").groupBy("doc_id", "h").agg(F.count("*").alias(n)).filter(F.col(n) > 1)
-    return kept.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else kept
+    if not again.limit(1).count():
+        return kept
+    again = again.select(F.col("doc_id").alias(of), F.col("h").alias(key))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(key))
+    row = F.struct(*docs.columns)
+    one = kept.join(again, same).groupBy(of, key).agg(F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias(n)).select(f"{n}.*")
+    return kept.join(again, same, "left_anti").unionByName(one)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

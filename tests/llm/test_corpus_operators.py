@@ -340,6 +340,36 @@ def test_dense_shard_folds_its_pairs():
     assert (root == 0).all()
 
 
+def test_dense_part_is_spanned_by_neighbours(monkeypatch):
+    """Balls within balls: what neighbours link are the classes of all pairs, whatever the parts."""
+    rng = np.random.default_rng(9)
+    low = rng.integers(0, 1 << 14, 3000, dtype=np.uint64)
+    x = np.unique(np.concatenate([low, low[:100] | np.uint64(1 << 60), rng.integers(0, 2**63, 50, dtype=np.uint64)]))
+    d = np.bitwise_count(x[:, None] ^ x[None, :])
+    a, b = np.nonzero((d <= 2) & (d > 0))
+    want = simhash.classes(np.arange(len(x)), a, b)
+    for most in (65 * len(x), 20_000):
+        monkeypatch.setattr(simhash, "VARIANTS", most)
+        root = np.arange(len(x))
+        for a, b in simhash._variants(x):
+            assert (np.bitwise_count(x[a] ^ x[b]) <= 2).all()
+            root = simhash.classes(root, a, b)
+        assert (root == want).all()
+    monkeypatch.setattr(simhash, "DENSE", 16)
+    monkeypatch.setattr(simhash, "DIRECT", 16)
+    root = np.arange(len(x))
+    for a, b in simhash.links(x, span=True):
+        root = simhash.classes(root, a, b)
+    assert (root == want).all()
+
+
+def test_deduplicate_chooses_among_rows_of_one_id_and_text(spark):
+    rows = [(1, "one text", "en", s, 8) for s in ("s2", "s1", None, "s1")] + [(2, "quite another one", "en", "s", 3)]
+    for k in range(3):
+        kept = simhash.deduplicate(spark.createDataFrame(rows[k:] + rows[:k], DOCS).repartition(k + 1)).collect()
+        assert sorted((r["doc_id"], r["source"]) for r in kept) == [(1, "s1"), (2, "s")]
+
+
 def test_simhash_components_equal_brute_force(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
     rows = [(r["doc_id"], brute_fingerprint(r["text"])) for r in d.select("doc_id", "text").collect()]
@@ -454,6 +484,36 @@ def test_substrings_survive_lying_hashes(monkeypatch):
     assert removed(rows) == brute_removed(rows)
 
 
+def test_substrings_survive_lying_window_hashes(spark, monkeypatch):
+    """Windows of hot anchors with 10 bits of hash: their bytes tell them apart."""
+    honest = substrings.Runs.windows
+
+    def lying(self, of):
+        start, x = honest(self, of)
+        return start, x & np.uint64(0x3FF)
+
+    monkeypatch.setattr(substrings.Runs, "windows", lying)
+    passage = filler(20, 60)
+    rows = [(i, filler(100 + i, 20) + passage[i : 120 + 3 * i] + filler(200 + i, 20)) for i in range(24)]
+    import pyarrow as pa
+
+    for chunks in (1, 3):
+        docs = pa.table({"doc_id": [i for i, _ in rows], "text": [t.encode() for _, t in rows], "chunk": [i % chunks for i, _ in rows]})
+        parts = {k: docs.filter(pa.compute.equal(docs.column("chunk"), k)) for k in range(chunks)}
+
+        def grouped(tables, key):
+            t = pa.concat_tables(tables)
+            return {k: t.filter(pa.compute.equal(t.column(key), k)) for k in set(t.column(key).to_pylist())}
+
+        sent = grouped([substrings._introduce(6, 4, 1)(t) for t in parts.values()], "bucket")
+        told = grouped([substrings._sort_out(6, 4, 2)(t) for t in sent.values()], "chunk")
+        none = substrings._table([], substrings._TOLD)
+        strings = grouped([substrings._send_strings(6, 2)(t, told.get(k, none)) for k, t in parts.items()], "bucket")
+        compared = grouped([substrings._compare(t) for t in strings.values()], "chunk")
+        out = [substrings._remove(6)(t, compared.get(k, none)) for k, t in parts.items()]
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for t in out for r in t.to_pylist()} == brute_removed(rows)
+
+
 def test_substrings_odd_rows(spark):
     rows = [*ODD, (None, filler(1, 30_000)), (7, "tail " + filler(1, 30_000))]
     got = substrings.remove_repeats(documents(spark, rows), 4, 4).collect()
