@@ -3,7 +3,8 @@
 The guess cost of a value is the least total of a segmentation into known words, dates, repeats, keyboard
 walks, runs of neighbouring characters, and brute-force spans: log10 of the guesses that an attacker who
 knows the segments' kinds would need. Weak placeholders ("changeme", "password2024") stay below the bar. Words
-and their ranks come from the vocabularies of public tokenizers where those are there, beside a short list here.
+and their ranks come from the scanned texts themselves, in whatever language, and from the vocabularies of public
+tokenizers, beside a short list here. What only refers to a value (a path, a variable, a call) is no value.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
+import itertools
 import json
 import math
-import os
 import re
 
 import pyarrow as pa
@@ -31,15 +32,24 @@ ENOUGH = 40.0
 #: Characters of a word, date, walk or run, and of a repeated block, at most: longer walks count as several.
 SEGMENT = 24
 #: Vocabularies whose words come in order of their frequency, nearly: a JSON file of a tokenizer with word ends, and
-#: base64 tokens with ranks. A file that isn't there gives no words.
+#: base64 tokens with ranks. A file that isn't there is an error.
 VOCABULARIES = ("/opt/tokenizers/word_bpe_49k.json", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
+#: Documents that a word of the texts is in, at least; words of the texts that are told, the commonest first; words that a task counts before it sends them on.
+LEAST, MOST, ENTRIES = 5, 50_000, 200_000
+
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CONTEXT = re.compile(
     r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|private[_-]?key|access[_-]?key|bearer)["']?(?:\x20{0,8}(?::|=>?)\x20{0,8}|\x20is\x20)["']?([^\s"'<>,;]+)"""
 )
+#: Letters alone between white space, but for punctuation at the ends.
+_PLAIN = re.compile(r"""(?<!\S)[("']*([^\W\d_]{3,24})[.,;:!?)"']*(?!\S)""")
+#: A value that is a reference: a variable or template, a path, an address with a place in it, a call or an item of a name, dotted names.
+_REFERENCE = re.compile(
+    r"""(?a:\$\{?\w+\}?|%\w+%|\{\{.*|<.*|(?:~|\.{1,2})?/[\w./-]*|[\w.-]+\.\w{1,4}|[a-z][\w+-]*://[^:@\s]*|[a-z][a-z0-9.-]*(?::\d{1,5})(?:/\S*)?|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*[\[(].*|(?:[A-Za-z_]+\.)+[A-Za-z_]+)[.)\]]*\Z"""
+)
 _HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer")
 
 # Common words of passwords and placeholders, most common first.
@@ -61,10 +71,32 @@ _DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12
 _YEAR = re.compile(r"(?:19|20)\d\d\Z")
 
 
-def ranks(paths: tuple[str, ...] = VOCABULARIES) -> dict[str, int]:
-    """Words of three letters or more by rank, the commonest first; the list here comes before all."""
+def corpus_words(docs: DataFrame, least: int = LEAST, most: int = MOST) -> list[str]:
+    """Words of all texts of ``docs`` that stand alone in ``least`` documents, the commonest first, at most ``most`` of them (a bound on what the driver holds).
+
+    Each task counts its documents before anything is shuffled. What holds a digit or a sign is no word, so few credentials are.
+    """
+    from collections import Counter
+
+    def run(batches):
+        held: Counter = Counter()
+        for b in batches:
+            for t in b.column(0):
+                held.update(set(_PLAIN.findall((t.as_py() or "").lower())))
+                if len(held) >= ENTRIES:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+                    held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+    arrow_batches(docs.sparkSession)
+    n = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in n.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def ranks(paths: tuple[str, ...] = VOCABULARIES, words: tuple[str, ...] | list[str] = ()) -> dict[str, int]:
+    """Words of three letters or more by rank: the list here, then ``words`` and those of the files, the commonest of each in turn. A file that is missing is an error."""
     found: dict[str, int] = {}
-    for path in (p for p in paths if os.path.exists(p)):
+    for path in paths:
         with open(path, "rb") as f:
             if path.endswith(".json"):
                 got = ((w[:-4], k) for w, k in json.load(f)["model"]["vocab"].items() if w.endswith("</w>"))
@@ -74,8 +106,10 @@ def ranks(paths: tuple[str, ...] = VOCABULARIES) -> dict[str, int]:
             if re.fullmatch(r"[a-z]{3,}", w):
                 found[w] = min(found.get(w, k), k)
     out = {w: k + 1 for k, w in enumerate(WORDS)}
-    for w in sorted(found, key=lambda w: (found[w], w)):
-        out.setdefault(w, len(out) + 1)
+    for a, b in itertools.zip_longest(words, sorted(found, key=lambda w: (found[w], w))):
+        for w in (a, b):
+            if w is not None:
+                out.setdefault(w, len(out) + 1)
     return out
 
 
@@ -207,7 +241,7 @@ def spans(text: str | None, known: dict[str, int] | None = None) -> list[tuple[i
         for m in _CONTEXT.finditer(text):
             s, e = m.span(1)
             i = bisect.bisect_left(held, (e,)) - 1  # the last that begins before the end
-            if e - s >= SHORTEST and not (i >= 0 and held[i][1] > s) and (c := guess_cost(text[s:e], known, ENOUGH)) >= COST:
+            if e - s >= SHORTEST and not (i >= 0 and held[i][1] > s) and not _REFERENCE.match(text, s, e) and (c := guess_cost(text[s:e], known, ENOUGH)) >= COST:
                 found.append((s, 3, e, c))
     return sorted(found, key=lambda x: x[:3])
 
@@ -220,10 +254,11 @@ def scan(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES) -> DataF
     """Per row of ``docs``: doc_id and found, its spans (kind, start, end, cost) in order; costs are told up to ENOUGH.
 
     A null text is empty and has none; texts are scanned whole, in time that grows with their length; repeated rows
-    give repeated results; an empty table gives an empty result; other columns are ignored. Words are read on the driver.
+    give repeated results; an empty table gives an empty result; other columns are ignored. Words are counted over all
+    texts first, and told with those of the files, which the driver reads (under 100,000 words in all).
     """
     arrow_batches(docs.sparkSession)
-    told = docs.sparkSession.sparkContext.broadcast(ranks(vocabularies))
+    told = docs.sparkSession.sparkContext.broadcast(ranks(vocabularies, corpus_words(docs)))
 
     def rows(cols):
         for i, t in zip(cols["doc_id"], cols["text"], strict=True):
@@ -252,7 +287,7 @@ def redact(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES) -> Dat
     """
     arrow_batches(docs.sparkSession)
     at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    told = docs.sparkSession.sparkContext.broadcast(ranks(vocabularies))
+    told = docs.sparkSession.sparkContext.broadcast(ranks(vocabularies, corpus_words(docs)))
 
     def run(batches):
         for b in batches:

@@ -108,7 +108,53 @@ def test_ordinary_words_are_no_secrets_and_long_texts_end():
     many = " ".join(f"token=abcdefghijkl{i}" for i in range(20_000)) + " pwd: x9$kLq2!vRz8"
     got = secrets.spans(many)
     assert len(got) == 20_001 and got[-1][1] == 3
-    assert secrets.ranks(("/no/such/file",)).keys() == set(secrets.WORDS)
+    assert secrets.ranks(()).keys() == set(secrets.WORDS) and list(secrets.ranks((), ["zebra", "admin"]))[-1] == "zebra"
+    with pytest.raises(FileNotFoundError):  # not another result on another machine
+        secrets.ranks(("/no/such/file",))
+
+
+GERMAN = ("donaudampfschiff", "Bundesrepublik", "Geschwindigkeit", "Krankenhaus", "Zusammenarbeit")
+
+
+def planted_values(seed, n):
+    """Credentials and what only looks like one, by rules, in a credential's context."""
+    r = random.Random(seed)
+    words = [w for w in secrets.ranks() if 4 <= len(w) <= 9][:8000]
+    low = "abcdefghijklmnopqrstuvwxyz"
+    many = low + low.upper() + "0123456789"
+    some = lambda of, k: "".join(r.choice(of) for _ in range(k))
+    w = lambda: r.choice(words)
+    real = [
+        lambda: some(many, r.randint(12, 24)), lambda: some(many + "!#$%&*+?@^~", r.randint(10, 16)), lambda: some(low + "234567", 16), lambda: "-".join(some(many, 5) for _ in range(4)),
+        lambda: "ghp_" + some(many, 20), lambda: f"eyJ{some(many, 12)}.{some(many, 14)}.{some(many, 10)}",
+    ]
+    other = [
+        lambda: f"{w()}{r.randint(1950, 2030)}", lambda: w().capitalize() + r.choice("!1.") + r.choice(["", "123"]), lambda: r.choice(["qwertyuiop", "asdfghjkl1", "1234567890", "abcdefgh", "zxcvbnm123", "aaaaaaaaaa", "abcabcabcabc"]),
+        lambda: f"os.environ['{w().upper()}']", lambda: f"process.env.{w().upper()}_{w().upper()}", lambda: f"/{w()}/{w()}/{w()}", lambda: f"${{{w()}}}", lambda: f"get_{w()}({w()})", lambda: w() + r.choice("_-") + w(),
+        lambda: f"localhost:{r.randint(1000, 9999)}/{w()}", lambda: f"{r.randint(1, 28):02d}.{r.randint(1, 12):02d}.{r.randint(1950, 2020)}", lambda: f"{w()}.{r.choice(['yml', 'json', 'txt', 'pem'])}", lambda: f"your-{w()}-here", lambda: w() + w(),
+        lambda: r.choice(GERMAN),
+    ]
+    context = ["password: {}", "pwd = {} ", "the token is {} now", "auth: {}", "'api_key' : '{}'", "bearer: {}"]
+    return [(r.choice(context).format(r.choice(of)()), of is real) for _ in range(n) for of in (real, other)]
+
+
+def test_guesses_of_planted_values():
+    """The bar was set on seed 1; seed 2 was read once: recall 1.00, precision 0.996 with the language's words counted, 0.96 without."""
+    known = secrets.ranks(secrets.VOCABULARIES, [w.lower() for w in GERMAN])
+    got = [(bool(secrets.spans(t, known)) if real else any(k == 3 for _, k, _, _ in secrets.spans(t, known)), real) for t, real in planted_values(2, 600)]
+    right, wrong = sum(g and y for g, y in got), sum(g and not y for g, y in got)
+    assert right >= 0.99 * 600 and right / (right + wrong) >= 0.97
+
+
+def test_words_of_the_texts_are_no_secrets(spark):
+    texts = [(i, f"Die (Geschwindigkeit) der Bundesrepublik, x9kLqvRzTT{i} ist hoch!") for i in range(6)] + [(9, "password is Bundesrepublik, or x9kLqvRzTTqM1"), (10, None)]
+    d = documents(spark, texts)
+    words = secrets.corpus_words(d)
+    assert {"geschwindigkeit", "bundesrepublik", "ist", "hoch"} <= set(words) and not any("lqv" in w for w in words)
+    assert secrets.corpus_words(d, most=2) == words[:2] and secrets.corpus_words(d.filter("false")) == []
+    got = {r["doc_id"]: [(f["kind"], f["start"]) for f in r["found"]] for r in secrets.scan(d).collect()}
+    assert got[9] == [] and got[0] == []
+    assert [k for _, k, _, _ in secrets.spans("password is Bundesrepublik", secrets.ranks())] == [3]  # but for the count of its words
 
 
 def test_secrets_redaction_and_odd_rows(spark):
