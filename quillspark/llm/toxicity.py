@@ -1,16 +1,17 @@
 """Toxicity by compression distance.
 
-Zstandard trains dictionaries on windows of labelled text, a few on toxic and more on ordinary text, all of
-one size and with the same parameters, each on its own share of a bounded sample. A window's margin is
-the length under the best ordinary dictionary less that under the worst toxic one: what one sample happens
-to know and another doesn't cancels, and only what all toxic text shares and no ordinary text has is left.
-Rows that no dictionary saw calibrate the margin that counts and the document's score.
+Windows are words. Two zstandard dictionaries are trained, on windows of ordinary text and on what toxic text holds
+beyond them: the toxic one is the ordinary one with the telling parts of toxic windows put in front, so that what both
+know cancels and only what toxic text alone has makes a window shorter. A window's margin is its length under the ordinary dictionary
+less that under the toxic one. Dictionaries are trained in folds of the learning rows; rows that a fold's dictionaries didn't see
+calibrate the margin that counts and the document's score, and all folds score together.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
+import math
+from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -23,114 +24,153 @@ from quillspark.llm.common import arrow_batches, sampled
 #: Labelled rows that are learnt from, at most, of each class (the smallest by a hash of the id), and bytes of such a
 #: text at most: longer ones teach nothing, but are scored whole like all others.
 FIT_ROWS, FIT_TEXT_BYTES = {1: 2000, 0: 3000}, 32_768
-#: Bytes of a window, and what two neighbours share.
-WINDOW, OVERLAP = 56, 14
-#: Dictionaries of toxic and of ordinary text at most, their bytes at most, and texts that one needs at least.
-TOXIC, ORDINARY, DICTIONARY_BYTES, LEAST_TEXTS = 5, 8, 250_000, 40
-#: Segments of a dictionary and the substrings that are counted to choose them, in bytes.
-SEGMENT, SUBSTRING = 24, 6
-#: The same for all dictionaries.
-PARAMETERS = {"window_log": 19, "hash_log": 17, "chain_log": 16, "search_log": 1, "min_match": 5, "target_length": 16, "strategy": zstandard.STRATEGY_BTOPT}
-#: A window whose margin falls below this many bytes isn't compressed further.
-LEAST = 1
-#: The first pair is also asked with a quick strategy; a window that the toxic dictionary doesn't make shorter by this
-#: many bytes isn't compressed with the thorough one at all.
-QUICK, GATE = zstandard.STRATEGY_GREEDY, 0
+#: Bytes of a window, at least and at most (a longer word is several), and of the substrings by which windows are told apart.
+LEAST, MOST, SUBSTRING = 3, 40, 5
+#: Each byte stands so often, so that what a match costs weighs less against what it saves.
+WIDE = 4
+#: Bytes of the ordinary dictionary and of what the toxic one adds, at most, before they are widened; bytes of a segment of training.
+DICTIONARY_BYTES, TELLING_BYTES, SEGMENT = 6_000, 2_000, 48
+#: A substring tells of toxic text if it is in so many toxic texts at least, and the log likelihood ratio of its toxic count against chance is so large.
+TEXTS, EVIDENCE = 4, 7.0
+FOLDS = 3
+#: The same for both dictionaries.
+PARAMETERS = {"window_log": 18, "hash_log": 18, "chain_log": 18, "search_log": 8, "min_match": 4, "target_length": 256, "strategy": zstandard.STRATEGY_BTULTRA}
+#: Bytes that open every dictionary and every window, so that no window is too small to be compressed.
+OPENING = np.random.default_rng(1).integers(0, 256, 96, dtype=np.uint8).tobytes()
 PREDICT = 0.7
-#: Margins tried, in bytes; the one of least log loss on the calibration rows stays.
-THRESHOLDS = (1.0, 2.0, 3.0)
-#: Windows that are compressed together, so that one dictionary at a time is in the cache.
-BLOCK = 16_384
+#: Margins tried, in bytes; the one of least log loss on the rows that the dictionaries didn't see stays.
+THRESHOLDS = (1.0, 2.0, 3.0, 4.0)
+#: Windows whose margins a task remembers.
+KNOWN = 500_000
 
 
-def windows(text: str | None) -> Iterator[bytes]:
-    b = (text or "").lower().encode("utf-8", "replace")
-    for i in range(0, max(1, len(b) - OVERLAP) if b else 0, WINDOW - OVERLAP):
-        yield b[i : i + WINDOW]
+def windows(text: str | None) -> set[bytes]:
+    """The distinct words of a text in lower case, each with the space before it; long ones in pieces that share half."""
+    out = set()
+    for w in (text or "").lower().encode("utf-8", "replace").split():
+        if len(w) <= MOST:
+            if len(w) >= LEAST:
+                out.add(b" " + w)
+        else:
+            out.update((b" " + w)[i : i + MOST] for i in range(0, len(w) - MOST // 2, MOST // 2))
+    return out
 
 
-def dictionary(texts: list[str], size: int) -> bytes:
-    """A dictionary trained on the distinct windows of ``texts``; of too few for that, their bytes."""
-    samples = list(dict.fromkeys(w for t in texts for w in windows(t)))
-    try:
-        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=SUBSTRING, split_point=1.0).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[:size]
+def substrings(window: bytes) -> set[bytes]:
+    return {window[i : i + SUBSTRING] for i in range(len(window) - SUBSTRING + 1)}
 
 
-class Model:
-    """The classes' dictionaries, the margin from which a window counts, and the document's calibration."""
+def wide(b: bytes) -> bytes:
+    return np.repeat(np.frombuffer(b, np.uint8), WIDE).tobytes()
 
-    def __init__(self, ordinary: list[bytes], toxic: list[bytes], threshold: float = LEAST, weights=None):
-        self.ordinary, self.toxic, self.threshold, self.weights = ordinary, toxic, threshold, weights
+
+def trained(samples: Iterable[bytes], size: int) -> bytes:
+    """Content of ``size`` bytes at most that zstandard's trainer finds in the widened samples; of so few that it finds none, the distinct samples, the commonest last."""
+    samples = list(samples)
+    try:
+        return zstandard.train_dictionary(max(256, WIDE * size), [wide(x) for x in samples], k=SEGMENT, d=6, split_point=1.0).as_bytes()
+    except zstandard.ZstdError:
+        often = Counter(samples).most_common()
+        return wide(b"".join(x for x, _ in reversed(often))[-size:])
+
+
+def _compressor(content: bytes):
+    p = zstandard.ZstdCompressionParameters(**PARAMETERS, write_content_size=False, write_dict_id=False)
+    d = zstandard.ZstdCompressionDict(OPENING + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=p)
+    return zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress
+
+
+def _telling(window: bytes, keep: set[bytes]) -> list[bytes]:
+    """The longest parts of a window all of whose substrings are kept."""
+    out, start = [], None
+    for i in range(len(window) - SUBSTRING + 2):
+        if i <= len(window) - SUBSTRING and window[i : i + SUBSTRING] in keep:
+            start = i if start is None else start
+        elif start is not None:
+            out.append(window[start : i + SUBSTRING - 1])
+            start = None
+    return out
+
+
+class Pair:
+    """An ordinary and a toxic dictionary of one size, and the substrings of the toxic one's own part."""
+
+    def __init__(self, rows: list[tuple[set[bytes], int]]):
+        toxic = sum(y for _, y in rows)
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        inside: tuple[Counter, Counter] = (Counter(), Counter())
+        for ws, y in rows:
+            counts[y].update(ws)
+            inside[y].update(set().union(*map(substrings, ws)) if ws else ())
+        share = toxic / max(1, len(rows))
+
+        def evidence(g: bytes, n: int) -> float:
+            e = (n + inside[0][g]) * share
+            return n * math.log(n / e) - (n - e) if n > e else 0.0
+
+        keep = {g for g, n in inside[1].items() if n >= TEXTS and evidence(g, n) > EVIDENCE}
+        parts = [x for w, n in counts[1].items() for x in _telling(w, keep) for _ in range(n)]
+        base = trained((w for w, n in counts[0].items() for _ in range(min(n, 5))), DICTIONARY_BYTES)
+        own = trained(parts, TELLING_BYTES) if parts else b""
+        self.keep = keep
+        self.ordinary = base + np.random.default_rng(2).integers(0, 256, len(own), dtype=np.uint8).tobytes()  # as far away
+        self.toxic = base + own
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_ready"}
 
-    def _compressors(self):
+    def margin(self, window: bytes) -> int:
+        """Bytes that the toxic dictionary saves; 0 of a window that shares no substring with what tells of toxic text, which it can't make much shorter."""
+        if self.keep.isdisjoint(substrings(window)):
+            return 0
         if "_ready" not in self.__dict__:
+            self._ready = _compressor(self.ordinary), _compressor(self.toxic)
+        x = OPENING + wide(window)
+        a, b = self._ready
+        return len(a(x)) - len(b(x))
 
-            def ready(content, **other):
-                p = zstandard.ZstdCompressionParameters(**PARAMETERS | other, write_content_size=False, write_dict_id=False)
-                d = zstandard.ZstdCompressionDict(content.ljust(8, b"\0"))
-                d.precompute_compress(compression_params=p)
-                return zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress
-
-            self._ready = [ready(x) for x in self.ordinary], [ready(x) for x in self.toxic], [ready(x[0], strategy=QUICK) for x in (self.ordinary, self.toxic)]
-        return self._ready
-
-    def margins(self, block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows that keep a margin of LEAST under all dictionaries: places, margins and mean gains."""
-        ordinary, toxic, (quick, other) = self._compressors()
-        at = np.array([i for i, x in enumerate(block) if len(quick(x)) - len(other(x)) >= GATE], np.int64)
-        low, high = np.full(len(at), 1 << 30), np.zeros(len(at), np.int64)
-        sums = np.zeros((2, len(at)), np.int64)
-        for pair in itertools.zip_longest(ordinary, toxic):
-            some = [block[i] for i in at.tolist()]
-            for k, c in enumerate(pair):
-                if c:
-                    n = np.fromiter((len(c(x)) for x in some), np.int64, len(some))
-                    low, high = (np.minimum(low, n), high) if k == 0 else (low, np.maximum(high, n))
-                    sums[k] += n
-            keep = low - high >= LEAST
-            at, low, high, sums = at[keep], low[keep], high[keep], sums[:, keep]
-        return at, (low - high).astype(float), sums[0] / max(1, len(self.ordinary)) - sums[1] / max(1, len(self.toxic))
-
-    def gains(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, int]]:
-        """By text: margins and mean gains of its telling windows, and how many windows it has."""
-        margin, gain, count = [[] for _ in texts], [[] for _ in texts], [0] * len(texts)
-        block, owner = [], []
-
-        def settle():
-            at, m, g = self.margins(block)
-            for k, x, y in zip(at.tolist(), m.tolist(), g.tolist(), strict=True):
-                margin[owner[k]].append(x)
-                gain[owner[k]].append(y)
-            block.clear()
-            owner.clear()
-
-        for i, t in enumerate(texts):
-            for w in windows(t):
-                count[i] += 1
-                block.append(w)
-                owner.append(i)
-                if len(block) == BLOCK:
-                    settle()
-        settle()
-        return [(np.array(m), np.array(g), n) for m, g, n in zip(margin, gain, count, strict=True)]
-
-    def features(self, g: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
-        """Bias; the best and second window by margin and gain; the largest of each; margins beyond the threshold a window; windows. All but the bias are 0 where no window tells."""
-        m, gain, n = g
-        if not len(m):
-            return np.array([1.0, 0, 0, 0, 0, 0, 0])
-        both = np.sort(np.minimum(m, 8) / 2 + np.minimum(gain, 12) / 2)[::-1]
-        return np.array([1.0, both[0], both[1] if len(both) > 1 else 0.0, m.max(), gain.max(), np.maximum(m - self.threshold, 0).sum() / np.sqrt(n), np.log1p(n)])
+
+class Model:
+    """Pairs of dictionaries, the margin from which a window counts, and the document's calibration."""
+
+    def __init__(self, pairs: list[Pair], threshold: float = THRESHOLDS[0], weights=None):
+        self.pairs, self.threshold, self.weights = pairs, threshold, weights
+        self.ordinary, self.toxic = [p.ordinary for p in pairs], [p.toxic for p in pairs]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+
+    def margins(self, ws: set[bytes], pairs: list[Pair] | None = None) -> np.ndarray:
+        """The mean margins over zero of windows, the largest first."""
+        if pairs is not None:
+            got = [sum(p.margin(w) for p in pairs) / len(pairs) for w in ws]
+        else:
+            known = self.__dict__.setdefault("_known", {})
+            if len(known) > KNOWN:
+                known.clear()
+            got = []
+            for w in ws:
+                if (m := known.get(w)) is None:
+                    m = known[w] = sum(p.margin(w) for p in self.pairs) / len(self.pairs)
+                if m > 0:
+                    got.append(m)
+        return np.sort(np.array([m for m in got if m > 0], float))[::-1]
+
+    def features(self, m: np.ndarray, n: int) -> np.ndarray:
+        """Bias; the largest margin and the next; how many lie beyond the threshold and by how much, for a document's length; that length."""
+        over = np.maximum(m - self.threshold, 0)
+        best = np.minimum(np.concatenate((m[:2], [0, 0]))[:2], 12) / 4
+        return np.array([1.0, *best, min(over.sum(), 60) / 10, over.sum() / math.sqrt(1 + n), np.count_nonzero(over) / math.sqrt(1 + n), math.log1p(n) / 4])
 
     def scores(self, texts: list[str | None]) -> list[float]:
         if self.weights is None:
             return [0.0] * len(texts)
-        return [float(1 / (1 + np.exp(-np.clip(self.features(g) @ self.weights, -30, 30)))) for g in self.gains(texts)]
+        out = []
+        for t in texts:
+            ws = windows(t)
+            out.append(float(1 / (1 + np.exp(-np.clip(self.features(self.margins(ws), len(ws)) @ self.weights, -30, 30)))))
+        return out
 
     def score(self, text: str | None) -> float:
         return self.scores([text])[0]
@@ -148,23 +188,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """A model of (text, toxic) rows: two thirds train the dictionaries, the rest calibrates."""
-    built, rest = [r for k, r in enumerate(rows) if k % 3], [r for k, r in enumerate(rows) if k % 3 == 0]
-    toxic, ordinary = (list(dict.fromkeys(t for t, y in built if y == k)) for k in (1, 0))
-    if not toxic or not ordinary or not any(y for _, y in rest) or all(y for _, y in rest):
-        return Model([], [])
-    size_of = lambda texts: sum(len(t.encode("utf-8", "replace")) for t in texts)
-    n = max(1, min(TOXIC, len(toxic) // LEAST_TEXTS))
-    size = max(256, min(DICTIONARY_BYTES, *(size_of(toxic[i::n]) // 2 for i in range(n)), size_of(ordinary) // 2))
-    many = max(1, min(ORDINARY, len(ordinary) // LEAST_TEXTS, size_of(ordinary) // (2 * size)))
-    m = Model([dictionary(ordinary[i::many], size) for i in range(many)], [dictionary(toxic[i::n], size) for i in range(n)])
-    gains = m.gains([t for t, _ in rest])
-    y = np.array([y for _, y in rest], float)
+def fit(rows: list[tuple[str, int]], folds: int = FOLDS) -> Model:
+    """A model of (text, toxic) rows. Repeated texts share a fold, so that no dictionary has seen what it calibrates."""
+    place = {t: k for k, t in enumerate(dict.fromkeys(t for t, _ in rows))}
+    seen = [(windows(t), y, place[t] % folds) for t, y in rows]
+    parts = [([(w, y) for w, y, k in seen if k != f], [(w, y) for w, y, k in seen if k == f]) for f in range(folds)]
+    both = lambda x: len({y for _, y in x}) == 2
+    if not both(rows) or not all(both(a) for a, _ in parts):
+        return Model([])
+    pairs = [Pair(a) for a, _ in parts]
+    most = max(len(p.toxic) for p in pairs)
+    for p in pairs:  # one size for all
+        fill = np.random.default_rng(3).integers(0, 256, most - len(p.toxic), dtype=np.uint8).tobytes()
+        p.ordinary, p.toxic = fill + p.ordinary, fill + p.toxic
+    m = Model(pairs)
+    unseen = [(m.margins(w, [p]), len(w), y) for p, (_, b) in zip(m.pairs, parts, strict=True) for w, y in b]
+    y = np.array([y for *_, y in unseen], float)
     best = np.inf
     for t in THRESHOLDS:
         m.threshold = t
-        x = np.array([m.features(g) for g in gains])
+        x = np.array([m.features(g, n) for g, n, _ in unseen])
         w = _logistic(x, y)
         p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
         if (loss := -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()) < best:
