@@ -321,11 +321,12 @@ def _told_apart(c: Chunk, start: np.ndarray, x: np.ndarray) -> np.ndarray:
     if not len(x):
         return x
     new = np.concatenate(([True], x[1:] != x[:-1]))
-    first = start[np.flatnonzero(new)][np.cumsum(new) - 1]
+    again = np.flatnonzero(~new)
+    mine, first = start[again], start[np.flatnonzero(new)][np.cumsum(new) - 1][again]
     eight = np.ndarray(len(c.runs.bytes) - 7, "<u8", c.runs.bytes, strides=(1,))
     lies = np.zeros(len(x), bool)
     for at in (*range(0, WIDTH - 8, 8), WIDTH - 8):
-        lies |= eight[start + at] != eight[first + at]
+        lies[again] |= eight[mine + at] != eight[first + at]
     if not lies.any():
         return x
     x, taken = x.copy(), set(x.tolist())
