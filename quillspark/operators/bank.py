@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -203,17 +205,136 @@ def curriculum_rows(md: str | None) -> list[tuple[str, str, str, str | None]]:
     return out
 
 
+class _Cells(HTMLParser):
+    """The rows of one table's cells, as (text, columns, rows, whether it is a heading)."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows: list[list[list]] = []
+        self.open = False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "tr":
+            self.rows.append([])
+            self.open = False
+        elif tag in ("td", "th"):
+            span = {k: int(v) for k, v in attrs if k in ("colspan", "rowspan") and (v or "").isdigit()}
+            if not self.rows:
+                self.rows.append([])
+            self.rows[-1].append(["", max(1, min(span.get("colspan", 1), MOST_SPAN)), max(1, min(span.get("rowspan", 1), MOST_SPAN)), tag == "th"])
+            self.open = True
+        elif tag in ("br", "p", "li", "div") and self.open:
+            self.rows[-1][-1][0] += " "
+
+    def handle_endtag(self, tag):
+        self.open = self.open and tag not in ("td", "th", "tr", "table")
+
+    def handle_data(self, data):
+        if self.open:
+            self.rows[-1][-1][0] += data
+
+
+#: Columns or rows that a cell spans, at most: as many as browsers allow for columns.
+MOST_SPAN = 1000
+
+
+def table_grid(html: str) -> list[list[tuple[str, bool]]]:
+    """The cells of an HTML table by row and column as (text, heading): what spans columns or rows stands in all of them; short rows are filled up with empty cells."""
+    p = _Cells()
+    p.feed(html)
+    p.close()
+    grid: list[list[tuple[str, bool]]] = []
+    down: dict[int, tuple[int, str, bool]] = {}  # by column: rows still to come of a cell above
+    for cells in p.rows:
+        row: dict[int, tuple[str, bool]] = {k: (text, head) for k, (_, text, head) in down.items()}
+        down = {k: (n - 1, text, head) for k, (n, text, head) in down.items() if n > 1}
+        at = 0
+        for text, wide, deep, head in cells:
+            while at in row:
+                at += 1
+            for k in range(at, at + wide):
+                row[k] = (" ".join(text.split()), head)
+                if deep > 1:
+                    down[k] = (deep - 1, *row[k])
+            at += wide
+        grid.append([row.get(k, ("", False)) for k in range(max(row, default=-1) + 1)])
+    most = max(map(len, grid), default=0)
+    return [r + [("", False)] * (most - len(r)) for r in grid]
+
+
+#: Verbs by which an outcome begins, as headings of curricula write them.
+_VERBS = tuple(sorted({w.capitalize() for ws in T.BLOOM.values() for w in ws} - {"How", "What", "When", "Where", "Who", "Why"} | {"Demonstrate", "Relate", "Represent", "Prepare", "Communicate", "Carry"}))
+_BEFORE_VERB = re.compile(rf"(?=\b(?:{'|'.join(_VERBS)})\b)")
+_CODE = re.compile(r"\bC\s*[-\u2013]?\s*(\d+\.\d+)\b")
+_ROLES = {"outcome": re.compile(r"learning\s+outcome|\boutcomes?\b", re.I), "competency": re.compile(r"competenc|curricular\s+goal", re.I), "other": re.compile(r"periods?|pedagog|marks|weightage|activit", re.I)}
+
+
+def table_outcomes(md: str | None, least: int = 5) -> list[tuple[str, int, int, str, str]]:
+    """(chapter, table, row, competency code, outcome) out of the tables of a curriculum: each heading line names the chapter of the tables below it.
+
+    A column's role is what its headings say (rows of heading cells, or the first row where no cell is one); where none tells, outcomes are the columns after the one with the code. A
+    cell that spans rows holds for all of them, so a competency's outcomes may fill many rows. Outcomes that run on are split before each verb; those of ``least`` letters or fewer go.
+    """
+    out = []
+    chapter, n = "", 0
+    for m in re.finditer(r"(?im)^\#{1,6}[ \t]+(.+?)[ \t]*$|<table\b.*?(?:</table>|\Z)", md or "", re.S):
+        if m[1] is not None:
+            chapter = re.sub(r"(?i)\s*no\.?\s*of\s*periods.*", "", m[1]).strip(" :-|")
+            continue
+        n += 1
+        grid = table_grid(m[0])
+        heads = [i for i, r in enumerate(grid) if r and all(h or not t for t, h in r)] or ([0] if grid and not any(_CODE.search(t) for t, _ in grid[0]) else [])
+        roles = {}
+        for k in range(len(grid[0]) if grid else 0):
+            said = " ".join(grid[i][k][0] for i in heads)
+            roles[k] = next((role for role, p in _ROLES.items() if p.search(said)), None)
+        for i, row in enumerate(grid):
+            if i in heads:
+                continue
+            at = next((k for k, (t, _) in enumerate(row) if _CODE.search(t) and roles.get(k) in ("competency", None)), None)
+            if at is None:
+                continue
+            told = [k for k in range(len(row)) if roles.get(k) == "outcome"] or [k for k in range(at + 1, len(row)) if roles.get(k) is None]
+            text = " ".join(dict.fromkeys(row[k][0] for k in told))
+            for code in dict.fromkeys(_CODE.findall(row[at][0])):
+                out += [(chapter, n, i, f"C-{code}", x.strip(" ;,")) for x in _BEFORE_VERB.split(text) if len(x.strip(" ;,.")) > least]
+    return out
+
+
 def parse_curricula(docs: DataFrame) -> DataFrame:
-    """(id, type, code, description, parent) of documents (id, md); each document alone."""
+    """(id, type, code, description, parent) of documents (id, md): goals, competencies and bulleted outcomes of its lines; outcomes of its tables under their competency, numbered on
+    after the bullets, each wording once. Each document alone."""
+
+    def rows_of(md):
+        rows = curriculum_rows(md)
+        told = {x[3:1:-1] for x in rows if x[0] == "outcome"}
+        count = Counter(x[3] for x in rows if x[0] == "outcome")
+        for _, _, _, code, text in table_outcomes(md):
+            if (code, text) not in told:
+                told.add((code, text))
+                count[code] += 1
+                rows.append(("outcome", f"{code}-LO{count[code]}", text, code))
+        return rows
 
     def run(parts):
         for b in parts:
-            rows = [(i, *r) for i, md in zip(b["id"], b["md"], strict=True) for r in curriculum_rows(md)]
+            rows = [(i, *r) for i, md in zip(b["id"], b["md"], strict=True) for r in rows_of(md)]
             yield pd.DataFrame(rows, columns=["id", "type", "code", "description", "parent"])
 
     return docs.select("id", "md").mapInPandas(run, "id long, type string, code string, description string, parent string")
 
 
+def curriculum_tables(docs: DataFrame) -> DataFrame:
+    """(id, chapter, tbl, row, code, outcome) of documents (id, md), see ``table_outcomes``. Each document alone."""
+
+    def run(parts):
+        for b in parts:
+            rows = [(i, *r) for i, md in zip(b["id"], b["md"], strict=True) for r in table_outcomes(md)]
+            yield pd.DataFrame(rows, columns=["id", "chapter", "tbl", "row", "code", "outcome"])
+
+    return docs.select("id", "md").mapInPandas(run, "id long, chapter string, tbl int, row int, code string, outcome string")
+
+
 #: Pieces of a group up to which the best order is found exactly.
 EXACT_PIECES = 14
 

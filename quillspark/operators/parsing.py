@@ -40,14 +40,31 @@ class Grammar:
 CBSE = Grammar()
 _NUMBER = re.compile(r"(?:^|(?<=\s))(?:Q\s?\.?\s?)?(\d{1,3})\s?[.)](?=\s)", re.M)
 _LABEL = re.compile(r"\(\s?([a-dA-D])\s?\)")
-_ROMAN = re.compile(r"\(\s?(i{1,3}|iv|v|vi{0,3})\s?\)")
-_ROMANS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii")
+_NUMERAL = re.compile(r"\(\s?([ivxlc]+)\s?\)")
+_NUMERAL_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _EACH = re.compile(r"(\d+)\s*marks?\b", re.I)
 _KEY = re.compile(r"(\d{1,3})\s*[.):\-]\s*\(?\s?([a-dA-D])\b\)?")
 _PAIR = re.compile(r"assertion\s*(?:\(\s*a\s*\))?\s*[:\-]\s*(.*?)\s*reason\s*(?:\(\s*r\s*\))?\s*[:\-]\s*(.*)", re.I | re.S)
-_FIGURE = re.compile(r"\b(?:figure|diagram|graph|picture|fig\.)", re.I)
-_OWN_FIGURE = re.compile(r"\b(?:draw|sketch|plot|construct|label)\w*\b[^.]{0,60}\b(?:figure|diagram|graph|picture)", re.I)
-_SHOWN = re.compile(r"\b(?:given|shown|adjoining|above|below|following)\b[^.]{0,20}\b(?:figure|diagram|graph|picture|fig\.)|\b(?:figure|diagram|graph|picture)\b[^.]{0,20}\b(?:given|shown|above|below)", re.I)
+#: Words for a figure, words that point at one that is there, and tasks that make one.
+_FIGURES = frozenset(("figure", "figures", "fig", "diagram", "diagrams", "graph", "graphs", "picture", "pictures"))
+_POINTING = frozenset(("given", "shown", "above", "below", "adjoining", "alongside", "following", "beside"))
+_MAKING = frozenset(("draw", "sketch", "plot", "construct", "label", "make", "prepare"))
+
+
+def numeral(s: str) -> int:
+    """The value of a roman numeral in small letters."""
+    values = [_NUMERAL_VALUES[c] for c in s]
+    return sum(-a if a < b else a for a, b in zip(values, [*values[1:], 0], strict=True))
+
+
+def points_at_figure(stem: str) -> bool:
+    """Whether a stem needs a figure that it doesn't ask for: a word for one near a word that points, or one that no task before it in its sentence makes."""
+    for sentence in re.split(r"(?<!\bfig)[.?!]\s", stem.lower()):
+        words = re.findall(r"\w+", sentence)
+        for i, w in enumerate(words):
+            if w in _FIGURES and (_POINTING.intersection(words[max(0, i - 4) : i + 5]) or not _MAKING.intersection(words[:i])):
+                return True
+    return False
 
 
 def rising(numbers: list[int]) -> list[int]:
@@ -126,15 +143,15 @@ def _item(piece: str, g: Grammar) -> dict:
     if len(climb) == 4 and not pair:
         options = [_tidy(body[o.end() : climb[k + 1].start() if k < 3 else len(body)]).strip(" .;,") for k, o in enumerate(climb)]
         body = body[: climb[0].start()]
-    parts = list(_ROMAN.finditer(body))
-    subs = [parts[k][1] for k in rising([_ROMANS.index(p[1]) + 1 for p in parts])]
+    parts = list(_NUMERAL.finditer(body))
+    subs = [parts[k][1] for k in rising([numeral(p[1]) for p in parts])]
     worth = sum(int(x) for x in re.findall(r"\(\s*(\d+)\s*marks?\s*\)", body, re.I))
     stem = _tidy(body)
     hashed = " ".join(re.findall(r"\w+", stem.lower())) + "|" + "|".join(sorted(o.lower() for o in options))
     return {
         "stem": stem, "options": options, "key": key if options or pair else None, "worth": worth, "sub_parts": subs if len(subs) >= 2 else [],
         "assertion": pair[1].strip() if pair else None, "reason": pair[2].strip() if pair else None, "solution": _tidy(solution) if solution else None,
-        "needs_figure": bool(_FIGURE.search(stem)) and (bool(_SHOWN.search(stem)) or not _OWN_FIGURE.search(stem)), "sha256": hashlib.sha256(hashed.encode()).hexdigest(),
+        "needs_figure": points_at_figure(stem), "sha256": hashlib.sha256(hashed.encode()).hexdigest(),
     }
 
 

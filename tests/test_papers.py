@@ -1,6 +1,6 @@
 """Answer-anchored papers, generated-item gates, curricula in tables, outlines, on small inputs of our own."""
 
-from quillspark.operators import gates, parsing
+from quillspark.operators import bank, gates, parsing
 
 
 def test_answer_anchored_papers(spark):
@@ -102,3 +102,28 @@ def test_covered_equals_all_pairs(spark):
     for over in (0.5, 0.8):
         got = {(x["q"], x["e"]) for x in gates.covered(spark.createDataFrame(asked, "q int, g int, s array<string>"), spark.createDataFrame(held, "e int, g int, s array<string>"), over).collect()}
         assert got == {(q, e) for q, g, s in asked for e, h, t in held if g == h and s and len(set(s) & set(t)) / len(s) > over}
+
+
+def test_tables_are_grids():
+    html = "<table><tr><th rowspan=2>a</th><th colspan=2>b</th></tr><tr><td>c</td><td>d &amp; e</td></tr><tr><td>f</td></tr><tr></tr><tr><td colspan='x'>g<td>h<p>i</table>"
+    assert [[t for t, _ in r] for r in bank.table_grid(html)] == [["a", "b", "b"], ["a", "c", "d & e"], ["f", "", ""], ["", "", ""], ["g", "h i", ""]]
+    assert bank.table_grid("") == [] and bank.table_grid("<table><td>x") == [[("x", False)]]
+    assert [[t for t, _ in r] for r in bank.table_grid("<tr><td rowspan=3>a<td>b</tr><tr><td>c<td>d</tr><tr></tr>")] == [["a", "b", ""], ["a", "c", "d"], ["a", "", ""]]
+
+
+def test_outcomes_of_tables(spark):
+    md = """# Light No. of Periods: 5
+<table><tr><td>CG 1</td><td>Competencies</td><td>Learning Outcomes</td><td>Activities</td></tr>
+<tr><td rowspan=3>CG-1</td><td rowspan="2">C-1.1 and C 1.2</td><td>Explain how rays bend Draw a ray; To</td><td>Explain it by play</td></tr>
+<tr><td>Identify mirrors</td></tr>
+<tr><td>C1.3</td><td colspan=2>Explain how rays bend</td></tr></table>
+# Sound
+<table><tr><td>C – 2.1</td><td>Describe echoes</td></tr><tr><td>no code</td><td>Describe drums</td></tr>
+"""
+    got = bank.table_outcomes(md)
+    bend = [("Light", 1, 1, f"C-1.{k}", x) for k in (1, 2) for x in ("Explain how rays bend", "Draw a ray; To")]
+    assert got == [*bend, *[("Light", 1, 2, f"C-1.{k}", "Identify mirrors") for k in (1, 2)], ("Light", 1, 3, "C-1.3", "Explain how rays bend"), ("Sound", 2, 0, "C-2.1", "Describe echoes")]
+    assert bank.table_outcomes(None) == [] == bank.table_outcomes("text | without | tables")
+    rows = [tuple(r)[1:] for r in bank.parse_curricula(spark.createDataFrame([(1, "CG-1 Sees\nC-1.3 Bends\n- Explain how rays bend\n" + md)], "id long, md string")).collect()]
+    assert [r for r in rows if r[3] == "C-1.3"] == [("outcome", "C-1.3-LO1", "Explain how rays bend", "C-1.3")]  # a bullet's wording doesn't come again
+    assert ("outcome", "C-1.1-LO3", "Identify mirrors", "C-1.1") in rows
