@@ -109,16 +109,17 @@ def t22_script_profile(spark, sf_dir):
     return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", *text.script_counts("text"))
 
 
-_SYL = r"(len(regexp_extract_all(t, '[aeiouy]+')) - len(regexp_extract_all(t, '[aeiouy][a-z]*[b-df-hj-np-tv-xz]e([^a-z]|$)')))"
+_RUNS = "len(regexp_extract_all(x, '[aeiouy]+'))"
+_SYL = f"CAST(list_sum(list_transform(regexp_extract_all(t, '[a-z]+'), lambda x: greatest(1, {_RUNS} - CASE WHEN x LIKE '%e' AND {_RUNS} > 1 THEN 1 ELSE 0 END))) AS BIGINT)"
 
 
 @query(
-    "SELECT doc_id, CAST(floor(1000 * (0.39::DOUBLE * w / s + 11.8::DOUBLE * y / w - 15.59::DOUBLE)) AS BIGINT) AS milli FROM (SELECT doc_id, len(regexp_extract_all(t, '[a-z]+')) AS w, greatest(len(regexp_extract_all(t, '[.!?]+')), 1) AS s, "
-    + _SYL + " AS y FROM (SELECT doc_id, lower(text) AS t FROM documents)) WHERE w >= 6"
+    "SELECT doc_id, CAST(floor(1000 * least(20.0::DOUBLE, greatest(0.0::DOUBLE, 0.39::DOUBLE * w / s + 11.8::DOUBLE * y / w - 15.59::DOUBLE))) AS BIGINT) AS milli FROM (SELECT doc_id, len(regexp_extract_all(t, '[a-z]+')) AS w, greatest(len(regexp_extract_all(t, '[.!?]')), 1) AS s, "
+    + _SYL + " AS y FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE NOT regexp_matches(text, '[\\x{0900}-\\x{097F}]'))) WHERE w >= 6"
 )
 def t23_reading_level(spark, sf_dir):
-    d = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", *text.reading_counts("text")).filter("words >= 6")
-    return d.select("doc_id", F.floor(1000 * text.grade_of(*[F.col(c) for c in ("words", "sentences", "syllables")])).alias("milli"))
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.reading_grade("text").alias("grade"))
+    return d.filter("grade is not null").select("doc_id", F.floor(1000 * F.col("grade")).alias("milli"))
 
 
 _HTML = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""

@@ -132,3 +132,18 @@ def test_confidence_orders_evidence(spark):
     assert good == 1.0 > misplaced > invented and invented < scoring.FLAG
     assert c(grounding_chapter=1, grounding_span=None, attribution=1, distinctness=None) == 1.0  # absent isn't zero
     assert all(abs(sum(w.values()) - 1) < 1e-9 for w in scoring.WEIGHTS.values())
+
+
+@pytest.mark.parametrize(
+    ("stem", "grade"),
+    [("The cat sat on the mat.", 0.0), ("Hmm psst tv vcr html css.", 0.39 * 6 + 11.8 - 15.59), ("Incomprehensibilities institutionalize internationalization responsibilities unquestionably notwithstanding", 20.0), ("five words are too few", None), ("प्रकाश one two three four five six", None), (None, None), ("Make some cake? Yes! We like movie time.", 0.39 * 8 / 3 + 11.8 - 15.59)],
+)
+def test_reading_grade(spark, stem, grade):
+    got = one(spark, text.reading_grade("s"), s=stem) if stem is not None else spark.range(1).select(text.reading_grade(F.lit(None).cast("string")).alias("x")).first()["x"]
+    assert (got is None) == (grade is None) and (grade is None or abs(got - max(0.0, grade)) < 1e-9)
+
+
+def test_sections_called_mcq_are_objective(spark):
+    from quillspark.functions import education as E
+
+    assert one(spark, E.blueprint_band(F.col("s"), F.lit("long"), F.lit(5)), s="Section A: MCQ") == "objective"
