@@ -224,6 +224,37 @@ def fingerprint(df: DataFrame, by: list[str], id_col: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.min(id_col).alias("least"), F.max(id_col).alias("most"), F.substring(F.sha2(ids, 256), 1, 16).alias("sha16"))
 
 
+def set_fingerprint(df: DataFrame, by: list[str], of: list[str]) -> DataFrame:
+    """(by, n, mark): a fingerprint of each group's rows by the columns ``of``, whatever their order and partitioning; nulls count, and repeated rows each.
+
+    Count, sum and exclusive or of the rows' hashes are added up in every task before the shuffle, so no list of ids is held anywhere.
+    """
+    row = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in of])
+    h = F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("long")
+    g = df.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor(h).alias("_x"), F.sum(h.cast("decimal(19,0)")).alias("_s"))
+    return g.select(*by, "n", F.concat_ws(":", F.col("n").cast("string"), F.col("_x").cast("string"), F.col("_s").cast("string")).alias("mark"))
+
+
+def apply_plan(df: DataFrame, plan: DataFrame, premise: DataFrame, key: str, col: str, by: list[str], of: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, log, refused): ``plan`` (key, value) put into column ``col`` of the groups whose ``set_fingerprint`` is still that of ``premise`` (by, mark).
+
+    Groups that have changed since, or that the premise lacks, are refused as a whole (by, mark, expected) and stay as they are; the log restores what changed, see ``revert``.
+    """
+    now = set_fingerprint(df, by, of).drop("n").alias("now")
+    was = premise.select(*by, F.col("mark").alias("expected")).alias("was")
+    same = reduce(lambda a, b: a & b, (F.col(f"now.{c}").eqNullSafe(F.col(f"was.{c}")) for c in by))
+    held = checkpointed(now.join(was, same, "left").select(*[f"now.{c}" for c in by], "mark", "expected"))
+    holds = F.col("mark").eqNullSafe(F.col("expected"))
+    good = held.filter(holds).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)])
+    on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)))
+    mine = df.join(good.withColumn("_ok", F.lit(True)), on, "left").drop(*[f"_g{i}" for i in range(len(by))])
+    one = plan.groupBy(F.col(key)).agg(F.first("value").alias("_v"), F.count_distinct(F.struct("value")).alias("_n"))
+    one = one.withColumn("_v", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("several values for "), F.col(key).cast("string")))).otherwise(F.col("_v"))).withColumn("_planned", F.lit(True)).drop("_n")
+    mine = mine.join(one, key, "left")
+    changed, log = change_log(mine, key, col, F.col("_v").cast(dict(df.dtypes)[col]), F.col("_ok").isNotNull() & F.col("_planned").isNotNull() & ~F.col("_v").eqNullSafe(F.col(col)))
+    return changed.select(*df.columns), log, held.filter(~holds)
+
+
 def align(df: DataFrame, schema) -> DataFrame:
     """``df`` in the columns of ``schema``; missing ones are typed nulls."""
     have = set(df.columns)

@@ -276,10 +276,14 @@ def j24_calendar(spark, sf_dir):
     return planning.teaching_slots(planning.calendar(term), template, off).select("day", "period")
 
 
-@query(f"WITH d AS ({_DAYS}) SELECT isodow(day) - 1 AS weekday, count(*) AS n FROM d GROUP BY 1")
+@query(
+    "WITH t AS (SELECT user_id, CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM events GROUP BY user_id) "
+    "SELECT user_id, isodow(day) - 1 AS weekday, count(*) AS n FROM (SELECT user_id, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS day FROM t) GROUP BY ALL"
+)
 def d08_days_by_weekday(spark, sf_dir):
-    term = spark.sql("SELECT 1 AS term_id, DATE'2024-01-01' AS start_date, DATE'2024-03-31' AS end_date")
-    return planning.calendar(term).groupBy(F.col("weekday").cast("long").alias("weekday")).agg(F.count("*").alias("n"))
+    """Days of each weekday in the span that each user's events fill."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("term_id")).agg(F.min("ts").cast("date").alias("start_date"), F.max("ts").cast("date").alias("end_date"))
+    return planning.calendar(e).groupBy(F.col("term_id").alias("user_id"), F.col("weekday").cast("long").alias("weekday")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT n_nationkey, first_slot, last_slot FROM (SELECT n_nationkey, CAST(sum(n) OVER w - n + 1 AS BIGINT) AS first_slot, CAST(sum(n) OVER w AS BIGINT) AS last_slot FROM (SELECT n_nationkey, n_regionkey, n_nationkey % 4 + 1 AS n FROM nation) WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING))")

@@ -340,3 +340,24 @@ def test_first_independent_of_chains_and_stars(spark):
     got = {r["id"] for r in relational.first_independent(spark.createDataFrame(chain + star + back, "a long, b long")).collect()}
     assert got == {1, 3, 5, 7} | set(range(101, 120)) | {210}
     assert relational.first_independent(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_set_fingerprints_guard_a_plan(spark):
+    rows = [(i, i % 3 if i % 5 else None, f"v{i}" if i % 4 else None) for i in range(200)]
+    d = spark.createDataFrame(rows, "id int, grp int, v string")
+    mark = lambda x: {(r["grp"], r["mark"]) for r in relational.set_fingerprint(x, ["grp"], ["id", "v"]).collect()}
+    assert mark(d) == mark(d.repartition(7)) == mark(d.orderBy(F.desc("id")).coalesce(1)) and len(mark(d)) == 4
+    for change in (F.when(F.col("id") == 7, "w").otherwise(F.col("v")), F.when(F.col("id") == 8, "-").otherwise(F.col("v")), F.when(F.col("id") == 7, None).otherwise(F.col("v"))):
+        assert len(mark(d.withColumn("v", change)) - mark(d)) == 1
+    assert len(mark(d.unionByName(d.filter("id = 1"))) - mark(d)) == 1  # a row twice is another set
+    premise = relational.set_fingerprint(d, ["grp"], ["id", "v"]).filter("grp IS NULL OR grp <> 2")
+    plan = spark.createDataFrame([(i, "new") for i in range(0, 200, 2)], "id int, value string")
+    now = d.withColumn("v", F.when(F.col("id") == 1, "meanwhile").otherwise(F.col("v")))
+    out, log, refused = relational.apply_plan(now, plan, premise, "id", "v", ["grp"], ["id", "v"])
+    assert {r["grp"] for r in refused.collect()} == {1, 2}  # one has changed, one was never looked at
+    got = {r["id"]: r["v"] for r in out.collect()}
+    assert got == {i: ("meanwhile" if i == 1 else "new" if i % 2 == 0 and g in (None, 0) else v) for i, g, v in rows}
+    assert {(r["id"], r["v"]) for r in relational.revert(out, log, "id", "v").collect()} == {(r["id"], r["v"]) for r in now.collect()}
+    twice = plan.unionByName(spark.createDataFrame([(0, "other")], "id int, value string"))
+    with pytest.raises(Exception, match="several values"):
+        relational.apply_plan(d, twice, premise, "id", "v", ["grp"], ["id", "v"])[0].collect()
