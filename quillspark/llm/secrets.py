@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_batches, map_rows
+from quillspark.llm.common import arrow_batches, cut, map_rows
 
 KINDS = ("assign", "access", "hex", "guess")
 BASE = KINDS[:3]
@@ -72,9 +72,9 @@ _YEAR = re.compile(r"(?:19|20)\d\d\Z")
 
 
 def corpus_words(docs: DataFrame, least: int = LEAST, most: int = MOST) -> list[str]:
-    """Words of all texts of ``docs`` that stand alone in ``least`` documents, the commonest first, at most ``most`` of them (a bound on what the driver holds).
+    """Words of all texts of ``docs`` that stand alone in ``least`` documents, the commonest first, at most ``most`` of them (a bound on what the driver gets).
 
-    Each task counts its documents before anything is shuffled. What holds a digit or a sign is no word, so few credentials are.
+    Words of equal counts go together, in or out. Each task counts its documents before anything is shuffled. What holds a digit or a sign is no word, so few credentials are.
     """
     from collections import Counter
 
@@ -89,8 +89,14 @@ def corpus_words(docs: DataFrame, least: int = LEAST, most: int = MOST) -> list[
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
     arrow_batches(docs.sparkSession)
-    n = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in n.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+    n = cut(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+    told, bar = 0, None
+    for r in sorted(n.groupBy("n").count().collect(), key=lambda r: -r["n"]):  # a row for each number of documents
+        told += r["count"]
+        if told > most:
+            break
+        bar = r["n"]
+    return [] if bar is None else [r["word"] for r in sorted(n.filter(F.col("n") >= bar).collect(), key=lambda r: (-r["n"], r["word"]))]
 
 
 def ranks(paths: tuple[str, ...] = VOCABULARIES, words: tuple[str, ...] | list[str] = ()) -> dict[str, int]:
