@@ -137,7 +137,8 @@ def find_spans(text: Column) -> Column:
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id and ``found``, the confirmed spans.
 
-    A null text is empty and has none; repeated rows give repeated results; other columns are ignored.
+    A null text is empty and has none; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored. A
+    very long text is searched whole, in time that grows with its length times its matches.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return d.select("doc_id", find_spans(F.col("t")).alias("found"))

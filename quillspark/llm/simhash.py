@@ -201,7 +201,8 @@ def group(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, h (hash of the text), fp (signed), root (the class's smallest fingerprint), component_id (its smallest doc_id).
 
     Null and wordless texts have fingerprint zero and are linked like any other; null ids never name a class
-    unless it has no others; repeated rows share a class; an empty table gives an empty result. Other columns are ignored.
+    unless it has no others; repeated rows share a class; an empty table gives an empty result. Other columns are ignored. A very
+    long text is hashed whole, in its task's memory.
     """
     arrow_batches(docs.sparkSession)
     marked = cut(map_rows(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text"), _SCHEMA, _rows))
