@@ -77,7 +77,15 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray, int]], depth: int) -> tuple[
 
 def least_by_window(strings: list[bytes], docs: np.ndarray, shard_of: list[int], width: int) -> list[np.ndarray]:
     """For each string and each of its windows of ``width`` bytes (an even number), the least of ``docs`` over the strings that hold the window."""
-    out = [np.full(max(0, len(s) - width + 1), d, np.int64) for s, d in zip(strings, docs, strict=True)]
+    windows = np.fromiter((max(0, len(s) - width + 1) for s in strings), np.int64, len(strings))
+    return np.split(least_of_windows(strings, docs, shard_of, width), np.cumsum(windows)[:-1]) if strings else []
+
+
+def least_of_windows(strings: list[bytes], docs: np.ndarray, shard_of: list[int], width: int) -> np.ndarray:
+    """What ``least_by_window`` gives, all strings' windows one after the other."""
+    docs = np.asarray(docs, np.int64)
+    windows = np.fromiter((max(0, len(s) - width + 1) for s in strings), np.int64, len(strings))
+    out = np.repeat(docs, windows)
     shards: dict[int, list[int]] = {}
     for i, k in enumerate(shard_of):
         shards.setdefault(k, []).append(i)
@@ -86,24 +94,19 @@ def least_by_window(strings: list[bytes], docs: np.ndarray, shard_of: list[int],
         return out
     parts = [transform([strings[i] for i in of]) for of in members]
     z, place, interval = merge(parts, width)
-    every = [i for of in members for i in of]
-    starts = np.concatenate(([0], np.cumsum(np.fromiter((len(strings[i]) + 2 for i in every), np.int64, len(every)))))
+    every = np.array([i for of in members for i in of])
+    sizes = np.fromiter((len(strings[i]) + 2 for i in every), np.int64, len(every))
+    starts = np.cumsum(sizes) - sizes
     shift = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
     places = np.concatenate([p[0] + s for p, s in zip(parts, shift, strict=False)])
     at = places[shift[z] + place]  # where in the text each suffix begins, in merged order
-    j = np.searchsorted(starts, at, side="right") - 1
-    full = at + width + 1 < starts[j + 1]  # the others are shorter than a window
+    j = np.repeat(np.arange(len(every)), sizes)[at]
+    full = at + width + 1 < (starts + sizes)[j]  # the others are shorter than a window
     at, j, interval = at[full], j[full], interval[full]
     if not len(at):
         return out
-    owner, offset = np.array(every)[j], at - starts[j]
-    # repeated intervals: suffixes that have not parted after ``width`` symbols
+    # intervals: suffixes that have not parted after ``width`` symbols
     fresh = np.concatenate(([True], interval[1:] != interval[:-1]))
-    head = np.flatnonzero(fresh)
-    least = np.minimum.reduceat(np.asarray(docs)[owner], head)
-    group = np.cumsum(fresh) - 1
-    repeated = np.flatnonzero(np.bincount(group, minlength=len(head))[group] > 1)
-    for i, o, d in zip(owner[repeated].tolist(), offset[repeated].tolist(), least[group[repeated]].tolist(), strict=True):
-        if d < out[i][o]:
-            out[i][o] = d
+    least = np.minimum.reduceat(docs[every[j]], np.flatnonzero(fresh))
+    out[(np.cumsum(windows) - windows)[every[j]] + at - starts[j]] = least[np.cumsum(fresh) - 1]
     return out

@@ -7,7 +7,8 @@ have equal anchors. Consecutive windows with one anchor form a segment. Anchors
    segment's least document goes back to the chunks that hold it.
 2. Where segments of an anchor differ, their bytes follow. Buckets build the Burrows-Wheeler transform of each
    shard of strings and merge them by interleave refinement; intervals of suffixes that share WIDTH bytes are the
-   repeated windows, and their least documents go back. An anchor with very many segments sends windows
+   repeated windows, and their least documents go back. Of each string, the part between its first and last
+   window whose hash occurs again goes in: outside of it no window can be repeated. An anchor with very many segments sends windows
    instead, shared out by their own hash, so that no bucket holds a hot anchor's contexts.
 
 Chunks (documents by hash) combine copies before anything is sent and compute their anchors anew in each
@@ -27,12 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.bwt import least_by_window
+from quillspark.llm.bwt import least_of_windows
 
 WIDTH, ANCHOR = 50, 24
 _SPAN = WIDTH - ANCHOR + 1
-#: Bytes of text in a chunk and of positions treated at once; chunks and buckets at least.
-CHUNK_BYTES, BLOCK, CHUNKS, BUCKETS = 8 << 20, 1 << 20, 1024, 512
+#: Bytes of text in a chunk and of positions treated at once (so few that they stay in the cache; no result depends on it); chunks and buckets at least.
+CHUNK_BYTES, BLOCK, CHUNKS, BUCKETS = 8 << 20, 1 << 16, 1024, 512
 #: Segments of an anchor in one chunk, and in all, from which it counts as hot.
 HOT_HERE, HOT_ALL = 32, 512
 SHARDS = 8
@@ -79,8 +80,17 @@ class Runs:
         usable = np.ones(n, bool)
         for s, e in zip(self.starts.tolist(), self.ends.tolist(), strict=True):
             usable[max(s, e - WIDTH + 1) : e] = False
-        parts = [self._block(data, usable, at, min(n, at + BLOCK)) for at in range(0, n, BLOCK)]
-        parts = [p for p in parts if p is not None]
+        parts, at = [], 0
+        while at < n:
+            end = min(n, at + BLOCK)
+            if (p := self._block(data, usable, at, end)) is None:
+                at = end
+                continue
+            last = int(p[0][-1])
+            if at < last and last + p[1][-1] == end < n:  # may go on behind the block, which the next one sees
+                p, end = tuple(x[:-1] for x in p), last
+            parts.append(p)
+            at = end
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         self.start, self.length, self.anchor, self.whole = (np.concatenate(x) for x in zip(*(parts or [none]), strict=True))
         self.doc = np.searchsorted(self.ends, self.start, side="right")
@@ -131,19 +141,39 @@ class Runs:
         return out
 
     def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows of segments ``of``, and hashes of their bytes."""
-        n = self.length[of]
-        start = np.repeat(self.start[of] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        data = np.frombuffer(self.bytes, np.uint8)
+        """Starts of the windows of segments ``of``, which ascend, and hashes of their bytes."""
+        start = _ranges(self.start[of], self.length[of])
+        return start, self.hashes(np.frombuffer(self.bytes, np.uint8), start)
+
+    @staticmethod
+    def hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Hashes of the windows of ``data`` that begin at ``start``, ascending."""
         out = np.empty(len(start), np.uint64)
-        for a in range(0, len(data), BLOCK):
-            here = np.flatnonzero((start >= a) & (start < a + BLOCK))
-            if len(here):
+        edges = np.searchsorted(start, np.arange(0, len(data) + BLOCK, BLOCK)).tolist()
+        for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
+            if i < j:
+                a = k * BLOCK
                 part = data[a : min(len(data), a + BLOCK + WIDTH - 1)]
-                sums, (_, down) = self._prefix(part), _powers(len(part) + 1)
-                s = start[here] - a
-                out[here] = _mixed((sums[s + WIDTH] - sums[s]) * down[s])
-        return start, out
+                sums, (_, down) = Runs._prefix(part), _powers(len(part) + 1)
+                s = start[i:j] - a
+                out[i:j] = _mixed((sums[s + WIDTH] - sums[s]) * down[s])
+        return out
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after the other."""
+    return np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+
+
+def _ordered(first: np.ndarray, *then: np.ndarray) -> np.ndarray:
+    """The stable order by ``first``, then by ``then``: most of ``first`` stand alone, so the rest is looked at for the others only."""
+    order = np.argsort(first)
+    x = first[order]
+    same = x[1:] == x[:-1]
+    tied = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same))) if len(x) else order
+    o = order[tied]
+    order[tied] = o[np.lexsort((o, *(k[o] for k in reversed(then)), first[o]))]
+    return order
 
 
 def _keys(runs: Runs, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,12 +186,6 @@ def _pack(x: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _unpack(b: bytes, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(b, np.uint8).reshape(width, n).T
-    return out.view(np.uint64).ravel()
-
-
 def _zip(b: bytes) -> bytes:
     return zstandard.compress(b, 3)
 
@@ -174,12 +198,47 @@ def _put(columns: list[tuple[np.ndarray, int]]) -> bytes:
     return b"".join(_pack(x, w) for x, w in columns)
 
 
-def _get(b: bytes, n: int, widths: list[int]) -> list[np.ndarray]:
-    out, at = [], 0
-    for w in widths:
-        out.append(_unpack(b[at : at + n * w], n, w))
-        at += n * w
-    return out
+def _packed(columns: list[tuple[np.ndarray, int]], ns: np.ndarray) -> pa.Array:
+    """What ``_put`` makes of the first ``ns[0]`` rows, of the next ``ns[1]`` and so on."""
+    ends = np.cumsum(ns * sum(w for _, w in columns))
+    at = _ranges(np.concatenate(([0], ends[:-1])), ns) if len(ns) else np.zeros(0, np.int64)
+    step = np.repeat(ns, ns)
+    out = np.empty(ends[-1] if len(ns) else 0, np.uint8)
+    for x, w in columns:
+        planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)
+        for k in range(w):
+            out[at] = planes[:, k]
+            at += step
+    offsets = np.concatenate(([0], ends))
+    return pa.Array.from_buffers(pa.large_binary(), len(ns), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).cast(pa.binary())
+
+
+class Blobs:
+    """A table's column ``b``, whose blobs are read together."""
+
+    def __init__(self, table: pa.Table):
+        col = table.column("b").cast(pa.large_binary()).combine_chunks()
+        _, offsets, data = col.buffers() if len(col) else (None, None, None)
+        self.at = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+        self.data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        self.ns = table.column("n").to_numpy()
+
+    def rows(self, of: np.ndarray, widths: list[int]) -> list[np.ndarray]:
+        """The columns packed in the blobs ``of``, one blob's rows after the other's."""
+        ns = self.ns[of]
+        at, step = _ranges(self.at[of], ns), np.repeat(ns, ns)
+        out = []
+        for w in widths:
+            x = np.zeros((len(at), 8), np.uint8)
+            for k in range(w):
+                x[:, k] = self.data[at]
+                at += step
+            out.append(x.view(np.uint64).ravel())
+        return out
+
+    def tail(self, i: int, skip: int) -> bytes:
+        """What follows the first ``skip`` bytes of blob ``i``."""
+        return self.data[self.at[i] + skip : self.at[i + 1]].tobytes()
 
 
 _SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("b", pa.binary())])
@@ -210,7 +269,7 @@ class Chunk:
         """Order of the segments by (anchor, whole), heads of the same ones, the heads' anchor, whole and least document, and anchors whose hashes lied (looked for unless ``confirmed`` is false)."""
         h, s = _keys(self.runs, width)
         whole = self.runs.whole & TOLD_BY
-        order = np.lexsort((self.docs, whole, self.runs.anchor))
+        order = _ordered(self.runs.anchor, whole)  # documents ascend from the start
         a, w = self.runs.anchor[order], whole[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1]))) if len(h) else np.zeros(0, bool)
         copy = np.flatnonzero(~new) if confirmed else np.zeros(0, np.int64)
@@ -223,16 +282,15 @@ class Chunk:
         return order, head, h[head], s[head], self.docs[order][head], np.unique(h[wrong])
 
 
-def _sent(rows: list[np.ndarray], widths: list[int], buckets: int, by: np.ndarray, chunk: int) -> list[tuple]:
+def _sent(rows: list[np.ndarray], widths: list[int], buckets: int, by: np.ndarray, chunk: int) -> pa.Table:
     """Rows by bucket; of the first column, the anchor, what the bucket's number tells isn't sent."""
     to = (by % np.uint64(buckets)).astype(np.int64)
-    rows = [by // np.uint64(buckets), *rows]
-    order = np.argsort(to, kind="stable")
+    order = np.argsort(to.astype(np.uint16) if buckets <= 1 << 16 else to, kind="stable")
     to = to[order]
-    head = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else []
-    tail = [*head[1:], len(to)] if len(to) else []
-    rows = [x[order] for x in rows]
-    return [(int(to[a]), chunk, int(b - a), _put([(x[a:b], w) for x, w in zip(rows, widths, strict=True)])) for a, b in zip(head, tail, strict=True)]
+    head = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, np.int64)
+    ns = np.diff(np.concatenate((head, [len(to)]))) if len(to) else head
+    columns = [(x[order], w) for x, w in zip([by // np.uint64(buckets), *rows], widths, strict=True)]
+    return pa.table([pa.array(to[head]), pa.array(np.full(len(head), chunk)), pa.array(ns), _packed(columns, ns)], schema=_SENT)
 
 
 def _introduce(width: int, buckets: int, hot_here: int):
@@ -248,7 +306,7 @@ def _introduce(width: int, buckets: int, hot_here: int):
             keep = ~hot | first
             s = np.where(hot, _MARK, s)[keep]
             h, d = h[keep], d[keep]
-        return _table(_sent([s, d.view(np.uint64)], [_less(width, buckets), SENT, 8], buckets, h, c.number), _SENT)
+        return _sent([s, d.view(np.uint64)], [_less(width, buckets), SENT, 8], buckets, h, c.number)
 
     return run
 
@@ -262,12 +320,11 @@ def _sort_out(width: int, buckets: int, hot_all: int):
     """Round 1, at a bucket: the least document of an anchor's only segment, or that the anchor is ambiguous or hot."""
 
     def run(table: pa.Table) -> pa.Table:
-        chunks, ns, blobs = (table.column(k).to_pylist() for k in ("chunk", "n", "b"))
-        got = [_get(b, n, [_less(width, buckets), SENT, 8]) for n, b in zip(ns, blobs, strict=True)]
-        h, s, d = (np.concatenate(x) for x in zip(*got, strict=True))
+        blobs = Blobs(table)
+        h, s, d = blobs.rows(np.arange(len(blobs.ns)), [_less(width, buckets), SENT, 8])
         h = h * np.uint64(buckets) + np.uint64(table.column("bucket")[0].as_py())
-        d, chunk = d.view(np.int64), np.repeat(chunks, ns)
-        order = np.lexsort((d, s, h))
+        d, chunk = d.view(np.int64), np.repeat(table.column("chunk").to_numpy(), blobs.ns)
+        order = _ordered(h, s, d)
         h, s, d, chunk = h[order], s[order], d[order], chunk[order]
         new_h = np.concatenate(([True], h[1:] != h[:-1]))
         new_s = new_h | np.concatenate(([True], s[1:] != s[:-1]))
@@ -276,44 +333,35 @@ def _sort_out(width: int, buckets: int, hot_all: int):
         marked = np.bincount(by_h, s == _MARK) > 0
         state = np.where(marked | (kinds > hot_all), HOT, np.where(kinds > 1, AMBIGUOUS, ONE))[by_h]
         least = d[np.flatnonzero(new_s)][np.cumsum(new_s) - 1]
-        rows = []
-        one = np.flatnonzero((state == ONE) & (least < d))
-        for kind, at in ((ONE, one), (AMBIGUOUS, np.flatnonzero(state == AMBIGUOUS)), (HOT, np.flatnonzero(state == HOT))):
-            at = at[np.argsort(chunk[at], kind="stable")]
-            edge = np.flatnonzero(np.concatenate(([True], np.diff(chunk[at]) != 0))) if len(at) else []
-            for a, b in zip(edge, [*edge[1:], len(at)] if len(at) else [], strict=True):
-                x = at[a:b]
-                if kind != ONE:
-                    x = x[np.concatenate(([True], h[x][1:] != h[x][:-1]))]  # an anchor once
-                    blob = _put([(h[x], width)])
-                else:
-                    blob = _put([(h[x], width), (s[x], SENT), (least[x].view(np.uint64), 8)])
-                rows.append((int(chunk[at[a]]), kind, len(x), blob))
-        return _table(rows, _TOLD)
+        tables = []
+        for kind, at in ((ONE, np.flatnonzero((state == ONE) & (least < d))), (AMBIGUOUS, np.flatnonzero(state == AMBIGUOUS)), (HOT, np.flatnonzero(state == HOT))):
+            x = at[np.argsort(chunk[at], kind="stable")]
+            new = np.concatenate(([True], np.diff(chunk[x]) != 0)) if len(x) else np.zeros(0, bool)
+            columns = [(h, width), (s, SENT), (least.view(np.uint64), 8)]
+            if kind != ONE:  # an anchor once
+                keep = new | np.concatenate(([True], np.diff(h[x]) != 0)) if len(x) else new
+                x, new, columns = x[keep], new[keep], columns[:1]
+            head = np.flatnonzero(new)
+            ns = np.diff(np.concatenate((head, [len(x)]))) if len(x) else head
+            tables.append(pa.table([pa.array(chunk[x][head]), pa.array(np.full(len(head), kind)), pa.array(ns), _packed([(c[x], w) for c, w in columns], ns)], schema=_TOLD))
+        return pa.concat_tables(tables)
 
     return run
 
 
 def _told(table: pa.Table, width: int):
     """What buckets told a chunk in round 1: only segments' (anchor, whole, least), ambiguous anchors, hot anchors."""
-    got = {ONE: [], AMBIGUOUS: [], HOT: []}
-    for kind, n, b in zip(*(table.column(k).to_pylist() for k in ("kind", "n", "b")), strict=True):
-        if kind in got:
-            got[kind].append(_get(b, n, [width, SENT, 8] if kind == ONE else [width]))
-    one = [np.concatenate(x) for x in zip(*got[ONE], strict=True)] if got[ONE] else [np.zeros(0, np.uint64)] * 3
-    return one, *(np.concatenate([x[0] for x in got[k]]) if got[k] else np.zeros(0, np.uint64) for k in (AMBIGUOUS, HOT))
+    blobs, kind = Blobs(table), table.column("kind").to_numpy()
+    one = blobs.rows(np.flatnonzero(kind == ONE), [width, SENT, 8])
+    return one, *(blobs.rows(np.flatnonzero(kind == k), [width])[0] for k in (AMBIGUOUS, HOT))
 
 
 def _answers(told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What buckets told a chunk in round 2: strings' hashes, numbers of windows, and all windows' least documents."""
-    keys, counts, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for kind, n, b in zip(*(told.column(k).to_pylist() for k in ("kind", "n", "b")), strict=True):
-        if kind == STRINGS:
-            k, m = _get(b, n, [8, 2])
-            keys.append(k)
-            counts.append(m.astype(np.int64))
-            values.append(np.frombuffer(b[10 * n :], np.int64))
-    return np.concatenate(keys), np.concatenate(counts), np.concatenate(values)
+    blobs = Blobs(told)
+    of = np.flatnonzero(told.column("kind").to_numpy() == STRINGS)
+    keys, counts = blobs.rows(of, [8, 2])
+    return keys, counts.astype(np.int64), np.frombuffer(b"".join(blobs.tail(i, 10 * int(blobs.ns[i])) for i in of.tolist()), np.int64)
 
 
 def _told_apart(c: Chunk, start: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -363,36 +411,35 @@ def _send_strings(width: int, buckets: int):
     """
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        out: dict[int, tuple[list, list, list, list]] = {}
-        number = 0
-        if docs.num_rows and told.num_rows:
-            c = Chunk(docs)
-            number = c.number
-            _, ambiguous, hot = _told(told, width)
-
-            def put(to, key, doc, s):
-                row = out.setdefault(int(to) % buckets, ([], [], [], []))
-                row[0].append(int(key))
-                row[1].append(int(doc))
-                row[2].append(s)
-                row[3].append(int(to) // buckets % 256)
-
-            if len(ambiguous):
-                order, head, h, _, d, _ = c.records(width, confirmed=False)  # lying anchors are hot by now
-                for i in np.flatnonzero(np.isin(h, ambiguous)).tolist():
-                    r = order[head[i]]
-                    put(h[i], c.runs.whole[r], d[i], c.runs.string(r))
-            if len(hot):
-                start, x, doc, head = _hot_windows(c, _keys(c.runs, width)[0], hot)
-                for i in head.tolist():
-                    put(x[i] >> np.uint64(16), x[i], doc[i], c.runs.bytes[start[i] : start[i] + WIDTH])
+        if not docs.num_rows or not told.num_rows:
+            return _table([], _SENT)
+        c = Chunk(docs)
+        one, ambiguous, hot = _told(told, width)
+        sent = []  # by what the bucket is chosen, key, document, start, bytes
+        if len(ambiguous):
+            order, head, h, _, d, _ = c.records(width, confirmed=False)  # lying anchors are hot by now
+            i = np.flatnonzero(np.isin(h, ambiguous))
+            r = order[head[i]]
+            sent.append((h[i], c.runs.whole[r], d[i], c.runs.start[r], c.runs.length[r] + WIDTH - 1))
+        if len(hot):
+            start, x, doc, head = _hot_windows(c, _keys(c.runs, width)[0], hot)
+            sent.append((x[head] >> np.uint64(16), x[head], doc[head], start[head], np.full(len(head), WIDTH)))
         rows = []
-        for b, (keys, own, strings, part) in out.items():
-            columns = [(np.array(keys, np.uint64), 8), (np.array(own, np.int64).view(np.uint64), 8), (np.fromiter(map(len, strings), np.uint64, len(strings)), 2), (np.array(part, np.uint64), 1)]
-            rows.append((b, number, len(keys), _put(columns) + _zip(b"".join(strings))))
-        for kind, n, b in zip(*(told.column(k).to_pylist() for k in ("kind", "n", "b")), strict=True):
-            if kind != AMBIGUOUS and docs.num_rows:
-                rows.append((number % buckets, number, -n, bytes([kind]) + b))
+        if sent:
+            by, key, doc, start, size = (np.concatenate(x) for x in zip(*sent, strict=True))
+            to = (by % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            to, key, doc, start, size = to[order], key[order], doc[order], start[order], size[order]
+            part = by[order] // np.uint64(buckets) % np.uint64(256)
+            text = np.frombuffer(c.runs.bytes, np.uint8)[_ranges(start, size)].tobytes()
+            ends = np.concatenate(([0], np.cumsum(size)))
+            edges = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))).tolist() if len(to) else []
+            for a, b in zip(edges, edges[1:], strict=False):
+                columns = [(key[a:b], 8), (doc[a:b].view(np.uint64), 8), (size[a:b].view(np.uint64), 2), (part[a:b], 1)]
+                rows.append((int(to[a]), c.number, b - a, _put(columns) + _zip(text[ends[a] : ends[b]])))
+        for kind, x, widths in ((ONE, one, [width, SENT, 8]), (HOT, [hot], [width])):
+            if len(x[0]):
+                rows.append((c.number % buckets, c.number, -len(x[0]), bytes([kind]) + _put(list(zip(x, widths, strict=True)))))
         return _table(rows, _SENT)
 
     return run
@@ -403,47 +450,58 @@ STRINGS = 3
 
 def _compare(table: pa.Table) -> pa.Table:
     """Round 2, at a bucket: merged transforms of the shards' strings give each window's least document."""
+    blobs, chunk = Blobs(table), table.column("chunk").to_numpy()
+    rows = [(int(chunk[i]), int(blobs.data[blobs.at[i]]), -int(blobs.ns[i]), blobs.tail(i, 1)) for i in np.flatnonzero(blobs.ns < 0).tolist()]  # from round 1
+    of = np.flatnonzero(blobs.ns > 0)
+    if not len(of):
+        return _table(rows, _TOLD)
+    key, doc, size, part = blobs.rows(of, [8, 8, 2, 1])
+    doc, size, chunk = doc.view(np.int64), size.astype(np.int64), np.repeat(chunk[of], blobs.ns[of])
+    text = b"".join(_unzip(blobs.tail(i, 19 * int(blobs.ns[i]))) for i in of.tolist())
+    ends = np.cumsum(size)
     place: dict[bytes, int] = {}
-    least: list[int] = []
-    shard: list[int] = []
-    part: list[int] = []
-    senders, rows = [], []
-    for chunk, n, blob in zip(*(table.column(k).to_pylist() for k in ("chunk", "n", "b")), strict=True):
-        if n < 0:  # from round 1
-            rows.append((chunk, blob[0], -n, blob[1:]))
-            continue
-        keys, docs, lengths, parts = _get(blob, n, [8, 8, 2, 1])
-        text, at = _unzip(blob[19 * n :]), 0
-        for k, d, m, p in zip(keys.tolist(), docs.view(np.int64).tolist(), lengths.tolist(), parts.tolist(), strict=True):
-            s, at = text[at : at + m], at + m
-            if (i := place.setdefault(s, len(place))) == len(least):
-                least.append(d)
-                shard.append(chunk % SHARDS)
-                part.append(p)
-            elif d < least[i]:
-                least[i] = d
-            senders.append((chunk, k, d, i))
-    # equal windows have equal anchors, so parts by anchor can be merged apart; small ones stay in the cache
+    i = np.fromiter((place.setdefault(text[a:e], len(place)) for a, e in zip((ends - size).tolist(), ends.tolist(), strict=True)), np.int64, len(size))
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(i), prepend=-1))
+    least = doc[first]
+    np.minimum.at(least, i, doc)
+    shard, part, windows = chunk[first] % SHARDS, part[first], size[first] - WIDTH + 1
+    begin = np.concatenate(([0], np.cumsum(windows)))
+    found = np.repeat(least, windows)
     strings = list(place)
-    groups = min(256, max(1, sum(map(len, strings)) // PART_BYTES))
-    by_part: list[list[int]] = [[] for _ in range(groups)]
-    for i, p in enumerate(part):
-        by_part[p % groups].append(i)
-    found: list = [None] * len(strings)
-    for of in by_part:
-        for i, v in zip(of, least_by_window([strings[i] for i in of], np.array([least[i] for i in of], np.int64), [shard[i] for i in of], WIDTH), strict=True):
-            found[i] = v
-    back: dict[int, list] = {}
-    for chunk, k, d, i in senders:
-        if (found[i] < d).any():
-            back.setdefault(chunk, []).append((k, found[i]))
-    for chunk, x in back.items():
-        n = np.array([len(v) for _, v in x], np.uint64)
-        blob = _put([(np.array([k for k, _ in x], np.uint64), 8), (n, 2)]) + np.concatenate([v for _, v in x]).tobytes()
-        rows.append((chunk, STRINGS, len(x), blob))
+    j, low, high = _repeated_part(strings, size[first])
+    # equal windows have equal anchors, so parts by anchor can be merged apart; small ones stay in the cache
+    groups = min(256, max(1, int((high - low).sum()) // PART_BYTES))
+    for g in range(groups):
+        x = np.flatnonzero(part[j] % np.uint64(groups) == g)
+        if len(x):
+            t = [strings[k][a:b] for k, a, b in zip(j[x].tolist(), low[x].tolist(), high[x].tolist(), strict=True)]
+            found[_ranges(begin[j[x]] + low[x], high[x] - low[x] - WIDTH + 1)] = least_of_windows(t, least[j[x]], shard[j[x]].tolist(), WIDTH)
+    back = np.flatnonzero(np.minimum.reduceat(found, begin[:-1])[i] < doc)
+    back = back[np.argsort(chunk[back], kind="stable")]
+    values = found[_ranges(begin[i[back]], windows[i[back]])]
+    to, n = chunk[back], windows[i[back]]
+    at = np.concatenate(([0], np.cumsum(n)))
+    edges = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))).tolist() if len(to) else []
+    for a, b in zip(edges, edges[1:], strict=False):
+        rows.append((int(to[a]), STRINGS, b - a, _put([(key[back[a:b]], 8), (n[a:b].view(np.uint64), 2)]) + values[at[a] : at[b]].tobytes()))
     return _table(rows, _TOLD)
 
 
+def _repeated_part(strings: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings with a window whose hash occurs again among all windows, and from where to where such windows reach in each; equal windows have equal hashes, so none is missed."""
+    n = size - WIDTH + 1
+    x = Runs.hashes(np.frombuffer(b"".join(strings), np.uint8), _ranges(np.cumsum(size) - size, n))
+    order = np.argsort(x)
+    same = x[order[1:]] == x[order[:-1]]
+    again = np.zeros(len(x), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    at = np.flatnonzero(again)
+    j = np.repeat(np.arange(len(strings)), n)[at]
+    offset = at - (np.cumsum(n) - n)[j]
+    new = np.concatenate(([True], j[1:] != j[:-1], [True])) if len(at) else np.zeros(1, bool)
+    return j[new[:-1]], offset[new[:-1]], offset[new[1:]] + WIDTH
+
+
 def _remove(width: int):
     """Round 3, at a chunk: the covered bytes of each document."""
 
@@ -452,11 +510,11 @@ def _remove(width: int):
             return _table([], _RESULT)
         c = Chunk(docs)
         n = len(c.runs.bytes)
-        change = np.zeros(n + 1, np.int32)
+        begins, ends = [], []
 
         def cover(start, windows):
-            np.add.at(change, start, 1)
-            np.add.at(change, start + windows + WIDTH - 1, -1)
+            begins.append(start)
+            ends.append(start + windows + WIDTH - 1)
 
         order, head, h, s, d, _ = c.records(width)
         size = np.diff(np.concatenate((head, [len(order)]))) if len(head) else head
@@ -481,9 +539,8 @@ def _remove(width: int):
             k = find(c.runs.whole)
             r = np.flatnonzero((keys[k] == c.runs.whole) & (counts[k] == c.runs.length))
             k, m = k[r], c.runs.length[r]
-            within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            less = values[np.repeat(begin[k], m) + within] < np.repeat(c.docs[r], m)
-            cover((np.repeat(c.runs.start[r], m) + within)[less], 1)
+            less = values[_ranges(begin[k], m)] < np.repeat(c.docs[r], m)
+            cover(_ranges(c.runs.start[r], m)[less], 1)
         if len(hot):
             start, x, doc, first = _hot_windows(c, _keys(c.runs, width)[0], hot)
             low = doc[first]
@@ -493,6 +550,7 @@ def _remove(width: int):
                 low[same] = np.minimum(low[same], values[begin[k[same]]])
             lows = np.repeat(low, np.diff(np.concatenate((first, [len(x)]))))
             cover(start[lows < doc], 1)
+        change = np.bincount(np.concatenate(begins), minlength=n + 1) - np.bincount(np.concatenate(ends), minlength=n + 1)
         gone = np.cumsum(change[:n]) > 0
         data = np.frombuffer(c.runs.bytes, np.uint8)
         rows = [(None, len(t), 0, 0, hashlib.sha256(t).hexdigest()) for _, t in c.idle]

@@ -560,6 +560,54 @@ def test_substrings_survive_lying_window_hashes(spark, monkeypatch):
         assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for t in out for r in t.to_pylist()} == brute_removed(rows)
 
 
+def _removed_in_rounds(rows, chunks=3, buckets=4, width=6, hot=(8, 64)):
+    """What the rounds give that ``remove_repeats`` runs in tasks."""
+    import pyarrow as pa
+
+    def grouped(tables, key):
+        t = pa.concat_tables(tables)
+        return {k: t.filter(pa.compute.equal(t.column(key), k)) for k in set(t.column(key).to_pylist())}
+
+    by_chunk = grouped([pa.table({"doc_id": [i for i, _ in rows], "text": [(t or "").encode() for _, t in rows], "chunk": [i % chunks for i, _ in rows]})], "chunk")
+    sent = grouped([substrings._introduce(width, buckets, hot[0])(t) for t in by_chunk.values()], "bucket")
+    told = grouped([substrings._sort_out(width, buckets, hot[1])(t) for t in sent.values()], "chunk")
+    none = substrings._table([], substrings._TOLD)
+    strings = grouped([substrings._send_strings(width, 2)(t, told.get(k, none)) for k, t in by_chunk.items()], "bucket")
+    compared = grouped([substrings._compare(t) for t in strings.values()], "chunk")
+    out = [substrings._remove(width)(t, compared.get(k, none)) for k, t in by_chunk.items()]
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for t in out for r in t.to_pylist()}
+
+
+@pytest.mark.parametrize("bits", [64, 4])
+def test_substrings_merge_only_what_may_be_repeated(monkeypatch, bits):
+    """Anchors in 40 contexts that share no window cost no merge; a passage cut at both ends does. With 4 bits of hash all may be repeated, and nothing is wrong either."""
+    merged, honest = [], substrings.Runs.hashes
+    least = bwt.least_of_windows
+    monkeypatch.setattr(substrings, "least_of_windows", lambda strings, *a: merged.extend(strings) or least(strings, *a), raising=False)
+    monkeypatch.setattr(substrings.Runs, "hashes", staticmethod(lambda data, start: honest(data, start) & np.uint64(2**bits - 1)))
+    anchor = filler(20, 40)[40:64]
+    alone = [(100 + i, filler(300 + i, 8)[:25] + anchor + filler(400 + i, 8)[:25]) for i in range(40)]
+    assert _removed_in_rounds(alone, hot=(64, 64)) == brute_removed(alone)
+    assert bool(merged) == (bits == 4)
+    passage = filler(30, 40)
+    some = [(i, filler(100 + i, 8) + passage[3 * i : 120 + 3 * i] + filler(200 + i, 8)) for i in range(14)]
+    assert _removed_in_rounds(alone + some, hot=(64, 64)) == brute_removed(alone + some)
+    assert merged
+    if bits == 64:
+        assert all(s.decode() in passage for s in merged)
+
+
+def test_segments_do_not_depend_on_blocks(monkeypatch):
+    texts = [filler(i, 300).encode() for i in range(5)] + [b"short", b"z" * 500]
+    got = []
+    for block in (97, 1000, 1 << 16):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        r = substrings.Runs(texts)
+        start, x = r.windows(np.arange(len(r.start)))
+        got.append([a.tolist() for a in (r.start, r.length, r.doc, r.anchor, r.whole, start, x)])
+    assert got[0] == got[1] == got[2]
+
+
 def test_substrings_odd_rows(spark):
     rows = [*ODD, (None, filler(1, 30_000)), (7, "tail " + filler(1, 30_000))]
     got = substrings.remove_repeats(documents(spark, rows), 4, 4).collect()
