@@ -34,6 +34,11 @@ def test_near_duplicates(spark):
     assert [tuple(r) for r in bank.near_duplicates(spark.createDataFrame(rows, "grp int, id int, stem string")).collect()] == [(1, 2, 1.0)]
 
 
+def test_items_without_a_group_have_no_near_duplicates(spark):
+    rows = [(None, 1, "red green blue"), (None, 2, "red green blue"), (1, 3, "red red green"), (1, 4, "red red pink")]
+    assert [tuple(r) for r in bank.near_duplicates(spark.createDataFrame(rows, "grp int, id int, stem string"), 0.5).collect()] == [(3, 4, 2 / 3)]
+
+
 def test_rubrics_and_blocks(spark):
     assert [tuple(x) for x in one(spark, bank.mark_bands(F.col("m"), 3), m=8)] == [(1, 3), (4, 6), (7, 8)]
     c = spark.createDataFrame([(1, 1, 0, "roots drink", "Roots drink water"), (1, 2, 2, "not there", "Roots drink water")], "item int, ord int, marks int, evidence string, source string")

@@ -157,6 +157,37 @@ def test_similar_sets_equal_brute_force(spark):
     assert got == want
 
 
+def shuffled(spark, df):
+    """Rows that an action writes to shuffles."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    none = spark._jvm.java.util.ArrayList()
+    stages = lambda: sum(s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = stages()
+    rows = df().collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return rows, stages() - before
+
+
+def test_similar_sets_shuffle_no_pairs_that_cannot_be(spark):
+    import random
+
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(60)]
+    sets = [(i, r.sample(vocabulary, 6)) for i in range(600)]
+    rows, n = shuffled(spark, lambda: relational.similar_sets(spark.createDataFrame(sets, "id long, s array<string>"), "id", "s", 0.8))
+    words = {i: set(s) for i, s in sets}
+    assert {(x["a"], x["b"]) for x in rows} == {(a, b) for a in words for b in words if a < b and len(words[a] & words[b]) >= 5}
+    assert n < 40_000  # 3,600 elements a few times; of the 180,000 pairs nearly half share a word
+
+
+def test_equal_sets_meet_others_once(spark):
+    sets = [(i, ["a", "b", "c", "d", f"e{i // 100}"]) for i in range(200)] + [(200, ["a", "b", "c", "x", "y"])]
+    rows, n = shuffled(spark, lambda: relational.similar_sets(spark.createDataFrame(sets, "id long, s array<string>"), "id", "s", 0.8).groupBy("shared", "score").count())
+    assert {tuple(r) for r in rows} == {(5, 1.0, 2 * 4950), (4, 0.8, 10000)} and n < 9_000
+    assert {(r["a"], r["b"]) for r in relational.similar_elements(spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "a"), (4, "b"), (4, "a")], "id int, x string"), 0.5, over=True).collect()} == {(1, 3), (2, 3), (1, 4), (3, 4)}
+
+
 def test_rules(spark):
     df = spark.createDataFrame([(1, "Pick one thing from here", ["a", "b", "c"], "A"), (2, "", None, None), (3, "Pick", ["a", "b", "c", "d"], "e")], "id long, stem string, o array<string>, k string")
     c = rules.check(df, rules.item_rules(F.col("stem"), F.lit("mcq"), F.col("o"), F.col("k")))
