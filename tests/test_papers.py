@@ -104,6 +104,26 @@ def test_covered_equals_all_pairs(spark):
         assert got == {(q, e) for q, g, s in asked for e, h, t in held if g == h and s and len(set(s) & set(t)) / len(s) > over}
 
 
+def test_gates_shuffle_rare_words_only(spark):
+    from test_operators import shuffled
+
+    rows = [(i, 1, i, 5, None, f"What is the sum of {i} and 3 to you ask{i} as{i} of{i} no{i}", str(i + 3), "so", "apply", "short", None, "one", False, None) for i in range(2000)]
+    schema = "id int, chapter int, grounded_on int, concept int, note string, stem string, answer string, explanation string, bloom string, form string, options array<string>, mark_scheme string, misconception boolean, misconception_text string"
+    sourced = [(i, 1, 5, rows[i][5] + " then" if i % 100 == 0 else f"what is the question about sum{i}") for i in range(2000)]
+    make = lambda: gates.generated_items(spark.createDataFrame(rows, schema), spark.createDataFrame(sourced, "id int, chapter int, concept int, stem string"), spark.createDataFrame([(1, 5)], "chapter int, concept int"))
+    got, n = shuffled(spark, lambda: make().select("id", "issues.code"))
+    assert {r["id"]: r["code"] for r in got} == {i: ["G6"] if i % 100 == 0 else [] for i in range(2000)}
+    assert n < 45_000  # 14 words an item
+
+
+def test_covered_compares_groups_and_empty_sets(spark):
+    asked = [(1, (1, None), ["a", "b"]), (2, (1, 2), ["a", "b"]), (3, (1, 2), []), (4, (1, 2), ["a", "a", "z"]), (4, (1, 3), ["b"])]
+    held = [(7, (1, 2), ["a", "b", "c"]), (8, (1, 3), ["b"]), (9, (1, 2), [])]
+    frame = lambda rows, k: spark.createDataFrame(rows, f"{k} int, g struct<c:int,d:int>, s array<string>")
+    assert {tuple(r) for r in gates.covered(frame(asked, "q"), frame(held, "e"), 0.8).collect()} == {(2, 7, 1.0), (4, 8, 1.0)}
+    assert gates.covered(frame(asked, "q"), frame([], "e"), 0.8).collect() == [] == gates.covered(frame([], "q"), frame(held, "e"), 0.8).collect()
+
+
 def test_tables_are_grids():
     html = "<table><tr><th rowspan=2>a</th><th colspan=2>b</th></tr><tr><td>c</td><td>d &amp; e</td></tr><tr><td>f</td></tr><tr></tr><tr><td colspan='x'>g<td>h<p>i</table>"
     assert [[t for t, _ in r] for r in bank.table_grid(html)] == [["a", "b", "b"], ["a", "c", "d & e"], ["f", "", ""], ["", "", ""], ["g", "h i", ""]]
