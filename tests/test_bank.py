@@ -93,6 +93,24 @@ def test_best_order_is_the_best_of_all(spark):
         assert sorted(order) == list(range(n)) and order != list(range(n)) and flow([x[2:] for x in rows], order) >= n - 2
 
 
+def test_best_order_is_exact_in_groups_of_any_size(spark):
+    kinds = [("Big", "ends."), ("small", "goes on")] * 12 + [("Big", "goes on")]
+    rows = [(1, i, *k) for i, k in enumerate(kinds)] + [(2, 1, "Big", "so\u2003"), (2, None, "x", "y"), (2, 0, "\u00a0small", "z: "), (None, 5, None, ""), (None, 4, "a", None)]
+    got = bank.best_order(spark.createDataFrame(rows, "grp long, ord long, head string, tail string")).collect()
+    order = {g: [r["ord"] for r in sorted(got, key=lambda r: r["pos"]) if r["grp"] == g] for g in (1, 2, None)}
+    assert flow(kinds, order[1]) == 24  # all in one run: whole sentences, the piece that leads on, what goes on
+    assert order == {1: [*range(0, 24, 2), 24, *range(1, 24, 2)], 2: [0, 1, None], None: [4, 5]}
+
+
+def test_best_trail_is_the_first_best_path():
+    r = random.Random(8)
+    for _ in range(400):
+        heads, tails = r.sample(["Big", "small", "", "5"], r.randint(1, 4)), r.sample(["ends.", "goes on", "", "x:"], r.randint(1, 4))
+        pieces = [(r.choice(heads), r.choice(tails)) for _ in range(r.randint(1, 7))]
+        w = [[bank._flow(a[1], b[0]) for b in pieces] for a in pieces]
+        assert bank._best_trail([bank._ends(*p) for p in pieces]) == bank._best_path(w), pieces
+
+
 def test_offline_tags(spark):
     items = spark.createDataFrame([(1, 1, "Compare plant cells and animal cells", "long", 5), (1, 2, "Define a galaxy", "short", 3), (2, 3, "Define plant cells", "short", 3)], "grp int, id int, stem string, form string, marks int")
     concepts = spark.createDataFrame([(1, 7, "plant cells", "walls of cells"), (1, 8, "animal cells", ""), (1, 9, "stars", "a galaxy holds many suns and much dust")], "grp int, id int, name string, description string")
